@@ -5,25 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrace.llm import exact_dedup, sharding, simhash_dedup
-from echotrace.llm._common import documents
+from echotrace.llm import exact_dedup, lang_id, packing, sharding, simhash_dedup, token_store
+from echotrace.llm._common import documents, new_path
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir), keep="largest")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(documents(spark, sf_dir))
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_digest(spark, documents(spark, sf_dir), new_path(spark, "store"), tokenizer_path("word_bpe_49k.json"), keeps_space=False)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.feistel_shards(documents(spark, sf_dir))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(documents(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op8_sharding, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op5_token_store, op8_sharding, op9_packing, op10_simhash_dedup)}
 
 
 def _sharding_sql() -> str:
