@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrace.llm import exact_dedup, lang_id, packing, sharding, simhash_dedup, token_store
+from echotrace.llm import decontaminate, exact_dedup, lang_id, license_scan, packing, sharding, simhash_dedup, token_store, toxicity
 from echotrace.llm._common import documents, new_path
 
 
@@ -23,10 +23,22 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(documents(spark, sf_dir))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_digest(spark, documents(spark, sf_dir), new_path(spark, "store"), tokenizer_path("word_bpe_49k.json"), keeps_space=False)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.feistel_shards(documents(spark, sf_dir))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -41,7 +53,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op5_token_store, op8_sharding, op9_packing, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_decontaminate, op4_license_scan, op5_token_store, op6_toxicity, op8_sharding, op9_packing, op10_simhash_dedup)}
 
 
 def _sharding_sql() -> str:
@@ -81,5 +93,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                    row_number() OVER (PARTITION BY t ORDER BY doc_id DESC) = 1 AS kept, sha256(t) AS text_sha256
             FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+        "op3_decontaminate": decontaminate.oracle(),
+        "op4_license_scan": license_scan.oracle(),
         "op8_sharding": _sharding_sql(),
     }
