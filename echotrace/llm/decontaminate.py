@@ -89,7 +89,7 @@ def weighted_similarity(a: Column, b: Column) -> Column:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, similarity, start and n_words (of the best window, in words) for each document and item it is contaminated with."""
+    """doc_id, text_hash (xxhash64), item_id, similarity, start and n_words (of the best window, in words) for each document and item it is contaminated with."""
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     bench = items.select(F.col(item_col).alias("item_id"), words(text_or_empty(item_text_col)).alias("item_words")).where(F.size("item_words") > 0).distinct()
     bench = stored(bench.withColumn("item", F.xxhash64("item_id", F.array_join("item_words", " "))).withColumn("size", F.size("item_words")), "items")
@@ -97,7 +97,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     found = [_leaks_of(texts, bench.where(F.least("size", F.lit(shingle)) == k), k, similarity, radius) for k in sizes]
     if not found:
         none = texts.crossJoin(bench.select("item_id")).limit(0)
-        return none.select("doc_id", "item_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("start"), F.lit(0).alias("n_words"))
+        return none.select("doc_id", F.lit(0).cast("long").alias("text_hash"), "item_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("start"), F.lit(0).alias("n_words"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -132,7 +132,7 @@ def _leaks_of(texts: DataFrame, bench: DataFrame, k: int, similarity: float, rad
     window = F.slice("w", F.col("start") + 1, F.col("size"))
     pairs = pairs.select("key", "item_id", "start", F.size(window).alias("n_words"), weighted_similarity(shingle_texts(window, k), shingle_texts(F.col("item_words"), k)).alias("similarity"))
     best = pairs.where(F.col("similarity") >= similarity).groupBy("key", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n_words")).alias("b"))
-    return best.select("key.doc_id", "item_id", (-F.col("b.s")).alias("similarity"), "b.start", "b.n_words")
+    return best.select("key.doc_id", "key.text_hash", "item_id", (-F.col("b.s")).alias("similarity"), "b.start", "b.n_words")
 
 
 def oracle() -> str:

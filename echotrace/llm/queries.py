@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrace.llm import decontaminate, exact_dedup, lang_id, license_scan, packing, sharding, simhash_dedup, token_store, toxicity
+from echotrace.llm import decontaminate, exact_dedup, lang_id, license_scan, line_dedup, packing, sharding, simhash_dedup, token_store, toxicity
 from echotrace.llm._common import documents, new_path
 
 
@@ -24,7 +24,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_hash")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.feistel_shards(documents(spark, sf_dir))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -53,7 +57,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_decontaminate, op4_license_scan, op5_token_store, op6_toxicity, op8_sharding, op9_packing, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_decontaminate, op4_license_scan, op5_token_store, op6_toxicity, op7_line_dedup, op8_sharding, op9_packing, op10_simhash_dedup)}
 
 
 def _sharding_sql() -> str:

@@ -39,11 +39,11 @@ from echotrace.llm._tokens import groups
 
 TOXIC, CLEAN = 600, 1200
 ORDER, DECAY, WINDOW = 3, 0.6, 18
-LANDMARKS, CONTRASTS, GRAM = 28, 4, (5, 11)
+LANDMARKS, CONTRASTS, GRAM = 26, 6, (5, 11)
 #: A landmark isn't taken if so many before it are so similar.
 ALIKE, ALIKE_MOST = 0.6, 2
 #: Smallest log-likelihood ratio of a landmark.
-LEAST_RATIO = 28.0
+LEAST_RATIO = 32.0
 THRESHOLD = 0.3
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _WORDS = 400_000
@@ -277,30 +277,33 @@ def fit(toxic: list[list[str]], clean: list[list[str]]) -> ToxicityModel:
     negatives = sorted(set().union(*reduced[1]))
     first = Kernel(marks)
     near = first(negatives).max(axis=1)
-    order = np.argsort(-near, kind="stable")
-    marks = list(dict.fromkeys(marks + [negatives[i] for i in order[:CONTRASTS]]))
-    negatives = [negatives[i] for i in order[:20_000]]  # the rest match even less
-    kernel = Kernel(marks)
-    k_ll = kernel(marks).astype(np.float64)
-    values, vectors = np.linalg.eigh((k_ll + k_ll.T) / 2)
-    to_features = (vectors / np.sqrt(np.maximum(values, 1e-3 * values.max()))) @ vectors.T
+    negatives = [negatives[i] for i in np.argsort(-near, kind="stable")[:20_000]]  # the rest match even less
     words = sorted(set().union(*reduced[0]))
     place = {w: i for i, w in enumerate(words)}
     bags = [np.array([place[w] for w in sorted(b)]) for b in reduced[0] if b]
-    x_neg, x_all = kernel(negatives) @ to_features, kernel(words) @ to_features
-    scale = np.sqrt((x_neg**2).mean() + 1e-9)
-    x_neg, x_all = (x_neg / scale).astype(np.float32), (x_all / scale).astype(np.float32)
-    score = first(words).max(axis=1)
-    for k in range(3):
-        witness = np.array([b[score[b].argmax()] for b in bags])
-        sure = np.unique(witness[score[witness] > (0 if k else -1)])[:400]
-        longer = sorted({t for i in sure for t in stretched(words[i])})
-        x_long = (kernel(longer) @ to_features / scale).astype(np.float32).reshape(len(longer), len(marks))
-        x = np.concatenate([x_all[witness], x_long, x_neg])
-        y = np.concatenate([np.ones(len(witness) + len(longer)), -np.ones(len(x_neg))])
-        weight = np.concatenate([np.full(len(witness), 1 / len(witness)), np.full(len(longer), 0.3 / max(1, len(longer))), np.full(len(x_neg), 30 / len(x_neg))])
-        w = fit_linear(x, y, penalty=1e-4, rounds=300, weight=weight)
-        score = x_all @ w[:-1] + w[-1]
+    score, hard = first(words).max(axis=1), np.zeros(len(negatives), dtype=bool)
+    for turn in range(2):
+        kernel = Kernel(marks)
+        k_ll = kernel(marks).astype(np.float64)
+        values, vectors = np.linalg.eigh((k_ll + k_ll.T) / 2)
+        to_features = (vectors / np.sqrt(np.maximum(values, 1e-3 * values.max()))) @ vectors.T
+        x_neg, x_all = kernel(negatives) @ to_features, kernel(words) @ to_features
+        scale = np.sqrt((x_neg**2).mean() + 1e-9)
+        x_neg, x_all = (x_neg / scale).astype(np.float32), (x_all / scale).astype(np.float32)
+        for k in range(2):
+            witness = np.array([b[score[b].argmax()] for b in bags])
+            sure = np.unique(witness[score[witness] > (0 if turn + k else -1)])[:400]
+            longer = sorted({t for i in sure for t in stretched(words[i])})
+            x_long = (kernel(longer) @ to_features / scale).astype(np.float32).reshape(len(longer), len(marks))
+            x = np.concatenate([x_all[witness], x_long, x_neg])
+            y = np.concatenate([np.ones(len(witness) + len(longer)), -np.ones(len(x_neg))])
+            # A clean string near the border counts as much as a toxic document.
+            weight = np.concatenate([np.full(len(witness), 1 / len(witness)), np.full(len(longer), 0.3 / max(1, len(longer))), np.where(hard, 1 / len(witness), 10 / len(x_neg))])
+            w = fit_linear(x, y, penalty=1e-4, rounds=300, weight=weight)
+            score, wrong = x_all @ w[:-1] + w[-1], x_neg @ w[:-1] + w[-1]
+            hard |= wrong > -0.5
+        if turn == 0:
+            marks = list(dict.fromkeys(marks + [negatives[i] for i in np.argsort(-wrong, kind="stable")[:CONTRASTS]]))
     weights = np.append(to_features @ w[:-1] / scale, w[-1]).astype(np.float32)
     model = ToxicityModel(marks, weights, 1.0, 0.0)
     scorer = Scorer(model)
