@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echotrace.llm._common import held_out
 from echotrace.llm._svm import fit_linear
@@ -93,7 +94,7 @@ def fit(vectors: np.ndarray, langs: list[str]) -> LanguageModel:
     return model
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _packed_vector(text: pd.Series) -> pd.Series:
     return pd.Series([unit_vector(t).astype(np.float16).tobytes() for t in text])
 

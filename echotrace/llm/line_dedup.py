@@ -23,6 +23,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echotrace.llm._common import broadcast_if_small, stored
 
@@ -81,7 +82,10 @@ def counts(lines: int, words: int) -> bool:
     return words >= (MIN_WORDS if lines >= MIN_LINES else LONG)
 
 
-@F.pandas_udf("array<struct<start:int,length:int,lines:int,hash:bigint>>")
+_CHUNK = T.StructType().add("start", "integer").add("length", "integer").add("lines", "integer").add("hash", "long")
+
+
+@F.pandas_udf(T.ArrayType(_CHUNK))
 def chunk_column(text: pd.Series) -> pd.Series:
     out = []
     for t in text:
@@ -90,7 +94,7 @@ def chunk_column(text: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
     out = []
     for t, cut in zip(text, spans, strict=True):

@@ -27,6 +27,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echotrace.llm._common import stored
 from echotrace.llm.components import components
@@ -56,7 +57,7 @@ def simhash(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def simhash_signed(text: pd.Series) -> pd.Series:
     return pd.Series(np.array([simhash(t) for t in text], dtype=np.uint64).view(np.int64))
 

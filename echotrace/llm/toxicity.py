@@ -32,12 +32,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echotrace.llm._common import held_out, process_cache
 from echotrace.llm._svm import fit_linear
 from echotrace.llm._tokens import groups
 
-TOXIC, CLEAN = 600, 1200
+TOXIC, CLEAN = 500, 1000
 ORDER, DECAY, WINDOW = 3, 0.6, 18
 LANDMARKS, CONTRASTS, GRAM = 26, 6, (5, 11)
 #: A landmark isn't taken if so many before it are so similar.
@@ -279,9 +280,13 @@ def fit(toxic: list[list[str]], clean: list[list[str]]) -> ToxicityModel:
     near = first(negatives).max(axis=1)
     negatives = [negatives[i] for i in np.argsort(-near, kind="stable")[:20_000]]  # the rest match even less
     words = sorted(set().union(*reduced[0]))
+    near = dict(zip(words, first(words).max(axis=1).tolist(), strict=True))
+    # Each document's strings that come closest; no other can become its strongest.
+    tops = [sorted(sorted(b, key=lambda w: (-near[w], w))[:12]) for b in reduced[0] if b]
+    words = sorted(set().union(*tops))
     place = {w: i for i, w in enumerate(words)}
-    bags = [np.array([place[w] for w in sorted(b)]) for b in reduced[0] if b]
-    score, hard = first(words).max(axis=1), np.zeros(len(negatives), dtype=bool)
+    bags = [np.array([place[w] for w in b]) for b in tops]
+    score, hard, chosen = np.array([near[w] for w in words]), np.zeros(len(negatives), dtype=bool), list(marks)
     for turn in range(2):
         kernel = Kernel(marks)
         k_ll = kernel(marks).astype(np.float64)
@@ -295,11 +300,14 @@ def fit(toxic: list[list[str]], clean: list[list[str]]) -> ToxicityModel:
             sure = np.unique(witness[score[witness] > (0 if turn + k else -1)])[:400]
             longer = sorted({t for i in sure for t in stretched(words[i])})
             x_long = (kernel(longer) @ to_features / scale).astype(np.float32).reshape(len(longer), len(marks))
-            x = np.concatenate([x_all[witness], x_long, x_neg])
-            y = np.concatenate([np.ones(len(witness) + len(longer)), -np.ones(len(x_neg))])
-            # A clean string near the border counts as much as a toxic document.
-            weight = np.concatenate([np.full(len(witness), 1 / len(witness)), np.full(len(longer), 0.3 / max(1, len(longer))), np.where(hard, 1 / len(witness), 10 / len(x_neg))])
-            w = fit_linear(x, y, penalty=1e-4, rounds=300, weight=weight)
+            x_mark = (kernel(chosen) @ to_features / scale).astype(np.float32)
+            x = np.concatenate([x_all[witness], x_mark, x_long, x_neg])
+            y = np.concatenate([np.ones(len(witness) + len(chosen) + len(longer)), -np.ones(len(x_neg))])
+            # Each toxic landmark has a say, as insults seldom come alone; clean strings near the border count more than others.
+            parts = [(len(witness), 1.0), (len(chosen), 1.0), (len(longer), 0.3)]
+            near_border = min(1 / len(witness), 4 / max(1, int(hard.sum())))
+            weight = np.concatenate([*(np.full(n, total / max(1, n)) for n, total in parts), np.where(hard, near_border, 10 / len(x_neg))])
+            w = fit_linear(x, y, penalty=1e-4, rounds=400, weight=weight)
             score, wrong = x_all @ w[:-1] + w[-1], x_neg @ w[:-1] + w[-1]
             hard |= wrong > -0.5
         if turn == 0:
@@ -328,7 +336,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(ab[0]), float(ab[1])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _distinct_strings(text: pd.Series) -> pd.Series:
     return pd.Series([sorted({letters(w) for w in strings_of(t)}) for t in text])
 
