@@ -3,50 +3,17 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of rows that broadcast_if_small() sends to every executor; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
-
+from echotrace.sources.shared import broadcast_if_small, global_row_number, new_path, shared_dir, stored  # noqa: F401
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="echotrace-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/echotrace-{uuid.uuid4().hex}/{tag}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, and a lost executor loses nothing."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if df, which should be stored and narrow, has at most `rows` rows; df itself otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -60,23 +27,3 @@ def process_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, also for functions that were pickled by value."""
     home = sys.modules.setdefault("_echotrace_process_cache", types.ModuleType("_echotrace_process_cache"))
     return home.__dict__.setdefault(name, {})
-
-
-def global_row_number(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
-    """df, stored, with a gapless row number from 0 in the given order, and its number of rows.
-
-    A range sort, then the counts of the range partitions give each its first number: no single task sees all rows.
-    Equal keys are told apart by their place in the input, so that one frequent key doesn't land in one task.
-    """
-    keys = [F.col(f"_k{i}") for i in range(len(order))] + [F.col("_place")]
-    df = df.select("*", *(c.alias(f"_k{i}") for i, c in enumerate(order)), F.monotonically_increasing_id().alias("_place"))
-    df = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()).drop(*(f"_k{i}" for i in range(len(order))), "_place")
-    df = stored(df, "numbered").withColumn("_part", F.shiftright("_at", 33))
-    parts = sorted((r[0], r[1]) for r in df.groupBy("_part").count().collect())  # one row for each partition
-    firsts, total = [], 0
-    for part, n in parts:
-        firsts.append((part, total))
-        total += n
-    first = df.sparkSession.createDataFrame(firsts, "_part long, _first long")
-    out = df.join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + F.col("_at").bitwiseAND((1 << 33) - 1))
-    return out.drop("_at", "_part", "_first"), total
