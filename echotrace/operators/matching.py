@@ -41,7 +41,7 @@ def longest_common_substring(pairs: DataFrame, keys: list[str], a: str = "a", b:
     """
     if how == "kernel":
         least = F.lit(1)
-        best = F.element_at(kernels.disjoint_matches_udf(F.col(a), F.col(b), least), 1)
+        best = F.get(kernels.disjoint_matches_udf(F.col(a), F.col(b), least), 0)
         rows = pairs.select(*keys, best.alias("m"))
         return rows.select(*keys, *(F.coalesce(F.col(f"m.{c}"), F.lit(0)).alias(c) for c in ("length", "start1", "end1", "start2", "end2")))
     if how != "relational":

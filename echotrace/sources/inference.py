@@ -15,9 +15,9 @@ def _number(path: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")).cast("long")
 
 
-def path_columns(path: Column) -> list[Column]:
+def path_columns(path: Column, prefix: str = "prefix", suffix: str = "suffix") -> list[Column]:
     """offset, prefix, suffix, rep, policy and rank of a record's path; null where the path has none."""
-    numbers = {"offset": "offset_(\\d+)", "prefix": "prefix_(\\d+)", "suffix": "suffix_(\\d+)", "rep": "rep_(\\d+)"}
+    numbers = {"offset": "offset_(\\d+)", prefix: "prefix_(\\d+)", suffix: "suffix_(\\d+)", "rep": "rep_(\\d+)"}
     policy = F.nullif(F.regexp_extract(path, "rep_\\d+_([A-Za-z]+)", 1), F.lit(""))
     return [*(_number(path, p).alias(name) for name, p in numbers.items()), policy.alias("policy"), _number(path, "rank(\\d+)\\.jsonl").alias("rank")]
 
@@ -33,7 +33,7 @@ def experiment_columns(name: Column) -> list[Column]:
 
 
 def read_rank_files(spark: SparkSession, path: str | list[str], schema: T.StructType = SPARSE) -> DataFrame:
-    """All records below path with their path columns and, for each directory, seq_idx: the place in the source before the deal.
+    """All records below path with their path columns (len_prefix and len_suffix for the lengths) and, for each directory, seq_idx: the place in the source before the deal.
 
     The order inside a file is that of (block start, row in the task), which Spark keeps for splits of a file; ranks are
     compared as numbers, so ten and more ranks are right as well, and ranks may have different numbers of rows.
@@ -41,7 +41,7 @@ def read_rank_files(spark: SparkSession, path: str | list[str], schema: T.Struct
     from pyspark.sql.window import Window
 
     rows = spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
-    rows = rows.withColumn("_dir", F.regexp_replace("_path", "/[^/]*$", "")).select("*", *path_columns(F.col("_path")))
+    rows = rows.withColumn("_dir", F.regexp_replace("_path", "/[^/]*$", "")).select("*", *path_columns(F.col("_path"), "len_prefix", "len_suffix"))
     place = F.row_number().over(Window.partitionBy("_path").orderBy("_block", "_row")) - 1
     world = rows.select("_dir", "rank").distinct().groupBy("_dir").agg(F.count("*").alias("_world"))  # a row for each directory
     return rows.withColumn("_place", place).join(world, "_dir").withColumn("seq_idx", F.col("_place") * F.col("_world") + F.col("rank")).drop("_path", "_block", "_row", "_dir", "_place", "_world")
