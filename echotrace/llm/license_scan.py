@@ -1,7 +1,7 @@
 """License scans by sentence-rule recognition. DataFrame functions only.
 
-A text is cut into sentences twice: at line breaks and after . ! ? ; : before white space, for licence lines of their own,
-and at blank lines and after those signs only, for sentences that are wrapped over lines. A sentence is normalised (lower case, runs of
+A text is cut into sentences twice: at line breaks and after . ! ? ; before white space, for licence lines of their own,
+and at blank lines and after those signs and colons only, for sentences that are wrapped over lines. A sentence is normalised (lower case, runs of
 other characters than a-z and 0-9 to one space, line prefixes such as comment signs gone with them) and mapped to
 the identifier of a known licence sentence, or to none. The identifiers of a document, in order, form one string with a letter for
 each known sentence and "." for any other. A rule is an ordered list of identifiers; it matches where they follow each
@@ -97,7 +97,7 @@ RULES = [
 HIDES = {"BSD-3-Clause": ["BSD-2-Clause"]}
 #: No sentence is longer than the longest known one, with room for signs between words; longer ones are unknown without a look.
 _SLACK = 4
-LINE_CUT = "\n+|[.!?;:][ \t\r]+"
+LINE_CUT = "\n+|[.!?;][ \t\r]+"
 WRAPPED_CUT = "\n[ \t\r]*\n|[.!?;:][ \t\r\n]+"
 
 
