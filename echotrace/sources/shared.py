@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Largest number of rows that broadcast_if_small() sends to every executor; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: And of bytes, where rows have no bounded width.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,9 +38,16 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if df, which should be stored and narrow, has at most `rows` rows; df itself otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """A broadcast hint if df, which should be stored, has at most `rows` rows; df itself otherwise.
+
+    Rows must be of bounded width, or weight must give their bytes, which may then be BROADCAST_BYTES in all.
+    """
+    if df.limit(rows + 1).count() > rows:
+        return df
+    if weight is not None and (df.agg(F.sum(weight)).first()[0] or 0) > BROADCAST_BYTES:
+        return df
+    return F.broadcast(df)
 
 
 def global_row_number(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
