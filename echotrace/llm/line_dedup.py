@@ -118,7 +118,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spots = stored(chunks.join(broadcast_if_small(again), "hash"), "spots")
     # Bytes: the text of repeated chunks only.
     per_text = stored(spots.groupBy("key").agg(F.collect_set(F.struct("start", "length", "lines", "hash")).alias("all")), "wanted")
-    pieces = texts.join(broadcast_if_small(per_text), "key").select("key", "text", F.explode("all").alias("c"))
+    pieces = texts.join(broadcast_if_small(per_text, weight=64 + 32 * F.size("all")), "key").select("key", "text", F.explode("all").alias("c"))
     body = F.rtrim(F.substring(F.col("text"), F.col("c.start") + 1, F.col("c.length")), F.lit("\n "))
     pieces = stored(pieces.select("key", "c.*", body.alias("body")), "pieces")
     same = pieces.groupBy("hash", "body").agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "body", "first")
@@ -132,6 +132,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     cut = gone.groupBy("key").agg(F.collect_list(F.struct("start", "length")).alias("spans"), F.sum("lines").alias("removed_lines"), F.sum("length").alias("removed_chars"))
     cut = stored(cut, "cut")
     rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")).alias("key"), F.col(text_col).cast("string").alias("text"))
-    out = rows.join(broadcast_if_small(cut), "key", "left").withColumn("clean", F.when(F.col("spans").isNull(), F.col("text")).otherwise(_without("text", "spans")))
+    out = rows.join(broadcast_if_small(cut, weight=96 + 24 * F.size("spans")), "key", "left").withColumn("clean", F.when(F.col("spans").isNull(), F.col("text")).otherwise(_without("text", "spans")))
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return out.select(F.col("key.doc_id").alias("doc_id"), F.col("clean").alias("text"), F.length("text").cast("long").alias("n_chars"), count(F.when(F.col("spans").isNotNull(), F.size("spans"))).alias("removed_chunks"), count(F.col("removed_lines")).alias("removed_lines"), count(F.col("removed_chars")).alias("removed_chars"))
