@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echotrace.functions import sequences as S
+from echotrace.operators import curves as C
 from echotrace.operators import matching as M
 from echotrace.operators import prepare as P
 from echotrace.operators import results as R
@@ -376,6 +377,27 @@ def nll_statistics(spark, sf_dir):
     return found.select("label", r6(F.col("nll_mean")).alias("nll_mean"), r6(F.col("nll_std")).alias("nll_std"))
 
 
+CURVE_ROWS = """place AS (SELECT role, turn, conv_id, length, row_number() OVER (PARTITION BY role, turn ORDER BY conv_id) - 1 AS i, count(*) OVER (PARTITION BY role, turn) AS n FROM lcs)"""
+
+
+@query(f"""WITH {LCS_SQL}, {CURVE_ROWS}
+    SELECT role, turn, CASE WHEN i < floor(n * 0.9) THEN 'train' WHEN i < floor(n * 0.9) + floor(n * 0.05) THEN 'validation' ELSE 'test' END AS split, round(avg(length), 6) AS avg_length, turn / 75 AS epoch
+    FROM place GROUP BY ALL""")
+def split_curves(spark, sf_dir):
+    return C.split_curves(pairs(spark, sf_dir), "role", "turn", "conv_id").withColumn("avg_length", r6(F.col("avg_length")))
+
+
+@query("SELECT 1984000 AS sequences, CAST(1984000 AS BIGINT) * 8192 AS tokens, CAST(1984000 AS BIGINT) * 8192 + 81816372499 AS total_tokens, round((1984000.0 * 8192) / (1984000.0 * 8192 + 81816372499), 6) AS share")
+def replication_totals(spark, sf_dir):
+    return C.replication_totals(spark, P.REPETITIONS, corpus=81_816_372_499).withColumn("share", r6(F.col("share")))
+
+
+@query(f"WITH {SCORES_SQL} SELECT 'expr=' || expr || ' rep=' || rep || ' metric=' || metric || ' ' || printf('%.4f ± %.4f', avg(score), stddev_pop(score)) AS line FROM scores WHERE metric = 'ttr' GROUP BY expr, rep, metric")
+def summary_lines(spark, sf_dir):
+    cells = R.cell_statistics(scores(spark, sf_dir).where("metric = 'ttr'"), ["expr", "rep", "metric"])
+    return C.summary_lines(cells, ["expr", "rep", "metric"])
+
+
 # Checks, text and report
 
 
