@@ -121,3 +121,30 @@ def test_statistics(spark):
         results.cell_statistics(four, ["g"], "median", "v")
     counts = results.batch_source_counts(spark.range(180).withColumn("s", F.lit(0)), "id", "s", 60, 180, [0])
     assert sorted(r["start"] for r in counts.collect()) == [0, 60]
+
+
+def test_curves_and_collection(spark):
+    from echotrace.operators import curves
+
+    rows = [("m", 75, i, list("abc") if i != 1 else ["x"], list("abd")) for i in range(20)]
+    df = spark.createDataFrame(rows, "model string, step int, seq_idx int, a array<string>, b array<string>")
+    got = {r["split"]: (r["avg_length"], r["epoch"]) for r in curves.split_curves(df).collect()}
+    assert got["train"] == (pytest.approx(34 / 18), 1.0) and got["validation"][0] == got["test"][0] == 2.0
+    assert {r["split"] for r in curves.split_curves(df, train=1.0).collect()} == {"train"}
+    every = {r["split"]: r["avg_length"] for r in curves.split_curves(df, how="all").collect()}
+    assert every == {"train": 2.0, "validation": 2.0, "test": 2.0}  # the sequence without a match is left out
+    with pytest.raises(ValueError):
+        curves.split_curves(df, how="none")
+    frames = {("e", 1): spark.createDataFrame([(1.0,)], "NLL double"), ("e", 2): spark.createDataFrame([(2.0,)], "other double")}
+    assert [(r["exp"], r["rep"]) for r in curves.collected(frames, "NLL").collect()] == [("e", 1)]
+    with pytest.raises(ValueError):
+        curves.collected(frames, "absent")
+
+
+def test_round_trip_and_macro_mean(spark):
+    lengths = spark.createDataFrame([(1, 2), (1, 4), (3, 6)], "id int, length int")
+    sequences = spark.createDataFrame([(1, "g"), (2, "g"), (3, "g")], "id int, g string")
+    row = results.macro_average(lengths, sequences, ["id"], ["g"]).first()
+    assert (row["mean_length"], row["with_match"], row["sequences"]) == (4.5, 2, 3)
+    df = spark.createDataFrame([(["a", "b"],), (["a b", "c"],)], "t array<string>")
+    assert prepare.round_trip(df, "t", lambda t: F.array_join(t, " "), S.tokens, 2).count() == 1
