@@ -36,7 +36,7 @@ def test_rank_files_in_source_order(spark, tmp_path):
 
 
 def test_names(spark):
-    names = spark.createDataFrame([("llama_1.5B_Sparse_Gutenberg_K_10_H_13_GBS_60_SEQ_8000",), ("llama_3B_Sparse_Gutenberg_Standard_GBS_60_SEQ_5",)], "n string")
+    names = spark.createDataFrame([("llama_1.5B_Sparse_Books_K_10_H_13_GBS_60_SEQ_8000",), ("llama_3B_Sparse_Books_Standard_GBS_60_SEQ_5",)], "n string")
     rows = [tuple(r) for r in names.select(*inference.experiment_columns(F.col("n"))).collect()]
     assert rows == [("1.5B", "goldfish", 10, 13, 60, 8000), ("3B", "standard", None, None, 60, 5)]
 
