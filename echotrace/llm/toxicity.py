@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echotrace.llm._common import held_out, process_cache
+from echotrace.llm._common import broadcast_if_small, held_out, process_cache, stored
 from echotrace.llm._svm import fit_linear
 from echotrace.llm._tokens import groups
 
@@ -278,11 +278,13 @@ def fit(toxic: list[list[str]], clean: list[list[str]]) -> ToxicityModel:
     negatives = sorted(set().union(*reduced[1]))
     first = Kernel(marks)
     near = first(negatives).max(axis=1)
+    near_clean = dict(zip(negatives, near.tolist(), strict=True))
     negatives = [negatives[i] for i in np.argsort(-near, kind="stable")[:20_000]]  # the rest match even less
     words = sorted(set().union(*reduced[0]))
     near = dict(zip(words, first(words).max(axis=1).tolist(), strict=True))
     # Each document's strings that come closest; no other can become its strongest.
-    tops = [sorted(sorted(b, key=lambda w: (-near[w], w))[:12]) for b in reduced[0] if b]
+    closest = lambda bag, near: sorted(sorted(bag, key=lambda w: (-near[w], w))[:12])
+    tops = [closest(b, near) for b in reduced[0] if b]
     words = sorted(set().union(*tops))
     place = {w: i for i, w in enumerate(words)}
     bags = [np.array([place[w] for w in b]) for b in tops]
@@ -314,9 +316,10 @@ def fit(toxic: list[list[str]], clean: list[list[str]]) -> ToxicityModel:
             marks = list(dict.fromkeys(marks + [negatives[i] for i in np.argsort(-wrong, kind="stable")[:CONTRASTS]]))
     weights = np.append(to_features @ w[:-1] / scale, w[-1]).astype(np.float32)
     model = ToxicityModel(marks, weights, 1.0, 0.0)
-    scorer = Scorer(model)
-    texts = [" ".join(doc) for doc in [*toxic, *clean]]
-    margins = np.concatenate([scorer(texts[a:b]) for a, b in groups(texts)]).astype(np.float64)
+    bags = [*(closest(b, near) for b in reduced[0]), *(closest(b, near_clean) for b in reduced[1])]
+    distinct = sorted(set().union(*bags))
+    value = dict(zip(distinct, (kernel(distinct) @ weights[:-1] + weights[-1]).tolist(), strict=True))
+    margins = np.array([max([float(weights[-1]), *(value[p] for p in b)]) for b in bags])
     model.slope, model.shift = _logistic(margins, np.array([1] * len(toxic) + [0] * len(clean)))
     return model
 
@@ -344,12 +347,16 @@ def _distinct_strings(text: pd.Series) -> pd.Series:
 def learn(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """docs: only rows that may be learnt from."""
     label = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(label, "doc_id")
-    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}  # two rows
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    # Keys and hashes are joined with the labels; texts are read again for the chosen rows only and never shuffled.
+    keys = stored(texts.select("doc_id", F.xxhash64("text").alias("text_hash")).join(label, "doc_id"), "labelled")
+    counts = {r["y"]: r["count"] for r in keys.groupBy("y").count().collect()}  # two rows
     grid = 1_000_000
     bound = [min(grid, round(grid * most / max(1, counts.get(y, 0)))) for y, most in ((0, clean), (1, toxic))]
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(grid)) < F.when(F.col("y") == 1, bound[1]).otherwise(bound[0]))
-    found = sorted((r["y"], list(r["w"])) for r in chosen.select("y", _distinct_strings("text").alias("w")).collect())
+    chosen = keys.where(F.pmod("text_hash", F.lit(grid)) < F.when(F.col("y") == 1, bound[1]).otherwise(bound[0])).distinct()
+    chosen = broadcast_if_small(stored(chosen, "chosen"))
+    sample = texts.withColumn("text_hash", F.xxhash64("text")).join(chosen, ["doc_id", "text_hash"]).select("y", _distinct_strings("text").alias("w"))
+    found = sorted((r["y"], list(r["w"])) for r in sample.collect())
     parts = [[w for y, w in found if y == k] for k in (1, 0)]
     if not all(parts):
         return ToxicityModel([], np.zeros(1, dtype=np.float32), 0.0, -40.0)
