@@ -18,8 +18,10 @@ ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,16 +84,19 @@ def counts(lines: int, words: int) -> bool:
     return words >= (MIN_WORDS if lines >= MIN_LINES else LONG)
 
 
-_CHUNK = T.StructType().add("start", "integer").add("length", "integer").add("lines", "integer").add("hash", "long")
-
-
-@F.pandas_udf(T.ArrayType(_CHUNK))
-def chunk_column(text: pd.Series) -> pd.Series:
-    out = []
-    for t in text:
-        chunks = chunks_of(t)
-        out.append([{"start": s, "length": n, "lines": k, "hash": h} for s, n, k, h in chunks if counts(k, t.count(" ", s, s + n) + 1)])
-    return pd.Series(out)
+def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, start, length, lines and hash of each chunk that counts; a few documents at a time, so that memory stays small."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 200):
+            part = batch.slice(a, 200)
+            owner, found = [], []
+            for i, text in enumerate(part.column("text").to_pylist()):
+                for s, n, k, h in chunks_of(text):
+                    if counts(k, text.count(" ", s, s + n) + 1):
+                        owner.append(i)
+                        found.append((s, n, k, h))
+            columns = [pa.array([x[c] for x in found], type=kind) for c, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(owner, type=pa.int32())), *columns], ["key", "start", "length", "lines", "hash"])
 
 
 @F.pandas_udf(T.StringType())
@@ -112,7 +117,7 @@ def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key (doc_id, text hash), start, length, lines of each chunk that is to go."""
     texts = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")).alias("key"), F.col(text_col).cast("string").alias("text"))
-    chunks = texts.select("key", F.explode(chunk_column("text")).alias("c")).select("key", "c.*")
+    chunks = texts.mapInArrow(_chunk_rows, f"key {texts.schema['key'].dataType.simpleString()}, start int, length int, lines int, hash long")
     chunks = stored(chunks, "chunks")
     again = stored(chunks.groupBy("hash").count().where("count > 1").select("hash"), "repeated")
     spots = stored(chunks.join(broadcast_if_small(again), "hash"), "spots")
