@@ -6,6 +6,13 @@ it is read as its sentences and is bounded on both sides. Chunks of at least two
 sentence of LONG words, whose hash occurs more than once in all documents are compared byte for byte; of equal ones the first, by (doc_id, text hash,
 position), stays and the others are removed.
 
+Chunks alone miss what lies beside their boundaries, so `passage_dedup` also looks up windows: a unit is a line or a sentence of a
+line, and from each unit the shortest window of at least LONG words is taken to the right and to the left. Any repeated run
+of units with LONG words or more is a union of such windows, wherever it begins and ends, so none is missed. Windows and chunks with the
+same first place and the same distance to it are merged to spans, whose bytes are compared with the first place's. A window
+that overlaps its own first place removes only what lies beyond that. Words are separated by any white space; white space around a
+passage is not compared. `line_dedup` is the form with chunks only.
+
 Only chunk positions and hashes are shuffled for the count, with counts made before the shuffle; texts of repeated chunks alone are
 gathered for the comparison, which again is a count made before the shuffle, so a passage in a third of all documents is one row
 from each task.
@@ -20,10 +27,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +40,11 @@ from echotrace.llm._common import broadcast_if_small, stored
 WINDOW, MODULUS, LONG, MIN_WORDS, MIN_LINES = 2, 2, 50, 12, 2
 _SENTENCE = re.compile(r"(?<=[.!?]) ")
 _MASK = (1 << 64) - 1
+_WHITE = " \t\n\r\f\v"
+_UNIT_END = re.compile(r"\n[ \t\n\r\f\v]*|(?<=[.!?])[ \t]+")
+#: An odd base of the windows' polynomial hash modulo 2^64, and its inverse.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def units_of(text: str) -> list[tuple[int, int, int]]:
@@ -141,3 +154,153 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     out = rows.join(broadcast_if_small(cut, weight=96 + 24 * F.size("spans")), "key", "left").withColumn("clean", F.when(F.col("spans").isNull(), F.col("text")).otherwise(_without("text", "spans")))
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return out.select(F.col("key.doc_id").alias("doc_id"), F.col("clean").alias("text"), F.length("text").cast("long").alias("n_chars"), count(F.when(F.col("spans").isNotNull(), F.size("spans"))).alias("removed_chunks"), count(F.col("removed_lines")).alias("removed_lines"), count(F.col("removed_chars")).alias("removed_chars"))
+
+
+def _units(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """Text, start, end, words, hash and hash with the white space after it, of each line or sentence of each text."""
+    digest, gaps = xxhash.xxh64_intdigest, {}
+    owner, starts, ends, words, hashes, joined = [], [], [], [], [], []
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        at, first = 0, len(starts)
+        for end, after in [*(m.span() for m in _UNIT_END.finditer(text)), (len(text), len(text))]:
+            piece = text[at:end]
+            if bare := piece.strip(_WHITE):
+                if len(starts) > first:
+                    at += len(piece) - len(piece.lstrip(_WHITE))
+                    gap = text[ends[-1] : at]
+                    if gap not in gaps:
+                        if len(gaps) > 10_000:
+                            gaps.clear()
+                        gaps[gap] = digest(gap)
+                    joined.append((hashes[-1] * _BASE + gaps[gap]) & _MASK)
+                else:
+                    at += len(piece) - len(piece.lstrip(_WHITE))
+                owner.append(i)
+                starts.append(at)
+                ends.append(at + len(bare))
+                words.append(len(bare.split()))
+                hashes.append(digest(bare.encode("utf-8", "surrogatepass")))
+            at = after
+        if len(starts) > first:
+            joined.append(0)  # no window goes beyond the text
+    return (*(np.array(x, dtype=np.int64) for x in (owner, starts, ends, words)), *(np.array(x, dtype=np.uint64) for x in (hashes, joined)))
+
+
+def windows_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start, length and hash of the shortest windows of LONG words from each unit to both sides."""
+    owner, starts, ends, words, hashes, joined = _units(texts)
+    n = len(owner)
+    if not n:
+        return owner, starts, ends, hashes.view(np.int64)
+    total = np.concatenate([[0], np.cumsum(words)])
+    unit = np.arange(n)
+    last = np.searchsorted(total, total[:-1] + LONG, "left") - 1
+    fits = last < n
+    right = np.stack([unit[fits], last[fits]])
+    first = np.searchsorted(total, total[1:] - LONG, "right") - 1
+    # Those that are the shortest to the right as well are there already.
+    fits = first >= 0
+    fits[fits] = total[unit[fits]] - total[first[fits]] >= LONG
+    left = np.stack([first[fits], unit[fits]])
+    a, b = np.concatenate([right, left], axis=1)
+    inside = owner[a] == owner[b]
+    a, b = a[inside], b[inside]
+    power, inverse = np.full(n, _BASE, dtype=np.uint64), np.full(n, _INVERSE, dtype=np.uint64)
+    power[0] = inverse[0] = 1
+    power, inverse = np.cumprod(power), np.cumprod(inverse)
+    before = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(joined * power)])
+    h = (before[b] - before[a]) * inverse[a] + hashes[b] * power[b - a]
+    h ^= h >> np.uint64(32)
+    return owner[a], starts[a], ends[b] - starts[a], h.view(np.int64)
+
+
+def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, start, length and hash of each window and of each chunk that counts, without white space around it."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 200):
+            part = batch.slice(a, 200)
+            texts = part.column("text").to_pylist()
+            columns = windows_of(texts)
+            chunks = []
+            for i, text in enumerate(texts):
+                for s, n, k, h in chunks_of(text):
+                    if counts(k, text.count(" ", s, s + n) + 1) and (bare := text[s : s + n].strip(_WHITE)):
+                        chunks.append((i, s + text[s : s + n].index(bare), len(bare), h))
+            extra = np.array(chunks, dtype=np.int64).reshape(-1, 4).T
+            owner, start, length, h = (np.concatenate([x, y]) for x, y in zip(columns, extra, strict=True))
+            arrays = [part.column("key").take(pa.array(owner)), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(h)]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "start", "length", "hash"])
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key (doc_id, text hash), start, length of each span that is to go; spans may overlap."""
+    texts = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")).alias("key"), F.col(text_col).cast("string").alias("text"))
+    spans = stored(texts.mapInArrow(_span_rows, f"key {texts.schema['key'].dataType.simpleString()}, start int, length int, hash long"), "windows")
+    again = stored(spans.groupBy("hash").count().where("count > 1").select("hash"), "repeated")
+    spots = stored(spans.join(broadcast_if_small(again), "hash"), "spots")
+    firsts = stored(spots.groupBy("hash").agg(F.min(F.struct("key", "start")).alias("first")), "firsts")
+    copies = spots.join(broadcast_if_small(firsts, weight=F.lit(64)), "hash").where("NOT (key <=> first.key AND start = first.start)").drop("hash").distinct()
+    # A null id is equal to itself.
+    close = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("start") < F.col("first.start") + F.col("length"))
+    copies = copies.select("key", "start", "length", "first", F.when(close, F.col("first.start") + F.col("length")).otherwise(F.col("start")).alias("cut"), close.alias("close"))
+    # Islands of overlapping spans at one distance from the first place; a document's own rows only.
+    at = Window.partitionBy("key", "first.key", F.col("start") - F.col("first.start"), "close").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("key", "first.key", F.col("start") - F.col("first.start"), "close").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, 0)
+    marked = copies.withColumn("new", F.when(F.col("close") | (F.col("start") > F.coalesce(F.max(F.col("start") + F.col("length")).over(at), F.lit(-1))), 1).otherwise(0))
+    marked = marked.withColumn("island", F.sum("new").over(upto)).withColumn("origin", F.col("first.key")).withColumn("distance", F.col("start") - F.col("first.start"))
+    merged = marked.groupBy("key", "origin", "distance", "close", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.min("cut").alias("cut"))
+    merged = merged.select("key", "start", (F.col("end") - F.col("start")).alias("length"), "cut", "origin", (F.col("start") - F.col("distance")).alias("from"))
+    merged = stored(merged, "merged")
+    # Bytes: the text of copies and of the first places only.
+    both = merged.select("key", "start", "length", "origin", "from").union(merged.select(F.col("origin").alias("key"), F.col("from").alias("start"), "length", "origin", "from").distinct())
+    per_text = stored(both.groupBy("key").agg(F.collect_set(F.struct("start", "length", "origin", "from")).alias("all")), "wanted")
+    pieces = texts.join(broadcast_if_small(per_text, weight=64 + 48 * F.size("all")), "key").select("key", "text", F.explode("all").alias("c"))
+    pieces = stored(pieces.select("key", "c.*", F.substring(F.col("text"), F.col("c.start") + 1, F.col("c.length")).alias("body")), "pieces")
+    same = ["origin", "from", "length"]
+    stays = pieces.groupBy(*same, "body").agg(F.min(F.struct("key", "start")).alias("first")).select(*same, "first.*")
+    gone = merged.join(stays, ["key", "start", *same], "left_anti")
+    return gone.select("key", F.col("cut").alias("start"), (F.col("start") + F.col("length") - F.col("cut")).cast("int").alias("length")).distinct()
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), *(T.StructField(x, T.LongType()) for x in ("chunks", "lines", "chars"))]))
+def _cut_out(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    """The text without the spans, and how many spans (after merging), lines or parts of lines, and characters are gone."""
+    out = []
+    for t, cut in zip(text, spans, strict=True):
+        if t is None or cut is None:
+            out.append((t, 0, 0, 0))
+            continue
+        merged: list[list[int]] = []
+        for s, n in sorted((x["start"], x["length"]) for x in cut):
+            e = s + n
+            # White space after the span goes with it, but for the next line's indentation; before it, its own line's.
+            after = e
+            while after < len(t) and t[after] in _WHITE:
+                after += 1
+            e = t.rfind("\n", e, after) + 1 or after
+            begin = s
+            while begin and t[begin - 1] in " \t":
+                begin -= 1
+            if begin == 0 or t[begin - 1] == "\n":
+                s = begin
+            if merged and s <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e])
+        at, kept, lines = 0, [], 0
+        for s, e in merged:
+            kept.append(t[at:s])
+            lines += t.count("\n", s, e) + (t[e - 1] != "\n")
+            at = e
+        out.append(("".join([*kept, t[at:]]), len(merged), lines, sum(e - s for s, e in merged)))
+    return pd.DataFrame(out, columns=["text", "chunks", "lines", "chars"])
+
+
+def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of line_dedup, without any repeated passage of LONG words or more."""
+    cut = stored(repeated_spans(docs, id_col, text_col).groupBy("key").agg(F.collect_list(F.struct("start", "length")).alias("spans")), "cut")
+    rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")).alias("key"), F.col(text_col).cast("string").alias("text"))
+    out = rows.join(broadcast_if_small(cut, weight=96 + 24 * F.size("spans")), "key", "left").withColumn("c", _cut_out("text", "spans"))
+    return out.select(F.col("key.doc_id").alias("doc_id"), F.col("c.text").alias("text"), F.length("text").cast("long").alias("n_chars"), F.col("c.chunks").alias("removed_chunks"), F.col("c.lines").alias("removed_lines"), F.col("c.chars").alias("removed_chars"))

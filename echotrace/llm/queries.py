@@ -40,7 +40,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(documents(spark, sf_dir))
+    return line_dedup.passage_dedup(documents(spark, sf_dir))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,3 +195,40 @@ def test_line_dedup(spark, edge_docs, edge_rows):
     assert sum(paragraph in (t or "") for _, t, _ in got) == 1
     assert line_dedup.line_dedup(edge_docs).count() == len(edge_rows)
     assert line_dedup.line_dedup(edge_docs.limit(0)).count() == 0
+
+
+def _passage_rows(rnd, passage, joint, copies=6):
+    """The passage between unlike lines (joint a line break) or inside one long line (a space)."""
+    other = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(8)) + "."
+    return [joint.join([other(), other(), other(), passage, other(), other(), other()]) for _ in range(copies)]
+
+
+def test_passages_are_found_wherever_they_begin_and_end(spark):
+    rnd, rows, passages = random.Random(8), [], []
+    unit = lambda n: " ".join(f"p{rnd.randrange(10**6)}" for _ in range(n)) + "."
+    for sizes in [(55,), (20, 20, 20), (15, 15, 15, 15), (11,) * 5, (10,) * 6, (60, 5), (5, 60), (49, 1)]:
+        for joint in "\n ":
+            passages.append(joint.join(map(unit, sizes)))
+            rows += [(len(rows) + i, t) for i, t in enumerate(_passage_rows(rnd, passages[-1], joint))]
+    short = unit(30)
+    rows += [(len(rows) + i, t) for i, t in enumerate(_passage_rows(rnd, short, "\n"))]
+    found = {r["doc_id"]: r for r in line_dedup.passage_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    whole = dict(rows)
+    for k, p in enumerate(passages):
+        assert found[6 * k]["text"] == whole[6 * k]
+        for i in range(6 * k + 1, 6 * k + 6):
+            s = whole[i].index(p)
+            assert found[i]["text"] == whole[i][:s] + whole[i][s + len(p) + 1 :] and found[i]["removed_chunks"] == 1
+    assert all(found[i]["text"] == t for i, t in rows[-6:])  # under 50 words: stays
+
+
+def test_passages_of_edge_rows(spark, edge_docs, edge_rows):
+    got = line_dedup.passage_dedup(edge_docs).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in edge_rows)
+    assert all(len(r["text"] or "") + r["removed_chars"] == (r["n_chars"] or 0) for r in got)
+    base = dict(edge_rows)[0]
+    assert all(r["text"] == (base if r["doc_id"] == 0 else "") for r in got if r["doc_id"] in (0, 20, 21))
+    assert line_dedup.passage_dedup(edge_docs.limit(0)).count() == 0
+    loop = "\n".join(["same words"] * 500)
+    one = line_dedup.passage_dedup(spark.createDataFrame([(1, loop)], "doc_id long, text string")).collect()[0]
+    assert one["text"].split() == ["same", "words"] * 25
