@@ -55,6 +55,17 @@ SENTENCES = {
     "spdx-apache": "spdx license identifier apache 2 0",
     "spdx-gpl3": "spdx license identifier gpl 3 0 only",
     "spdx-bsd3": "spdx license identifier bsd 3 clause",
+    # The parts that the cuts make of a notice with a semicolon, a colon or "v." inside.
+    "gpl-free": "this program is free software",
+    "gpl-redistribute-3": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl-redistribute-2": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl-redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl-head": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl-either-3": "either version 3 of the license or at your option any later version",
+    "gpl-either-2": "either version 2 of the license or at your option any later version",
+    "gpl-hope-any": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-hope-even": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "mpl-v": "this source code form is subject to the terms of the mozilla public license v",
 }
 
 
@@ -65,6 +76,9 @@ class Rule:
     gap: int = 0
 
 
+#: The forms of the GPL's two sentences by the signs inside them.
+_GRANTS = {v: [(f"gpl-grant-{v}",), ("gpl-free", f"gpl-redistribute-{v}"), ("gpl-free", "gpl-redistribute", f"gpl-either-{v}"), ("gpl-head", f"gpl-either-{v}")] for v in (2, 3)}
+_HOPES = [("gpl-hope",), ("gpl-hope-any", "gpl-hope-even")]
 #: Licence rules. A longer rule stands for the same licence as its short forms.
 RULES = [
     Rule("Apache-2.0", ("apache-line",)),
@@ -79,9 +93,9 @@ RULES = [
     Rule("MIT", ("mit-title-the", "mit-grant"), 3),
     Rule("MIT", ("mit-grant", "mit-notice", "mit-disclaim"), 1),
     Rule("GPL-3.0", ("gpl3-line",)),
-    Rule("GPL-3.0", ("gpl-grant-3", "gpl-hope"), 2),
+    *(Rule("GPL-3.0", (*grant, *hope), 2) for grant in _GRANTS[3] for hope in _HOPES),
     Rule("GPL-3.0", ("spdx-gpl3",)),
-    Rule("GPL-2.0", ("gpl-grant-2", "gpl-hope"), 2),
+    *(Rule("GPL-2.0", (*grant, *hope), 2) for grant in _GRANTS[2] for hope in _HOPES),
     Rule("BSD-2-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary"), 4),
     Rule("BSD-3-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"), 4),
     Rule("BSD-3-Clause", ("spdx-bsd3",)),
@@ -91,6 +105,7 @@ RULES = [
     Rule("CC-BY-SA-4.0", ("cc-by-sa",)),
     Rule("CC0-1.0", ("cc0",)),
     Rule("MPL-2.0", ("mpl",)),
+    Rule("MPL-2.0", ("mpl-v",)),  # no other version has this wording
     Rule("all-rights-reserved", ("all-rights",)),
 ]
 #: A more specific licence hides those that its text also matches.

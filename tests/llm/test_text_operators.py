@@ -2,6 +2,7 @@
 
 import os
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -187,6 +188,20 @@ def plain_kernel(s, u):
     return k(s, u) / (k(s, s) * k(u, u)) ** 0.5
 
 
+def test_standard_notices_by_their_cut_parts(spark):
+    gpl = (
+        "This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{1} either version {2} of the License, or (at your option) any later version."
+        "\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    )
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    notices = [(gpl.format(a, b, v), [f"GPL-{v}.0"]) for v in (2, 3) for a in ";:," for b in ";,"] + [(mpl, ["MPL-2.0"])]
+    wrap = lambda text, mark: "\n\n".join("\n".join(mark + line for line in textwrap.wrap(p, 70)) for p in text.split("\n\n"))
+    rows = [(i, form, want) for i, (text, want) in enumerate((t, w) for t, w in notices) for form in (text, wrap(text, ""), wrap(text, " * "), "Some words before.\n\n" + text + "\nSome words after.")]
+    rows.append((99, gpl.format(";", ";", 2).split("\n\n")[0], []))
+    found = license_scan.license_scan(spark.createDataFrame([(k, t) for k, (_, t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["licenses"] for r in found} == {k: want for k, (_, _, want) in enumerate(rows)}
+
+
 def test_string_kernel():
     marks = ["^idiot$", "^lowei"]
     strings = ["^idiot$", "^idixot$", "^loweient$", "^abcd$", "^iidiioott$"]
