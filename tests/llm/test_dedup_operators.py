@@ -232,3 +232,18 @@ def test_passages_of_edge_rows(spark, edge_docs, edge_rows):
     loop = "\n".join(["same words"] * 500)
     one = line_dedup.passage_dedup(spark.createDataFrame([(1, loop)], "doc_id long, text string")).collect()[0]
     assert one["text"].split() == ["same", "words"] * 25
+
+
+def test_short_lines_and_ends_of_paragraphs_are_part_of_a_passage(spark):
+    rnd, rows, passages = random.Random(9), [], []
+    word = lambda: f"q{rnd.randrange(10**6)}"
+    passages += ["\n".join(word() for _ in range(60)), "\n".join(f"{word()} {word()}" for _ in range(30)), "\t".join(word() for _ in range(60))]
+    passages += [" ".join(" ".join(word() for _ in range(n)) + "." for n in sizes) for sizes in ((30, 20, 9), (52, 3), (18, 18, 18, 4), (20, 20, 20, 20, 7))]
+    for p in passages:
+        rows += [(len(rows) + i, t) for i, t in enumerate(_passage_rows(rnd, p, "\n", 3))]
+    list_of_few = "\n".join(word() for _ in range(11))
+    rows += [(len(rows) + i, t) for i, t in enumerate(_passage_rows(rnd, list_of_few, "\n", 3))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.passage_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    for i, t in rows:
+        p = [*passages, list_of_few][i // 3]
+        assert got[i] == (t if i % 3 == 0 or p == list_of_few else t.replace(p + "\n", ""))
