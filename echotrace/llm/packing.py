@@ -8,8 +8,9 @@ for each partition is padding.
 Ids are made once, after the sort; only texts and keys are shuffled. The hash of the id spreads documents with one key, such
 as copies of one text, over partitions.
 
-Defined results: null text counts as empty and is one piece with the end id only; null ids are kept; repeated rows are packed
-each; an empty table gives an empty result; other columns are ignored.
+Defined results: null text counts as empty and is one piece with the end id only; null ids are kept beside ids of any size, as
+they cross to Python as Arrow values; strings of special tokens become their ids; repeated rows are packed each; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,32 +90,41 @@ def curve_key(dimensions: int = DIMENSIONS, bits: int = BITS):
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Documents that are Python objects at a time.
+_SLICE = 500
 
 
 def _packer(tokenizer: str, keeps_space: bool, length: int, end: int, with_ids: bool):
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids
+
+    def cut(doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray, first: int, at: int) -> pa.RecordBatch:
+        """Pieces of documents whose ids fill the partition's stream from place `at` on."""
+        edges = at + np.concatenate(([0], np.cumsum(counts)))
+        borders = np.arange(at // length + 1, (edges[-1] - 1) // length + 1) * length
+        cuts = np.union1d(edges, borders)
+        begin, n = cuts[:-1], np.diff(cuts)
+        owner = np.searchsorted(edges, begin, "right") - 1
+        raw = memoryview(ids.astype("<u4")).cast("B")
+        spans = list(zip((4 * (begin - at)).tolist(), (4 * (begin - at + n)).tolist(), strict=True))
+        crcs = np.fromiter((zlib.crc32(raw[a:b]) for a, b in spans), dtype=np.int64, count=len(spans))
+        columns = [doc_ids.take(pa.array(owner)), begin - edges[owner], n, crcs, counts[owner], first + begin // length, begin % length]
+        arrays = [x if isinstance(x, pa.Array) else pa.array(x.astype(np.int64)) for x in columns]
+        if with_ids:
+            starts = np.append(begin, cuts[-1]) - at
+            arrays.append(pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32))))
+        return pa.RecordBatch.from_arrays(arrays, names)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, keeps_space).encode
         first, at = TaskContext.get().partitionId() << 33, 0
         for batch in batches:
-            texts, doc_ids = batch["text"].tolist(), batch["doc_id"].tolist()
-            for a, b in groups(texts):
-                ids, counts = encode(texts[a:b], end)
-                ids, rows, begin = ids.astype("<u4"), [], 0
-                raw = memoryview(ids).cast("B")
-                for doc_id, n in zip(doc_ids[a:b], counts.tolist(), strict=True):
-                    start = 0
-                    while start < n:
-                        take = min(n - start, length - at % length)
-                        lo = begin + start
-                        row = (doc_id, start, take, zlib.crc32(raw[4 * lo : 4 * (lo + take)]), n, first + at // length, at % length)
-                        rows.append((*row, ids[lo : lo + take].tolist()) if with_ids else row)
-                        at += take
-                        start += take
-                    begin += n
-                names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids
-                out = pd.DataFrame(rows, columns=names)
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+            for lo in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(lo, _SLICE)
+                texts = part.column("text").to_pylist()
+                for a, b in groups(texts):
+                    ids, counts = encode(texts[a:b], end)
+                    yield cut(part.column("doc_id").slice(a, b - a), ids, counts, first, at)
+                    at += len(ids)
 
     return pack
 
@@ -124,4 +135,4 @@ def pack(docs: DataFrame, tokenizer: str, keeps_space: bool = True, length: int
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     keyed = rows.withColumn("key", curve_key()(F.col("text"))).withColumn("tie", F.xxhash64("doc_id"))
     ranged = keyed.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "doc_id").select("doc_id", "text")
-    return ranged.mapInPandas(_packer(tokenizer, keeps_space, length, end, with_ids), PIECES + ", ids array<int>" * with_ids)
+    return ranged.mapInArrow(_packer(tokenizer, keeps_space, length, end, with_ids), PIECES + ", ids array<int>" * with_ids)
