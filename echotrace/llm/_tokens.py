@@ -26,12 +26,15 @@ _MARK = "\x01"
 
 
 class WordEncoder:
-    def __init__(self, path: str, keeps_space: bool):
+    def __init__(self, path: str, keeps_space: bool, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and not (special_as_text and t.special)]
+        # Case doesn't matter, as added tokens may be looked for in the normalised text; a text too many only costs time.
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.keeps_space = keeps_space
         self.width = self.tokenizer.get_vocab_size()
         # Ids with which a piece begins (the space is part of it), or the id of the mark between two pieces.
@@ -45,6 +48,8 @@ class WordEncoder:
         self.start, self.length, self.seen = (np.zeros(0, dtype=np.int64) for _ in range(3))
 
     def pieces(self, text: str) -> list[str]:
+        if self.added and self.added.search(text):
+            return [text]
         if not self.keeps_space:
             return text.replace("\n", " ").split(" ")
         parts = _CUT.split(text) if _DOUBLED.search(text) else text.split(" ")
@@ -64,6 +69,8 @@ class WordEncoder:
         return np.array([i for ids in found for i in ids], dtype=np.uint32), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
 
     def _may_join(self, piece: str) -> bool:
+        if self.added and self.added.search(piece):
+            return False
         if not self.keeps_space:
             return _MARK not in piece
         word = piece[1:]
@@ -132,12 +139,13 @@ class WordEncoder:
         return ids, np.diff(ends, prepend=0) + 1
 
 
-def encoder(path: str, keeps_space: bool) -> WordEncoder:
+def encoder(path: str, keeps_space: bool, special_as_text: bool = False) -> WordEncoder:
     """The worker's encoder for a tokenizer file."""
     cache = process_cache("encoders")
-    if path not in cache:
-        cache[path] = WordEncoder(path, keeps_space)
-    return cache[path]
+    key = (path, special_as_text)
+    if key not in cache:
+        cache[key] = WordEncoder(path, keeps_space, special_as_text)
+    return cache[key]
 
 
 def groups(texts: list, characters: int = 1 << 20):

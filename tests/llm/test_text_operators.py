@@ -24,7 +24,6 @@ def library_ids(path, texts, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [e.ids + [end] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -36,6 +35,7 @@ def crc(ids):
 def test_word_encoder_gives_the_library_ids(path, keeps_space, monkeypatch):
     rnd = random.Random(1)
     texts = ["", " ", "  a  b", " a", "a ", "a\n b", "x\n\ny  z", "<|endoftext|> hi", "don't 's", "é́ é", "a\tb\t c", "a　b", "\x1c a\x1cb", "日本語 x", "a\r\nb", "a \x01 b"]
+    texts += ["x <|endoftext|> y", "x<|endoftext|>y", "<|startoftext|>", " <|endoftext|>", "X <|ENDOFTEXT|> y", "a<|endoftext|><|endoftext|> b  c"]
     texts += ["".join(rnd.choice("ab 's'\n\t 1,.é́\x01") for _ in range(rnd.randint(0, 30))) for _ in range(500)]
     encoder = _tokens.WordEncoder(path, keeps_space)
     want = library_ids(path, texts, 7)
@@ -59,14 +59,63 @@ def test_token_store(spark, edge_docs, edge_rows, tmp_path):
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows) == want
     absent = spark.createDataFrame([(i, 0) for i in range(1000, 3000)], "doc_id long, number long")
     assert token_store.lookup(absent, path).where("shard >= 0").count() == 0
+    with pytest.raises(Exception, match="aren't in"):
+        token_store.read_documents(absent, path, strict=True).collect()
     assert token_store.store_digest(spark, edge_docs.limit(0), f"file://{tmp_path}/none", WORDS, False).count() == 0
 
 
+LARGE = [(2**53 + 1, "one more than a float holds"), (None, "no id"), (2**53 + 3, "x <|endoftext|> y"), (-(2**62) - 1, "far below"), (2**63 - 1, None), (None, "")]
+
+
+def test_large_ids_beside_null_ids_and_special_tokens(spark, tmp_path):
+    df = spark.createDataFrame(LARGE, "doc_id long, text string").coalesce(1)
+    rows = token_store.store_digest(spark, df, f"file://{tmp_path}/large", WORDS, False).collect()
+    want = Counter((i, len(x), crc(x)) for (i, _), x in zip(LARGE, library_ids(WORDS, [t for _, t in LARGE], 2), strict=True))
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows) == want
+    packed = packing.pack(df, BYTES).collect()
+    check_packed(packed, [(i, x) for (i, _), x in zip(LARGE, library_ids(BYTES, [t for _, t in LARGE], 0), strict=True)])
+
+
+def test_single_documents_are_read_with_few_bytes(spark, tmp_path, monkeypatch):
+    texts = [(i, f"text number {i} " * (1 + i % 5)) for i in range(3000)] + [(7, "again")]
+    path, read = f"file://{tmp_path}/keyed", []
+    token_store.write_store(spark.createDataFrame(texts, "doc_id long, text string"), path, WORDS, False, shard_bytes=4096)
+    assert len(list((tmp_path / "keyed").glob("shard-*.ids"))) > 10 and max(f.stat().st_size for f in (tmp_path / "keyed").glob("shard-*.ids")) < 4096 + 200
+    store = token_store.Store(path)
+    real = token_store.file_system
+
+    class Counted:
+        def __init__(self, f):
+            self.f, self.seek = f, f.seek
+
+        def read(self, n):
+            read.append(n)
+            return self.f.read(n)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+    class System:
+        def __init__(self, system):
+            self.get_file_info, self.open_input_file = system.get_file_info, lambda at: Counted(system.open_input_file(at))
+
+    monkeypatch.setattr(token_store, "file_system", lambda p: (System(real(p)[0]), real(p)[1]))
+    want = library_ids(WORDS, [t for _, t in texts], 2)
+    for i in (0, 1, 8, 1499, 2999):
+        read.clear()
+        assert store.get(i).tolist() == want[i] and sum(read) < 600 + 2 * len(want[i])
+    assert sorted(store.get(7, k).tolist() for k in (0, 1)) == sorted([want[7], want[3000]])
+    assert store.get(7, 2) is None and store.get(None) is None and store.get(99999) is None
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 1000):
         k1, k2 = (rng.integers(0, 2**63, n, dtype=np.uint64) for _ in range(2))
-        table, _ = token_store.PerfectHash.from_bytes(b"".join(token_store.PerfectHash.build(k1, k2).to_bytes()), 0)
+        table, _ = token_store.PerfectHash.from_bytes(b"".join(token_store.PerfectHash.build(k1, k2).to_bytes(n)))
         assert sorted(table.values(k1, k2).tolist()) == list(range(n))
 
 
