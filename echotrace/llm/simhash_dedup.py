@@ -1,13 +1,17 @@
 """SimHash near-dedup by a byte-position inverted index with count filtering.
 
 Fingerprints (64 bits, 8 bytes) that differ in at most RADIUS = 4 bits differ in at most 4 bytes, so a linked pair shares at
-least 4 of the 8 positional bytes: the guaranteed minimum. Lists of a single positional byte would hold 1/256 of all
-fingerprints each, so the index is kept over triples of positional bytes instead: of any 7 positions a linked pair shares
-at least 3, hence one of the C(7,3) = 35 triples of the first seven positions. Members of a list are tallied pair by pair over
-all 8 positions, pairs below the minimum go, and the rest are verified by their Hamming distance. Fingerprints are made
-distinct first, so copies never make pairs. A list of more than BLOCK fingerprints is cut into blocks and every pair
-of blocks becomes a cell of its own, so no task holds more than two blocks and no pair is lost. A cell returns a spanning forest of
-its links instead of the links, which leaves reachability as it is.
+least 4 of the 8 positional bytes: the guaranteed minimum. The index has a list of fingerprints for each byte value at each
+of the first five positions: of any five positions a linked pair shares one at least, so it meets in a list. The members of a list are
+indexed by all their positional bytes again, each such entry gives its pairs one count, and counts are added up pair by pair;
+pairs that reach the minimum are retained and verified by their Hamming distance. Fingerprints are made distinct first, so copies never make pairs.
+
+A list holds 1/256 of all fingerprints, and pairs in it grow with its square. So from BLOCK * 256 fingerprints on, a list
+stands for two positional bytes (of the first six positions a linked pair shares two), later for three or four: lists stay about
+as long whatever the input, and counts, minimum and verification are the same. A list of more than BLOCK fingerprints
+is cut into blocks before any of it moves, and every pair of blocks becomes a cell of its own, so no task holds more than two blocks and no
+pair is lost. Where very many pairs share entries, the counts of one fingerprint with all not yet reached are made at
+once instead. A cell returns a star for each of its connected groups instead of all links, which leaves reachability as it is.
 
 Fingerprint: A-Z lower-cased, words [^\\x20\\x09-\\x0D]+, shingles of 4 words joined by a space, repeats included (fewer words:
 the whole sequence; none: fingerprint 0); a bit is 1 if set in over half of the shingles' XXH64 (seed 42).
@@ -24,16 +28,21 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echotrace.llm._common import stored
+from echotrace.llm._common import broadcast_if_small, stored
 from echotrace.llm.components import components
 
 SHINGLE, SEED, RADIUS, BYTES = 4, 42, 4, 8
 BLOCK = 4096
+#: Least number of positional bytes that a linked pair shares.
+SHARED = BYTES - RADIUS
+#: Pairs whose counts are added up at once.
+_PAIRS = 4_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PART = 1 << 15
 
@@ -66,72 +75,128 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def tally(x: np.ndarray) -> np.ndarray:
-    """How many of the 8 bytes of each xor of two fingerprints are zero."""
-    x = x | (x >> np.uint64(4))
-    x = x | (x >> np.uint64(2))
-    x = x | (x >> np.uint64(1))
-    return BYTES - np.bitwise_count(x & np.uint64(0x0101010101010101))
-
-
-def forest(fps: np.ndarray) -> list[tuple[int, int]]:
-    """Index pairs of a spanning forest of the links among distinct fingerprints (unsigned)."""
-    left, edges = np.arange(len(fps)), []
+def _entry_pairs(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places with the same entry."""
+    order = np.argsort(entry, kind="stable")
+    sorted_entry = entry[order]
+    first = np.flatnonzero(np.append(True, sorted_entry[1:] != sorted_entry[:-1]))
+    size = np.diff(np.append(first, len(entry)))
+    begin = np.repeat(first, size)
+    before = np.arange(len(entry)) - begin
+    later = np.repeat(np.arange(len(entry)), before)
+    earlier = np.repeat(begin, before) + np.arange(len(later)) - np.repeat(np.cumsum(before) - before, before)
+    return order[later], order[earlier]
+
+
+def counted_links(fps: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each two fingerprints of one cell that share SHARED positional bytes by count and are linked."""
+    parts, n = [np.zeros(0, dtype=np.int64)], len(fps)
+    octets = fps.view(np.uint8).reshape(-1, BYTES).astype(np.int64)
+    for position in range(BYTES):
+        i, j = _entry_pairs(cell * 256 + octets[:, position])
+        parts.append(np.minimum(i, j) * n + np.maximum(i, j))
+    pairs, shared = np.unique(np.concatenate(parts), return_counts=True)
+    i, j = np.divmod(pairs[shared >= SHARED], n)
+    linked = np.bitwise_count(fps[i] ^ fps[j]) <= RADIUS
+    return i[linked], j[linked]
+
+
+def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest place reachable from each of n places over the links i, j."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], least)
+        np.minimum.at(new, root[j], least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def crowded_stars(fps: np.ndarray) -> np.ndarray:
+    """The same for one cell, counting from one fingerprint to all that aren't reached yet."""
+    octets = fps.view(np.uint8).reshape(-1, BYTES)
+    root, left = np.arange(len(fps)), np.arange(len(fps))
     while len(left):
-        reached, left = [int(left[0])], left[1:]
+        start, left = left[0], left[1:]
+        reached = [start]
         while reached and len(left):
             at = reached.pop()
-            x = fps[left] ^ fps[at]
-            hit = tally(x) >= BYTES - RADIUS
-            hit &= np.bitwise_count(x) <= RADIUS
-            new = left[hit].tolist()
-            edges += [(at, i) for i in new]
-            reached += new
+            shared = (octets[left] == octets[at]).sum(axis=1)
+            hit = shared >= SHARED
+            hit[hit] = np.bitwise_count(fps[left[hit]] ^ fps[at]) <= RADIUS
+            root[left[hit]] = start
+            reached += left[hit].tolist()
             left = left[~hit]
-    return edges
+    return root
 
 
-def _cell_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by cell (key, lo, hi); a cell may reach over batches."""
-    rest = None
+    rest = np.zeros((4, 0), dtype=np.int64)
     for batch in batches:
-        if rest is not None:
-            batch = pd.concat([rest, batch], ignore_index=True)
-        cells = batch[["key", "lo", "hi"]].to_numpy()
-        cuts = np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1
+        rows = np.concatenate([rest, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "lo", "hi", "fp")])], axis=1)
+        cuts = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
         last = int(cuts[-1]) if len(cuts) else 0
-        rest = batch.iloc[last:]
-        yield from _links_of(batch["fp"].to_numpy()[:last], np.concatenate(([0], cuts)))
-    if rest is not None:
-        yield from _links_of(rest["fp"].to_numpy(), np.array([0, len(rest)]))
-
-
-def _links_of(fp: np.ndarray, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
-    found: list[tuple[int, int]] = []
-    fps = fp.view(np.uint64)
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if b - a > 1:
-            found += [(fp[a + i], fp[a + j]) for i, j in forest(fps[a:b])]
-    if found:
-        yield pd.DataFrame(found, columns=["u", "v"])
-
-
-def _keys(fp: Column) -> Column:
-    """One long for each triple of the first seven positions: which triple, and its three bytes."""
+        rest = rows[:, last:]
+        yield from _links_of(rows[3, :last], np.append(0, cuts))
+    yield from _links_of(rest[3], np.array([0, rest.shape[1]]))
+
+
+def _links_of(signed: np.ndarray, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """u, v: stars of the cells between the cuts; as many cells at a time as _PAIRS allows."""
+    if not len(signed):
+        return
+    fps, sizes = np.ascontiguousarray(signed).view(np.uint64), np.diff(cuts)
+    cell = np.repeat(np.arange(len(sizes)), sizes)
+    octets, weight = fps.view(np.uint8).reshape(-1, BYTES), np.zeros(len(sizes), dtype=np.int64)
+    for position in range(BYTES):
+        entry, n = np.unique(cell * 256 + octets[:, position], return_counts=True)
+        weight += np.bincount(entry // 256, n * (n - 1) // 2, minlength=len(sizes)).astype(np.int64)
+    at = 0
+    while at < len(sizes):
+        a, upto = cuts[at], at + max(1, int(np.searchsorted(np.cumsum(weight[at:]), _PAIRS, "right")))
+        part = fps[a : cuts[upto]]
+        if weight[at] > _PAIRS:
+            root = crowded_stars(part)
+        else:
+            root = stars(len(part), *counted_links(part, cell[a : cuts[upto]] - at))
+        node = np.flatnonzero(root != np.arange(len(part)))
+        if len(node):
+            yield pa.RecordBatch.from_arrays([pa.array(part[x].view(np.int64)) for x in (root[node], node)], ["u", "v"])
+        at = upto
+
+
+def positions_of(n: int, block: int = BLOCK) -> int:
+    """How many positional bytes a list stands for, so that it has about `block` of n fingerprints at most."""
+    return next((k for k in range(1, SHARED) if n <= block * 256**k), SHARED)
+
+
+def _keys(fp: Column, positions: int) -> Column:
+    """One long for each choice of so many of the first RADIUS + positions places: which choice, and its bytes."""
     byte = [F.shiftright(fp, 8 * i).bitwiseAND(255) for i in range(BYTES)]
-    return F.array(*(F.lit(k << 24) + byte[a] * 65536 + byte[b] * 256 + byte[c] for k, (a, b, c) in enumerate(combinations(range(BYTES - 1), 3))))
-
-
-def link_forest(fps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """u, v: enough links (at most RADIUS bits apart) among the distinct fingerprints fp to connect all that are linked."""
-    index = fps.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    sizes = index.groupBy("key").count().where("count > 1")
-    lists = index.join(sizes, "key").withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
+    keys = []
+    for number, choice in enumerate(combinations(range(RADIUS + positions), positions)):
+        key = F.lit(number).cast("long")
+        for place in choice:
+            key = key * 256 + byte[place]
+        keys.append(key)
+    return F.array(*keys)
+
+
+def link_forest(fps: DataFrame, block: int = BLOCK, positions: int | None = None) -> DataFrame:
+    """u, v: enough edges to connect all of the distinct fingerprints fp (stored) that are linked (at most RADIUS bits apart)."""
+    positions = positions or positions_of(fps.count(), block)
+    index = fps.select("fp", F.explode(_keys(F.col("fp"), positions)).alias("key"))
+    long_lists = stored(index.groupBy("key").count().where(F.col("count") > block), "long-lists")
+    lists = index.join(broadcast_if_small(long_lists), "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     lists = lists.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = lists.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
     cells = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return cells.mapInPandas(_cell_links, "u long, v long").distinct()
+    return cells.mapInArrow(_cell_links, "u long, v long").distinct()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
