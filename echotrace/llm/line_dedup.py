@@ -1,247 +1,317 @@
-"""Line dedup by content-defined chunks of lines.
-
-Lines are hashed, and a rolling hash over the last WINDOW line hashes ends a chunk where it falls into one of MODULUS classes, so
-boundaries follow the lines around them and come back soon after an insertion. A line of LONG words or more is a paragraph:
-it is read as its sentences and is bounded on both sides. Chunks of at least two lines and MIN_WORDS words, or of one
-sentence of LONG words, whose hash occurs more than once in all documents are compared byte for byte; of equal ones the first, by (doc_id, text hash,
-position), stays and the others are removed.
-
-Chunks alone miss what lies beside their boundaries, so `passage_dedup` also looks up windows: a unit is a line or a sentence of a
-line, and from each unit the shortest window of at least LONG words is taken to the right and to the left. Any repeated run
-of units with LONG words or more is a union of such windows, wherever it begins and ends, so none is missed. Windows and chunks with the
-same first place and the same distance to it are merged to spans, whose bytes are compared with the first place's. A window
-that overlaps its own first place removes only what lies beyond that. Words are separated by any white space; white space around a
-passage is not compared. `line_dedup` is the form with chunks only.
-
-Only chunk positions and hashes are shuffled for the count, with counts made before the shuffle; texts of repeated chunks alone are
-gathered for the comparison, which again is a count made before the shuffle, so a passage in a third of all documents is one row
-from each task.
+"""Line dedup by content-defined chunks of lines, and passages.
+
+Lines are runs of words between line breaks, without the white space around them; words are separated by ASCII white space.
+A rolling hash over the last WINDOW line hashes marks a line where it falls into one of MODULUS classes, and a chunk ends at
+a marked line that doesn't follow a marked one, so boundaries follow the lines around them, come back soon after an insertion,
+and a chunk has two lines at least (but for the first and last of a text). Chunks of two or more lines that occur more than
+once in all documents are repeated, however short they are.
+
+Chunks alone miss what lies beside their boundaries, so windows are looked up as well: a unit is a line or a sentence of a
+line, and from each unit the shortest window of at least PASSAGE words is taken to the right and to the left. Any repeated run
+of units with PASSAGE words or more is a union of such windows, wherever it begins and ends, so none is missed. Windows and
+chunks with the same first place and the same distance to it are merged to spans, whose bytes are compared with
+the first place's; of equal ones the first, by (doc_id, text hash, position), stays and the others are removed. A span that
+overlaps its own first place removes only what lies beyond that.
+
+The hash of a span is a polynomial of its bytes modulo 2^64, from prefix sums over the whole text, so it costs the same for spans of any length;
+all of it is array arithmetic on Arrow's own buffers. Texts with the same hash as another's are compared as a whole, and only the first goes
+through chunks and windows. Of those, only candidates have their windows looked up: in each window to the right the pair of
+neighbouring units with the smallest hash is its seed (a window of one unit is its own), so texts that share a window share
+its seed, and a text none of whose seeds and chunks occurs twice has nothing to remove. Only positions and hashes are shuffled for the
+counts, with counts made before the shuffle; texts of repeated spans alone are gathered for the comparison, which again is a
+count made before the shuffle, so a passage in a third of all documents is one row from each task.
 
 Defined results: null text stays null and has no lines; empty text stays empty; a row repeated as a whole keeps what its copy
-keeps; null ids count as a value of their own and come first; an empty table gives an empty result; other columns are
-ignored.
+keeps; null ids count as a value of their own and come first; a single line or sentence of fewer than PASSAGE words is no
+chunk and stays; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echotrace.llm._common import broadcast_if_small, stored
+from echotrace.llm._common import broadcast_if_small, process_cache, stored
 
-WINDOW, MODULUS, LONG, MIN_WORDS, MIN_LINES = 2, 2, 50, 12, 2
-_SENTENCE = re.compile(r"(?<=[.!?]) ")
-_MASK = (1 << 64) - 1
+WINDOW, MODULUS, PASSAGE, MIN_LINES = 2, 2, 50, 2
 _WHITE = " \t\n\r\f\v"
-_UNIT_END = re.compile(r"\n[ \t\n\r\f\v]*|(?<=[.!?])[ \t]+")
-#: An odd base of the windows' polynomial hash modulo 2^64, and its inverse.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def units_of(text: str) -> list[tuple[int, int, int]]:
-    """Start, end and kind of each line: 0 ordinary, 1 first and 2 later sentences of a paragraph, 4 set on its last. Ends include the line break or space."""
-    out, at = [], 0
-    lines = text.split("\n")
-    for i, line in enumerate(lines):
-        end = at + len(line) + (i < len(lines) - 1)
-        if line.count(" ") + 1 < LONG:
-            if end > at:
-                out.append((at, end, 0))
-        else:
-            begin = at
-            for m in _SENTENCE.finditer(line):
-                out.append((begin, at + m.end(), 1 if begin == at else 2))
-                begin = at + m.end()
-            out.append((begin, end, (1 if begin == at else 2) | 4))
-        at = end
+_BREAK, _STOPS = 10, (33, 46, 63)  # line break; ! . ?
+#: An odd base of the polynomial hash modulo 2^64, its inverse, and an odd number to mix with.
+BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_INVERSE = pow(BASE, -1, 1 << 64)
+_BLOCK = 1 << 16
+#: Bytes of text worked on at a time; a longer text is worked on alone.
+_SLICE = 1 << 20
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def _tables() -> dict:
+    """Powers of the base inside a block, and of its inverse inside a block and from block to block."""
+    cache = process_cache("line-dedup")
+    if not cache:
+        cache["up"], cache["down"] = _powers(BASE, _BLOCK), _powers(_INVERSE, _BLOCK)
+    return cache
+
+
+def _prefix_at(raw: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The sum of raw[i] * BASE^i over i < place, for ascending places."""
+    up, out, carry, shift = _tables()["up"], np.zeros(len(places), dtype=np.uint64), 0, 1
+    cuts = np.searchsorted(places, np.arange(0, len(raw) + _BLOCK, _BLOCK), "left")
+    for k, begin in enumerate(range(0, len(raw) + 1, _BLOCK)):
+        part = raw[begin : begin + _BLOCK]
+        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(part * up[: len(part)])))
+        lo, hi = cuts[k], cuts[k + 1] if k + 1 < len(cuts) else len(places)
+        out[lo:hi] = np.uint64(carry) + np.uint64(shift) * sums[places[lo:hi] - begin]
+        carry = (carry + shift * int(sums[-1])) % (1 << 64)
+        shift = shift * pow(BASE, _BLOCK, 1 << 64) % (1 << 64)
     return out
 
 
-def chunks_of(text: str | None) -> list[tuple[int, int, int, int]]:
-    """Start, length, lines and hash (signed) of each chunk; they cover the text."""
-    if not text:
-        return []
-    digest, out = xxhash.xxh64_intdigest, []
-    start, lines, before = 0, 0, 0
-    for a, b, kind in units_of(text):
-        if kind & 1 and a > start:
-            out.append((start, a - start, lines))
-            start, lines = a, 0
-        # The line break is no part of the hash, so the last line of a text is like any other.
-        h = digest(text[a:b].rstrip("\n ").encode("utf-8", "surrogatepass"))
-        rolled = (h + before * 0x9E3779B97F4A7C15) & _MASK
-        before, lines = h, lines + 1
-        if kind & 4 or (lines >= MIN_LINES and ((rolled * 0xD6E8FEB86659FD93) & _MASK) >> 40 & MODULUS - 1 == 0):
-            out.append((start, b - start, lines))
-            start, lines = b, 0
-    if start < len(text):
-        out.append((start, len(text) - start, lines))
-    found = []
-    for s, n, k in out:
-        h = digest(text[s : s + n].rstrip("\n ").encode("utf-8", "surrogatepass"))
-        found.append((s, n, k, h - (1 << 64) if h >> 63 else h))
-    return found
-
-
-def counts(lines: int, words: int) -> bool:
-    """Whether a chunk is looked for in other places; a paragraph of one sentence is a chunk of one line."""
-    return words >= (MIN_WORDS if lines >= MIN_LINES else LONG)
-
-
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, start, length, lines and hash of each chunk that counts; a few documents at a time, so that memory stays small."""
+def _inverse_power(places: np.ndarray) -> np.ndarray:
+    top = int(places.max(initial=0)) // _BLOCK + 1
+    return _powers(pow(_INVERSE, _BLOCK, 1 << 64), top)[places // _BLOCK] * _tables()["down"][places % _BLOCK]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(MIX)
+    return h ^ (h >> np.uint64(29))
+
+
+class Words:
+    """The words of many texts that lie one after another in raw: where they begin and end, and what begins with them."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+        self.raw, self.offsets = raw, offsets
+        white = (raw == 32) | ((raw >= 9) & (raw <= 13))
+        full = offsets[:-1][np.diff(offsets) > 0]
+        opens, closes = ~white, ~white
+        if len(raw):
+            opens[1:] &= white[:-1]
+            closes[:-1] &= white[1:]
+            opens[full] = ~white[full]
+            last = np.append(full[1:], len(raw)) - 1
+            closes[last] = ~white[last]
+        self.start, self.end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        n = len(self.start)
+        self.owner = np.searchsorted(offsets, self.start, "right") - 1
+        new_text = np.ones(n, dtype=bool)
+        new_text[1:] = self.owner[1:] != self.owner[:-1]
+        breaks = np.flatnonzero(raw == _BREAK)
+        seen = np.searchsorted(breaks, self.start)
+        self.opens_line, self.opens_unit = new_text.copy(), new_text.copy()
+        self.opens_line[1:] |= seen[1:] > seen[:-1]
+        self.opens_unit[1:] |= self.opens_line[1:] | np.isin(raw[self.end[:-1] - 1], _STOPS)
+        both = np.stack([self.start, self.end], axis=1).ravel()  # ascending
+        prefix = _prefix_at(raw, both).reshape(-1, 2)
+        self.before, self.upto = prefix[:, 0], prefix[:, 1]
+
+    def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The hash of what lies from the start of word a to the end of word b."""
+        return _mixed((self.upto[b] - self.before[a]) * _inverse_power(self.start[a]))
+
+    def groups(self, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last word of each line or unit."""
+        first = np.flatnonzero(opens)
+        return first, np.append(first[1:], len(opens))[: len(first)] - 1
+
+    def chunks(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and last word of each chunk of MIN_LINES lines or more."""
+        first, last = self.groups(self.opens_line)
+        n, owner = len(first), self.owner[first]
+        rolled = self.hashes(first, last)
+        same = np.zeros(n, dtype=bool)  # the line before is of the same text
+        same[1:] = owner[1:] == owner[:-1]
+        rolled[1:] += np.where(same[1:], rolled[:-1], np.uint64(0)) * np.uint64(BASE)
+        marked = _mixed(rolled) % np.uint64(MODULUS) == 0
+        ends = marked & same
+        ends[1:] &= ~(marked[:-1] & same[1:])
+        if n:
+            ends[:-1] |= ~same[1:]
+            ends[-1] = True
+        to = np.flatnonzero(ends)
+        begin = np.append(0, to[:-1] + 1)[: len(to)]
+        enough = to - begin + 1 >= MIN_LINES
+        return first[begin[enough]], last[to[enough]]
+
+    def windows(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last word of the shortest windows of so many words from each unit to both sides."""
+        first, last = self.groups(self.opens_unit)
+        n, total = len(first), np.append(first, len(self.start))
+        unit = np.arange(n)
+        to = np.searchsorted(total, first + words, "left") - 1
+        fits = to < n
+        right = np.stack([unit[fits], to[fits]])
+        begin = np.searchsorted(total, last + 1 - words, "right") - 1
+        # Those that are the shortest to the right as well are there already.
+        fits = begin >= 0
+        fits[fits] = to[begin[fits]] != unit[fits]
+        left = np.stack([begin[fits], unit[fits]])
+        a, b = np.concatenate([right, left], axis=1)
+        inside = self.owner[first[a]] == self.owner[first[b]]
+        return first[a[inside]], last[b[inside]]
+
+
+    def seeds(self, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word of each unit with a window to the right, and first and last word of that window's seed: the pair of units with the smallest hash, or the one unit."""
+        first, last = self.groups(self.opens_unit)
+        n, total = len(first), np.append(first, len(self.start))
+        to = np.searchsorted(total, first + words, "left") - 1
+        a = np.flatnonzero(to < n)
+        a = a[self.owner[first[a]] == self.owner[first[to[a]]]]
+        b, unit, seed = to[a], a, np.stack([a, a])
+        several = np.flatnonzero(a < b)
+        a, b = a[several], b[several]
+        if not len(a):
+            return first[unit], first[seed[0]], last[seed[1]]
+        # Ranks of all pairs, least ranks of runs of 1, 2, 4, .. pairs, and for each window the less of two runs that cover it.
+        by_hash = np.argsort(self.hashes(first[:-1], last[1:]), kind="stable")
+        rank = np.empty(n - 1, dtype=np.int64)
+        rank[by_hash] = np.arange(n - 1)
+        length, least = b - a, np.empty(len(a), dtype=np.int64)
+        step = 1
+        while True:
+            of = (length >= step) & (length < 2 * step)
+            least[of] = np.minimum(rank[a[of]], rank[b[of] - step])
+            if 2 * step > length.max():
+                break
+            rank = np.minimum(rank[: len(rank) - step], rank[step:])
+            step *= 2
+        seed[:, several] = by_hash[least] + np.array([[0], [1]])
+        return first[unit], first[seed[0]], last[seed[1]]
+
+
+def words_of(texts: pa.Array) -> Words:
+    """The words of an array of texts without nulls."""
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    return Words(raw, offsets - offsets[0])
+
+
+def _pairs(n: int, *spans: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First and last words of all spans, each once."""
+    a, b = (np.concatenate(x) for x in zip(*spans, strict=True))
+    return np.divmod(np.unique(a * (n + 1) + b), n + 1)
+
+
+def seeds_of(texts: pa.Array, passage: int | None = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of each chunk and seed."""
+    words = words_of(texts)
+    spans = [words.chunks()]
+    if passage is not None:
+        spans.append(words.seeds(passage)[1:])
+    a, b = _pairs(len(words.start), *spans)
+    return words.owner[a], words.hashes(a, b).view(np.int64)
+
+
+def spans_of(texts: pa.Array, passage: int | None = PASSAGE, repeated: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start, length (in characters) and hash of each chunk and window of an array of texts without nulls.
+
+    repeated: the hashes of chunks and seeds that occur elsewhere; only chunks with one, and windows that hold such a seed, are given. A window to the left
+    holds the window to the right of its first unit, and so its seed.
+    """
+    words = words_of(texts)
+    raw, offsets, n = words.raw, words.offsets, len(words.start)
+    a, b = words.chunks()
+    if repeated is not None:
+        some = np.isin(words.hashes(a, b).view(np.int64), repeated)
+        a, b = a[some], b[some]
+    if passage is not None:
+        c, d = words.windows(passage)
+        if repeated is not None:
+            unit, e, f = words.seeds(passage)
+            holds = np.zeros(n, dtype=bool)
+            holds[unit] = np.isin(words.hashes(e, f).view(np.int64), repeated)
+            c, d = c[holds[c]], d[holds[c]]
+        a, b = _pairs(n, (a, b), (c, d))
+    start, end, owner = words.start[a], words.end[b], words.owner[a]
+    h = words.hashes(a, b).view(np.int64)
+    if len(raw) and raw.max() > 127:
+        place = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80, dtype=np.int64)))
+        start, end, offsets = place[start], place[end], place[offsets]
+    return owner, start - offsets[owner], end - start, h
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, text, size) with about so many bytes at a time."""
     for batch in batches:
-        for a in range(0, batch.num_rows, 200):
-            part = batch.slice(a, 200)
-            owner, found = [], []
-            for i, text in enumerate(part.column("text").to_pylist()):
-                for s, n, k, h in chunks_of(text):
-                    if counts(k, text.count(" ", s, s + n) + 1):
-                        owner.append(i)
-                        found.append((s, n, k, h))
-            columns = [pa.array([x[c] for x in found], type=kind) for c, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(owner, type=pa.int32())), *columns], ["key", "start", "length", "lines", "hash"])
-
-
-@F.pandas_udf(T.StringType())
-def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
-    out = []
-    for t, cut in zip(text, spans, strict=True):
-        if t is None or cut is None:
-            out.append(t)
-            continue
-        at, kept = 0, []
-        for s, n in sorted((x["start"], x["length"]) for x in cut):
-            kept.append(t[at:s])
-            at = s + n
-        out.append("".join([*kept, t[at:]]))
-    return pd.Series(out)
-
-
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key (doc_id, text hash), start, length, lines of each chunk that is to go."""
-    texts = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")).alias("key"), F.col(text_col).cast("string").alias("text"))
-    chunks = texts.mapInArrow(_chunk_rows, f"key {texts.schema['key'].dataType.simpleString()}, start int, length int, lines int, hash long")
-    chunks = stored(chunks, "chunks")
-    again = stored(chunks.groupBy("hash").count().where("count > 1").select("hash"), "repeated")
-    spots = stored(chunks.join(broadcast_if_small(again), "hash"), "spots")
-    # Bytes: the text of repeated chunks only.
-    per_text = stored(spots.groupBy("key").agg(F.collect_set(F.struct("start", "length", "lines", "hash")).alias("all")), "wanted")
-    pieces = texts.join(broadcast_if_small(per_text, weight=64 + 32 * F.size("all")), "key").select("key", "text", F.explode("all").alias("c"))
-    body = F.rtrim(F.substring(F.col("text"), F.col("c.start") + 1, F.col("c.length")), F.lit("\n "))
-    pieces = stored(pieces.select("key", "c.*", body.alias("body")), "pieces")
-    # The first of each text stays. Taking them out by their own key keeps a frequent text from meeting in one task.
-    stays = pieces.groupBy("hash", "body").agg(F.min(F.struct("key", "start")).alias("first")).select("first.*")
-    gone = pieces.select("key", "start", "length", "lines").join(stays, ["key", "start"], "left_anti")
-    return gone.select("key", "start", "length", "lines").distinct()
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (without repeated chunks), n_chars, removed_chunks, removed_lines, removed_chars for each row of docs."""
-    gone = repeated_chunks(docs, id_col, text_col)
-    cut = gone.groupBy("key").agg(F.collect_list(F.struct("start", "length")).alias("spans"), F.sum("lines").alias("removed_lines"), F.sum("length").alias("removed_chars"))
-    cut = stored(cut, "cut")
-    rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")).alias("key"), F.col(text_col).cast("string").alias("text"))
-    out = rows.join(broadcast_if_small(cut, weight=96 + 24 * F.size("spans")), "key", "left").withColumn("clean", F.when(F.col("spans").isNull(), F.col("text")).otherwise(_without("text", "spans")))
-    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return out.select(F.col("key.doc_id").alias("doc_id"), F.col("clean").alias("text"), F.length("text").cast("long").alias("n_chars"), count(F.when(F.col("spans").isNotNull(), F.size("spans"))).alias("removed_chunks"), count(F.col("removed_lines")).alias("removed_lines"), count(F.col("removed_chars")).alias("removed_chars"))
-
-
-def _units(texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """Text, start, end, words, hash and hash with the white space after it, of each line or sentence of each text."""
-    digest, gaps = xxhash.xxh64_intdigest, {}
-    owner, starts, ends, words, hashes, joined = [], [], [], [], [], []
-    for i, text in enumerate(texts):
-        if not text:
-            continue
-        at, first = 0, len(starts)
-        for end, after in [*(m.span() for m in _UNIT_END.finditer(text)), (len(text), len(text))]:
-            piece = text[at:end]
-            if bare := piece.strip(_WHITE):
-                if len(starts) > first:
-                    at += len(piece) - len(piece.lstrip(_WHITE))
-                    gap = text[ends[-1] : at]
-                    if gap not in gaps:
-                        if len(gaps) > 10_000:
-                            gaps.clear()
-                        gaps[gap] = digest(gap)
-                    joined.append((hashes[-1] * _BASE + gaps[gap]) & _MASK)
-                else:
-                    at += len(piece) - len(piece.lstrip(_WHITE))
-                owner.append(i)
-                starts.append(at)
-                ends.append(at + len(bare))
-                words.append(len(bare.split()))
-                hashes.append(digest(bare.encode("utf-8", "surrogatepass")))
-            at = after
-        if len(starts) > first:
-            joined.append(0)  # no window goes beyond the text
-    return (*(np.array(x, dtype=np.int64) for x in (owner, starts, ends, words)), *(np.array(x, dtype=np.uint64) for x in (hashes, joined)))
-
-
-def windows_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, start, length and hash of the shortest windows of LONG words from each unit to both sides."""
-    owner, starts, ends, words, hashes, joined = _units(texts)
-    n = len(owner)
-    if not n:
-        return owner, starts, ends, hashes.view(np.int64)
-    total = np.concatenate([[0], np.cumsum(words)])
-    unit = np.arange(n)
-    last = np.searchsorted(total, total[:-1] + LONG, "left") - 1
-    fits = last < n
-    right = np.stack([unit[fits], last[fits]])
-    first = np.searchsorted(total, total[1:] - LONG, "right") - 1
-    # Those that are the shortest to the right as well are there already.
-    fits = first >= 0
-    fits[fits] = total[unit[fits]] - total[first[fits]] >= LONG
-    left = np.stack([first[fits], unit[fits]])
-    a, b = np.concatenate([right, left], axis=1)
-    inside = owner[a] == owner[b]
-    a, b = a[inside], b[inside]
-    power, inverse = np.full(n, _BASE, dtype=np.uint64), np.full(n, _INVERSE, dtype=np.uint64)
-    power[0] = inverse[0] = 1
-    power, inverse = np.cumprod(power), np.cumprod(inverse)
-    before = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(joined * power)])
-    h = (before[b] - before[a]) * inverse[a] + hashes[b] * power[b - a]
-    h ^= h >> np.uint64(32)
-    return owner[a], starts[a], ends[b] - starts[a], h.view(np.int64)
-
-
-def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, start, length and hash of each window and of each chunk that counts, without white space around it."""
-    for batch in batches:
-        for a in range(0, batch.num_rows, 200):
-            part = batch.slice(a, 200)
-            texts = part.column("text").to_pylist()
-            columns = windows_of(texts)
-            chunks = []
-            for i, text in enumerate(texts):
-                for s, n, k, h in chunks_of(text):
-                    if counts(k, text.count(" ", s, s + n) + 1) and (bare := text[s : s + n].strip(_WHITE)):
-                        chunks.append((i, s + text[s : s + n].index(bare), len(bare), h))
-            extra = np.array(chunks, dtype=np.int64).reshape(-1, 4).T
-            owner, start, length, h = (np.concatenate([x, y]) for x, y in zip(columns, extra, strict=True))
+        sizes, at = np.cumsum(batch.column("size").to_numpy()), 0
+        while at < batch.num_rows:
+            before = sizes[at - 1] if at else 0
+            upto = max(at + 1, int(np.searchsorted(sizes, before + _SLICE, "right")))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
+def _seed_rows(passage: int | None):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            owner, h = seeds_of(part.column("text"), passage)
+            yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(owner)), pa.array(h)], ["key", "hash"])
+
+    return rows
+
+
+def _span_rows(passage: int | None):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            owner, start, length, h = spans_of(part.column("text"), passage, pc.list_flatten(part.column("seeds")).to_numpy())
             arrays = [part.column("key").take(pa.array(owner)), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(h)]
             yield pa.RecordBatch.from_arrays(arrays, ["key", "start", "length", "hash"])
 
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key (doc_id, text hash), start, length of each span that is to go; spans may overlap."""
-    texts = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")).alias("key"), F.col(text_col).cast("string").alias("text"))
-    spans = stored(texts.mapInArrow(_span_rows, f"key {texts.schema['key'].dataType.simpleString()}, start int, length int, hash long"), "windows")
-    again = stored(spans.groupBy("hash").count().where("count > 1").select("hash"), "repeated")
-    spots = stored(spans.join(broadcast_if_small(again), "hash"), "spots")
-    firsts = stored(spots.groupBy("hash").agg(F.min(F.struct("key", "start")).alias("first")), "firsts")
-    copies = spots.join(broadcast_if_small(firsts, weight=F.lit(64)), "hash").where("NOT (key <=> first.key AND start = first.start)").drop("hash").distinct()
+    return rows
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash")).alias("key"), text.alias("text"))
+
+
+def _copies(texts: DataFrame, passage: int | None) -> tuple[DataFrame, DataFrame]:
+    """The texts without those whose hash another has before them, and a span of all of each of the others that is a chunk or passage."""
+    same = texts.where("text is not null").groupBy(F.col("key.text_hash").alias("h")).agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    same = broadcast_if_small(stored(same.where("NOT (first <=> last)").select("h", "first"), "copied"))
+    marked = texts.where("text is not null").join(same, F.col("key.text_hash") == F.col("h"), "left")
+    later = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
+    white = F.lit(_WHITE)
+    bare = F.trim(F.col("text"), white)
+    copied = marked.where(later).select("key", "first", "text", F.when(F.col("first").isNotNull(), bare).alias("bare"))
+    n_lines = F.size(F.filter(F.split("bare", "\n"), lambda x: F.trim(x, white) != ""))
+    counts = n_lines >= MIN_LINES
+    if passage is not None:
+        counts = counts | (F.size(F.split("bare", "[ \t\n\r\f\\x0B]+")) >= passage)
+    start = (F.length("text") - F.length(F.ltrim(F.col("text"), white))).alias("start")
+    spans = copied.where(counts).select("key", start, F.length("bare").alias("length"), start.alias("cut"), F.col("first").alias("origin"), start.alias("from"))
+    return marked.where(~later).select("key", "text"), spans.distinct()
+
+
+def repeated_spans(docs: DataFrame, passage: int | None = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key (doc_id, text hash), start, length of each span that is to go; spans may overlap. passage: words of a passage, or None for chunks only."""
+    texts = _keyed(docs, id_col, text_col)
+    fresh, whole = _copies(texts, passage)
+    rows, key = fresh.select("key", "text", F.octet_length("text").cast("long").alias("size")), texts.schema["key"].dataType.simpleString()
+    # Repeated hashes grow with the input, so they are never broadcast by hint; both sides of these joins are read from
+    # tables, so that a frequent hash's rows can be split over tasks.
+    seeds = stored(rows.mapInArrow(_seed_rows(passage), f"key {key}, hash long"), "seeds")
+    again = stored(seeds.groupBy("hash").count().where("count > 1").select("hash"), "repeated-seeds")
+    held = stored(seeds.join(again, "hash").groupBy("key").agg(F.collect_set("hash").alias("seeds")), "candidates")
+    rows = rows.join(broadcast_if_small(held, weight=64 + 8 * F.size("seeds")), "key").select("key", "text", "size", "seeds")
+    spans = stored(rows.mapInArrow(_span_rows(passage), f"key {key}, start int, length int, hash long"), "spans")
+    firsts = spans.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("first")).where("n > 1")
+    firsts = stored(firsts.drop("n"), "firsts")
+    copies = spans.join(firsts, "hash").where("NOT (key <=> first.key AND start = first.start)").drop("hash")
     # A null id is equal to itself.
     close = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("start") < F.col("first.start") + F.col("length"))
     copies = copies.select("key", "start", "length", "first", F.when(close, F.col("first.start") + F.col("length")).otherwise(F.col("start")).alias("cut"), close.alias("close"))
@@ -252,12 +322,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = marked.withColumn("island", F.sum("new").over(upto)).withColumn("origin", F.col("first.key")).withColumn("distance", F.col("start") - F.col("first.start"))
     merged = marked.groupBy("key", "origin", "distance", "close", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.min("cut").alias("cut"))
     merged = merged.select("key", "start", (F.col("end") - F.col("start")).alias("length"), "cut", "origin", (F.col("start") - F.col("distance")).alias("from"))
-    merged = stored(merged, "merged")
+    merged = stored(merged.union(whole), "merged")
     # Bytes: the text of copies and of the first places only.
     both = merged.select("key", "start", "length", "origin", "from").union(merged.select(F.col("origin").alias("key"), F.col("from").alias("start"), "length", "origin", "from").distinct())
     per_text = stored(both.groupBy("key").agg(F.collect_set(F.struct("start", "length", "origin", "from")).alias("all")), "wanted")
-    pieces = texts.join(broadcast_if_small(per_text, weight=64 + 48 * F.size("all")), "key").select("key", "text", F.explode("all").alias("c"))
-    pieces = stored(pieces.select("key", "c.*", F.substring(F.col("text"), F.col("c.start") + 1, F.col("c.length")).alias("body")), "pieces")
+    # The bodies are cut before rows are made of them, so that no text is copied once for each.
+    bodies = F.transform("all", lambda c: F.struct(*(c[x] for x in ("start", "length", "origin", "from")), F.substring(F.col("text"), c["start"] + 1, c["length"]).alias("body")))
+    pieces = texts.join(broadcast_if_small(per_text, weight=64 + 48 * F.size("all")), "key").select("key", F.explode(bodies).alias("c"))
+    pieces = pieces.select("key", "c.*")
     same = ["origin", "from", "length"]
     stays = pieces.groupBy(*same, "body").agg(F.min(F.struct("key", "start")).alias("first")).select(*same, "first.*")
     gone = merged.join(stays, ["key", "start", *same], "left_anti")
@@ -298,9 +370,16 @@ def _cut_out(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "chunks", "lines", "chars"])
 
 
-def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of line_dedup, without any repeated passage of LONG words or more."""
-    cut = stored(repeated_spans(docs, id_col, text_col).groupBy("key").agg(F.collect_list(F.struct("start", "length")).alias("spans")), "cut")
-    rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")).alias("key"), F.col(text_col).cast("string").alias("text"))
-    out = rows.join(broadcast_if_small(cut, weight=96 + 24 * F.size("spans")), "key", "left").withColumn("c", _cut_out("text", "spans"))
-    return out.select(F.col("key.doc_id").alias("doc_id"), F.col("c.text").alias("text"), F.length("text").cast("long").alias("n_chars"), F.col("c.chunks").alias("removed_chunks"), F.col("c.lines").alias("removed_lines"), F.col("c.chars").alias("removed_chars"))
+def line_dedup(docs: DataFrame, passage: int | None = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text (without repeated chunks and passages), n_chars (of that text), removed_chunks, removed_lines, removed_chars for each row of docs."""
+    cut = stored(repeated_spans(docs, passage, id_col, text_col).groupBy("key").agg(F.collect_list(F.struct("start", "length")).alias("spans")), "cut")
+    rows = _keyed(docs, id_col, text_col).join(broadcast_if_small(cut, weight=96 + 24 * F.size("spans")), "key", "left")
+    # Most texts stay as they are and don't cross to Python.
+    touched = F.col("spans").isNotNull()
+    changed = rows.where(touched).withColumn("c", _cut_out("text", "spans"))
+    removed = [F.col(f"c.{x}").alias(f"removed_{x}") for x in ("chunks", "lines", "chars")]
+    changed = changed.select(F.col("key.doc_id").alias("doc_id"), F.col("c.text").alias("text"), *removed)
+    nothing = [F.lit(0).cast("long").alias(f"removed_{x}") for x in ("chunks", "lines", "chars")]
+    out = changed.union(rows.where(~touched).select(F.col("key.doc_id").alias("doc_id"), "text", *nothing))
+    n_chars: Column = F.length("text").cast("long").alias("n_chars")
+    return out.select("doc_id", "text", n_chars, "removed_chunks", "removed_lines", "removed_chars")
