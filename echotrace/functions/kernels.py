@@ -37,18 +37,36 @@ def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+#: Cells of a table that lcs_positions holds at once; larger pairs keep the table's rows at intervals and work out the others again.
+_CELLS = 16_000_000
+
+
 def lcs_positions(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """One longest common subsequence, from the end: an equal pair is taken, else a's end is given up unless that loses more."""
-    table, found = lcs_table(a, b), []
-    i, j = len(a), len(b)
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
-            found.append((i, j))
-        elif table[i, j - 1] > table[i - 1, j]:
-            j -= 1
-        else:
-            i -= 1
+    found, j, width = [], len(b), len(b) + 1
+    step = max(1, min(len(a), _CELLS // width))
+    # Every step-th row of the table; the rows between two of them are made when the walk comes there.
+    rows, row = [np.zeros(width, dtype=np.int32)], np.zeros(width, dtype=np.int32)
+    for i, x in enumerate(a):
+        row[1:] = np.maximum.accumulate(np.where(b == x, row[:-1] + 1, row[1:]))
+        if (i + 1) % step == 0:
+            rows.append(row.copy())
+    for k in range(len(a) // step if len(a) else -1, -1, -1):
+        begin, end = k * step, min(len(a), (k + 1) * step)
+        part = np.empty((end - begin + 1, width), dtype=np.int32)
+        part[0] = rows[k]
+        for i in range(begin, end):
+            part[i - begin + 1, 0] = 0
+            part[i - begin + 1, 1:] = np.maximum.accumulate(np.where(b == a[i], part[i - begin, :-1] + 1, part[i - begin, 1:]))
+        i = end
+        while i > begin and j:
+            if a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+                found.append((i, j))
+            elif part[i - begin, j - 1] > part[i - begin - 1, j]:
+                j -= 1
+            else:
+                i -= 1
     return found[::-1]
 
 
@@ -173,12 +191,74 @@ def relaxed_spans(a: np.ndarray, b: np.ndarray, min_consecutive: int = 3, max_ed
 
 
 def uncontained(spans: list[tuple[int, int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
-    """Longest first; a span inside an accepted one, in both sequences and with no fewer edits, goes."""
-    kept: list[tuple[int, int, int, int, int, int]] = []
-    for s in sorted(spans, key=lambda s: -s[0]):
-        if not any(s[2] >= t[2] and s[3] <= t[3] and s[4] >= t[4] and s[5] <= t[5] and s[1] >= t[1] for t in kept):
-            kept.append(s)
-    return kept
+    """Longest first, without those that one before them contains in both sequences with no more edits.
+
+    That relation is transitive, so it doesn't matter whether the one before was itself kept: all spans are compared with all
+    before them at once, a block of rows at a time.
+    """
+    rows = np.array(spans, dtype=np.int64).reshape(-1, 6)
+    rows = rows[np.argsort(-rows[:, 0], kind="stable")]
+    # Containing means to be no larger in each of these and to stand before.
+    signed = rows[:, 1:] * np.array([1, 1, -1, 1, -1])
+    keep = np.ones(len(rows), dtype=bool)
+    for i in range(0, len(rows), 256):
+        block = signed[i : i + 256, None, :]
+        covers = (signed[None, : i + 256, :] <= block).all(axis=2)
+        before = np.arange(min(i + 256, len(rows)))[None, :] < (i + np.arange(len(block)))[:, None]
+        keep[i : i + 256] = ~(covers & before).any(axis=1)
+    return [tuple(r) for r in rows[keep].tolist()]
+
+
+def banded_table(a: np.ndarray, b: np.ndarray, max_edits: int) -> np.ndarray:
+    """The whole alignment table with max_edits + 1 outside the band of max_edits around the diagonal; for looking at one pair.
+
+    Inside, equal ends take the diagonal cell; others cost one edit from a neighbour, or from before a swap of two.
+    """
+    m, n, far = len(a), len(b), max_edits + 1
+    table = np.full((m + 1, n + 1), far, dtype=np.int32)
+    table[: max_edits + 1, 0] = np.arange(min(m, max_edits) + 1)
+    table[0, : max_edits + 1] = np.arange(min(n, max_edits) + 1)
+    # Cells on one antidiagonal depend on earlier ones only, so each is worked out as a vector.
+    for total in range(2, m + n + 1):
+        i = np.arange(max(1, total - n), min(m, total - 1) + 1)
+        i = i[np.abs(total - 2 * i) <= max_edits]
+        j = total - i
+        if not len(i):
+            continue
+        least = np.minimum(np.minimum(table[i - 1, j], table[i, j - 1]), table[i - 1, j - 1]) + 1
+        two = np.flatnonzero((i > 1) & (j > 1))
+        p, q = i[two], j[two]
+        swap = two[(a[p - 1] == b[q - 2]) & (a[p - 2] == b[q - 1])]
+        least[swap] = np.minimum(least[swap], table[i[swap] - 2, j[swap] - 2] + 1)
+        table[i, j] = np.where(a[i - 1] == b[j - 1], table[i - 1, j - 1], least)
+    return table
+
+
+def longest_common_run(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
+    """length, start1, end1, start2, end2 of the longest common run, the first by ends; zeros if there is none. Keeps one row."""
+    row, best = np.zeros(len(b) + 1, dtype=np.int64), (0, 0, 0)
+    for i, x in enumerate(a):
+        row[1:] = np.where(b == x, row[:-1] + 1, 0)
+        j = int(row.argmax())
+        if row[j] > best[0]:
+            best = (int(row[j]), i + 1, j)
+    n, e1, e2 = best
+    return (n, e1 - n, e1, e2 - n, e2)
+
+
+def longest_common_substrings(reference, predicted):
+    """One result (a dict) for two sequences, a list of results for two lists of sequences; errors where the shapes don't fit."""
+    nested = [len(x) > 0 and isinstance(x[0], (list, tuple, np.ndarray)) for x in (reference, predicted)]
+    if nested[0] != nested[1]:
+        raise ValueError("both must be sequences or both lists of sequences")
+    if not nested[0]:
+        names = ("length", "start1", "end1", "start2", "end2")
+        return dict(zip(names, longest_common_run(*codes(list(reference), list(predicted))), strict=True))
+    if any(len(x) > 0 and isinstance(x[0], (list, tuple, np.ndarray)) for side in (reference, predicted) for x in side):
+        raise ValueError("sequences must have one dimension")
+    if len(reference) != len(predicted):
+        raise ValueError(f"{len(reference)} references and {len(predicted)} predictions")
+    return [longest_common_substrings(x, y) for x, y in zip(reference, predicted, strict=True)]
 
 
 def opcodes(a: list, b: list) -> list[tuple[str, int, int, int, int]]:
@@ -238,9 +318,46 @@ def lcs_positions_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([[{"pos1": i, "pos2": j} for i, j in lcs_positions(x, y)] for x, y in _pairs(a, b)])
 
 
+def osa_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distances of many pairs of sequences of one length each (rows of a and b): the recurrence over all rows at once."""
+    index = np.arange(b.shape[1] + 1)
+    before, row = None, np.tile(index, (len(b), 1))
+    for i in range(a.shape[1]):
+        x = a[:, i : i + 1]
+        cost = (b != x).astype(np.int64)
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + cost)
+        if before is not None and b.shape[1] > 1:
+            swap = (b[:, :-1] == x) & (b[:, 1:] == a[:, i - 1 : i])
+            new[:, 2:] = np.where(swap, np.minimum(new[:, 2:], before[:, :-2] + cost[:, 1:]), new[:, 2:])
+        before, row = row, np.minimum.accumulate(new - index, axis=1) + index
+    return row[:, -1]
+
+
+def osa_of_pairs(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """The distance of each pair; pairs with the same two lengths are worked out together, and elements are numbered once for all."""
+    place: dict = {}
+    number = lambda s: np.array([place.setdefault(x, len(place)) for x in s], dtype=np.int64)
+    pairs = [(number(x), number(y)) if x is not None and y is not None else (number([]), number([])) for x, y in zip(a, b, strict=True)]
+    out, by_size = np.zeros(len(pairs), dtype=np.int64), {}
+    for i, (x, y) in enumerate(pairs):
+        by_size.setdefault((len(x), len(y)), []).append(i)
+    for rows in by_size.values():
+        for at in range(0, len(rows), 8192):
+            some = rows[at : at + 8192]
+            out[some] = osa_distances(*(np.stack([pairs[i][side] for i in some]) for side in (0, 1)))
+    return out
+
+
 @F.pandas_udf(T.IntegerType())
 def osa_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([osa_distance(x, y) for x, y in _pairs(a, b)])
+    return pd.Series(osa_of_pairs(a, b))
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("length", "start1", "end1", "start2", "end2")]))
+def longest_run_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([longest_common_run(x, y) for x, y in _pairs(a, b)], columns=["length", "start1", "end1", "start2", "end2"])
 
 
 @F.pandas_udf(_rows("length start1 end1 start2 end2"))
