@@ -102,6 +102,34 @@ def paraphrase_prompt(text: Column) -> Column:
     return F.concat(F.lit("Rewrite the following text in other words and keep its meaning.\n\nText:\n"), text, F.lit("\n\nRewritten text:\n"))
 
 
+def chat_request(texts: Column, schema: str | None = None, role: str = "user") -> Column:
+    """The JSON body of one chat request with all texts as its messages; schema: a JSON schema that answers have to keep."""
+    fields = [chat_messages(texts, role).alias("messages")]
+    if schema is not None:
+        fields.append(F.lit(schema).alias("schema"))
+    return F.to_json(F.struct(*fields))
+
+
+def int_set(text: Column) -> Column:
+    """The distinct numbers of a comma-separated list, ascending; what isn't a number goes."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("int")), lambda x: x.isNotNull())))
+
+
+def capitalised(text: Column) -> Column:
+    """The first letter upper case, the others lower case."""
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1 << 30)))
+
+
+def timestamp_text(at: Column) -> Column:
+    """A time as it stands in file names."""
+    return F.date_format(at, "yyyyMMdd_HHmmss")
+
+
+def included(column: Column, names: list | None) -> Column:
+    """True for the listed values; no list stands for all."""
+    return F.lit(True) if names is None else column.isin(names)
+
+
 def rouge_l(lcs: Column, n_reference: Column, n_candidate: Column) -> Column:
     """F1 of precision lcs / n_candidate and recall lcs / n_reference; 0 where either is empty."""
     both = n_reference + n_candidate

@@ -40,10 +40,7 @@ def longest_common_substring(pairs: DataFrame, keys: list[str], a: str = "a", b:
     that repeat so often that the join would hold most of the table's cells).
     """
     if how == "kernel":
-        least = F.lit(1)
-        best = F.get(kernels.disjoint_matches_udf(F.col(a), F.col(b), least), 0)
-        rows = pairs.select(*keys, best.alias("m"))
-        return rows.select(*keys, *(F.coalesce(F.col(f"m.{c}"), F.lit(0)).alias(c) for c in ("length", "start1", "end1", "start2", "end2")))
+        return pairs.select(*keys, kernels.longest_run_udf(F.col(a), F.col(b)).alias("m")).select(*keys, "m.*")
     if how != "relational":
         raise ValueError(f"how is relational or kernel, not {how}")
     runs = maximal_runs(pairs, keys, a, b)
@@ -54,12 +51,24 @@ def longest_common_substring(pairs: DataFrame, keys: list[str], a: str = "a", b:
     return pairs.select(*keys).join(best, keys, "left").select(*keys, zero(n).alias("length"), zero(s1).alias("start1"), zero(s1 + n).alias("end1"), zero(s2).alias("start2"), zero(s2 + n).alias("end2"))
 
 
+def longest_matches(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b", min_length: int = 2, how: str = "relational") -> DataFrame:
+    """keys, match: the longest common substring as a struct, or null where it is shorter than min_length."""
+    found = longest_common_substring(pairs, keys, a, b, how)
+    return found.select(*keys, F.when(F.col("length") >= min_length, F.struct("length", "start1", "end1", "start2", "end2")).alias("match"))
+
+
 def all_common_substrings(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b", min_length: int = 2) -> DataFrame:
     """A row for each of the non-overlapping common substrings, longest first in `rank`, with its tokens."""
     found = pairs.select(*keys, a, F.posexplode(kernels.disjoint_matches_udf(F.col(a), F.col(b), F.lit(min_length))).alias("rank", "m"))
     return found.select(*keys, "rank", "m.*", F.slice(a, F.col("m.start1") + 1, F.col("m.length")).alias("tokens"))
 
 
+def match_values(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b", min_length: int = 2) -> DataFrame:
+    """keys, values: the tokens of all common substrings of each pair, longest first; an empty array without one."""
+    found = F.transform(kernels.disjoint_matches_udf(F.col(a), F.col(b), F.lit(min_length)), lambda m: F.slice(F.col(a), m["start1"] + 1, m["length"]))
+    return pairs.select(*keys, found.alias("values"))
+
+
 def relaxed_matches(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b", min_consecutive: int = 3, max_edits: int = 1) -> DataFrame:
     """A row for each match with at most max_edits edits that isn't inside a longer one with no more edits."""
     found = pairs.select(*keys, a, b, F.explode(kernels.relaxed_matches_udf(F.col(a), F.col(b), F.lit(min_consecutive), F.lit(max_edits))).alias("m"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from echotrace.functions.tokenizers import Tokenizer
 from echotrace.sources.shared import global_row_number
 
 BUCKET = 500
@@ -42,12 +43,15 @@ def excerpts(df: DataFrame, key: str, tokens: Column, n: int, seed: int = 42) ->
     return rows.withColumn("excerpt", F.slice("_t", (F.col("start") + 1).cast("int"), F.lit(n))).drop("_t")
 
 
-def round_trip(df: DataFrame, ids: str, join: Callable[[Column], Column], tokenize: Callable[[Column], Column], n: int) -> DataFrame:
+def round_trip(df: DataFrame, ids: str, tokenizer: Tokenizer, n: Column | int) -> DataFrame:
     """Rows whose n tokens are n again after they were put together and cut once more."""
-    return df.where(F.size(tokenize(join(F.col(ids)))) == n)
+    return df.where(F.size(tokenizer.encode(tokenizer.decode(F.col(ids)))) == n)
 
 
 def take_first(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows; an error if there are fewer."""
+    if (found := df.limit(n).count()) < n:
+        raise ValueError(f"{n} rows are asked for, there are {found}")
     return df.orderBy(order).limit(n)
 
 
@@ -109,6 +113,26 @@ def mixture_weights(df: DataFrame, source: str, amount: Column) -> DataFrame:
     return sums.withColumn("weight", F.col("amount") / F.sum("amount").over(Window.partitionBy(F.lit(0))))  # a row for each source
 
 
+def mixed(sources: dict[str, tuple[DataFrame, float]], total: int, order: list[str], name: str = "source") -> DataFrame:
+    """total rows of all sources by their weights: each source's first rows in a fixed order, from the beginning again where it has too few.
+
+    Shares are rounded down and what is left goes to the largest remainders, so the numbers add up.
+    """
+    weights = sum(w for _, w in sources.values())
+    exact = {s: total * w / weights for s, (_, w) in sources.items()}
+    counts = {s: int(x + 1e-9) for s, x in exact.items()}
+    for s in sorted(exact, key=lambda s: (counts[s] - exact[s], s))[: total - sum(counts.values())]:
+        counts[s] += 1
+    parts = []
+    for s, (df, _) in sources.items():
+        numbered, n = global_row_number(df, [F.col(c) for c in order], "_at")
+        if counts[s] and not n:
+            raise ValueError(f"{s} has a weight and no row")
+        wanted = df.sparkSession.range(counts[s]).select(F.col("id").alias("sample"), (F.col("id") % max(1, n)).alias("_at"))
+        parts.append(wanted.join(numbered, "_at").drop("_at").withColumn(name, F.lit(s)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def checkpoint_schedule(spark: SparkSession, steps_per_epoch: int, epochs: int, every: int, batch: int) -> DataFrame:
     """step and consumed samples: each every-th step up to the last, and the last."""
     last = steps_per_epoch * epochs
@@ -124,6 +148,15 @@ def fused_row_mapping(spark: SparkSession, groups: int, heads_per_group: int) ->
     return rows.select(part.alias("part"), F.when(inside < heads_per_group, group * heads_per_group + inside).otherwise(group).alias("row"), "fused_row")
 
 
+def gate_up_mapping(spark: SparkSession, rows: int) -> DataFrame:
+    """part (gate, up), row of the split matrix and row of the fused one, which holds gate in its first half."""
+    if rows % 2:
+        raise ValueError("a fused matrix has an even number of rows")
+    fused = spark.range(rows).withColumnRenamed("id", "fused_row")
+    first = F.col("fused_row") < rows // 2
+    return fused.select(F.when(first, "gate").otherwise("up").alias("part"), F.when(first, F.col("fused_row")).otherwise(F.col("fused_row") - rows // 2).alias("row"), "fused_row")
+
+
 def parameter_grid(spark: SparkSession, **dimensions: list) -> DataFrame:
     """All combinations of short lists of parameters."""
     grid = spark.range(1).select()

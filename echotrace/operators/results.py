@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from echotrace.functions.kernels import correlation_p_udf
-from echotrace.functions.sequences import COMPARISONS
-from echotrace.sources.shared import global_row_number
+from echotrace.functions.sequences import COMPARISONS, capitalised
+from echotrace.sources.shared import global_row_number, stored
 
 DIMENSIONS = ["expr", "rep", "offset", "prefix", "suffix"]
 STATISTICS = {"mean": F.avg, "std": F.stddev_pop, "max": F.max}
@@ -42,23 +44,33 @@ def cells_with_metric(scores: DataFrame, dimensions: list[str], metric: str) ->
     return scores.join(cells, dimensions, "left_semi")
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Interpolated quantiles of the non-null values: a range sort, and the two rows around each rank come to the driver."""
+    numbered, n = global_row_number(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_v")), [F.col("_v")], "_at")
+    if not n:
+        return [None] * len(shares)
+    places = [share * (n - 1) for share in shares]
+    wanted = sorted({k for p in places for k in (int(p), min(int(p) + 1, n - 1))})
+    value = {r["_at"]: r["_v"] for r in numbered.where(F.col("_at").isin(wanted)).collect()}
+    return [value[int(p)] + (value[min(int(p) + 1, n - 1)] - value[int(p)]) * (p - int(p)) for p in places]
+
+
 def top_quantile_both(df: DataFrame, a: str, b: str, q: float = 0.1) -> DataFrame:
     """Rows at or above the exact, interpolated quantile 1 - q of both columns."""
-    bounds = df.agg(F.percentile(a, F.lit(1 - q)).alias("_a"), F.percentile(b, F.lit(1 - q)).alias("_b"))  # one row
-    return df.crossJoin(F.broadcast(bounds)).where((F.col(a) >= F.col("_a")) & (F.col(b) >= F.col("_b"))).drop("_a", "_b")
+    low = [exact_quantiles(df, c, [1 - q])[0] for c in (a, b)]
+    return df.where((F.col(a) >= F.lit(low[0])) & (F.col(b) >= F.lit(low[1])))
 
 
 def winsorised(df: DataFrame, column: str, low: float, high: float, name: str) -> DataFrame:
     """df with the column clipped to its quantiles."""
-    bounds = df.agg(F.percentile(column, F.lit(low)).alias("_lo"), F.percentile(column, F.lit(high)).alias("_hi"))  # one row
-    return df.crossJoin(F.broadcast(bounds)).withColumn(name, F.greatest(F.least(column, "_hi"), "_lo")).drop("_lo", "_hi")
+    least, most = exact_quantiles(df, column, [low, high])
+    return df.withColumn(name, F.greatest(F.least(column, F.lit(most)), F.lit(least)))
 
 
 def repetition_pivot(scores: DataFrame, metric: str, vary: str, values: list, **fixed) -> DataFrame:
     """Means by rep (rows) and the one varying dimension (columns); the two others must be fixed."""
-    free = {"offset", "prefix", "suffix"} - {k for k, v in fixed.items() if v is not None}
-    if free != {vary}:
-        raise ValueError("exactly two of offset, prefix and suffix must be fixed")
+    if _varying(fixed) != vary:
+        raise ValueError(f"{vary} is fixed")
     rows = scores.where(F.col("metric") == metric)
     for name, value in fixed.items():
         rows = rows.where(F.col(name) == value)
@@ -84,6 +96,56 @@ def dimension_values(scores: DataFrame, dimensions: list[str]) -> DataFrame:
     return scores.select(F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions))).alias("x")).select("x.*").distinct().orderBy("dimension", "value")
 
 
+def value_counts(df: DataFrame, value: Column, name: str = "value") -> DataFrame:
+    """Each distinct value and how often it occurs, in the order of values."""
+    return df.groupBy(value.alias(name)).count().orderBy(name)
+
+
+def density(df: DataFrame, column: str, points: int = 200, adjust: float = 0.5, cut: float = 3.0) -> DataFrame:
+    """x and density: a Gaussian kernel estimate at evenly spaced points from cut bandwidths below the least to above the greatest value.
+
+    The bandwidth is the sample standard deviation times n^(-1/5) times adjust. Equal values are counted first.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    ends = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"), (F.stddev_samp("v") * F.pow(F.count("*"), F.lit(-0.2)) * adjust).alias("h"))
+    at = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")
+    grid = ends.select("n", "h", "lo", "hi", at)  # one row for each point
+    grid = grid.select("k", "n", "h", (F.col("lo") - cut * F.col("h") + F.col("k") * (F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) / (points - 1)).alias("x"))
+    z = (F.col("x") - F.col("v")) / F.col("h")
+    each = values.groupBy("v").agg(F.count("*").alias("c")).crossJoin(F.broadcast(grid))
+    total = each.groupBy("k", "x", "n", "h").agg(F.sum(F.col("c") * F.exp(-z * z / 2)).alias("s"))
+    return total.select("x", (F.col("s") / (F.col("n") * F.col("h") * (2 * math.pi) ** 0.5)).alias("density")).orderBy("x")
+
+
+def cell(scores: DataFrame, metric: str | None = None, **dimensions) -> DataFrame:
+    """seq_idx, metric and score of one cell; metric: only that one. Every dimension has to be given."""
+    if missing := [d for d in DIMENSIONS if d not in dimensions]:
+        raise ValueError(f"missing: {', '.join(missing)}")
+    rows = scores
+    for name, value in dimensions.items():
+        rows = rows.where(F.col(name) == value)
+    return (rows if metric is None else rows.where(F.col("metric") == metric)).select("seq_idx", "metric", "score")
+
+
+def _varying(fixed: dict) -> str:
+    free = {"offset", "prefix", "suffix"} - {k for k, v in fixed.items() if v is not None}
+    if len(free) != 1:
+        raise ValueError("exactly two of offset, prefix and suffix must be fixed")
+    return free.pop()
+
+
+def repetition_listing(scores: DataFrame, metric: str | None = None, **fixed) -> DataFrame:
+    """rep, value (of the one dimension that isn't fixed), metric, mean, std and a line of text for each, in that order."""
+    vary, rows = _varying(fixed), scores if metric is None else scores.where(F.col("metric") == metric)
+    for name, value in fixed.items():
+        if value is not None:
+            rows = rows.where(F.col(name) == value)
+    found = cell_statistics(rows, ["rep", vary, "metric"]).withColumnRenamed(vary, "value")
+    head = F.concat(capitalised(F.lit(vary)), F.format_string(": %3d", F.col("value").cast("long")))
+    line = F.concat(head, F.format_string(" %-9s | Mean = %.3f, Std = %.3f", "metric", "mean", "std"))
+    return found.select("rep", "value", "metric", "mean", "std", line.alias("line")).orderBy("rep", "value", "metric")
+
+
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """bin (from 0) and count over equal widths from the least to the greatest value, which is in the last bin."""
     ends = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))  # one row
@@ -112,18 +174,39 @@ def macro_average(matches: DataFrame, sequences: DataFrame, keys: list[str], gro
     return sequences.join(each, keys, "left").groupBy(*groups).agg(F.avg("m").alias("mean_length"), F.count("m").alias("with_match"), F.count("*").alias("sequences"))
 
 
-def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """df with the average rank (from 1) of each value: the mean of the row numbers that equal values share."""
-    numbered, _ = global_row_number(df, [F.col(column)], "_rn")
-    ranks = numbered.groupBy(F.col(column).alias("_v")).agg((F.avg("_rn") + 1).alias(name))
-    return numbered.join(ranks, F.col(column) == F.col("_v")).drop("_v", "_rn")
+def average_ranks(df: DataFrame, column: str) -> DataFrame:
+    """value and rank of each distinct value: the mean of the row numbers (from 1) that its rows share, by running sums over the values."""
+    counts = df.groupBy(F.col(column).alias("value")).count()
+    ranged = counts.repartitionByRange("value").withColumn("_part", F.spark_partition_id())
+    ranged = stored(ranged, "values")
+    parts = sorted(tuple(r) for r in ranged.groupBy("_part").agg(F.sum("count")).collect())  # a row for each partition
+    firsts, total = [], 0
+    for part, n in parts:
+        firsts.append((part, total))
+        total += n
+    first = df.sparkSession.createDataFrame(firsts, "_part int, _first long")
+    upto = F.sum("count").over(Window.partitionBy("_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    rows = ranged.withColumn("_upto", upto).join(F.broadcast(first), "_part")
+    return rows.select("value", (F.col("_first") + F.col("_upto") - (F.col("count") - 1) / 2).alias("rank"))
 
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
-    """pearson_r, pearson_p, spearman_rho, spearman_p, n over the rows where both are there."""
+    """pearson_r, pearson_p, spearman_rho, spearman_p, n over the rows where both are there.
+
+    Rows are counted by their pair of values before ranks are joined, so that a frequent value is one row of each other value.
+    """
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
-    ranked = average_rank(average_rank(rows, "x", "rx"), "y", "ry")
-    out = ranked.agg(F.corr("x", "y").alias("pearson_r"), F.corr("rx", "ry").alias("spearman_rho"), F.count("*").alias("n"))
+    pairs = stored(rows.groupBy("x", "y").agg(F.count("*").alias("c")), "pairs")
+    first = rows.agg(F.corr("x", "y").alias("pearson_r"), F.count("*").alias("n"))
+    ranked = pairs
+    for c in ("x", "y"):
+        ranks = stored(average_ranks(rows, c), "ranks").select(F.col("value").alias(c), F.col("rank").alias(f"r{c}"))
+        ranked = ranked.join(ranks, c)
+    # The mean rank is (n + 1) / 2 on both sides.
+    a, b, c = F.col("rx") - (F.col("n") + 1) / 2, F.col("ry") - (F.col("n") + 1) / 2, F.col("c")
+    sums = ranked.crossJoin(F.broadcast(first.select("n"))).agg(F.sum(c * a * b).alias("ab"), F.sum(c * a * a).alias("aa"), F.sum(c * b * b).alias("bb"))  # one row
+    rho = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("spearman_rho")
+    out = first.crossJoin(F.broadcast(sums)).select("pearson_r", rho, "n")
     return out.withColumns({"pearson_p": correlation_p_udf("pearson_r", "n"), "spearman_p": correlation_p_udf("spearman_rho", "n")})
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echotrace.functions import sequences as S
+from echotrace.operators.matching import diff_opcodes
+from echotrace.operators.prepare import BUCKET, modular_lookup, sampled_indices
 
 
 def violations(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
@@ -49,6 +51,17 @@ def index_lengths(df: DataFrame, kind: str, total: int) -> DataFrame:
     return df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n", F.lit(expected).alias("expected"), (F.col("n") == expected).alias("ok"))
 
 
+def differing_samples(spark: SparkSession, records: DataFrame, base: DataFrame, total: int, tokens: str = "tokens", index: str = "index", base_index: str = "index", size: int = BUCKET, extra: int = 100, seed: int = 42) -> DataFrame:
+    """index, tag, start1, end1, start2, end2: where the tokens of sampled records differ from those of their base row (index % size).
+
+    records hold replicated sequences by index; the sample is that of sampled_indices. Sequences of equal tokens give no row.
+    """
+    chosen = sampled_indices(spark, total, size, extra, seed).select(F.col("index").alias("_i"))
+    picked = records.join(F.broadcast(chosen), F.col(index) == F.col("_i")).select(F.col(index).alias("index"), F.col(tokens).alias("a"))  # about a hundred rows and one in `size`
+    pairs = modular_lookup(picked, "index", base.select(F.col(base_index).alias("_base"), F.col(tokens).alias("b")), "_base", size)
+    return diff_opcodes(pairs.where(~F.col("a").eqNullSafe(F.col("b"))), ["index"]).where("tag <> 'equal'")
+
+
 def differing_windows(windows: DataFrame, source: DataFrame, keys: list[str], window: str, tokens: str, offset: int) -> DataFrame:
     """Rows whose window isn't the part of their source's tokens that begins at offset."""
     joined = windows.join(source.select(*keys, F.col(tokens).alias("_source")), keys)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echotrace.functions import sequences as S
+from echotrace.functions.tokenizers import chunked
 from echotrace.operators import curves as C
 from echotrace.operators import matching as M
 from echotrace.operators import prepare as P
@@ -83,6 +84,16 @@ def macro_mean_run_length(spark, sf_dir):
     return R.macro_average(runs, p.select(*PAIR, "role"), PAIR, ["role"]).withColumn("mean_length", r6(F.col("mean_length")))
 
 
+@query(f"WITH {LCS_SQL} SELECT conv_id, turn, CASE WHEN length >= 2 THEN length END AS length, CASE WHEN length >= 2 THEN start1 END AS start1, CASE WHEN length >= 2 THEN end2 END AS end2 FROM lcs")
+def longest_or_null(spark, sf_dir):
+    return M.longest_matches(pairs(spark, sf_dir), PAIR).select(*PAIR, "match.length", "match.start1", "match.end2")
+
+
+@query()
+def match_value_lists(spark, sf_dir):
+    return M.match_values(pairs(spark, sf_dir), PAIR)
+
+
 @query()
 def all_common_substrings(spark, sf_dir):
     return M.all_common_substrings(pairs(spark, sf_dir), PAIR)
@@ -180,10 +191,18 @@ def length_filter_excerpt(spark, sf_dir):
     return P.excerpts(kept, "doc_id", S.tokens(F.col("text")), 50).select("doc_id", "start", F.array_join("excerpt", " ").alias("excerpt"))
 
 
-@query(f"SELECT doc_id, len(t) AS n FROM (SELECT doc_id, {TOK.format(t='text')} AS t FROM documents) WHERE len({TOK.format(t="array_to_string(t, ' ')")}) = len(t)")
+CHUNK = "flatten(list_transform(regexp_extract_all({t}, '\\s|\\S+'), lambda w: CASE WHEN length(w) <= 6 THEN [w] ELSE regexp_extract_all(w, '\\S{{1,4}}') END))"
+
+
+@query(f"""SELECT doc_id, len(t) AS n, len({CHUNK.format(t="array_to_string(x, '')")}) = 15 AS same
+    FROM (SELECT doc_id, t, t[2:16] AS x FROM (SELECT doc_id, {CHUNK.format(t='text')} AS t FROM documents) WHERE len(t) >= 16)""")
 def round_trip_check(spark, sf_dir):
-    rows = words(table(spark, sf_dir, "documents")).withColumn("n", F.size("t"))
-    return P.round_trip(rows, "t", lambda t: F.array_join(t, " "), S.tokens, F.col("n")).select("doc_id", "n")
+    """Fifteen tokens from the second on, which may lie in the middle of a word: many are others once they are cut again."""
+    tokenizer = chunked()
+    rows = table(spark, sf_dir, "documents").select("doc_id", tokenizer.encode(F.col("text")).alias("t")).where(F.size("t") >= 16)
+    rows = rows.select("doc_id", F.size("t").alias("n"), F.slice("t", 2, 15).alias("x"))
+    kept = P.round_trip(rows, "x", tokenizer, 15).select(F.col("doc_id").alias("_kept"))
+    return rows.join(kept, F.col("doc_id") == F.col("_kept"), "left").select("doc_id", "n", F.col("_kept").isNotNull().alias("same"))
 
 
 BUCKETS = [1, 2, 3, 4, 8, 16, 32, 48, 64, 96, 128]
@@ -251,6 +270,22 @@ def fused_row_mapping(spark, sf_dir):
     return P.fused_row_mapping(spark, 8, 4)
 
 
+@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS at, count(*) OVER () AS n FROM documents WHERE lang = 'en'), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS at, count(*) OVER () AS n FROM documents WHERE lang <> 'en'),
+    c AS (SELECT count(*) AS total FROM documents)
+    SELECT 'en' AS source, r.x AS sample, a.doc_id FROM c, range(CAST((SELECT total FROM c) * 3 // 4 AS BIGINT)) r(x) JOIN a ON r.x % a.n = a.at
+    UNION ALL SELECT 'other', r.x, b.doc_id FROM c, range(CAST((SELECT total FROM c) - (SELECT total FROM c) * 3 // 4 AS BIGINT)) r(x) JOIN b ON r.x % b.n = b.at""")
+def mixed_sources(spark, sf_dir):
+    """Three quarters English by weight, which is more than there is: its rows come again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    total = docs.count()
+    return P.mixed({"en": (docs.where("lang = 'en'"), 3.0), "other": (docs.where("lang <> 'en'"), 1.0)}, total, ["doc_id"]).select("source", "sample", "doc_id")
+
+
+@query("""SELECT CASE WHEN i < 12 THEN 'gate' ELSE 'up' END AS part, i % 12 AS "row", i AS fused_row FROM range(24) r(i)""")
+def gate_up_rows(spark, sf_dir):
+    return P.gate_up_mapping(spark, 24)
+
+
 @query()
 def sampled_indices(spark, sf_dir):
     return P.sampled_indices(spark, table(spark, sf_dir, "documents").count())
@@ -350,15 +385,38 @@ def expected_per_batch(spark, sf_dir):
     return R.expected_per_batch(table(spark, sf_dir, "events"), "event_type").withColumn("expected", r6(F.col("expected")))
 
 
-@query(f"""WITH d AS (SELECT CAST(n_chars AS DOUBLE) AS x, CAST(len({TOK.format(t='text')}) AS DOUBLE) AS y FROM documents),
-    k AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM d)
-    SELECT round(corr(x, y), 6) AS pearson_r, round(corr(rx, ry), 6) AS spearman_rho, count(*) AS n FROM k""")
+#: Ranks, correlations and p-values: twice the upper tail of Student's density, by Simpson's rule.
+CORRELATIONS_SQL = """k AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM d),
+    r AS (SELECT corr(x, y) AS pearson_r, corr(rx, ry) AS spearman_rho, count(*) AS n FROM k)"""
+
+
+@query(f"""WITH d AS (SELECT CAST(n_chars AS DOUBLE) AS x, CAST(len({TOK.format(t='text')}) AS DOUBLE) AS y FROM documents), {CORRELATIONS_SQL}
+    SELECT round(pearson_r, 6) AS pearson_r, round(spearman_rho, 6) AS spearman_rho, n FROM r""")
 def correlations(spark, sf_dir):
     rows = words(table(spark, sf_dir, "documents")).select(F.col("n_chars").alias("a"), F.size("t").alias("b"))
     found = R.correlations(rows, "a", "b")
     return found.select(r6(F.col("pearson_r")).alias("pearson_r"), r6(F.col("spearman_rho")).alias("spearman_rho"), "n")
 
 
+@query(f"""WITH d AS (SELECT CAST(doc_id % 97 AS DOUBLE) AS x, CAST(n_chars AS DOUBLE) AS y FROM documents), {CORRELATIONS_SQL},
+    t AS (SELECT kind, n - 2 AS df, abs(v) * sqrt((n - 2) / (1 - v * v)) AS t FROM (SELECT 'pearson' AS kind, pearson_r AS v, n FROM r UNION ALL SELECT 'spearman', spearman_rho, n FROM r)),
+    s AS (SELECT kind, df, t, sum((CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * power(1 + (i * t / 4000) * (i * t / 4000) / df, -(df + 1) / 2)) AS w FROM t, range(4001) g(i) GROUP BY kind, df, t)
+    SELECT kind, round(1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * w * t / 12000, 6) AS p FROM s""")
+def correlation_p_values(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 97).alias("a"), F.col("n_chars").alias("b"))
+    found = R.correlations(rows, "a", "b")
+    kinds = [F.struct(F.lit(kind).alias("kind"), r6(F.col(f"{kind}_p")).alias("p")) for kind in ("pearson", "spearman")]
+    return found.select(F.explode(F.array(*kinds)).alias("x")).select("x.*")
+
+
+@query("""WITH v AS (SELECT value AS v FROM events WHERE value IS NOT NULL), e AS (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n, stddev_samp(v) * power(count(*), -0.2) * 0.5 AS h FROM v),
+    g AS (SELECT k, n, h, lo - 3 * h + k * (hi - lo + 6 * h) / 49 AS x FROM e, range(50) r(k))
+    SELECT round(x, 6) AS x, round(sum(exp(-((x - v) / h) * ((x - v) / h) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 9) AS density FROM g, v GROUP BY k, x""")
+def density_curve(spark, sf_dir):
+    found = R.density(table(spark, sf_dir, "events"), "value", 50)
+    return found.select(r6(F.col("x")).alias("x"), F.round("density", 9).alias("density"))
+
+
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem")
 def regression(spark, sf_dir):
     found = R.regression(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
@@ -426,11 +484,27 @@ def paraphrase_prompts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(S.paraphrase_prompt(F.col("text")), 256).alias("prompt"))
 
 
-@query("SELECT conv_id, count(*) AS messages, sha256(string_agg(role || ':' || text, '|' ORDER BY turn)) AS content FROM conversations GROUP BY conv_id")
-def chat_messages(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    line = F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), x["text"]))
-    return rows.select("conv_id", F.size("m").cast("long").alias("messages"), F.sha2(F.array_join(line, "|"), 256).alias("content"))
+@query("""SELECT conv_id, count(*) AS messages, sha256('{"messages":[' || string_agg('{"role":"user","content":"' || t || '"}', ',' ORDER BY turn) || '],"schema":"words"}') AS body
+    FROM (SELECT conv_id, turn, regexp_replace(text, '[^a-zA-Z0-9 .,]', '', 'g') AS t FROM conversations) GROUP BY conv_id""")
+def chat_requests(spark, sf_dir):
+    """All turns of a conversation as the messages of one request, with an answer schema."""
+    plain = F.regexp_replace("text", "[^a-zA-Z0-9 .,]", "").alias("t")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", plain).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "t"))).alias("m"))
+    return rows.select("conv_id", F.size("m").cast("long").alias("messages"), F.sha2(S.chat_request(F.transform("m", lambda x: x["t"]), "words"), 256).alias("body"))
+
+
+@query("SELECT event_id, upper(event_type[1]) || lower(event_type[2:]) AS name, strftime(ts, '%Y%m%d_%H%M%S') AS stamp, event_id % 3 AS kind FROM events WHERE event_type IN ('click', 'view')")
+def event_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where(S.included(F.col("event_type"), ["click", "view"]))
+    kind = F.get(S.int_set(F.concat(F.lit("x, "), F.col("event_id") % 3, F.lit(" ,"), F.col("event_id") % 3)), F.lit(0))
+    return rows.select("event_id", S.capitalised(F.col("event_type")).alias("name"), S.timestamp_text(F.col("ts")).alias("stamp"), kind.cast("long").alias("kind"))
+
+
+@query("""WITH c AS (SELECT role AS token, count(*) AS count FROM conversations GROUP BY role) SELECT token, count, printf('%8s | %-15s | %5d', token, token, count) AS line FROM c""")
+def token_count_table(spark, sf_dir):
+    from echotrace.sources.sinks import token_count_lines
+
+    return token_count_lines(table(spark, sf_dir, "conversations"), "role")
 
 
 @query("""SELECT doc_id, doc_id % 7 AS "offset", 50 + doc_id % 3 AS prefix, 500 AS suffix, doc_id % 11 AS rep, CASE WHEN doc_id % 2 = 0 THEN 'greedy' ELSE 'nucleus' END AS policy, doc_id % 4 AS "rank" FROM documents""")

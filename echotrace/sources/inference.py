@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from echotrace.sources.shared import exists
+
 _IDS = T.ArrayType(T.IntegerType())
 DENSE = T.StructType().add("prefix", _IDS).add("true_suffix", _IDS).add("generated_suffix", _IDS)
 SPARSE = T.StructType([*DENSE.fields, T.StructField("nll", T.ArrayType(T.DoubleType())), T.StructField("nll_mean", T.DoubleType()), T.StructField("nll_std", T.DoubleType())])
@@ -32,21 +34,43 @@ def experiment_columns(name: Column) -> list[Column]:
     return [text("llama_([^_]+)_").alias("size"), F.when(F.contains(name, F.lit("_Standard_")), "standard").otherwise("goldfish").alias("kind"), *(_number(name, p).alias(c) for c, p in (("k", "_K_(\\d+)"), ("h", "_H_(\\d+)"), ("batch", "_GBS_(\\d+)"), ("sequence", "_SEQ_(\\d+)")))]
 
 
-def read_rank_files(spark: SparkSession, path: str | list[str], schema: T.StructType = SPARSE) -> DataFrame:
-    """All records below path with their path columns (len_prefix and len_suffix for the lengths) and, for each directory, seq_idx: the place in the source before the deal.
+def read_rank_files(spark: SparkSession, path: str | list[str], schema: T.StructType = SPARSE, order: bool = True) -> DataFrame:
+    """All records below path with their path columns (expr, the experiment's folder; len_prefix and len_suffix for the lengths) and, for each
+    directory of ranks, seq_idx: the place in the source before the deal. Without order, records come as they are read and have no seq_idx.
 
-    The order inside a file is that of (block start, row in the task), which Spark keeps for splits of a file; ranks are
-    compared as numbers, so ten and more ranks are right as well, and ranks may have different numbers of rows.
+    rankN.jsonl is a file or a folder of part files in order of their names. The order inside a file is that of (block start, row
+    in the task), which Spark keeps for splits of a file; ranks are compared as numbers, so ten and more ranks are right as
+    well, and ranks may have different numbers of rows.
     """
     from pyspark.sql.window import Window
 
-    rows = spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
-    rows = rows.withColumn("_dir", F.regexp_replace("_path", "/[^/]*$", "")).select("*", *path_columns(F.col("_path"), "len_prefix", "len_suffix"))
-    place = F.row_number().over(Window.partitionBy("_path").orderBy("_block", "_row")) - 1
+    reader = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*")
+    rows = reader.json(path).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    expr = F.nullif(F.regexp_extract("_path", "([^/]+)/inference/", 1), F.lit("")).alias("expr")
+    rows = rows.withColumn("_dir", F.regexp_replace("_path", "/rank\\d+\\.jsonl.*$", "")).select("*", expr, *path_columns(F.col("_path"), "len_prefix", "len_suffix"))
+    if not order:
+        return rows.drop("_path", "_block", "_row", "_dir")
+    place = F.row_number().over(Window.partitionBy("_dir", "rank").orderBy("_path", "_block", "_row")) - 1
     world = rows.select("_dir", "rank").distinct().groupBy("_dir").agg(F.count("*").alias("_world"))  # a row for each directory
     return rows.withColumn("_place", place).join(world, "_dir").withColumn("seq_idx", F.col("_place") * F.col("_world") + F.col("rank")).drop("_path", "_block", "_row", "_dir", "_place", "_world")
 
 
+def require_paths(spark: SparkSession, paths: list[str]) -> None:
+    """An error that names the paths that aren't there."""
+    if missing := [p for p in paths if not exists(spark, p)]:
+        raise FileNotFoundError(f"{len(missing)} of {len(paths)} paths are missing, such as {missing[0]}")
+
+
+def first_match(spark: SparkSession, pattern: str) -> str:
+    """The first path, by name, that a glob matches; an error if none does."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    names = sorted(status.getPath().toString() for status in found or [])
+    if not names:
+        raise FileNotFoundError(f"nothing matches {pattern}")
+    return names[0]
+
+
 def list_checkpoints(spark: SparkSession, base: str) -> DataFrame:
     """step, consumed and path of the checkpoint folders below base, in numeric order."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct()
@@ -69,7 +93,7 @@ def read_requested_buckets(spark: SparkSession, path: str, repetitions: list[int
     """Bucket files rep_{k}_token.jsonl of the requested repetitions; rep is a column. Other files aren't read."""
     schema = schema or T.StructType().add("input_ids", _IDS)
     names = [f"{path}/rep_{k}_token.jsonl" for k in sorted(repetitions)]
-    return spark.read.schema(schema).json(names).withColumn("rep", _number(F.col("_metadata.file_name"), "rep_(\\d+)_"))
+    return spark.read.schema(schema).json(names).withColumn("rep", _number(F.col("_metadata.file_path"), "rep_(\\d+)_token"))
 
 
 def read_lines(spark: SparkSession, path: str, schema: T.StructType = SPARSE) -> DataFrame:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from echotrace.functions import sequences as S
 from echotrace.operators.matching import contributing_tokens, diff_opcodes
-from echotrace.operators.results import DIMENSIONS
+from echotrace.operators.results import DIMENSIONS, value_counts
+from echotrace.sources.shared import exists, global_row_number
 
 
 def write_tokens_and_text(df: DataFrame, folder: str, tokens: str = "selected_tokens", text: str = "detokenized_texts") -> None:
@@ -21,6 +27,59 @@ def write_tokens_and_text(df: DataFrame, folder: str, tokens: str = "selected_to
     df.select(F.col(text).alias("text")).write.json(f"{folder}/text.jsonl")
 
 
+def write_rank_files(records: DataFrame, folder: str, order: list[Column], world: int = 1) -> int:
+    """JSON lines by rank, as `world` generators would leave them: row i in the given order goes to rank i % world, as its next line.
+
+    rankN.jsonl is a folder of part files in order, so a rank's rows needn't pass one task. Returns the number of records.
+    """
+    numbered, n = global_row_number(records, order, "_at")
+    for rank in range(world):
+        own = numbered.where(F.col("_at") % world == rank)
+        own.repartitionByRange("_at").sortWithinPartitions("_at").drop("_at").write.json(f"{folder}/rank{rank}.jsonl")
+    return n
+
+
+def write_if_missing(df: Callable[[], DataFrame], path: str, spark: SparkSession) -> bool:
+    """Writes JSON lines to path unless a whole result is there already; whether it wrote. What a broken run left is replaced."""
+    if exists(spark, f"{path}/_SUCCESS"):
+        return False
+    df().write.mode("overwrite").json(path)
+    return True
+
+
+def _file_system(path: str):
+    """The pyarrow file system of a URI or plain path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+
+
+def write_bytes(path: str, content: bytes) -> None:
+    """One file, written by the caller; a file that is there is replaced."""
+    system, at = _file_system(path)
+    system.create_dir(at.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(at) as out:
+        out.write(content)
+
+
+def write_token_records(df: DataFrame, folder: str, tokens: str = "tokens") -> None:
+    """Token sequences of one length as records of little-endian 32-bit ids: a file for each partition, in its order."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = _file_system(folder)
+        part = TaskContext.get().partitionId()
+        system.create_dir(at, recursive=True)
+        n = 0
+        with system.open_output_stream(f"{at}/.part-{part:05d}.tmp") as out:
+            for batch in batches:
+                out.write(pc.list_flatten(batch.column(0)).to_numpy().astype("<i4").tobytes())
+                n += batch.num_rows
+        system.move(f"{at}/.part-{part:05d}.tmp", f"{at}/part-{part:05d}.bin")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    df.select(F.col(tokens).cast("array<int>")).mapInArrow(write, "n long").count()
+
+
 def existing_keys(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
     """The distinct keys of what is at path, or None if nothing is."""
     try:
@@ -61,12 +120,68 @@ def results_from_dict(spark: SparkSession, tree: dict) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def generation_report(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
-    """keys and html: both sequences with the tokens of their longest common subsequence marked, and the changes as a table."""
-    marked = contributing_tokens(pairs, keys, a, b).select(*keys, "positions1", "positions2")
-    cells = [F.concat(F.lit("<td>"), F.col(c).cast("string"), F.lit("</td>")) for c in ("tag", "start1", "end1", "start2", "end2")]
-    changes = diff_opcodes(pairs, keys, a, b).where("tag <> 'equal'").select(*keys, F.struct("start1", "start2", F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("row")).alias("r"))
-    table = changes.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["row"]), "").alias("rows"))
-    both = pairs.join(marked, keys).join(table, keys, "left")
-    block = lambda c, p: F.concat(F.lit("<p>"), S.highlighted(F.col(c), F.col(p)), F.lit("</p>"))
-    return both.select(*keys, F.concat(block(a, "positions1"), block(b, "positions2"), F.lit("<table>"), F.coalesce("rows", F.lit("")), F.lit("</table>")).alias("html"))
+#: How the report shows a part of a sequence.
+_STYLE = ".pair{display:grid;grid-template-columns:4em 1fr 4em 1fr;font-family:monospace}.lines{text-align:right;color:#666}.text{white-space:pre-wrap}.delete{background:#fdd}.insert{background:#dfd}.shared{background:#ffc}"
+
+
+def _span(kind: Column | str, text: Column) -> Column:
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return F.concat(F.lit('<span class="'), kind, F.lit('">'), S.escape_markup(text), F.lit("</span>"))
+
+
+def _numbered(text: Column, body: Column) -> Column:
+    """A column of line numbers and the text beside it."""
+    numbers = F.array_join(F.sequence(F.lit(1), S.line_count(text).cast("int")), "\n")
+    return F.concat(F.lit('<div class="lines">'), numbers, F.lit('</div><div class="text">'), body, F.lit("</div>"))
+
+
+def generation_report(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b", decode: Callable[[Column], Column] | None = None) -> DataFrame:
+    """keys, rouge_l and html: both sequences side by side with line numbers, once with the parts of their diff and once with the
+    tokens of their longest common subsequence marked, and the Rouge-L score.
+
+    decode puts an array of tokens together; tokens are joined by spaces without it.
+    """
+    decode = decode or (lambda t: F.array_join(F.transform(t, lambda x: x.cast("string")), " "))
+    steps = diff_opcodes(pairs.select(*keys, a, b), keys, a, b).join(pairs.select(*keys, a, b), keys)
+    part = lambda c, k: F.slice(c, F.col(f"start{k}") + 1, F.col(f"end{k}") - F.col(f"start{k}"))
+    kinds = [F.when(F.col("tag") == "equal", "equal").otherwise(kind) for kind in ("delete", "insert")]
+    shown = [F.when(F.col(f"end{k}") > F.col(f"start{k}"), _span(kind, decode(part(c, k)))).otherwise("").alias(f"s{k}") for (k, c), kind in zip(((1, a), (2, b)), kinds, strict=True)]
+    steps = steps.select(*keys, "start1", "start2", *shown).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start1", "start2", "s1", "s2"))).alias("steps"))
+    common = contributing_tokens(pairs, keys, a, b).select(*keys, "n", "positions1", "positions2")
+    rows = pairs.select(*keys, a, b).join(common, keys).join(steps, keys, "left")
+    marked = lambda c, at: F.array_join(F.transform(F.col(c), lambda x, i: _span(F.when(F.array_contains(at, i), "shared").otherwise("other"), x.cast("string"))), " ")
+    diff = lambda k: F.coalesce(F.array_join(F.transform("steps", lambda x: x[f"s{k}"]), ""), F.lit(""))
+    score = S.rouge_l(F.col("n"), F.size(a), F.size(b))
+    texts = [decode(F.col(c)) for c in (a, b)]
+    views = [(diff(1), diff(2)), (marked(a, F.col("positions1")), marked(b, F.col("positions2")))]
+    grids = [F.concat(F.lit('<div class="pair">'), _numbered(texts[0], left), _numbered(texts[1], right), F.lit("</div>")) for left, right in views]
+    head = F.concat(F.lit(f"<style>{_STYLE}</style><p>Rouge-L: "), F.format_string("%.4f", score), F.lit("</p>"))
+    return rows.select(*keys, score.alias("rouge_l"), F.concat(head, *grids).alias("html"))
+
+
+def report_names(experiment: Column, rep: Column, seq_idx: Column, offset: Column, at: Column) -> Column:
+    """The name of a sequence's report file."""
+    number = lambda x: x.cast("string")
+    return F.concat(experiment, F.lit("_generation_rep"), number(rep), F.lit("_seq"), number(seq_idx), F.lit("_offset"), number(offset), F.lit("_"), S.timestamp_text(at), F.lit(".html"))
+
+
+def write_reports(reports: DataFrame, folder: str, name: str = "name", html: str = "html") -> None:
+    """One file for each row, written where the row is; a task that runs twice writes the same files."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = _file_system(folder)
+        system.create_dir(at, recursive=True)
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with system.open_output_stream(f"{at}/{file}") as out:
+                    out.write(content.encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["name"])
+
+    reports.select(F.col(name).cast("string"), F.col(html).cast("string")).mapInArrow(write, "name string").count()
+
+
+def token_count_lines(tokens: DataFrame, token: str, decode: Callable[[Column], Column] | None = None) -> DataFrame:
+    """token, count and line: how often each contributing token occurs, as a row of a text table, in the order of tokens."""
+    counts = value_counts(tokens, F.col(token), "token")
+    text = S.visible_white_space((decode or (lambda t: t.cast("string")))(F.col("token")))
+    return counts.select("token", "count", F.format_string("%8s | %-15s | %5d", F.col("token").cast("string"), text, "count").alias("line"))

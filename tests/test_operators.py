@@ -1,13 +1,16 @@
 import json
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from echotrace.functions import sequences as S
+from echotrace.functions import tokenizers
 from echotrace.operators import generate, matching, prepare, results, validate
-from echotrace.sources import binary, inference, sinks
+from echotrace.plans import pipelines
+from echotrace.sources import binary, inference, shared, sinks
 
 
 def test_longest_common_substring_both_ways(spark):
@@ -148,3 +151,103 @@ def test_round_trip_and_macro_mean(spark):
     assert (row["mean_length"], row["with_match"], row["sequences"]) == (4.5, 2, 3)
     df = spark.createDataFrame([(["a", "b"],), (["a b", "c"],)], "t array<string>")
     assert prepare.round_trip(df, "t", lambda t: F.array_join(t, " "), S.tokens, 2).count() == 1
+
+
+def test_take_first_and_mixing_need_rows(spark):
+    df = spark.range(5)
+    assert [r["id"] for r in prepare.take_first(df, "id", 3).collect()] == [0, 1, 2]
+    with pytest.raises(ValueError, match="there are 5"):
+        prepare.take_first(df, "id", 6)
+    found = prepare.mixed({"a": (spark.range(3), 1.0), "b": (spark.range(10, 12), 1.0)}, 9, ["id"]).collect()
+    counts = {s: sorted(r["id"] for r in found if r["source"] == s) for s in "ab"}
+    assert len(found) == 9 and counts == {"a": [0, 0, 1, 1, 2], "b": [10, 10, 11, 11]}
+    with pytest.raises(ValueError, match="no row"):
+        prepare.mixed({"a": (spark.range(0), 1.0)}, 1, ["id"])
+
+
+def test_sampled_indices_hold_the_fixed_ones_and_as_many_others(spark):
+    for total, step, extra in ((1, 500, 100), (500, 500, 100), (1000, 500, 100), (130, 50, 10), (1000, 50, 0)):
+        got = [r["index"] for r in prepare.sampled_indices(spark, total, step, extra).collect()]
+        fixed = {0, total - 1} | (set(range(0, total, step)) if total > step else set())
+        assert len(got) == len(set(got)) == len(fixed) + (min(extra, total - len(fixed)) if total > step else 0)
+        assert fixed <= set(got) and all(0 <= i < total for i in got)
+        assert got == [r["index"] for r in prepare.sampled_indices(spark, total, step, extra).collect()] or sorted(got) == sorted(r["index"] for r in prepare.sampled_indices(spark, total, step, extra).collect())
+
+
+def test_exact_quantiles_and_ranks(spark):
+    rnd = random.Random(3)
+    values = [rnd.choice([1.0, 2.5, 2.5, 7.0, rnd.random()]) for _ in range(101)] + [None, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    known = sorted(v for v in values if v is not None)
+    for share in (0.0, 0.1, 0.25, 0.5, 0.99, 1.0):
+        assert results.exact_quantiles(df, "v", [share])[0] == pytest.approx(float(np.quantile(known, share)), abs=1e-12)
+    assert results.exact_quantiles(df.limit(0), "v", [0.5]) == [None]
+    ranks = {r["value"]: r["rank"] for r in results.average_ranks(df.where("v is not null"), "v").collect()}
+    for v in set(known):
+        places = [i + 1 for i, x in enumerate(known) if x == v]
+        assert ranks[v] == sum(places) / len(places)
+
+
+def test_tokenizer_hook(spark):
+    words = ["zero", "one", "two", "three"]
+    hook = tokenizers.injected(lambda texts: [[words.index(w) for w in t.split()] for t in texts], lambda ids: [" ".join(words[i] for i in x) for x in ids])
+    df = spark.createDataFrame([(1, "one two three zero one"), (2, "two"), (3, "three three three")], "id long, text string")
+    rows = {r["id"]: r for r in pipelines.excerpt_rows(df, hook, n_tokens=2).collect()}
+    assert set(rows) == {1, 3} and rows[3]["selected_tokens"] == [3, 3] and rows[3]["detokenized_texts"] == "three three"
+    a, b = rows[1]["selected_tokens"]
+    assert rows[1]["detokenized_texts"] == f"{words[a]} {words[b]}" and rows[1]["detokenized_texts"] in "one two three zero one"
+    with pytest.raises(ValueError):
+        pipelines.excerpt_rows(df, hook, n_tokens=2, n_rows=3)
+
+
+def test_first_match_and_required_paths(spark, tmp_path):
+    for name in ("step=2.bin", "step=1.bin"):
+        (tmp_path / name).write_text("x")
+    assert inference.first_match(spark, f"{tmp_path}/step=*.bin").endswith("step=1.bin")
+    with pytest.raises(FileNotFoundError):
+        inference.first_match(spark, f"{tmp_path}/none*")
+    inference.require_paths(spark, [str(tmp_path)])
+    with pytest.raises(FileNotFoundError, match="1 of 2"):
+        inference.require_paths(spark, [str(tmp_path), f"{tmp_path}/none"])
+
+
+def test_rank_files_that_are_written_are_read_in_order(spark, tmp_path):
+    rows = [(i, [i], [1], [1], [0.5], 0.5, 0.0) for i in range(23)]
+    fields = "i long, prefix array<int>, true_suffix array<int>, generated_suffix array<int>, nll array<double>, nll_mean double, nll_std double"
+    folder = f"{tmp_path}/e1/inference/offset_0_prefix_1_suffix_1/rep_8_greedy"
+    assert sinks.write_rank_files(spark.createDataFrame(rows, fields).repartition(6), folder, [F.col("i")], 4) == 23
+    back = inference.read_rank_files(spark, folder).collect()
+    assert sorted((r["seq_idx"], r["prefix"][0]) for r in back) == [(i, i) for i in range(23)]
+    assert {(r["expr"], r["rep"], r["policy"], r["rank"]) for r in back} == {("e1", 8, "greedy", k) for k in range(4)}
+    assert "seq_idx" not in inference.read_rank_files(spark, folder, order=False).columns
+
+
+def test_report_shows_both_sides(spark, tmp_path):
+    df = spark.createDataFrame([(1, ["a", "<b", "c"], ["a", "x", "c", "d"]), (2, [], ["y"])], "id long, a array<string>, b array<string>")
+    rows = {r["id"]: r for r in sinks.generation_report(df, ["id"]).collect()}
+    page = rows[1]["html"]
+    assert rows[1]["rouge_l"] == pytest.approx(4 / 7) and "Rouge-L: 0.5714" in page and "&lt;b" in page and "<b" not in page
+    for part in ('<span class="equal">a</span>', '<span class="delete">&lt;b</span>', '<span class="insert">x</span>', '<span class="insert">d</span>', '<span class="shared">c</span>', '<span class="other">x</span>', '<div class="lines">1</div>'):
+        assert part in page
+    assert rows[2]["rouge_l"] == 0 and '<span class="insert">y</span>' in rows[2]["html"]
+    reports = sinks.generation_report(df, ["id"]).withColumn("name", F.concat(F.col("id").cast("string"), F.lit(".html")))
+    sinks.write_reports(reports, str(tmp_path / "pages"))
+    assert (tmp_path / "pages" / "1.html").read_text() == page
+
+
+def test_density_integrates_to_one(spark):
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(rnd.gauss(0, 1),) for _ in range(400)], "v double")
+    points = results.density(df, "v", 200, adjust=1.0).collect()
+    step = points[1]["x"] - points[0]["x"]
+    assert sum(r["density"] for r in points) * step == pytest.approx(1, abs=0.01)
+
+
+def test_scratch_takes_its_tables_away(spark):
+    import glob
+
+    before = set(glob.glob(f"{shared.shared_dir(spark)}/echotrace-*"))
+    with shared.scratch(spark):
+        shared.stored(spark.range(3), "inside")
+        assert len(set(glob.glob(f"{shared.shared_dir(spark)}/echotrace-*")) - before) == 1
+    assert set(glob.glob(f"{shared.shared_dir(spark)}/echotrace-*")) == before
