@@ -1,15 +1,17 @@
 """Exact dedup by a tree merge of sorted digest runs. DataFrame functions only.
 
-Rows are dealt into RUNS runs by a hash of doc_id. Inside a run, a sort and merge on (sha256, byte length,
-xxhash64) leaves one entry for each digest: the id that stays and the number of copies. In each round FAN_IN neighbouring
-runs (run number divided by FAN_IN) exchange entries by digest and merge, until one run is left for each digest range;
-a range is a hash partition of the digest, so no task ever holds all digests. Copies of a frequent text
-are spread over RUNS runs and reach any later task as at most FAN_IN entries. Going down again, each row takes its
-group's result through its own (run, digest) entry, so that join isn't skewed either.
+A run is what one partition of the input holds. Rounds are binomial: in each, runs 2k and 2k + 1 (fan_in neighbours) exchange their
+entries by digest and merge to run k, until one run is left. The sort aggregate of a task merges its own sorted entries
+before the exchange, and the one behind it merges those that meet; a run is spread over the shuffle's partitions by digest, so no task
+ever holds a whole run. An entry is a digest, the identifier that stays, the number of copies and, where a digest
+occurs more than once, the text: entries merge only if their texts are equal byte for byte, so at every level the
+identifier that is retained is a verified one, and different texts of one digest stay apart to the end.
 
-Verification: before the merge, texts of repeated digests are compared byte for byte, again up the same tree: each merge
-keeps the smallest and largest text of the entry, and a digest whose two differ is a collision. Rows of such digests get
-the text itself into their key, so results are exact whatever the digest.
+Which digests occur more than once is known beforehand from a count of 64-bit hashes of digests; one too many there costs a text but
+changes nothing. Texts of other rows never move. Going down, each row takes its group's result through its own run's
+entry, so a frequent text is one row of a run in that join as well.
+
+Copies of a frequent text are one entry of each run from the first merge on, whatever their ids.
 
 Defined results: null text counts as empty; null ids lose to any id, and a group of null ids only has a null keep_id and
 its first row stays; of rows with equal id and text exactly one stays; an empty table gives an empty result; other columns
@@ -21,70 +23,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echotrace.llm._common import stored, text_or_empty
+from echotrace.llm._common import broadcast_if_small, stored, text_or_empty
 
-RUNS, FAN_IN = 64, 8
+FAN_IN = 2
 
 
 def _sha256(text: Column) -> Column:
-    return F.sha2(text.cast("binary"), 256)
-
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
-def _merged(entries: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
-    return entries.groupBy("run", *keys).agg(*aggs)
 
+def merged_runs(entries: DataFrame, key: list[str], aggs: list[Column], runs: int, fan_in: int = FAN_IN, rounds: int | None = None) -> tuple[DataFrame, int]:
+    """The entries after so many rounds of merges, or after as many as leave one run, and the number of runs left; aggs combine entries into entries."""
+    while runs > 1 if rounds is None else rounds > 0:
+        runs, rounds = -(-runs // fan_in), None if rounds is None else rounds - 1
+        entries = entries.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).groupBy("run", *key).agg(*aggs)
+    return entries, runs
 
-def _tree(level0: DataFrame, keys: list[str], aggs: list[Column], runs: int, fan_in: int) -> DataFrame:
-    """Binomial rounds: merges runs by fan_in until one is left; aggs combine entries into entries."""
-    level, left = level0, runs
-    while left > 1:
-        left = -(-left // fan_in)
-        level = _merged(level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")), keys, aggs)
-    return level.drop("run")
 
-
-def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text", runs: int = RUNS, fan_in: int = FAN_IN, digest=_sha256, verify: bool = True) -> DataFrame:
+def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN, digest=_sha256) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row; keep: 'smallest' or 'largest' id stays."""
-    text = text_or_empty(text_col)
     best = {"smallest": F.min, "largest": F.max}[keep]
-    tagged = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("place"))
-    tagged = tagged.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int"))
-    tagged = tagged.withColumn("digest", digest(F.col("text"))).withColumn("length", F.octet_length("text").cast("long")).withColumn("check", F.xxhash64("text") if digest is _sha256 else F.lit(0).cast("long"))
-    key = ["digest", "length", "check"]
-    slim = tagged.select("doc_id", "place", "run", *key, _sha256(F.col("text")).alias("text_sha256")) if digest is not _sha256 else tagged.select("doc_id", "place", "run", *key)
-    slim = stored(slim, "digests")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    code = F.xxhash64(digest(F.col("text")))
+    repeated = texts.select(code.alias("code")).groupBy("code").count().where("count > 1").select("code")
+    repeated = broadcast_if_small(stored(repeated, "repeated-digests").withColumn("again", F.lit(True)))
+
+    # Rows with their run. The text goes with those of repeated digests only.
+    rows = texts.withColumn("run", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
+    rows = rows.withColumn("digest", digest(F.col("text"))).withColumn("code", F.xxhash64("digest"))
+    sha256 = [] if digest is _sha256 else [_sha256(F.col("text")).alias("sha256")]
+    body = F.when(F.col("again"), F.col("text")).otherwise("").alias("body")
+    rows = stored(rows.join(repeated, "code", "left").select("doc_id", "place", "run", "digest", *sha256, body), "rows")
+
     # max/min of (has id, id) prefers rows with an id for either order.
-    rank = F.struct(F.col("doc_id").isNull().alias("none") if keep == "smallest" else F.col("doc_id").isNotNull().alias("some"), F.col("doc_id"), F.col("place"))
-    level0 = stored(_merged(slim.sortWithinPartitions(*key), key, [best(rank).alias("stay"), F.count("*").alias("n")]), "runs")
-    up = [best("stay").alias("stay"), F.sum("n").alias("n")]
-    top = _tree(level0, key, up, runs, fan_in)
-
-    if verify:
-        top = stored(top, "groups")
-        repeated = level0.join(top.where("n > 1").select(*key), key, "left_semi").select("run", *key)
-        texts = tagged.select("run", *key, "text").join(repeated, ["run", *key], "left_semi")
-        ends = _merged(texts, key, [F.min("text").alias("lo"), F.max("text").alias("hi")])
-        ends = _tree(ends, key, [F.min("lo").alias("lo"), F.max("hi").alias("hi")], runs, fan_in)
-        clashes = stored(ends.where("lo <> hi").select(*key), "clashes")
-        if not clashes.isEmpty():
-            return _split_clashes(tagged, slim, level0, top, clashes, key, rank, best, runs, fan_in)
-    return _down(slim, level0, top, key)
-
-
-def _down(slim: DataFrame, level0: DataFrame, top: DataFrame, key: list[str]) -> DataFrame:
-    entries = level0.select("run", *key).join(top, key)
-    sha = F.col("text_sha256") if "text_sha256" in slim.columns else F.col("digest")
+    known = F.col("doc_id").isNull().alias("none") if keep == "smallest" else F.col("doc_id").isNotNull().alias("some")
+    rank = F.struct(known, F.col("doc_id"), F.col("place"))
+    key = ["digest", "body"]
+    runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
+    # The first round merges the rows of each run before their exchange.
+    first, runs = merged_runs(rows, key, [best(rank).alias("stay"), F.count("*").alias("n")], runs, fan_in, 1)
+    first = stored(first, "first-round")
+    top, _ = merged_runs(first, key, [best("stay").alias("stay"), F.sum("n").alias("n")], runs, fan_in)
+    top = stored(top.drop("run"), "groups")
+
+    # Texts go down the tree only if there are two to a digest.
+    if top.groupBy("digest").count().where("count > 1").isEmpty():
+        key = ["digest"]
+    entries = first.select("run", *key).join(top.select(*key, "stay", "n"), key)
+    rows = rows if key == ["digest", "body"] else rows.drop("body")
+    rows = rows.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
+    found = rows.join(entries, ["run", *key])
     kept = (F.col("stay.place") == F.col("place")).alias("kept")
-    return slim.join(entries, ["run", *key]).select("doc_id", F.col("stay.doc_id").alias("keep_id"), F.col("n").alias("group_size"), kept, sha.alias("text_sha256"))
-
-
-def _split_clashes(tagged, slim, level0, top, clashes, key, rank, best, runs, fan_in) -> DataFrame:
-    """The result where different texts share a digest: those rows are grouped by their text."""
-    good = _down(slim.join(clashes, key, "left_anti"), level0, top.join(clashes, key, "left_anti"), key)
-    bad = tagged.join(clashes, key, "left_semi").withColumn("text_sha256", _sha256(F.col("text"))).select("doc_id", "place", "run", "text_sha256", "text")
-    bad = stored(bad, "clashing")
-    exact = ["text_sha256", "text"]
-    level = _merged(bad, exact, [best(rank).alias("stay"), F.count("*").alias("n")])
-    whole = _tree(level, exact, [best("stay").alias("stay"), F.sum("n").alias("n")], runs, fan_in)
-    found = bad.join(level.select("run", *exact).join(whole, exact), ["run", *exact])
-    return good.unionByName(found.select("doc_id", F.col("stay.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("stay.place") == F.col("place")).alias("kept"), "text_sha256"))
+    text_sha256 = F.lower(F.hex("sha256" if sha256 else "digest")).alias("text_sha256")
+    return found.select("doc_id", F.col("stay.doc_id").alias("keep_id"), F.col("n").alias("group_size"), kept, text_sha256)
