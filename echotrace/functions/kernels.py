@@ -363,14 +363,18 @@ def longest_run_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(_rows("length start1 end1 start2 end2"))
 def disjoint_matches_udf(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
     names = ("length", "start1", "end1", "start2", "end2")
-    return pd.Series([[dict(zip(names, t, strict=True)) for t in disjoint_matches(x, y, int(k))] for (x, y), k in zip(_pairs(a, b), least, strict=True)])
+    return pd.Series(
+        [[dict(zip(names, t, strict=True)) for t in disjoint_matches(x, y, int(k))] for (x, y), k in zip(_pairs(a, b), least, strict=True)]
+    )
 
 
 @F.pandas_udf(_rows("length edits start1 end1 start2 end2"))
 def relaxed_matches_udf(a: pd.Series, b: pd.Series, min_consecutive: pd.Series, max_edits: pd.Series) -> pd.Series:
     names = ("length", "edits", "start1", "end1", "start2", "end2")
     rows = zip(_pairs(a, b), min_consecutive, max_edits, strict=True)
-    return pd.Series([[dict(zip(names, t, strict=True)) for t in uncontained(relaxed_spans(x, y, int(c), int(e)))] for (x, y), c, e in rows])
+    return pd.Series(
+        [[dict(zip(names, t, strict=True)) for t in uncontained(relaxed_spans(x, y, int(c), int(e)))] for (x, y), c, e in rows]
+    )
 
 
 @F.pandas_udf(_rows("tag start1 end1 start2 end2"))

@@ -90,7 +90,13 @@ def line_count(text: Column) -> Column:
 
 def highlighted(seq: Column, at: Column, opening: str = "<mark>", closing: str = "</mark>") -> Column:
     """The tokens as one string, those at the given positions between marks."""
-    shown = F.transform(seq, lambda x, i: F.when(F.array_contains(at, i), F.concat(F.lit(opening), escape_markup(x.cast("string")), F.lit(closing))).otherwise(escape_markup(x.cast("string"))))
+    shown = F.transform(
+        seq,
+        lambda x,
+        i: F.when(F.array_contains(at, i), F.concat(F.lit(opening), escape_markup(x.cast("string")), F.lit(closing))).otherwise(
+            escape_markup(x.cast("string"))
+        ),
+    )
     return F.array_join(shown, " ")
 
 
@@ -99,7 +105,9 @@ def chat_messages(texts: Column, role: str = "user") -> Column:
 
 
 def paraphrase_prompt(text: Column) -> Column:
-    return F.concat(F.lit("Rewrite the following text in other words and keep its meaning.\n\nText:\n"), text, F.lit("\n\nRewritten text:\n"))
+    return F.concat(
+        F.lit("Rewrite the following text in other words and keep its meaning.\n\nText:\n"), text, F.lit("\n\nRewritten text:\n")
+    )
 
 
 def chat_request(texts: Column, schema: str | None = None, role: str = "user") -> Column:
@@ -112,7 +120,9 @@ def chat_request(texts: Column, schema: str | None = None, role: str = "user") -
 
 def int_set(text: Column) -> Column:
     """The distinct numbers of a comma-separated list, ascending; what isn't a number goes."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("int")), lambda x: x.isNotNull())))
+    return F.array_sort(
+        F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("int")), lambda x: x.isNotNull()))
+    )
 
 
 def capitalised(text: Column) -> Column:

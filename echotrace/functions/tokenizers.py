@@ -32,7 +32,10 @@ def chunked(whole: int = 6, part: int = 4) -> Tokenizer:
     """
     def encode(text: Column) -> Column:
         words = F.regexp_extract_all(text, F.lit("(\\s|\\S+)"), F.lit(1))
-        split = F.transform(words, lambda w: F.when(F.length(w) <= whole, F.array(w)).otherwise(F.regexp_extract_all(w, F.lit(f"(\\S{{1,{part}}})"), F.lit(1))))
+        split = F.transform(
+            words,
+            lambda w: F.when(F.length(w) <= whole, F.array(w)).otherwise(F.regexp_extract_all(w, F.lit(f"(\\S{{1,{part}}})"), F.lit(1))),
+        )
         return F.flatten(split)
 
     return Tokenizer(encode, lambda t: F.array_join(t, ""))

@@ -23,7 +23,18 @@ def with_split(records: DataFrame, cell: list[str], order: str, train: float = 0
     return records.withColumn("split", F.when(at < a, "train").when(at < a + b, "validation").otherwise("test"))
 
 
-def split_curves(records: DataFrame, model: str = "model", step: str = "step", order: str = "seq_idx", a: str = "a", b: str = "b", how: str = "longest", train: float = 0.9, validation: float = 0.05, steps_per_epoch: int = 75) -> DataFrame:
+def split_curves(
+    records: DataFrame,
+    model: str = "model",
+    step: str = "step",
+    order: str = "seq_idx",
+    a: str = "a",
+    b: str = "b",
+    how: str = "longest",
+    train: float = 0.9,
+    validation: float = 0.05,
+    steps_per_epoch: int = 75,
+) -> DataFrame:
     """model, step, split, epoch, avg_length: the mean longest common substring, or with how = 'all' the mean over sequences of
     their mean common substring, sequences without one left out."""
     keys = [model, step, order]
@@ -48,9 +59,13 @@ def collected(frames: dict[tuple[str, int], DataFrame], required: str) -> DataFr
 
 def replication_totals(spark: SparkSession, repetitions: list[int], bucket: int = 500, sequence: int = 8192, corpus: int = 0) -> DataFrame:
     """sequences and tokens of the replicated buckets, all tokens, and the share of the replicated ones."""
-    sums = spark.range(1).select(F.explode(F.array(*(F.lit(r).cast("long") for r in repetitions))).alias("r")).agg((F.sum("r") * bucket).alias("sequences"))
+    sums = spark.range(1).select(F.explode(F.array(*(F.lit(r).cast("long") for r in repetitions))).alias("r")).agg(
+        (F.sum("r") * bucket).alias("sequences")
+    )
     tokens = F.col("sequences") * sequence
-    return sums.select("sequences", tokens.alias("tokens"), (tokens + corpus).alias("total_tokens"), (tokens / (tokens + corpus)).alias("share"))
+    return sums.select(
+        "sequences", tokens.alias("tokens"), (tokens + corpus).alias("total_tokens"), (tokens / (tokens + corpus)).alias("share")
+    )
 
 
 def summary_lines(statistics: DataFrame, labels: list[str], mean: str = "mean", std: str = "std") -> DataFrame:

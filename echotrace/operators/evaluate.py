@@ -86,6 +86,15 @@ def eval_expr(spark: SparkSession, config: EvalConfig) -> Results:
     return Results(_scores(spark, [config]))
 
 
-def eval_rouge_ttr(spark: SparkSession, base_path: str, experiments: list[str], repetitions: list[int], policy: str = "greedy", offset: int = 0, prefix: int = 500, suffix: int = 500) -> Results:
+def eval_rouge_ttr(
+    spark: SparkSession,
+    base_path: str,
+    experiments: list[str],
+    repetitions: list[int],
+    policy: str = "greedy",
+    offset: int = 0,
+    prefix: int = 500,
+    suffix: int = 500,
+) -> Results:
     """The same for several experiments at one offset, prefix and suffix."""
     return Results(_scores(spark, [EvalConfig(base_path, e, repetitions, policy, [offset], [prefix], [suffix]) for e in experiments]))

@@ -29,7 +29,9 @@ def maximal_runs(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b")
     points = match_points(pairs, keys, a, b).withColumn("d", F.col("i") - F.col("j"))
     diagonal = Window.partitionBy(*keys, "d").orderBy("i")
     island = points.withColumn("island", F.col("i") - F.row_number().over(diagonal))
-    runs = island.groupBy(*keys, "d", "island").agg(F.count("*").cast("int").alias("length"), F.min("i").alias("start1"), F.min("j").alias("start2"))
+    runs = island.groupBy(*keys, "d", "island").agg(
+        F.count("*").cast("int").alias("length"), F.min("i").alias("start1"), F.min("j").alias("start2")
+    )
     return runs.drop("d", "island")
 
 
@@ -48,10 +50,19 @@ def longest_common_substring(pairs: DataFrame, keys: list[str], a: str = "a", b:
     best = runs.groupBy(*keys).agg(F.min_by(F.struct("length", "start1", "start2"), order).alias("m"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("int")
     n, s1, s2 = F.col("m.length"), F.col("m.start1"), F.col("m.start2")
-    return pairs.select(*keys).join(best, keys, "left").select(*keys, zero(n).alias("length"), zero(s1).alias("start1"), zero(s1 + n).alias("end1"), zero(s2).alias("start2"), zero(s2 + n).alias("end2"))
-
-
-def longest_matches(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b", min_length: int = 2, how: str = "relational") -> DataFrame:
+    return pairs.select(*keys).join(best, keys, "left").select(
+        *keys,
+        zero(n).alias("length"),
+        zero(s1).alias("start1"),
+        zero(s1 + n).alias("end1"),
+        zero(s2).alias("start2"),
+        zero(s2 + n).alias("end2"),
+    )
+
+
+def longest_matches(
+    pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b", min_length: int = 2, how: str = "relational"
+) -> DataFrame:
     """keys, match: the longest common substring as a struct, or null where it is shorter than min_length."""
     found = longest_common_substring(pairs, keys, a, b, how)
     return found.select(*keys, F.when(F.col("length") >= min_length, F.struct("length", "start1", "end1", "start2", "end2")).alias("match"))
@@ -65,13 +76,19 @@ def all_common_substrings(pairs: DataFrame, keys: list[str], a: str = "a", b: st
 
 def match_values(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b", min_length: int = 2) -> DataFrame:
     """keys, values: the tokens of all common substrings of each pair, longest first; an empty array without one."""
-    found = F.transform(kernels.disjoint_matches_udf(F.col(a), F.col(b), F.lit(min_length)), lambda m: F.slice(F.col(a), m["start1"] + 1, m["length"]))
+    found = F.transform(
+        kernels.disjoint_matches_udf(F.col(a), F.col(b), F.lit(min_length)), lambda m: F.slice(F.col(a), m["start1"] + 1, m["length"])
+    )
     return pairs.select(*keys, found.alias("values"))
 
 
-def relaxed_matches(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b", min_consecutive: int = 3, max_edits: int = 1) -> DataFrame:
+def relaxed_matches(
+    pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b", min_consecutive: int = 3, max_edits: int = 1
+) -> DataFrame:
     """A row for each match with at most max_edits edits that isn't inside a longer one with no more edits."""
-    found = pairs.select(*keys, a, b, F.explode(kernels.relaxed_matches_udf(F.col(a), F.col(b), F.lit(min_consecutive), F.lit(max_edits))).alias("m"))
+    found = pairs.select(
+        *keys, a, b, F.explode(kernels.relaxed_matches_udf(F.col(a), F.col(b), F.lit(min_consecutive), F.lit(max_edits))).alias("m")
+    )
     part = lambda c, k: F.slice(c, F.col(f"m.start{k}") + 1, F.col(f"m.end{k}") - F.col(f"m.start{k}"))
     return found.select(*keys, "m.*", part(a, 1).alias("tokens1"), part(b, 2).alias("tokens2"))
 
@@ -82,8 +99,12 @@ def drop_contained(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
     An anti join inside each key: containment with no more edits is transitive, so a span that was itself dropped drops nothing new.
     """
     s, t = spans.alias("s"), spans.alias("t")
-    before = (F.col("t.length") > F.col("s.length")) | ((F.col("t.length") == F.col("s.length")) & (F.col(f"t.{order}") < F.col(f"s.{order}")))
-    inside = (F.col("s.start1") >= F.col("t.start1")) & (F.col("s.end1") <= F.col("t.end1")) & (F.col("s.start2") >= F.col("t.start2")) & (F.col("s.end2") <= F.col("t.end2"))
+    before = (F.col("t.length") > F.col("s.length")) | (
+        (F.col("t.length") == F.col("s.length")) & (F.col(f"t.{order}") < F.col(f"s.{order}"))
+    )
+    inside = (F.col("s.start1") >= F.col("t.start1")) & (F.col("s.end1") <= F.col("t.end1")) & (F.col("s.start2") >= F.col("t.start2")) & (
+        F.col("s.end2") <= F.col("t.end2")
+    )
     same = [F.col(f"s.{k}") == F.col(f"t.{k}") for k in keys]
     condition = before & inside & (F.col("s.edits") >= F.col("t.edits"))
     for c in same:
@@ -96,13 +117,25 @@ def rouge_and_ttr(pairs: DataFrame, keys: list[str], reference: str = "a", candi
     x, y = (F.slice(c, 1, suffix) if suffix else F.col(c) for c in (reference, candidate))
     rows = pairs.select(*keys, x.alias("x"), y.alias("y"))
     rows = rows.withColumn("lcs", kernels.lcs_length_udf("x", "y"))
-    return rows.select(*keys, "lcs", S.rouge_l(F.col("lcs"), F.size("x"), F.size("y")).alias("rouge_l"), S.type_token_ratio(F.col("x")).alias("ttr_ref"), S.type_token_ratio(F.col("y")).alias("ttr_gen"))
+    return rows.select(
+        *keys,
+        "lcs",
+        S.rouge_l(F.col("lcs"), F.size("x"), F.size("y")).alias("rouge_l"),
+        S.type_token_ratio(F.col("x")).alias("ttr_ref"),
+        S.type_token_ratio(F.col("y")).alias("ttr_gen"),
+    )
 
 
 def contributing_tokens(pairs: DataFrame, keys: list[str], reference: str = "a", candidate: str = "b") -> DataFrame:
     """keys, n, tokens, positions1, positions2 of one longest common subsequence."""
     rows = pairs.select(*keys, reference, kernels.lcs_positions_udf(F.col(reference), F.col(candidate)).alias("p"))
-    return rows.select(*keys, F.size("p").alias("n"), F.transform("p.pos1", lambda i: F.get(F.col(reference), i)).alias("tokens"), F.col("p.pos1").alias("positions1"), F.col("p.pos2").alias("positions2"))
+    return rows.select(
+        *keys,
+        F.size("p").alias("n"),
+        F.transform("p.pos1", lambda i: F.get(F.col(reference), i)).alias("tokens"),
+        F.col("p.pos1").alias("positions1"),
+        F.col("p.pos2").alias("positions2"),
+    )
 
 
 def ngram_osa(pairs: DataFrame, keys: list[str], n: int, a: str = "a", b: str = "b", pad=0) -> DataFrame:
@@ -111,9 +144,13 @@ def ngram_osa(pairs: DataFrame, keys: list[str], n: int, a: str = "a", b: str =
     normalized divides by the larger number of elements that aren't padding, at least 1.
     """
     grams = pairs.select(*keys, F.arrays_zip(S.ngrams(F.col(a), n).alias("x"), S.ngrams(F.col(b), n).alias("y")).alias("z"))
-    aligned = grams.select(*keys, F.posexplode("z").alias("at", "g")).where("g.x is not null and g.y is not null").select(*keys, "at", "g.x", "g.y")
+    aligned = grams.select(*keys, F.posexplode("z").alias("at", "g")).where(
+        "g.x is not null and g.y is not null"
+    ).select(*keys, "at", "g.x", "g.y")
     real = F.greatest(S.non_padding(F.col("x"), pad), S.non_padding(F.col("y"), pad), F.lit(1))
-    return aligned.withColumn("distance", kernels.osa_udf("x", "y")).select(*keys, "at", "distance", (F.col("distance") / real).alias("normalized"))
+    return aligned.withColumn("distance", kernels.osa_udf("x", "y")).select(
+        *keys, "at", "distance", (F.col("distance") / real).alias("normalized")
+    )
 
 
 def diff_opcodes(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b", only: str | None = None) -> DataFrame:

@@ -24,7 +24,9 @@ def dedup_first(df: DataFrame, key: list[Column], order: list[str]) -> DataFrame
 
 def assert_unique(df: DataFrame, key: str) -> DataFrame:
     """df, or an error when it runs if a key occurs twice (checked by one aggregation)."""
-    check = df.agg((F.count(key) - F.count_distinct(key)).alias("more")).select(F.when(F.col("more") > 0, F.raise_error(F.lit(f"{key} isn't unique"))).otherwise(F.lit(0)).alias("_ok"))
+    check = df.agg((F.count(key) - F.count_distinct(key)).alias("more")).select(
+        F.when(F.col("more") > 0, F.raise_error(F.lit(f"{key} isn't unique"))).otherwise(F.lit(0)).alias("_ok")
+    )
     return df.crossJoin(F.broadcast(check)).where("_ok = 0").drop("_ok")  # one row
 
 
@@ -57,13 +59,17 @@ def take_first(df: DataFrame, order: str, n: int) -> DataFrame:
 
 def buckets(df: DataFrame, position: str, size: int = BUCKET) -> DataFrame:
     """df with bucket and place in it, from a 0-based position."""
-    return df.withColumns({"bucket": F.floor(F.col(position) / size).cast("long"), "place": F.pmod(F.col(position), F.lit(size)).cast("long")})
+    return df.withColumns(
+        {"bucket": F.floor(F.col(position) / size).cast("long"), "place": F.pmod(F.col(position), F.lit(size)).cast("long")}
+    )
 
 
 def replicate(df: DataFrame, position: str, repetitions: list[int], size: int = BUCKET) -> DataFrame:
     """The i-th bucket repeated repetitions[i] times, block after block: rep, copy (from 0), place; rows beyond the last bucket go."""
     counts = F.array(*map(F.lit, repetitions))
-    rows = buckets(df, position, size).where(F.col("bucket") < len(repetitions)).withColumn("rep", F.get(counts, F.col("bucket").cast("int")))
+    rows = buckets(df, position, size).where(F.col("bucket") < len(repetitions)).withColumn(
+        "rep", F.get(counts, F.col("bucket").cast("int"))
+    )
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("rep") - 1)))
 
 
@@ -104,7 +110,9 @@ def missing_indices(df: DataFrame, column: str, total: int) -> DataFrame:
 
 def modular_lookup(samples: DataFrame, index: str, base: DataFrame, base_index: str, size: int) -> DataFrame:
     """Each replicated sample with its base row: index % size = base_index."""
-    return samples.withColumn("_at", F.pmod(F.col(index), F.lit(size)).cast("long")).join(base.withColumnRenamed(base_index, "_at"), "_at").withColumnRenamed("_at", base_index)
+    return samples.withColumn("_at", F.pmod(F.col(index), F.lit(size)).cast("long")).join(
+        base.withColumnRenamed(base_index, "_at"), "_at"
+    ).withColumnRenamed("_at", base_index)
 
 
 def mixture_weights(df: DataFrame, source: str, amount: Column) -> DataFrame:
@@ -145,7 +153,9 @@ def fused_row_mapping(spark: SparkSession, groups: int, heads_per_group: int) ->
     rows = spark.range(groups * (heads_per_group + 2)).withColumnRenamed("id", "fused_row")
     group, inside = F.floor(F.col("fused_row") / (heads_per_group + 2)), F.col("fused_row") % (heads_per_group + 2)
     part = F.when(inside < heads_per_group, "q").when(inside == heads_per_group, "k").otherwise("v")
-    return rows.select(part.alias("part"), F.when(inside < heads_per_group, group * heads_per_group + inside).otherwise(group).alias("row"), "fused_row")
+    return rows.select(
+        part.alias("part"), F.when(inside < heads_per_group, group * heads_per_group + inside).otherwise(group).alias("row"), "fused_row"
+    )
 
 
 def gate_up_mapping(spark: SparkSession, rows: int) -> DataFrame:
@@ -154,7 +164,11 @@ def gate_up_mapping(spark: SparkSession, rows: int) -> DataFrame:
         raise ValueError("a fused matrix has an even number of rows")
     fused = spark.range(rows).withColumnRenamed("id", "fused_row")
     first = F.col("fused_row") < rows // 2
-    return fused.select(F.when(first, "gate").otherwise("up").alias("part"), F.when(first, F.col("fused_row")).otherwise(F.col("fused_row") - rows // 2).alias("row"), "fused_row")
+    return fused.select(
+        F.when(first, "gate").otherwise("up").alias("part"),
+        F.when(first, F.col("fused_row")).otherwise(F.col("fused_row") - rows // 2).alias("row"),
+        "fused_row",
+    )
 
 
 def parameter_grid(spark: SparkSession, **dimensions: list) -> DataFrame:

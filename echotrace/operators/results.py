@@ -33,7 +33,9 @@ def threshold_metrics(df: DataFrame, dimensions: list[str], metric: str, value:
     if op not in COMPARISONS:
         raise ValueError(f"op is one of {' '.join(COMPARISONS)}, not {op}")
     passed = df.where(COMPARISONS[op](F.col(metric), F.lit(value)))
-    return passed.groupBy(*dimensions).agg(*(f(m).alias(f"{m}_{name}") for m in metrics for name, f in (("mean", F.avg), ("std", F.stddev_samp), ("count", F.count))))
+    return passed.groupBy(*dimensions).agg(
+        *(f(m).alias(f"{m}_{name}") for m in metrics for name, f in (("mean", F.avg), ("std", F.stddev_samp), ("count", F.count)))
+    )
 
 
 def cells_with_metric(scores: DataFrame, dimensions: list[str], metric: str) -> DataFrame:
@@ -46,7 +48,9 @@ def cells_with_metric(scores: DataFrame, dimensions: list[str], metric: str) ->
 
 def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
     """Interpolated quantiles of the non-null values: a range sort, and the two rows around each rank come to the driver."""
-    numbered, n = global_row_number(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_v")), [F.col("_v")], "_at")
+    numbered, n = global_row_number(
+        df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_v")), [F.col("_v")], "_at"
+    )
     if not n:
         return [None] * len(shares)
     places = [share * (n - 1) for share in shares]
@@ -93,7 +97,9 @@ def symmetric_bound(df: DataFrame, value: str) -> DataFrame:
 
 def dimension_values(scores: DataFrame, dimensions: list[str]) -> DataFrame:
     """dimension and its distinct values, sorted, as text."""
-    return scores.select(F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions))).alias("x")).select("x.*").distinct().orderBy("dimension", "value")
+    return scores.select(
+        F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions))).alias("x")
+    ).select("x.*").distinct().orderBy("dimension", "value")
 
 
 def value_counts(df: DataFrame, value: Column, name: str = "value") -> DataFrame:
@@ -107,10 +113,20 @@ def density(df: DataFrame, column: str, points: int = 200, adjust: float = 0.5,
     The bandwidth is the sample standard deviation times n^(-1/5) times adjust. Equal values are counted first.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    ends = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"), (F.stddev_samp("v") * F.pow(F.count("*"), F.lit(-0.2)) * adjust).alias("h"))
+    ends = values.agg(
+        F.min("v").alias("lo"),
+        F.max("v").alias("hi"),
+        F.count("*").alias("n"),
+        (F.stddev_samp("v") * F.pow(F.count("*"), F.lit(-0.2)) * adjust).alias("h"),
+    )
     at = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")
     grid = ends.select("n", "h", "lo", "hi", at)  # one row for each point
-    grid = grid.select("k", "n", "h", (F.col("lo") - cut * F.col("h") + F.col("k") * (F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) / (points - 1)).alias("x"))
+    grid = grid.select(
+        "k",
+        "n",
+        "h",
+        (F.col("lo") - cut * F.col("h") + F.col("k") * (F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) / (points - 1)).alias("x"),
+    )
     z = (F.col("x") - F.col("v")) / F.col("h")
     each = values.groupBy("v").agg(F.count("*").alias("c")).crossJoin(F.broadcast(grid))
     total = each.groupBy("k", "x", "n", "h").agg(F.sum(F.col("c") * F.exp(-z * z / 2)).alias("s"))
@@ -154,7 +170,9 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     return df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(ends)).groupBy(at.cast("int").alias("bin")).count()
 
 
-def batch_source_counts(df: DataFrame, position: str, source: str, batch: int, total: int, values: list, keep_last: bool = False) -> DataFrame:
+def batch_source_counts(
+    df: DataFrame, position: str, source: str, batch: int, total: int, values: list, keep_last: bool = False
+) -> DataFrame:
     """Rows of each source in each batch of consecutive positions; the last full batch is left out unless keep_last."""
     end = total if keep_last else total - batch
     start = F.col(position) - F.pmod(F.col(position), F.lit(batch))
@@ -165,13 +183,17 @@ def batch_source_counts(df: DataFrame, position: str, source: str, batch: int, t
 def expected_per_batch(df: DataFrame, source: str, batch: int = 60) -> DataFrame:
     """source, count and how many a batch should hold."""
     counts = df.groupBy(source).count()
-    return counts.withColumn("expected", F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(0))) * batch)  # a row for each source
+    return counts.withColumn(
+        "expected", F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(0))) * batch
+    )  # a row for each source
 
 
 def macro_average(matches: DataFrame, sequences: DataFrame, keys: list[str], groups: list[str], length: str = "length") -> DataFrame:
     """The mean over sequences of their mean match length; sequences without a match don't count."""
     each = matches.groupBy(*keys).agg(F.avg(length).alias("m"))
-    return sequences.join(each, keys, "left").groupBy(*groups).agg(F.avg("m").alias("mean_length"), F.count("m").alias("with_match"), F.count("*").alias("sequences"))
+    return sequences.join(each, keys, "left").groupBy(*groups).agg(
+        F.avg("m").alias("mean_length"), F.count("m").alias("with_match"), F.count("*").alias("sequences")
+    )
 
 
 def average_ranks(df: DataFrame, column: str) -> DataFrame:
@@ -204,7 +226,9 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
         ranked = ranked.join(ranks, c)
     # The mean rank is (n + 1) / 2 on both sides.
     a, b, c = F.col("rx") - (F.col("n") + 1) / 2, F.col("ry") - (F.col("n") + 1) / 2, F.col("c")
-    sums = ranked.crossJoin(F.broadcast(first.select("n"))).agg(F.sum(c * a * b).alias("ab"), F.sum(c * a * a).alias("aa"), F.sum(c * b * b).alias("bb"))  # one row
+    sums = ranked.crossJoin(F.broadcast(first.select("n"))).agg(
+        F.sum(c * a * b).alias("ab"), F.sum(c * a * a).alias("aa"), F.sum(c * b * b).alias("bb")
+    )  # one row
     rho = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("spearman_rho")
     out = first.crossJoin(F.broadcast(sums)).select("pearson_r", rho, "n")
     return out.withColumns({"pearson_p": correlation_p_udf("pearson_r", "n"), "spearman_p": correlation_p_udf("spearman_rho", "n")})

@@ -42,22 +42,39 @@ def value_hits(df: DataFrame, keys: list[str], seq: str, value, before: int = 5,
 
 def expected_tokens(df: DataFrame, seq: str, rep: int, bucket: int = 500, sequence: int = 8192) -> DataFrame:
     """n_tokens, expected and ok: the tokens of a replicated bucket against rep * bucket * sequence."""
-    return df.agg(F.coalesce(F.sum(F.size(seq)), F.lit(0)).alias("n_tokens")).select("n_tokens", F.lit(rep * bucket * sequence).alias("expected"), (F.col("n_tokens") == rep * bucket * sequence).alias("ok"))
+    return df.agg(F.coalesce(F.sum(F.size(seq)), F.lit(0)).alias("n_tokens")).select(
+        "n_tokens", F.lit(rep * bucket * sequence).alias("expected"), (F.col("n_tokens") == rep * bucket * sequence).alias("ok")
+    )
 
 
 def index_lengths(df: DataFrame, kind: str, total: int) -> DataFrame:
     """kind, n, expected, ok: document and sample indexes hold all rows, a shuffle index one less."""
     expected = total - (kind == "shuffle")
-    return df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n", F.lit(expected).alias("expected"), (F.col("n") == expected).alias("ok"))
-
-
-def differing_samples(spark: SparkSession, records: DataFrame, base: DataFrame, total: int, tokens: str = "tokens", index: str = "index", base_index: str = "index", size: int = BUCKET, extra: int = 100, seed: int = 42) -> DataFrame:
+    return df.agg(F.count("*").alias("n")).select(
+        F.lit(kind).alias("kind"), "n", F.lit(expected).alias("expected"), (F.col("n") == expected).alias("ok")
+    )
+
+
+def differing_samples(
+    spark: SparkSession,
+    records: DataFrame,
+    base: DataFrame,
+    total: int,
+    tokens: str = "tokens",
+    index: str = "index",
+    base_index: str = "index",
+    size: int = BUCKET,
+    extra: int = 100,
+    seed: int = 42,
+) -> DataFrame:
     """index, tag, start1, end1, start2, end2: where the tokens of sampled records differ from those of their base row (index % size).
 
     records hold replicated sequences by index; the sample is that of sampled_indices. Sequences of equal tokens give no row.
     """
     chosen = sampled_indices(spark, total, size, extra, seed).select(F.col("index").alias("_i"))
-    picked = records.join(F.broadcast(chosen), F.col(index) == F.col("_i")).select(F.col(index).alias("index"), F.col(tokens).alias("a"))  # about a hundred rows and one in `size`
+    picked = records.join(F.broadcast(chosen), F.col(index) == F.col("_i")).select(
+        F.col(index).alias("index"), F.col(tokens).alias("a")
+    )  # about a hundred rows and one in `size`
     pairs = modular_lookup(picked, "index", base.select(F.col(base_index).alias("_base"), F.col(tokens).alias("b")), "_base", size)
     return diff_opcodes(pairs.where(~F.col("a").eqNullSafe(F.col("b"))), ["index"]).where("tag <> 'equal'")
 

@@ -119,7 +119,15 @@ def relaxed_matches(spark, sf_dir):
 def containment_filter(spark, sf_dir):
     runs = M.maximal_runs(pairs(spark, sf_dir), PAIR)
     n, a, b = F.col("length"), F.col("start1"), F.col("start2")
-    one = lambda length, edits, s1, s2, size, k: F.struct(length.alias("length"), edits.alias("edits"), s1.alias("start1"), (s1 + size).alias("end1"), s2.alias("start2"), (s2 + size).alias("end2"), (a * 1000000 + b * 10 + k).alias("ord"))
+    one = lambda length, edits, s1, s2, size, k: F.struct(
+        length.alias("length"),
+        edits.alias("edits"),
+        s1.alias("start1"),
+        (s1 + size).alias("end1"),
+        s2.alias("start2"),
+        (s2 + size).alias("end2"),
+        (a * 1000000 + b * 10 + k).alias("ord"),
+    )
     family = F.array(one(n, F.lit(0), a, b, n, 0), one(n, 1 - (a + b) % 2, a + 1, b, n, 1), one(n - 1, (a + b) % 2, a + 1, b + 1, n - 1, 2))
     spans = runs.select(*PAIR, F.explode(family).alias("x")).select(*PAIR, "x.*").where("length > 0")
     return M.drop_contained(spans, PAIR, "ord").drop("ord")
@@ -156,7 +164,13 @@ def contributing_tokens(spark, sf_dir):
     SELECT conv_id, turn, count(*) AS grams, round(avg(d), 6) AS mean, min(d) AS min, max(d) AS max, round(avg(q), 6) AS mean_normalized FROM d GROUP BY ALL""")
 def ngram_osa_distance(spark, sf_dir):
     found = M.ngram_osa(pairs(spark, sf_dir), PAIR, 5, pad="0")
-    return found.groupBy(*PAIR).agg(F.count("*").alias("grams"), r6(F.avg("distance")).alias("mean"), F.min("distance").alias("min"), F.max("distance").alias("max"), r6(F.avg("normalized")).alias("mean_normalized"))
+    return found.groupBy(*PAIR).agg(
+        F.count("*").alias("grams"),
+        r6(F.avg("distance")).alias("mean"),
+        F.min("distance").alias("min"),
+        F.max("distance").alias("max"),
+        r6(F.avg("normalized")).alias("mean_normalized"),
+    )
 
 
 @query()
@@ -226,7 +240,14 @@ def prefix_suffix_grid(spark, sf_dir):
     grid = P.parameter_grid(spark, offset_=[0, 5], prefix_=[10, 20])
     rows = words(table(spark, sf_dir, "documents")).select("doc_id", "t").crossJoin(F.broadcast(grid))  # four rows
     rows = rows.withColumn("w", S.token_window(F.col("t"), F.col("offset_"), F.col("prefix_"), 20))
-    return rows.select("doc_id", "offset_", "prefix_", F.array_join(S.prefix_of(F.col("w"), F.col("prefix_")), " ").alias("prefix_text"), F.array_join(S.suffix_of(F.col("w"), F.col("prefix_")), " ").alias("suffix_text"), F.size("w").alias("n"))
+    return rows.select(
+        "doc_id",
+        "offset_",
+        "prefix_",
+        F.array_join(S.prefix_of(F.col("w"), F.col("prefix_")), " ").alias("prefix_text"),
+        F.array_join(S.suffix_of(F.col("w"), F.col("prefix_")), " ").alias("suffix_text"),
+        F.size("w").alias("n"),
+    )
 
 
 @query("""SELECT doc_id, seq_idx, CASE WHEN seq_idx < floor(n * 0.9) THEN 'train' WHEN seq_idx < floor(n * 0.9) + floor(n * 0.05) THEN 'validation' ELSE 'test' END AS split
@@ -278,7 +299,9 @@ def mixed_sources(spark, sf_dir):
     """Three quarters English by weight, which is more than there is: its rows come again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     total = docs.count()
-    return P.mixed({"en": (docs.where("lang = 'en'"), 3.0), "other": (docs.where("lang <> 'en'"), 1.0)}, total, ["doc_id"]).select("source", "sample", "doc_id")
+    return P.mixed(
+        {"en": (docs.where("lang = 'en'"), 3.0), "other": (docs.where("lang <> 'en'"), 1.0)}, total, ["doc_id"]
+    ).select("source", "sample", "doc_id")
 
 
 @query("""SELECT CASE WHEN i < 12 THEN 'gate' ELSE 'up' END AS part, i % 12 AS "row", i AS fused_row FROM range(24) r(i)""")
@@ -297,7 +320,16 @@ def sampled_indices(spark, sf_dir):
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tidy score table made of documents: expr is the source, the other dimensions follow from the id."""
     docs = words(table(spark, sf_dir, "documents"))
-    rows = docs.select(F.col("source").alias("expr"), (F.col("doc_id") % 5).alias("rep"), F.lit(0).alias("offset"), (10 * (1 + F.col("doc_id") % 3)).alias("prefix"), F.lit(20).alias("suffix"), F.col("doc_id").alias("seq_idx"), F.col("n_chars").cast("double").alias("chars"), S.type_token_ratio(F.col("t")).alias("ttr"))
+    rows = docs.select(
+        F.col("source").alias("expr"),
+        (F.col("doc_id") % 5).alias("rep"),
+        F.lit(0).alias("offset"),
+        (10 * (1 + F.col("doc_id") % 3)).alias("prefix"),
+        F.lit(20).alias("suffix"),
+        F.col("doc_id").alias("seq_idx"),
+        F.col("n_chars").cast("double").alias("chars"),
+        S.type_token_ratio(F.col("t")).alias("ttr"),
+    )
     return R.tidy(rows, [*R.DIMENSIONS, "seq_idx"], ["chars", "ttr"])
 
 
@@ -348,7 +380,9 @@ def required_metric_cells(spark, sf_dir):
 @query(f"""SELECT source, quality, round(avg(n_chars), 6) AS n_chars_mean, round(stddev_samp(n_chars), 6) AS n_chars_std, count(n_chars) AS n_chars_count, round(avg(ttr), 6) AS ttr_mean, round(stddev_samp(ttr), 6) AS ttr_std, count(ttr) AS ttr_count
     FROM (SELECT source, quality, n_chars, len(list_distinct(t)) / nullif(len(t), 0) AS ttr FROM (SELECT *, {TOK.format(t='text')} AS t FROM documents JOIN labels USING (doc_id))) WHERE n_chars >= 500 GROUP BY ALL""")
 def threshold_metrics(spark, sf_dir):
-    rows = words(table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")).withColumn("ttr", S.type_token_ratio(F.col("t")))
+    rows = words(table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")).withColumn(
+        "ttr", S.type_token_ratio(F.col("t"))
+    )
     found = R.threshold_metrics(rows, ["source", "quality"], "n_chars", 500, ">=", ["n_chars", "ttr"])
     return found.withColumns({f"{m}_{s}": r6(F.col(f"{m}_{s}")) for m in ("n_chars", "ttr") for s in ("mean", "std")})
 
@@ -476,7 +510,12 @@ def record_validity(spark, sf_dir):
 @query("SELECT doc_id, sha256(replace(replace(text, '<', '&lt;'), '>', '&gt;')) AS escaped, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, sha256(replace(replace(replace(text, chr(10), '\\n'), chr(9), '\\t'), chr(13), '\\r')) AS visible FROM documents")
 def report_text(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(S.escape_markup(t), 256).alias("escaped"), S.line_count(t).alias("lines"), F.sha2(S.visible_white_space(t), 256).alias("visible"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.sha2(S.escape_markup(t), 256).alias("escaped"),
+        S.line_count(t).alias("lines"),
+        F.sha2(S.visible_white_space(t), 256).alias("visible"),
+    )
 
 
 @query("SELECT doc_id, sha256('Rewrite the following text in other words and keep its meaning.' || chr(10) || chr(10) || 'Text:' || chr(10) || text || chr(10) || chr(10) || 'Rewritten text:' || chr(10)) AS prompt FROM documents")
@@ -489,15 +528,26 @@ def paraphrase_prompts(spark, sf_dir):
 def chat_requests(spark, sf_dir):
     """All turns of a conversation as the messages of one request, with an answer schema."""
     plain = F.regexp_replace("text", "[^a-zA-Z0-9 .,]", "").alias("t")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", plain).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "t"))).alias("m"))
-    return rows.select("conv_id", F.size("m").cast("long").alias("messages"), F.sha2(S.chat_request(F.transform("m", lambda x: x["t"]), "words"), 256).alias("body"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", plain).groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "t"))).alias("m")
+    )
+    return rows.select(
+        "conv_id",
+        F.size("m").cast("long").alias("messages"),
+        F.sha2(S.chat_request(F.transform("m", lambda x: x["t"]), "words"), 256).alias("body"),
+    )
 
 
 @query("SELECT event_id, upper(event_type[1]) || lower(event_type[2:]) AS name, strftime(ts, '%Y%m%d_%H%M%S') AS stamp, event_id % 3 AS kind FROM events WHERE event_type IN ('click', 'view')")
 def event_names(spark, sf_dir):
     rows = table(spark, sf_dir, "events").where(S.included(F.col("event_type"), ["click", "view"]))
     kind = F.get(S.int_set(F.concat(F.lit("x, "), F.col("event_id") % 3, F.lit(" ,"), F.col("event_id") % 3)), F.lit(0))
-    return rows.select("event_id", S.capitalised(F.col("event_type")).alias("name"), S.timestamp_text(F.col("ts")).alias("stamp"), kind.cast("long").alias("kind"))
+    return rows.select(
+        "event_id",
+        S.capitalised(F.col("event_type")).alias("name"),
+        S.timestamp_text(F.col("ts")).alias("stamp"),
+        kind.cast("long").alias("kind"),
+    )
 
 
 @query("""WITH c AS (SELECT role AS token, count(*) AS count FROM conversations GROUP BY role) SELECT token, count, printf('%8s | %-15s | %5d', token, token, count) AS line FROM c""")
@@ -512,7 +562,19 @@ def path_keys(spark, sf_dir):
     from echotrace.sources.inference import path_columns
 
     d = F.col("doc_id")
-    path = F.concat(F.lit("/x/offset_"), d % 7, F.lit("_prefix_"), 50 + d % 3, F.lit("_suffix_500/rep_"), d % 11, F.lit("_"), F.when(d % 2 == 0, "greedy").otherwise("nucleus"), F.lit("/rank"), d % 4, F.lit(".jsonl"))
+    path = F.concat(
+        F.lit("/x/offset_"),
+        d % 7,
+        F.lit("_prefix_"),
+        50 + d % 3,
+        F.lit("_suffix_500/rep_"),
+        d % 11,
+        F.lit("_"),
+        F.when(d % 2 == 0, "greedy").otherwise("nucleus"),
+        F.lit("/rank"),
+        d % 4,
+        F.lit(".jsonl"),
+    )
     rows = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
     return rows.select("doc_id", *path_columns(F.col("path")))
 

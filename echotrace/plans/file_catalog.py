@@ -36,7 +36,17 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     generated = ids(F.col("b"))
     nll = F.transform(generated, lambda x: (x % 7) / 10)
     mean = F.aggregate(nll, F.lit(0.0), lambda t, x: t + x) / F.nullif(F.size(nll), F.lit(0))
-    return p.select(*PAIR, F.col("role").alias("expr"), (F.col("turn") % 2).alias("rep"), F.slice(ids(F.col("a")), 1, 5).alias("prefix"), ids(F.col("a")).alias("true_suffix"), generated.alias("generated_suffix"), nll.alias("nll"), mean.alias("nll_mean"), F.lit(0.0).alias("nll_std"))
+    return p.select(
+        *PAIR,
+        F.col("role").alias("expr"),
+        (F.col("turn") % 2).alias("rep"),
+        F.slice(ids(F.col("a")), 1, 5).alias("prefix"),
+        ids(F.col("a")).alias("true_suffix"),
+        generated.alias("generated_suffix"),
+        nll.alias("nll"),
+        mean.alias("nll_mean"),
+        F.lit(0.0).alias("nll_std"),
+    )
 
 
 RECORDS_SQL = f"""{PAIRS_SQL}, rec AS (SELECT conv_id, turn, role AS expr, turn % 2 AS rep, {IDS.format(t='a')} AS ra, {IDS.format(t='b')} AS rb,
@@ -108,7 +118,9 @@ def evaluation_experiments(spark, sf_dir):
 def rank_file_records(spark, sf_dir):
     schema = inference.SPARSE.add("conv_id", "long").add("turn", "long")
     rows = inference.read_rank_files(spark, [p for c in grid(spark, sf_dir) for p in c.paths()], schema)
-    return rows.select("expr", "rep", "seq_idx", "rank", *PAIR, "offset", "len_prefix", "len_suffix", "policy", F.array_join("prefix", " ").alias("prefix"))
+    return rows.select(
+        "expr", "rep", "seq_idx", "rank", *PAIR, "offset", "len_prefix", "len_suffix", "policy", F.array_join("prefix", " ").alias("prefix")
+    )
 
 
 @query(f"WITH {RECORDS_SQL} SELECT expr, rep, seq_idx % 3 AS \"rank\", count(*) AS n, CAST(sum(len(rb)) AS BIGINT) AS tokens FROM rec GROUP BY ALL")
@@ -150,12 +162,19 @@ def replica_pipeline(spark, sf_dir):
     n = F.sum(F.size(S.tokens(F.col("text"))))
     found = texts.groupBy("rep", "text").agg(F.count("*").alias("copies"), (n / F.col("rep")).cast("long").alias("tokens"))
     same = found.groupBy("rep").agg(F.sum("tokens").alias("sum")).join(tokens, "rep").where(F.col("sum") == F.col("all")).select("rep")
-    return found.join(F.broadcast(same), "rep", "left_semi").select("rep", F.sha2("text", 256).alias("text"), "copies", "tokens")  # a row for each repetition
+    return found.join(F.broadcast(same), "rep", "left_semi").select(
+        "rep", F.sha2("text", 256).alias("text"), "copies", "tokens"
+    )  # a row for each repetition
 
 
 def _token_file(spark: SparkSession, sf_dir: str) -> str:
     """One file of records of eight ids: a begin sign, then seven that follow from the document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.array(F.lit(128000)), F.transform(F.sequence(F.lit(1), F.lit(7)), lambda k: (F.col("doc_id") * k % 50000).cast("int"))).alias("tokens"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.concat(
+            F.array(F.lit(128000)), F.transform(F.sequence(F.lit(1), F.lit(7)), lambda k: (F.col("doc_id") * k % 50000).cast("int"))
+        ).alias("tokens"),
+    )
     path = new_path(spark, "tokens")
     sinks.write_token_records(docs.orderBy("doc_id").select("tokens").coalesce(1), path)
     return path
@@ -196,7 +215,13 @@ def index_missing(spark, sf_dir):
 def index_length_check(spark, sf_dir):
     folder, n = _index_file(spark, sf_dir)
     found = V.index_lengths(binary.read_index_vectors(spark, f"{folder}/*.npy"), "shuffle", n)
-    return found.select(F.lit(binary.index_hash(spark, folder, "shuffle_index.npy")).alias("hash"), "kind", "n", F.col("expected").cast("long").alias("expected"), "ok")
+    return found.select(
+        F.lit(binary.index_hash(spark, folder, "shuffle_index.npy")).alias("hash"),
+        "kind",
+        "n",
+        F.col("expected").cast("long").alias("expected"),
+        "ok",
+    )
 
 
 # Results, checkpoints and lines
@@ -212,23 +237,34 @@ def harness_results(spark, sf_dir):
     path = new_path(spark, "harness")
     means.select("source", document.alias("value")).write.partitionBy("source").text(path)
     found = inference.read_harness_results(spark, f"{path}/*/*")
-    return found.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "task", r6(F.col("accuracy")).alias("accuracy"), r6(F.col("error")).alias("error"))
+    return found.select(
+        F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"),
+        "task",
+        r6(F.col("accuracy")).alias("accuracy"),
+        r6(F.col("error")).alias("error"),
+    )
 
 
 @query("SELECT doc_id % 3 = 1 AS broken, count(*) AS n, CAST(sum(CASE WHEN doc_id % 3 = 1 THEN NULL ELSE doc_id END) AS BIGINT) AS ids FROM documents GROUP BY 1")
 def broken_lines(spark, sf_dir):
     line = F.to_json(F.struct(F.array(F.col("doc_id").cast("int")).alias("prefix")))
     path = new_path(spark, "lines")
-    table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 3 == 1, F.substring(line, 1, 8)).otherwise(line).alias("value")).write.text(path)
+    table(spark, sf_dir, "documents").select(
+        F.when(F.col("doc_id") % 3 == 1, F.substring(line, 1, 8)).otherwise(line).alias("value")
+    ).write.text(path)
     rows = inference.read_lines(spark, path)
-    return rows.groupBy(F.col("_corrupt_record").isNotNull().alias("broken")).agg(F.count("*").alias("n"), F.sum(F.get("prefix", F.lit(0))).alias("ids"))
+    return rows.groupBy(F.col("_corrupt_record").isNotNull().alias("broken")).agg(
+        F.count("*").alias("n"), F.sum(F.get("prefix", F.lit(0))).alias("ids")
+    )
 
 
 @query(f"WITH {SCORES_SQL} SELECT expr, metric, count(*) AS n, round(sum(score), 4) AS total FROM scores GROUP BY ALL")
 def stored_results(spark, sf_dir):
     path = new_path(spark, "results")
     E.Results(scores(spark, sf_dir)).save(path)
-    return E.Results.load(spark, path).scores.groupBy("expr", "metric").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
+    return E.Results.load(spark, path).scores.groupBy("expr", "metric").agg(
+        F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total")
+    )
 
 
 @query("SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source")
@@ -244,11 +280,15 @@ def resumed_output(spark, sf_dir):
 def checkpoint_listing(spark, sf_dir):
     base = new_path(spark, "checkpoints")
     steps = table(spark, sf_dir, "documents").select((300 * (1 + F.col("doc_id") % 12)).alias("step")).distinct()
-    named = steps.select(F.concat(F.lit("step="), "step", F.lit("-consumed="), F.col("step") * 60).alias("name"), F.lit("weights").alias("value"))
+    named = steps.select(
+        F.concat(F.lit("step="), "step", F.lit("-consumed="), F.col("step") * 60).alias("name"), F.lit("weights").alias("value")
+    )
     for name in sorted(r["name"] for r in named.collect()):  # twelve folders
         sinks.write_bytes(f"{base}/{name}/model.bin", b"weights")
     last = inference.exactly_one(inference.latest_checkpoint(spark, base)).select(F.col("step").alias("_last"))
-    return inference.list_checkpoints(spark, base).crossJoin(F.broadcast(last)).select("step", "consumed", (F.col("step") == F.col("_last")).alias("latest"))  # one row
+    return inference.list_checkpoints(spark, base).crossJoin(F.broadcast(last)).select(
+        "step", "consumed", (F.col("step") == F.col("_last")).alias("latest")
+    )  # one row
 
 
 # Checks of records, with planted faults
@@ -309,11 +349,15 @@ def sampled_token_differences(spark, sf_dir):
 def report_pages(spark, sf_dir):
     """Reports of all pairs, written one file each and read back."""
     p = pairs(spark, sf_dir)
-    name = sinks.report_names(F.col("role"), F.col("turn"), F.col("conv_id"), F.lit(0), F.make_timestamp(*(F.lit(x) for x in (2020, 1, 2, 3, 4, 5))))
+    name = sinks.report_names(
+        F.col("role"), F.col("turn"), F.col("conv_id"), F.lit(0), F.make_timestamp(*(F.lit(x) for x in (2020, 1, 2, 3, 4, 5)))
+    )
     reports = sinks.generation_report(p, [*PAIR, "role"]).withColumn("name", name)
     folder = new_path(spark, "reports")
     sinks.write_reports(reports, folder)
-    pages = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("name"), F.sha2("value", 256).alias("page"))
+    pages = spark.read.text(folder, wholetext=True).select(
+        F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("name"), F.sha2("value", 256).alias("page")
+    )
     return reports.select(*PAIR, "name", r6(F.col("rouge_l")).alias("rouge_l")).join(pages, "name")
 
 

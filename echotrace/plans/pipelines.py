@@ -12,7 +12,17 @@ from echotrace.sources import sinks
 from echotrace.sources.shared import exists, global_row_number, stored
 
 
-def excerpt_rows(books: DataFrame, tokenizer: Tokenizer = WHITE_SPACE, n_tokens: int = 8191, n_rows: int | None = None, start: int = 0, end: int | None = None, seed: int = 42, key: str = "id", text: str = "text") -> DataFrame:
+def excerpt_rows(
+    books: DataFrame,
+    tokenizer: Tokenizer = WHITE_SPACE,
+    n_tokens: int = 8191,
+    n_rows: int | None = None,
+    start: int = 0,
+    end: int | None = None,
+    seed: int = 42,
+    key: str = "id",
+    text: str = "text",
+) -> DataFrame:
     """key, selected_tokens and detokenized_texts of an excerpt of n_tokens from each book.
 
     The first of books with one id; those with fewer than `end` characters go; tokens of the characters from start to end (all of them
@@ -42,7 +52,16 @@ def create_excerpts(books: DataFrame, folder: str, tokenizer: Tokenizer = WHITE_
     return True
 
 
-def create_replicas(spark: SparkSession, rows: DataFrame, folder: str, repetitions: list[int], order: list[str], size: int = prepare.BUCKET, tokens: str = "selected_tokens", text: str = "detokenized_texts") -> list[int]:
+def create_replicas(
+    spark: SparkSession,
+    rows: DataFrame,
+    folder: str,
+    repetitions: list[int],
+    order: list[str],
+    size: int = prepare.BUCKET,
+    tokens: str = "selected_tokens",
+    text: str = "detokenized_texts",
+) -> list[int]:
     """Writes bucket i of rows as rep_{k}_token.jsonl and, repeated k times block after block, rep_{k}_text.jsonl for the i-th of repetitions.
 
     An error if there are too few rows. Buckets that are there already are left as they are; returns the repetitions that were written.
@@ -55,8 +74,12 @@ def create_replicas(spark: SparkSession, rows: DataFrame, folder: str, repetitio
         copies = bucket.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
         ordered = lambda df, keys: df.repartitionByRange(*keys).sortWithinPartitions(*keys)
         wrote = [
-            sinks.write_if_missing(lambda b=bucket: ordered(b, ["_at"]).select(F.col(tokens).alias("input_ids")), f"{folder}/rep_{k}_token.jsonl", spark),
-            sinks.write_if_missing(lambda c=copies: ordered(c, ["_copy", "_at"]).select(F.col(text).alias("text")), f"{folder}/rep_{k}_text.jsonl", spark),
+            sinks.write_if_missing(
+                lambda b=bucket: ordered(b, ["_at"]).select(F.col(tokens).alias("input_ids")), f"{folder}/rep_{k}_token.jsonl", spark
+            ),
+            sinks.write_if_missing(
+                lambda c=copies: ordered(c, ["_copy", "_at"]).select(F.col(text).alias("text")), f"{folder}/rep_{k}_text.jsonl", spark
+            ),
         ]
         if any(wrote):
             written.append(k)

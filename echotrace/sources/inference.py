@@ -21,7 +21,11 @@ def path_columns(path: Column, prefix: str = "prefix", suffix: str = "suffix") -
     """offset, prefix, suffix, rep, policy and rank of a record's path; null where the path has none."""
     numbers = {"offset": "offset_(\\d+)", prefix: "prefix_(\\d+)", suffix: "suffix_(\\d+)", "rep": "rep_(\\d+)"}
     policy = F.nullif(F.regexp_extract(path, "rep_\\d+_([A-Za-z]+)", 1), F.lit(""))
-    return [*(_number(path, p).alias(name) for name, p in numbers.items()), policy.alias("policy"), _number(path, "rank(\\d+)\\.jsonl").alias("rank")]
+    return [
+        *(_number(path, p).alias(name) for name, p in numbers.items()),
+        policy.alias("policy"),
+        _number(path, "rank(\\d+)\\.jsonl").alias("rank"),
+    ]
 
 
 def checkpoint_columns(path: Column) -> list[Column]:
@@ -31,7 +35,11 @@ def checkpoint_columns(path: Column) -> list[Column]:
 def experiment_columns(name: Column) -> list[Column]:
     """size, kind, k, h, batch and sequence of an experiment's name."""
     text = lambda p: F.nullif(F.regexp_extract(name, p, 1), F.lit(""))
-    return [text("llama_([^_]+)_").alias("size"), F.when(F.contains(name, F.lit("_Standard_")), "standard").otherwise("goldfish").alias("kind"), *(_number(name, p).alias(c) for c, p in (("k", "_K_(\\d+)"), ("h", "_H_(\\d+)"), ("batch", "_GBS_(\\d+)"), ("sequence", "_SEQ_(\\d+)")))]
+    return [
+        text("llama_([^_]+)_").alias("size"),
+        F.when(F.contains(name, F.lit("_Standard_")), "standard").otherwise("goldfish").alias("kind"),
+        *(_number(name, p).alias(c) for c, p in (("k", "_K_(\\d+)"), ("h", "_H_(\\d+)"), ("batch", "_GBS_(\\d+)"), ("sequence", "_SEQ_(\\d+)"))),
+    ]
 
 
 def read_rank_files(spark: SparkSession, path: str | list[str], schema: T.StructType = SPARSE, order: bool = True) -> DataFrame:
@@ -45,14 +53,23 @@ def read_rank_files(spark: SparkSession, path: str | list[str], schema: T.Struct
     from pyspark.sql.window import Window
 
     reader = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*")
-    rows = reader.json(path).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    rows = reader.json(path).select(
+        "*",
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
     expr = F.nullif(F.regexp_extract("_path", "([^/]+)/inference/", 1), F.lit("")).alias("expr")
-    rows = rows.withColumn("_dir", F.regexp_replace("_path", "/rank\\d+\\.jsonl.*$", "")).select("*", expr, *path_columns(F.col("_path"), "len_prefix", "len_suffix"))
+    rows = rows.withColumn("_dir", F.regexp_replace("_path", "/rank\\d+\\.jsonl.*$", "")).select(
+        "*", expr, *path_columns(F.col("_path"), "len_prefix", "len_suffix")
+    )
     if not order:
         return rows.drop("_path", "_block", "_row", "_dir")
     place = F.row_number().over(Window.partitionBy("_dir", "rank").orderBy("_path", "_block", "_row")) - 1
     world = rows.select("_dir", "rank").distinct().groupBy("_dir").agg(F.count("*").alias("_world"))  # a row for each directory
-    return rows.withColumn("_place", place).join(world, "_dir").withColumn("seq_idx", F.col("_place") * F.col("_world") + F.col("rank")).drop("_path", "_block", "_row", "_dir", "_place", "_world")
+    return rows.withColumn("_place", place).join(world, "_dir").withColumn(
+        "seq_idx", F.col("_place") * F.col("_world") + F.col("rank")
+    ).drop("_path", "_block", "_row", "_dir", "_place", "_world")
 
 
 def require_paths(spark: SparkSession, paths: list[str]) -> None:
@@ -73,7 +90,9 @@ def first_match(spark: SparkSession, pattern: str) -> str:
 
 def list_checkpoints(spark: SparkSession, base: str) -> DataFrame:
     """step, consumed and path of the checkpoint folders below base, in numeric order."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select(
+        F.regexp_replace("path", "/[^/]*$", "").alias("path")
+    ).distinct()
     return files.select("path", *checkpoint_columns(F.col("path"))).where("step is not null").orderBy("step", "consumed")
 
 
@@ -100,7 +119,9 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType = SPARSE) ->
     """Records with _corrupt_record set where a line isn't valid JSON."""
     with_errors = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     lines = spark.read.text(path)
-    return lines.select(F.from_json("value", with_errors, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
+    return lines.select(
+        F.from_json("value", with_errors, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")
+    ).select("r.*")
 
 
 def read_harness_results(spark: SparkSession, path: str | list[str]) -> DataFrame:

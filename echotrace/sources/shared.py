@@ -93,7 +93,9 @@ def global_row_number(df: DataFrame, order: list[Column], name: str) -> tuple[Da
     """
     keys = [F.col(f"_rows_key{i}") for i in range(len(order))] + [F.col("_rows_place")]
     df = df.select("*", *(c.alias(f"_rows_key{i}") for i, c in enumerate(order)), F.monotonically_increasing_id().alias("_rows_place"))
-    df = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_rows_at", F.monotonically_increasing_id()).drop(*(f"_rows_key{i}" for i in range(len(order))), "_rows_place")
+    df = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_rows_at", F.monotonically_increasing_id()).drop(
+        *(f"_rows_key{i}" for i in range(len(order))), "_rows_place"
+    )
     df = stored(df, "numbered").withColumn("_rows_part", F.shiftright("_rows_at", 33))
     parts = sorted((r[0], r[1]) for r in df.groupBy("_rows_part").count().collect())  # one row for each partition
     firsts, total = [], 0

@@ -135,7 +135,9 @@ def _numbered(text: Column, body: Column) -> Column:
     return F.concat(F.lit('<div class="lines">'), numbers, F.lit('</div><div class="text">'), body, F.lit("</div>"))
 
 
-def generation_report(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b", decode: Callable[[Column], Column] | None = None) -> DataFrame:
+def generation_report(
+    pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b", decode: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """keys, rouge_l and html: both sequences side by side with line numbers, once with the parts of their diff and once with the
     tokens of their longest common subsequence marked, and the Rouge-L score.
 
@@ -146,10 +148,14 @@ def generation_report(pairs: DataFrame, keys: list[str], a: str = "a", b: str =
     part = lambda c, k: F.slice(c, F.col(f"start{k}") + 1, F.col(f"end{k}") - F.col(f"start{k}"))
     kinds = [F.when(F.col("tag") == "equal", "equal").otherwise(kind) for kind in ("delete", "insert")]
     shown = [F.when(F.col(f"end{k}") > F.col(f"start{k}"), _span(kind, decode(part(c, k)))).otherwise("").alias(f"s{k}") for (k, c), kind in zip(((1, a), (2, b)), kinds, strict=True)]
-    steps = steps.select(*keys, "start1", "start2", *shown).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start1", "start2", "s1", "s2"))).alias("steps"))
+    steps = steps.select(*keys, "start1", "start2", *shown).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("start1", "start2", "s1", "s2"))).alias("steps")
+    )
     common = contributing_tokens(pairs, keys, a, b).select(*keys, "n", "positions1", "positions2")
     rows = pairs.select(*keys, a, b).join(common, keys).join(steps, keys, "left")
-    marked = lambda c, at: F.array_join(F.transform(F.col(c), lambda x, i: _span(F.when(F.array_contains(at, i), "shared").otherwise("other"), x.cast("string"))), " ")
+    marked = lambda c, at: F.array_join(
+        F.transform(F.col(c), lambda x, i: _span(F.when(F.array_contains(at, i), "shared").otherwise("other"), x.cast("string"))), " "
+    )
     diff = lambda k: F.coalesce(F.array_join(F.transform("steps", lambda x: x[f"s{k}"]), ""), F.lit(""))
     score = S.rouge_l(F.col("n"), F.size(a), F.size(b))
     texts = [decode(F.col(c)) for c in (a, b)]
@@ -162,7 +168,18 @@ def generation_report(pairs: DataFrame, keys: list[str], a: str = "a", b: str =
 def report_names(experiment: Column, rep: Column, seq_idx: Column, offset: Column, at: Column) -> Column:
     """The name of a sequence's report file."""
     number = lambda x: x.cast("string")
-    return F.concat(experiment, F.lit("_generation_rep"), number(rep), F.lit("_seq"), number(seq_idx), F.lit("_offset"), number(offset), F.lit("_"), S.timestamp_text(at), F.lit(".html"))
+    return F.concat(
+        experiment,
+        F.lit("_generation_rep"),
+        number(rep),
+        F.lit("_seq"),
+        number(seq_idx),
+        F.lit("_offset"),
+        number(offset),
+        F.lit("_"),
+        S.timestamp_text(at),
+        F.lit(".html"),
+    )
 
 
 def write_reports(reports: DataFrame, folder: str, name: str = "name", html: str = "html") -> None:

@@ -23,7 +23,14 @@ def test_longest_common_substring_both_ways(spark):
 
 
 def test_windows(spark):
-    row = spark.range(1).select(S.token_window(F.array(*map(F.lit, range(10))), 2, 3).alias("w"), S.with_bos(F.array(F.lit(1)), 128000).alias("b"), S.ngrams(F.array(*map(F.lit, range(4))), 3).alias("g"), S.ngrams(F.array(F.lit(1)), 3).alias("none"), S.type_token_ratio(F.array(*map(F.lit, [1, 1, 2, 3]))).alias("ttr"), S.positions(F.array(*map(F.lit, [5, 6, 5])), 5).alias("p")).first()
+    row = spark.range(1).select(
+        S.token_window(F.array(*map(F.lit, range(10))), 2, 3).alias("w"),
+        S.with_bos(F.array(F.lit(1)), 128000).alias("b"),
+        S.ngrams(F.array(*map(F.lit, range(4))), 3).alias("g"),
+        S.ngrams(F.array(F.lit(1)), 3).alias("none"),
+        S.type_token_ratio(F.array(*map(F.lit, [1, 1, 2, 3]))).alias("ttr"),
+        S.positions(F.array(*map(F.lit, [5, 6, 5])), 5).alias("p"),
+    ).first()
     assert row["w"] == [2, 3, 4, 5, 6, 7] and row["b"] == [128000, 1] and row["g"] == [[0, 1, 2], [1, 2, 3]] and row["none"] == [] and row["ttr"] == 0.75 and row["p"] == [0, 2]
 
 
@@ -39,7 +46,9 @@ def test_rank_files_in_source_order(spark, tmp_path):
 
 
 def test_names(spark):
-    names = spark.createDataFrame([("llama_1.5B_Sparse_Books_K_10_H_13_GBS_60_SEQ_8000",), ("llama_3B_Sparse_Books_Standard_GBS_60_SEQ_5",)], "n string")
+    names = spark.createDataFrame(
+        [("llama_1.5B_Sparse_Books_K_10_H_13_GBS_60_SEQ_8000",), ("llama_3B_Sparse_Books_Standard_GBS_60_SEQ_5",)], "n string"
+    )
     rows = [tuple(r) for r in names.select(*inference.experiment_columns(F.col("n"))).collect()]
     assert rows == [("1.5B", "goldfish", 10, 13, 60, 8000), ("3B", "standard", None, None, 60, 5)]
 
@@ -74,7 +83,9 @@ def test_sinks(spark, tmp_path):
 
 
 def test_harness_results(spark, tmp_path):
-    doc = {"results": {"hellaswag": {"acc,none": 0.5, "acc_stderr,none": 0.1}}, "groups": {"mmlu": {"acc,none": 0.25, "acc_stderr,none": 0.2}}}
+    doc = {
+        "results": {"hellaswag": {"acc,none": 0.5, "acc_stderr,none": 0.1}}, "groups": {"mmlu": {"acc,none": 0.25, "acc_stderr,none": 0.2}}
+    }
     (tmp_path / "r.json").write_text(json.dumps(doc, indent=1))
     rows = {r["task"]: r["accuracy"] for r in inference.read_harness_results(spark, str(tmp_path / "r.json")).collect()}
     assert rows["hellaswag"] == 0.5 and rows["mmlu"] == 0.25 and rows["mmlu_stem"] is None
@@ -110,7 +121,9 @@ def test_preparation(spark):
 
 
 def test_statistics(spark):
-    df = spark.createDataFrame([(float(x), y) for x, y in zip([1, 2, 3, 4, 4], [2.0, 1.0, 4.0, 3.0, 5.0], strict=True)], "x double, y double")
+    df = spark.createDataFrame(
+        [(float(x), y) for x, y in zip([1, 2, 3, 4, 4], [2.0, 1.0, 4.0, 3.0, 5.0], strict=True)], "x double, y double"
+    )
     row = results.correlations(df, "x", "y").first()
     assert row["pearson_r"] == pytest.approx(np.corrcoef([1, 2, 3, 4, 4], [2, 1, 4, 3, 5])[0, 1])
     assert row["spearman_rho"] == pytest.approx(np.corrcoef([1, 2, 3, 4.5, 4.5], [2, 1, 4, 3, 5])[0, 1])
@@ -171,7 +184,9 @@ def test_sampled_indices_hold_the_fixed_ones_and_as_many_others(spark):
         fixed = {0, total - 1} | (set(range(0, total, step)) if total > step else set())
         assert len(got) == len(set(got)) == len(fixed) + (min(extra, total - len(fixed)) if total > step else 0)
         assert fixed <= set(got) and all(0 <= i < total for i in got)
-        assert got == [r["index"] for r in prepare.sampled_indices(spark, total, step, extra).collect()] or sorted(got) == sorted(r["index"] for r in prepare.sampled_indices(spark, total, step, extra).collect())
+        assert got == [r["index"] for r in prepare.sampled_indices(spark, total, step, extra).collect()] or sorted(got) == sorted(
+            r["index"] for r in prepare.sampled_indices(spark, total, step, extra).collect()
+        )
 
 
 def test_exact_quantiles_and_ranks(spark):
@@ -190,7 +205,9 @@ def test_exact_quantiles_and_ranks(spark):
 
 def test_tokenizer_hook(spark):
     words = ["zero", "one", "two", "three"]
-    hook = tokenizers.injected(lambda texts: [[words.index(w) for w in t.split()] for t in texts], lambda ids: [" ".join(words[i] for i in x) for x in ids])
+    hook = tokenizers.injected(
+        lambda texts: [[words.index(w) for w in t.split()] for t in texts], lambda ids: [" ".join(words[i] for i in x) for x in ids]
+    )
     df = spark.createDataFrame([(1, "one two three zero one"), (2, "two"), (3, "three three three")], "id long, text string")
     rows = {r["id"]: r for r in pipelines.excerpt_rows(df, hook, n_tokens=2).collect()}
     assert set(rows) == {1, 3} and rows[3]["selected_tokens"] == [3, 3] and rows[3]["detokenized_texts"] == "three three"
@@ -227,7 +244,15 @@ def test_report_shows_both_sides(spark, tmp_path):
     rows = {r["id"]: r for r in sinks.generation_report(df, ["id"]).collect()}
     page = rows[1]["html"]
     assert rows[1]["rouge_l"] == pytest.approx(4 / 7) and "Rouge-L: 0.5714" in page and "&lt;b" in page and "<b" not in page
-    for part in ('<span class="equal">a</span>', '<span class="delete">&lt;b</span>', '<span class="insert">x</span>', '<span class="insert">d</span>', '<span class="shared">c</span>', '<span class="other">x</span>', '<div class="lines">1</div>'):
+    for part in (
+        '<span class="equal">a</span>',
+        '<span class="delete">&lt;b</span>',
+        '<span class="insert">x</span>',
+        '<span class="insert">d</span>',
+        '<span class="shared">c</span>',
+        '<span class="other">x</span>',
+        '<div class="lines">1</div>',
+    ):
         assert part in page
     assert rows[2]["rouge_l"] == 0 and '<span class="insert">y</span>' in rows[2]["html"]
     reports = sinks.generation_report(df, ["id"]).withColumn("name", F.concat(F.col("id").cast("string"), F.lit(".html")))
