@@ -5,8 +5,9 @@ family first; inside the family, one-versus-one machines for each pair of its la
 sum of margins. The score is the family's share times the mean pairwise share of the winner, each a logistic function
 of margins.
 
-Learnt from at most PER_LANGUAGE labelled texts of each language in expectation: rows are taken by a hash of the
-text, so that the choice is the same at any partitioning. Languages without a known family form one of their own.
+Learnt from PER_LANGUAGE distinct labelled texts of each language, or all if there are fewer: those with the smallest hashes, so
+the choice is the same at any partitioning, copies count once and no language is left out. The driver gets one vector
+for each. Languages without a known family form one of their own.
 
 Defined results: null text, or a text without a letter, is 'und' with score 0; a null language is never learnt from; if no label
 is there all texts are 'und'; repeated rows return repeated rows; an empty table gives an empty result; other columns are
@@ -24,11 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echotrace.llm._common import held_out
+from echotrace.llm._common import broadcast_if_small, held_out, smallest_hashes, stored
 from echotrace.llm._svm import fit_linear
 from echotrace.llm._text_vectors import unit_vector
 
 PER_LANGUAGE = 800
+#: Texts whose vectors are multiplied at a time.
+_BATCH = 256
 UNDETERMINED = "und"
 #: ISO 639-1 codes by family.
 FAMILIES = {
@@ -52,26 +55,35 @@ class LanguageModel:
     pairs: dict[str, list[tuple[int, int]]] = field(default_factory=dict)
     pair_weights: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.families or text is None or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0
-        x = np.append(unit_vector(text), np.float32(1))
-        margins = self.family_weights @ x
-        f = int(margins.argmax())
-        share = np.exp(4 * (margins - margins[f]))
-        score, family = float(1 / share.sum()), self.families[f]
-        langs, pairs = self.members[family], self.pairs[family]
-        if not pairs:
-            return langs[0], score
-        votes, total, shares = np.zeros(len(langs)), np.zeros(len(langs)), np.zeros(len(langs))
-        for (a, b), m in zip(pairs, self.pair_weights[family] @ x, strict=True):
-            votes[a if m >= 0 else b] += 1
-            total += np.where(np.arange(len(langs)) == a, m, 0) - np.where(np.arange(len(langs)) == b, m, 0)
-            p = 1 / (1 + np.exp(-4 * m))
-            shares[a] += p
-            shares[b] += 1 - p
-        best = max(range(len(langs)), key=lambda i: (votes[i], total[i]))
-        return langs[best], score * float(shares[best]) / (len(langs) - 1)
+    def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Language and score of each text."""
+        langs, scores = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
+        told = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], dtype=bool)
+        if not self.families or not told.any():
+            return langs, scores
+        x = np.stack([np.append(unit_vector(texts[i]), np.float32(1)) for i in np.flatnonzero(told)])
+        margins = x @ self.family_weights.T
+        family = margins.argmax(axis=1)
+        score = 1 / np.exp(4 * (margins - margins.max(axis=1, keepdims=True))).sum(axis=1)
+        found = np.empty(len(x), dtype=object)
+        for f, name in enumerate(self.families):
+            of = np.flatnonzero(family == f)
+            members, pairs = self.members[name], self.pairs[name]
+            if not pairs:
+                found[of] = members[0]
+                continue
+            votes, total, shares = (np.zeros((len(of), len(members))) for _ in range(3))
+            for (a, b), m in zip(pairs, (x[of] @ self.pair_weights[name].T).T, strict=True):
+                votes[np.arange(len(of)), np.where(m >= 0, a, b)] += 1
+                p = 1 / (1 + np.exp(-4 * m))
+                for lang, margin, share in ((a, m, p), (b, -m, 1 - p)):
+                    total[:, lang] += margin
+                    shares[:, lang] += share
+            best = np.where(votes == votes.max(axis=1, keepdims=True), total, -np.inf).argmax(axis=1)
+            found[of] = np.array(members, dtype=object)[best]
+            score[of] *= shares[np.arange(len(of)), best] / (len(members) - 1)
+        langs[told], scores[told] = found, score
+        return langs, scores
 
 
 def fit(vectors: np.ndarray, langs: list[str]) -> LanguageModel:
@@ -101,15 +113,13 @@ def _packed_vector(text: pd.Series) -> pd.Series:
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """docs: only rows that may be learnt from."""
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
-    grid = 1_000_000
-    limit = {lang: min(grid, round(grid * per_language / n)) for lang, n in counts.items()}
-    keep = F.lit(0)
-    for lang, bound in limit.items():
-        keep = F.when(F.col("lang") == lang, bound).otherwise(keep)
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(grid)) < keep)
-    found = chosen.select("lang", _packed_vector("text").alias("v")).collect() if counts else []
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where(
+        "text is not null and lang is not null"
+    )
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    chosen = stored(smallest_hashes(rows, "lang", F.lit(per_language)), "language-sample")
+    sample = rows.join(broadcast_if_small(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    found = sample.select("lang", _packed_vector("text").alias("v")).collect()  # per_language rows of each language at most
     found.sort(key=lambda r: (r["lang"], bytes(r["v"])))
     if not found:
         return LanguageModel([], {}, np.zeros((0, 1), dtype=np.float32))
@@ -121,7 +131,10 @@ def predicted(model: LanguageModel, text: Column) -> Column:
     """A struct of lang_pred and score."""
 
     def guess(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+        whole = texts.tolist()
+        parts = [model.predict(whole[i : i + _BATCH]) for i in range(0, len(whole), _BATCH)] or [model.predict([])]
+        langs, scores = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pd.DataFrame({"lang_pred": langs, "score": scores})
 
     return F.pandas_udf(guess, "lang_pred string, score double")(text)
 
@@ -129,5 +142,7 @@ def predicted(model: LanguageModel, text: Column) -> Column:
 def identify(docs: DataFrame, model: LanguageModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs; learns from its own rows that aren't held out if no model is given."""
     model = model or learn(docs.where(~held_out(id_col)), text_col=text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), predicted(model, F.col(text_col).cast("string")).alias("p"))
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), predicted(model, F.col(text_col).cast("string")).alias("p")
+    )
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
