@@ -5,69 +5,139 @@ and at blank lines and after those signs and colons only, for sentences that are
 other characters than a-z and 0-9 to one space, line prefixes such as comment signs gone with them) and mapped to
 the identifier of a known licence sentence, or to none. The identifiers of a document, in order, form one string with a letter for
 each known sentence and "." for any other. A rule is an ordered list of identifiers; it matches where they follow each
-other with at most its gap of other sentences between. All of it is a projection of the document's own row: no shuffle,
-no join, and a document of any length is one string of one letter a sentence.
+other with at most its gap of other sentences, known or not, between. All of it is a projection of the document's own row: no
+shuffle, no join, and a document of any length is one string of one letter a sentence.
 
-Defined results: null and empty text match nothing; repeated rows return repeated rows; an empty table gives an empty result;
-other columns are ignored.
+Known sentences and rules come from NOTICES and LINES: a notice is cut and normalised as a text is, once by each cut, and its parts in
+order are a rule. A licence whose notice begins another's (BSD-2-Clause) counts where it stands outside of the other's matches.
+
+Defined results: null and empty text match nothing; a sentence of any length is looked up after it was normalised; repeated
+rows return repeated rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echotrace.llm._common import text_or_empty
 
-#: Known licence sentences, normalised, and the identifiers that rules use.
-SENTENCES = {
-    "apache-line": "licensed under the apache license version 2 0",
-    "apache-grant": "licensed under the apache license version 2 0 the license",
-    "apache-comply": "you may not use this file except in compliance with the license",
-    "apache-obtain": "you may obtain a copy of the license at",
-    "apache-url": "http www apache org licenses license 2 0",
-    "apache-disclaim": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "mit-line": "released under the mit license",
-    "mit-line-licensed": "licensed under the mit license",
-    "mit-title": "mit license",
-    "mit-title-the": "the mit license mit",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "mit-disclaim": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "gpl3-line": "this work is licensed under the gnu general public license version 3",
-    "gpl-grant-3": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl-grant-2": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "bsd-redistribute": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "cc-by-nc": "licensed under cc by nc 4 0",
-    "cc-by": "licensed under cc by 4 0",
-    "cc-by-sa": "licensed under cc by sa 4 0",
-    "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
-    "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "all-rights": "all rights reserved",
-    "spdx-mit": "spdx license identifier mit",
-    "spdx-apache": "spdx license identifier apache 2 0",
-    "spdx-gpl3": "spdx license identifier gpl 3 0 only",
-    "spdx-bsd3": "spdx license identifier bsd 3 clause",
-    # The parts that the cuts make of a notice with a semicolon, a colon or "v." inside.
-    "gpl-free": "this program is free software",
-    "gpl-redistribute-3": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl-redistribute-2": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "gpl-redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    "gpl-head": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    "gpl-either-3": "either version 3 of the license or at your option any later version",
-    "gpl-either-2": "either version 2 of the license or at your option any later version",
-    "gpl-hope-any": "this program is distributed in the hope that it will be useful but without any warranty",
-    "gpl-hope-even": "without even the implied warranty of merchantability or fitness for a particular purpose",
-    "mpl-v": "this source code form is subject to the terms of the mozilla public license v",
+LINE_CUT = "\n+|[.!?;][ \t\r]+"
+WRAPPED_CUT = "\n[ \t\r]*\n|[.!?;:][ \t\r\n]+"
+
+#: Lines that name a licence by themselves.
+LINES = {
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT"],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "SPDX-License-Identifier: GPL-3.0-only",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+    ],
+    "LGPL-2.1": ["SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "LGPL-3.0": ["SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later"],
+    "AGPL-3.0": ["SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "BSD-3-Clause": ["SPDX-License-Identifier: BSD-3-Clause"],
+    "BSD-2-Clause": ["SPDX-License-Identifier: BSD-2-Clause"],
+    "ISC": ["SPDX-License-Identifier: ISC"],
+    "MPL-2.0": ["SPDX-License-Identifier: MPL-2.0"],
+    "EPL-2.0": ["SPDX-License-Identifier: EPL-2.0"],
+    "Zlib": ["SPDX-License-Identifier: Zlib"],
+    "Unlicense": ["SPDX-License-Identifier: Unlicense"],
+    "CC0-1.0": ["SPDX-License-Identifier: CC0-1.0"],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
+    "all-rights-reserved": ["All rights reserved."],
 }
 
+_MIT_GRANT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software '
+    "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+    "and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\n"
+)
+_GNU = (
+    "This {what} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {name}General Public License as published by the Free Software Foundation{b} "
+    "either version {version} of the License, or (at your option) any later version.\n\n"
+    "This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY{c} without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n"
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+)
+#: Licence, gap, and the sentences of its notice that must be there.
+NOTICES = [
+    (
+        "Apache-2.0",
+        1,
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    ),
+    ("Apache-2.0", 1, "You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0"),
+    (
+        "Apache-2.0",
+        6,
+        'you may not use this file except in compliance with the License. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    ),
+    ("MIT", 3, "MIT License\n\n" + _MIT_GRANT),
+    ("MIT", 3, "The MIT License (MIT)\n\n" + _MIT_GRANT),
+    (
+        "MIT",
+        1,
+        _MIT_GRANT + 'The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    ),
+    ("BSD-2-Clause", 4, _BSD),
+    (
+        "BSD-3-Clause",
+        4,
+        _BSD + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    (
+        "ISC",
+        0,
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    ("CC0-1.0", 0, "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    # Cut after "v."; no other version has this wording.
+    ("MPL-2.0", 0, "This Source Code Form is subject to the terms of the Mozilla Public License, v."),
+    ("MPL-2.0", 0, "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
+    ("EPL-2.0", 0, "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    (
+        "EPL-2.0",
+        0,
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    ("EPL-2.0", 0, "This program and the accompanying materials are made available under the terms of the Eclipse Public License v."),
+    ("Unlicense", 0, "This is free and unencumbered software released into the public domain."),
+    (
+        "Zlib",
+        3,
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    ),
+    *(
+        (f"{license}-{version}{'' if '.' in version else '.0'}", 2, _GNU.format(what=what, name=name, version=version, a=a, b=b, c=c))
+        for (license, name, whats, versions), a, b, c in product(
+            [
+                ("GPL", "", ["program"], ["2", "3"]),
+                ("LGPL", "Lesser ", ["program", "library"], ["2.1", "3"]),
+                ("AGPL", "Affero ", ["program"], ["3"]),
+            ], ";:,", ";,", ";,"
+        )
+        for what, version in product(whats, versions)
+    ),
+]
+#: A more specific licence, and those whose notice is part of its own.
+HIDES = {"BSD-3-Clause": ["BSD-2-Clause"]}
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -76,44 +146,27 @@ class Rule:
     gap: int = 0
 
 
-#: The forms of the GPL's two sentences by the signs inside them.
-_GRANTS = {v: [(f"gpl-grant-{v}",), ("gpl-free", f"gpl-redistribute-{v}"), ("gpl-free", "gpl-redistribute", f"gpl-either-{v}"), ("gpl-head", f"gpl-either-{v}")] for v in (2, 3)}
-_HOPES = [("gpl-hope",), ("gpl-hope-any", "gpl-hope-even")]
-#: Licence rules. A longer rule stands for the same licence as its short forms.
-RULES = [
-    Rule("Apache-2.0", ("apache-line",)),
-    Rule("Apache-2.0", ("apache-grant", "apache-comply"), 1),
-    Rule("Apache-2.0", ("apache-obtain", "apache-url"), 1),
-    Rule("Apache-2.0", ("apache-comply", "apache-disclaim"), 6),
-    Rule("Apache-2.0", ("spdx-apache",)),
-    Rule("MIT", ("mit-line",)),
-    Rule("MIT", ("mit-line-licensed",)),
-    Rule("MIT", ("spdx-mit",)),
-    Rule("MIT", ("mit-title", "mit-grant"), 3),
-    Rule("MIT", ("mit-title-the", "mit-grant"), 3),
-    Rule("MIT", ("mit-grant", "mit-notice", "mit-disclaim"), 1),
-    Rule("GPL-3.0", ("gpl3-line",)),
-    *(Rule("GPL-3.0", (*grant, *hope), 2) for grant in _GRANTS[3] for hope in _HOPES),
-    Rule("GPL-3.0", ("spdx-gpl3",)),
-    *(Rule("GPL-2.0", (*grant, *hope), 2) for grant in _GRANTS[2] for hope in _HOPES),
-    Rule("BSD-2-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary"), 4),
-    Rule("BSD-3-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"), 4),
-    Rule("BSD-3-Clause", ("spdx-bsd3",)),
-    Rule("ISC", ("isc-grant",)),
-    Rule("CC-BY-NC-4.0", ("cc-by-nc",)),
-    Rule("CC-BY-4.0", ("cc-by",)),
-    Rule("CC-BY-SA-4.0", ("cc-by-sa",)),
-    Rule("CC0-1.0", ("cc0",)),
-    Rule("MPL-2.0", ("mpl",)),
-    Rule("MPL-2.0", ("mpl-v",)),  # no other version has this wording
-    Rule("all-rights-reserved", ("all-rights",)),
-]
-#: A more specific licence hides those that its text also matches.
-HIDES = {"BSD-3-Clause": ["BSD-2-Clause"]}
-#: No sentence is longer than the longest known one, with room for signs between words; longer ones are unknown without a look.
-_SLACK = 4
-LINE_CUT = "\n+|[.!?;][ \t\r]+"
-WRAPPED_CUT = "\n[ \t\r]*\n|[.!?;:][ \t\r\n]+"
+def normalised(sentence: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
+
+
+def parts_of(text: str, cut: str) -> tuple[str, ...]:
+    return tuple(x for x in map(normalised, re.split(cut, text)) if x)
+
+
+#: Each rule once; identifiers are the normalised sentences themselves.
+RULES = list(
+    dict.fromkeys(
+        [
+            *(Rule(license, (normalised(line),)) for license, lines in LINES.items() for line in lines),
+            *(Rule(license, parts_of(text, cut), gap) for license, gap, text in NOTICES for cut in (LINE_CUT, WRAPPED_CUT)),
+        ]
+    )
+)
+
+
+def sentences_of(rules: list[Rule]) -> list[str]:
+    return list(dict.fromkeys(s for r in rules for s in r.sentences))
 
 
 def letter(i: int) -> str:
@@ -121,68 +174,87 @@ def letter(i: int) -> str:
     return chr(0xE000 + i)
 
 
-def _likely(sentences: dict[str, str]) -> str:
-    """A pattern that any text with a known sentence matches: one word of each."""
-    return "|".join(sorted({max(s.split(), key=lambda w: (w in _COMMON, w)) for s in sentences.values()}))
+#: Words of licence sentences that are rare in other texts.
+_RARE = (
+    "license",
+    "licensed",
+    "licenses",
+    "redistribution",
+    "redistributions",
+    "permission",
+    "software",
+    "warranty",
+    "warranties",
+    "copyright",
+    "rights",
+    "redistribute",
+    "endorse",
+)
 
 
-def codes(text: Column, cut: str, sentences: dict[str, str] | None = None) -> Column:
+def _likely(sentences: list[str]) -> str:
+    """A pattern that any text with a known sentence matches: a rare word of each, or its longest."""
+    words = {next((w for w in _RARE if w in s.split()), max(s.split(), key=len)) for s in sentences}
+    return "(?i)" + "|".join(sorted(w for w in words if not any(v != w and v in w for v in words)))
+
+
+def codes(text: Column, cut: str, sentences: list[str]) -> Column:
     """One letter for each sentence of the text."""
-    sentences = sentences or SENTENCES
-    longest = _SLACK * max(map(len, sentences.values()))
-    known = F.create_map(*(F.lit(x) for i, s in enumerate(sentences.values()) for x in (s, letter(i))))
+    known = F.create_map(*(F.lit(x) for i, s in enumerate(sentences) for x in (s, letter(i))))
     plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    look = lambda s: (F.length(s) <= longest) & F.rlike(s, F.lit("(?i)" + _likely(sentences)))
-    one = lambda s: F.when(look(s), F.coalesce(F.element_at(known, plain(s)), F.lit("."))).otherwise(F.lit("."))
+    one = lambda s: F.when(
+        F.rlike(s, F.lit(_likely(sentences))), F.coalesce(F.element_at(known, plain(s)), F.lit("."))
+    ).otherwise(F.lit("."))
     return F.array_join(F.transform(F.split(text, cut), one), "")
 
 
-#: Words of licence sentences that are rare in other texts.
-_COMMON = {"licensed", "license", "licenses", "redistribution", "redistributions", "permission", "software", "warranty", "rights", "copyright"}
+def pattern(rule: Rule, sentences: list[str]) -> str:
+    """Letters of the sentences in order, with any letters of the same cut in the gaps."""
+    return f".{{0,{rule.gap}}}".join(letter(sentences.index(s)) for s in rule.sentences)
 
 
-def pattern(rule: Rule, sentences: dict[str, str] | None = None) -> str:
-    names = list(sentences or SENTENCES)
-    return f"[.]{{0,{rule.gap}}}".join(letter(names.index(s)) for s in rule.sentences)
+def _patterns(rules: list[Rule], sentences: list[str]) -> dict[str, str]:
+    by_license: dict[str, list[str]] = {}
+    for r in rules:
+        by_license.setdefault(r.license, []).append(pattern(r, sentences))
+    return {name: "|".join(by_license[name]) for name in sorted(by_license)}
 
 
-def license_scan(docs: DataFrame, rules: list[Rule] | None = None, sentences: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, licenses (sorted, distinct), n_known (known licence sentences, by the cut that finds more), n_sentences for each row."""
-    rules, sentences = rules or RULES, sentences or SENTENCES
+    rules = rules or RULES
+    sentences = sentences_of(rules)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
     rows = rows.withColumn("n_sentences", F.size(F.split("t", LINE_CUT)))
     # Both cuts, a line break between them; most texts have none of the words and are not looked at again.
     both = F.concat_ws("\n", codes(F.col("t"), LINE_CUT, sentences), codes(F.col("t"), WRAPPED_CUT, sentences))
-    rows = rows.withColumn("c", F.when(F.rlike("t", F.lit("(?i)" + _likely(sentences))), both).otherwise("")).drop("t")
-    by_license: dict[str, list[str]] = {}
-    for r in rules:
-        by_license.setdefault(r.license, []).append(pattern(r, sentences))
-    found = []
-    for name in sorted(by_license):
-        hit = F.rlike("c", F.lit("|".join(by_license[name])))
-        for by in (by for by, names in HIDES.items() if name in names and by in by_license):
-            hit = hit & ~F.rlike("c", F.lit("|".join(by_license[by])))
-        found.append(F.when(hit, F.lit(name)))
+    rows = rows.withColumn("c", F.when(F.rlike("t", F.lit(_likely(sentences))), both).otherwise("")).drop("t")
+    patterns, found = _patterns(rules, sentences), []
+    for name, p in patterns.items():
+        rest = F.col("c")
+        for by in (by for by, names in HIDES.items() if name in names and by in patterns):
+            rest = F.regexp_replace(rest, F.lit(patterns[by]), F.lit("."))
+        found.append(F.when(F.rlike(rest, F.lit(p)), F.lit(name)))
     known = [F.length(F.replace(F.element_at(F.split("c", "\n"), i), F.lit("."), F.lit(""))) for i in (1, -1)]
-    licenses = F.filter(F.array(*found), lambda x: x.isNotNull())
+    # Texts without a letter of a known sentence skip the rules.
+    licenses = F.when(F.translate("c", ".\n", "") == "", F.array().cast("array<string>")).otherwise(
+        F.filter(F.array(*found), lambda x: x.isNotNull())
+    )
     return rows.select("doc_id", licenses.alias("licenses"), F.greatest(*known).alias("n_known"), "n_sentences")
 
 
 def oracle() -> str:
     """The scan in SQL for DuckDB, with the same sentences and rules."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    known = "MAP {" + ", ".join(f"{quoted(s)}: '{letter(i)}'" for i, s in enumerate(SENTENCES.values())) + "}"
-    longest = _SLACK * max(map(len, SENTENCES.values()))
-    one = f"CASE WHEN length(s) <= {longest} THEN coalesce(m[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))], '.') ELSE '.' END"
-    by_license: dict[str, list[str]] = {}
-    for r in RULES:
-        by_license.setdefault(r.license, []).append(pattern(r))
-    hits = []
-    for name in sorted(by_license):
-        hit = f"regexp_matches(c, '{'|'.join(by_license[name])}')"
+    sentences = sentences_of(RULES)
+    known = "MAP {" + ", ".join(f"{quoted(s)}: '{letter(i)}'" for i, s in enumerate(sentences)) + "}"
+    one = "coalesce(m[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))], '.')"
+    patterns, hits = _patterns(RULES, sentences), []
+    for name, p in patterns.items():
+        rest = "c"
         for by in (by for by, names in HIDES.items() if name in names):
-            hit += f" AND NOT regexp_matches(c, '{'|'.join(by_license[by])}')"
-        hits.append(f"CASE WHEN {hit} THEN {quoted(name)} END")
+            rest = f"regexp_replace({rest}, '{patterns[by]}', '.', 'g')"
+        hits.append(f"CASE WHEN regexp_matches({rest}, '{p}') THEN {quoted(name)} END")
     part = lambda cut: f"array_to_string(list_transform(string_split_regex(t, '{cut}'), lambda s: {one}), '')"
     line, wrapped = LINE_CUT.encode("unicode_escape").decode(), WRAPPED_CUT.encode("unicode_escape").decode()
     return f"""
