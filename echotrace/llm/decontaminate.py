@@ -5,14 +5,28 @@ texts are searched for shingles of that size too). For an item of W words a wind
 whole document if it is shorter). Steps:
 1. Sieve: documents that hold no shingle of any item can't be similar to one and are left out. Each shingle of a document is looked
    up in the items' shingles, which are broadcast if few and shuffled otherwise. Nothing but keys of documents leaves this step.
-2. Windows: a shingle at p of the document and at q of the item puts a window at p - q. With matches of several such shifts the
-   overlap of a window changes evenly between two of them, so the best window is among these.
+2. Windows: a shingle at p of the document and at q of an item puts a window of the item's size at p - q. With matches of several such
+   shifts the overlap of a window changes evenly between two of them, so the best window is among these.
 3. Multi-index Hamming blocks: windows and items have 64-bit SimHash fingerprints over shingles weighted by their counts,
    cut into BLOCKS bytes. Fingerprints at most RADIUS bits apart are at most RADIUS div BLOCKS apart in some block;
-   items are indexed under all such values of each block, so a window finds every item of its size within the radius.
+   items are indexed under all such values of each block, and a window looks up its own blocks among the entries of the items that
+   put it there, so it finds every one of them within the radius and no other.
 4. Verification: weighted Jaccard similarity of the exact shingles (sum of the smaller counts over sum of the larger), kept from
-   SIMILARITY = 0.8 on. Fingerprints of pairs at 0.8 are about 10 bits apart with a deviation of 3; RADIUS = 24 leaves out
-   less than one such pair in a hundred thousand.
+   SIMILARITY = 0.8 on.
+
+RADIUS is 23, the largest for which two bits of a block are enough. Measured on 3000 random pairs of each size with the smallest
+similarity from 0.8 on that the size allows (bits apart: mean, deviation, most; share of pairs beyond 20 and 23 bits):
+
+    words   similarity   mean   deviation   most   beyond 20   beyond 23
+       9       1.00       0.0      0.0        0       0           0
+      13       0.80       8.7      2.8       19       0           0
+      20       0.88       6.3      2.4       17       0           0
+      30       0.86       7.5      2.6       18       0           0
+      50       0.80       9.3      2.8       23      0.0003       0
+     100       0.81       9.1      2.8       19       0           0
+     200       0.81       9.5      2.9       21      0.0003       0
+
+Only slices of a document's shingles and words are joined with anything, and cut from its row once for all of its windows.
 
 Defined results: null or empty texts and items match nothing; null ids of documents match as a value of their own; repeated items with one
 id count once for each text; repeated rows of documents give one result; empty tables give an empty result; other
@@ -26,7 +40,9 @@ from pyspark.sql import functions as F
 
 from echotrace.llm._common import broadcast_if_small, stored, text_or_empty
 
-SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 24, 8
+SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 23, 8
+#: Hashes of item shingles (one long each) that are broadcast at most.
+HASHES = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -40,7 +56,13 @@ def _shingle_starts(n: Column, k: int) -> Column:
 def shingle_hashes(tokens: Column, k: int) -> Column:
     """A hash of the hashes of each k words in a row."""
     hashed = F.transform(tokens, lambda w: F.xxhash64(w))
-    return F.element_at(F.transform(F.array(hashed), lambda h: F.transform(_shingle_starts(F.size(h), k), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k))))), 1)
+    return F.element_at(
+        F.transform(
+            F.array(hashed),
+            lambda h: F.transform(_shingle_starts(F.size(h), k), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k)))),
+        ),
+        1,
+    )
 
 
 def shingle_texts(tokens: Column, k: int) -> Column:
@@ -70,15 +92,25 @@ def _block(fp: Column, k: int, bits: int) -> Column:
     return F.shiftrightunsigned(fp, k * bits).bitwiseAND((1 << bits) - 1)
 
 
-def within_radius(windows: DataFrame, items: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """Pairs of windows (.., size, fp) and items (item, size, item_fp) of one size whose fingerprints are at most radius bits apart."""
+def hamming_index(items: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """item, item_fp, block and each value that a block of a fingerprint at most radius bits away may have. items: item, item_fp."""
+    bits = 64 // blocks
+    near = F.filter(
+        F.sequence(F.lit(0).cast("long"), F.lit((1 << bits) - 1).cast("long")),
+        lambda v: F.bit_count(v.bitwiseXOR(F.col("own"))) <= radius // blocks,
+    )
+    index = items.select(
+        "item", "item_fp", F.posexplode(F.array(*(_block(F.col("item_fp"), k, bits) for k in range(blocks)))).alias("block", "own")
+    )
+    return index.select("item", "item_fp", "block", F.explode(near).alias("value"))
+
+
+def within_radius(windows: DataFrame, index: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """Rows of windows (.., item, fp) whose fingerprint is at most radius bits from their item's."""
     bits = 64 // blocks
-    near = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << bits) - 1).cast("long")), lambda v: F.bit_count(v.bitwiseXOR(F.col("own"))) <= radius // blocks)
-    index = items.select("item", "size", "item_fp", F.posexplode(F.array(*(_block(F.col("item_fp"), k, bits) for k in range(blocks)))).alias("block", "own"))
-    index = index.select("item", "size", "item_fp", "block", F.explode(near).alias("value"))
     probes = windows.select("*", F.posexplode(F.array(*(_block(F.col("fp"), k, bits) for k in range(blocks)))).alias("block", "value"))
-    met = probes.join(index, ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    return met.drop("block", "value").distinct()
+    met = probes.join(index, ["item", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    return met.drop("block", "value", "item_fp").distinct()
 
 
 def weighted_similarity(a: Column, b: Column) -> Column:
@@ -88,22 +120,50 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(
+    docs: DataFrame,
+    items: DataFrame,
+    similarity: float = SIMILARITY,
+    radius: int = RADIUS,
+    shingle: int = SHINGLE,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
     """doc_id, text_hash (xxhash64), item_id, similarity, start and n_words (of the best window, in words) for each document and item it is contaminated with."""
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    bench = items.select(F.col(item_col).alias("item_id"), words(text_or_empty(item_text_col)).alias("item_words")).where(F.size("item_words") > 0).distinct()
-    bench = stored(bench.withColumn("item", F.xxhash64("item_id", F.array_join("item_words", " "))).withColumn("size", F.size("item_words")), "items")
+    bench = items.select(
+        F.col(item_col).alias("item_id"), words(text_or_empty(item_text_col)).alias("item_words")
+    ).where(F.size("item_words") > 0).distinct()
+    bench = stored(
+        bench.withColumn("item", F.xxhash64("item_id", F.array_join("item_words", " "))).withColumn("size", F.size("item_words")), "items"
+    )
     sizes = sorted(r[0] for r in bench.select(F.least("size", F.lit(shingle)).alias("k")).distinct().collect())  # at most `shingle` rows
     found = [_leaks_of(texts, bench.where(F.least("size", F.lit(shingle)) == k), k, similarity, radius) for k in sizes]
     if not found:
         none = texts.crossJoin(bench.select("item_id")).limit(0)
-        return none.select("doc_id", F.lit(0).cast("long").alias("text_hash"), "item_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("start"), F.lit(0).alias("n_words"))
+        return none.select(
+            "doc_id",
+            F.lit(0).cast("long").alias("text_hash"),
+            "item_id",
+            F.lit(0.0).alias("similarity"),
+            F.lit(0).alias("start"),
+            F.lit(0).alias("n_words"),
+        )
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
+def _cut(windows: DataFrame, held: DataFrame, column: str, names: list[str], part) -> DataFrame:
+    """windows (key, names) with their part of the document's array, which is cut before rows are made of them."""
+    by_key = windows.groupBy("key").agg(F.collect_list(F.struct(*names)).alias("all"))
+    cut = F.transform("all", lambda x: F.struct(*(x[n].alias(n) for n in names), part(x).alias("part")))
+    return by_key.join(held.select("key", column), "key").select("key", F.explode(cut).alias("x")).select("key", "x.*")
+
+
 def _leaks_of(texts: DataFrame, bench: DataFrame, k: int, similarity: float, radius: int) -> DataFrame:
     key = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
     marks = bench.select("item", "size", F.posexplode(shingle_hashes(F.col("item_words"), k)).alias("q", "h"))
@@ -113,25 +173,38 @@ def _leaks_of(texts: DataFrame, bench: DataFrame, k: int, similarity: float, rad
     # 1. Sieve. The id is kept in one field that is never null, so that null ids match as well.
     tokens = texts.select(*key, words(F.col("text")).alias("w"))
     seen = tokens.select(F.struct("doc_id", "text_hash").alias("key"), F.explode(shingle_hashes(F.col("w"), k)).alias("h"))
-    touched = stored(seen.join(broadcast_if_small(distinct), "h", "left_semi").select("key").distinct(), "touched")
+    touched = stored(seen.join(broadcast_if_small(distinct, HASHES), "h", "left_semi").select("key").distinct(), "touched")
     again = texts.select(F.struct(*key).alias("key"), "text").join(broadcast_if_small(touched), "key", "left_semi")
     held = again.select("key", words(F.col("text")).alias("w")).dropDuplicates(["key"]).withColumn("h", shingle_hashes(F.col("w"), k))
     held = stored(held, "held")
 
-    # 2. Windows.
+    # 2. Windows, with the items that put them there.
     spots = held.select("key", F.size("w").alias("n"), F.posexplode("h").alias("p", "h")).join(broadcast_if_small(marks), "h")
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("size")))
-    windows = spots.select("key", "size", start.alias("start")).distinct()
+    windows = spots.groupBy("key", "size", start.alias("start")).agg(F.collect_set("item").alias("items"))
     # 3. Fingerprints within the radius.
-    windows = windows.join(held.select("key", "h"), "key").withColumn("part", F.slice("h", F.col("start") + 1, F.greatest(F.lit(1), F.col("size") - k + 1)))
-    windows = windows.select("key", "size", "start", simhash(F.col("part")).alias("fp"))
-    prints = stored(bench.select("item", "size", simhash(shingle_hashes(F.col("item_words"), k)).alias("item_fp")), "item-prints")
-    pairs = within_radius(windows, broadcast_if_small(prints, 20_000), radius)
+    part = lambda x: F.slice("h", x["start"] + 1, F.greatest(F.lit(1), x["size"] - k + 1))
+    windows = _cut(windows, held, "h", ["size", "start", "items"], part)
+    windows = windows.select("key", "size", "start", "items", simhash(F.col("part")).alias("fp")).select(
+        "key", "size", "start", F.explode("items").alias("item"), "fp"
+    )
+    prints = bench.select("item", simhash(shingle_hashes(F.col("item_words"), k)).alias("item_fp")).distinct()
+    index = broadcast_if_small(stored(hamming_index(prints, radius), "item-index"))
+    pairs = stored(within_radius(windows, index, radius).select("key", "size", "start", "item"), "near")
     # 4. Verification.
-    pairs = pairs.select("key", "item", "start").join(held.select("key", "w"), "key").join(bench.select("item", "item_id", "item_words", "size"), "item")
-    window = F.slice("w", F.col("start") + 1, F.col("size"))
-    pairs = pairs.select("key", "item_id", "start", F.size(window).alias("n_words"), weighted_similarity(shingle_texts(window, k), shingle_texts(F.col("item_words"), k)).alias("similarity"))
-    best = pairs.where(F.col("similarity") >= similarity).groupBy("key", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n_words")).alias("b"))
+    pairs = _cut(pairs, held, "w", ["size", "start", "item"], lambda x: F.slice("w", x["start"] + 1, x["size"]))
+    sized = bench.select("item", "item_id", "item_words")
+    pairs = pairs.join(broadcast_if_small(sized, weight=64 + 24 * F.size("item_words")), "item")
+    pairs = pairs.select(
+        "key",
+        "item_id",
+        "start",
+        F.size("part").alias("n_words"),
+        weighted_similarity(shingle_texts(F.col("part"), k), shingle_texts(F.col("item_words"), k)).alias("similarity"),
+    )
+    best = pairs.where(F.col("similarity") >= similarity).groupBy("key", "item_id").agg(
+        F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n_words")).alias("b")
+    )
     return best.select("key.doc_id", "key.text_hash", "item_id", (-F.col("b.s")).alias("similarity"), "b.start", "b.n_words")
 
 
