@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echotrace.llm._common import stored
+from echotrace.llm._common import new_path, remove, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,11 +29,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for each node of an edge; edges: u, v of one ordered type, u <> v."""
-    edges = stored(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    spark, path = edges.sparkSession, new_path(edges.sparkSession, "edges")
+    edges = stored(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges", path)
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(edges)
     while before[0]:
-        edges = stored(_small_star(_large_star(edges).where("u < v").distinct()).where("u < v").distinct(), "edges")
+        old, path = path, new_path(spark, "edges")
+        edges = stored(_small_star(_large_star(edges).where("u < v").distinct()).where("u < v").distinct(), "edges", path)
+        remove(spark, old)
         if (after := mark(edges)) == before:
             break
         before = after

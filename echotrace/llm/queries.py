@@ -32,7 +32,9 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.store_digest(spark, documents(spark, sf_dir), new_path(spark, "store"), tokenizer_path("word_bpe_49k.json"), keeps_space=False)
+    return token_store.store_digest(
+        spark, documents(spark, sf_dir), new_path(spark, "store"), tokenizer_path("word_bpe_49k.json"), keeps_space=False
+    )
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +47,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.feistel_shards(documents(spark, sf_dir))
-    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

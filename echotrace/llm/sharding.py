@@ -54,7 +54,9 @@ def _stepped(x: Column, a: int, b: int, keys: list[int]) -> Column:
         right = (s["r"] + _folded(_scrambled(left, k["q"]), k["q"])) % b
         return F.struct(left.alias("l"), right.alias("r"))
 
-    rounds = F.array(*(F.struct(F.lit(p).cast("long").alias("p"), F.lit(q).cast("long").alias("q")) for p, q in zip(keys[::2], keys[1::2], strict=True)))
+    rounds = F.array(
+        *(F.struct(F.lit(p).cast("long").alias("p"), F.lit(q).cast("long").alias("q")) for p, q in zip(keys[::2], keys[1::2], strict=True))
+    )
     start = F.struct(((x - x % b) / b).cast("long").alias("l"), (x % b).alias("r"))
     return F.aggregate(rounds, start, turn, lambda s: s["l"] * b + s["r"])
 
@@ -74,7 +76,9 @@ def permuted(rows: DataFrame, x: str, n: int, name: str, seed: int = SEED, round
     rows = rows.withColumn("_z", F.col("_l") * b + F.col("_r"))
     if a * b > n:
         # A walk visits no point twice and so leaves 0..n-1 for a*b - n steps at most: the sequence is always long enough.
-        walk = F.aggregate(F.sequence(F.lit(1), F.lit(a * b - n)), F.col("_z"), lambda z, _: F.when(z < n, z).otherwise(_stepped(z, a, b, keys)))
+        walk = F.aggregate(
+            F.sequence(F.lit(1), F.lit(a * b - n)), F.col("_z"), lambda z, _: F.when(z < n, z).otherwise(_stepped(z, a, b, keys))
+        )
         rows = rows.withColumn("_z", F.when(F.col("_z") < n, F.col("_z")).otherwise(walk))
     return rows.withColumn(name, F.col("_z")).drop("_l", "_r", "_y", "_z")
 
@@ -82,7 +86,19 @@ def permuted(rows: DataFrame, x: str, n: int, name: str, seed: int = SEED, round
 def feistel_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, row_number, shard and slot of each row of docs."""
     text = text_or_empty(text_col)
-    slim = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_hash"))
+    slim = docs.select(
+        F.col(id_col).alias("doc_id"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("_hash"),
+    )
     numbered, n = global_row_number(slim, [F.col("doc_id"), F.col("_hash")], "row_number")
     image = permuted(numbered, "row_number", n, "_image", seed)
-    return image.select("doc_id", "size", "text_crc32", "row_number", (F.col("_image") % shards).cast("int").alias("shard"), F.floor(F.col("_image") / shards).cast("long").alias("slot"))
+    return image.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        "row_number",
+        (F.col("_image") % shards).cast("int").alias("shard"),
+        F.floor(F.col("_image") / shards).cast("long").alias("slot"),
+    )

@@ -61,7 +61,9 @@ def simhash(text: str | None) -> int:
     ones = np.zeros(64, dtype=np.int64)
     a, b = starts[:n].tolist(), ends[SHINGLE - 1 :].tolist()
     for i in range(0, n, _PART):
-        hashes = np.fromiter((digest(line[s:e], SEED) for s, e in zip(a[i : i + _PART], b[i : i + _PART], strict=True)), dtype=">u8", count=min(_PART, n - i))
+        hashes = np.fromiter(
+            (digest(line[s:e], SEED) for s, e in zip(a[i : i + _PART], b[i : i + _PART], strict=True)), dtype=">u8", count=min(_PART, n - i)
+        )
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
@@ -191,7 +193,9 @@ def link_forest(fps: DataFrame, block: int = BLOCK, positions: int | None = None
     positions = positions or positions_of(fps.count(), block)
     index = fps.select("fp", F.explode(_keys(F.col("fp"), positions)).alias("key"))
     long_lists = stored(index.groupBy("key").count().where(F.col("count") > block), "long-lists")
-    lists = index.join(broadcast_if_small(long_lists), "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int"))
+    lists = index.join(broadcast_if_small(long_lists), "key", "left").withColumn(
+        "blocks", F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
+    )
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     lists = lists.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = lists.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
