@@ -7,9 +7,10 @@ ever holds a whole run. An entry is a digest, the identifier that stays, the num
 occurs more than once, the text: entries merge only if their texts are equal byte for byte, so at every level the
 identifier that is retained is a verified one, and different texts of one digest stay apart to the end.
 
-Which digests occur more than once is known beforehand from a count of 64-bit hashes of digests; one too many there costs a text but
-changes nothing. Texts of other rows never move. Going down, each row takes its group's result through its own run's
-entry, so a frequent text is one row of a run in that join as well.
+Which digests may occur more than once is known beforehand from a count of 64-bit hashes of digests; one too many there costs a
+text but changes nothing. A row whose hash occurs once has no entry to merge with, so it is a group of its own and neither it
+nor its text moves. Going down, each row takes its group's result through its own run's entry, so a frequent text is one row
+of a run in that join as well.
 
 Copies of a frequent text are one entry of each run from the first merge on, whatever their ids.
 
@@ -32,7 +33,9 @@ def _sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def merged_runs(entries: DataFrame, key: list[str], aggs: list[Column], runs: int, fan_in: int = FAN_IN, rounds: int | None = None) -> tuple[DataFrame, int]:
+def merged_runs(
+    entries: DataFrame, key: list[str], aggs: list[Column], runs: int, fan_in: int = FAN_IN, rounds: int | None = None
+) -> tuple[DataFrame, int]:
     """The entries after so many rounds of merges, or after as many as leave one run, and the number of runs left; aggs combine entries into entries."""
     while runs > 1 if rounds is None else rounds > 0:
         runs, rounds = -(-runs // fan_in), None if rounds is None else rounds - 1
@@ -40,7 +43,9 @@ def merged_runs(entries: DataFrame, key: list[str], aggs: list[Column], runs: in
     return entries, runs
 
 
-def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN, digest=_sha256) -> DataFrame:
+def exact_dedup(
+    docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN, digest=_sha256
+) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row; keep: 'smallest' or 'largest' id stays."""
     best = {"smallest": F.min, "largest": F.max}[keep]
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -52,8 +57,13 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
     rows = texts.withColumn("run", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
     rows = rows.withColumn("digest", digest(F.col("text"))).withColumn("code", F.xxhash64("digest"))
     sha256 = [] if digest is _sha256 else [_sha256(F.col("text")).alias("sha256")]
-    body = F.when(F.col("again"), F.col("text")).otherwise("").alias("body")
+    body = F.when(F.col("again"), F.col("text")).alias("body")  # null: the digest occurs once
     rows = stored(rows.join(repeated, "code", "left").select("doc_id", "place", "run", "digest", *sha256, body), "rows")
+    text_sha256 = F.lower(F.hex("sha256" if sha256 else "digest")).alias("text_sha256")
+    single = rows.where("body is null").select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), text_sha256
+    )
+    rows = rows.where("body is not null")
 
     # max/min of (has id, id) prefers rows with an id for either order.
     known = F.col("doc_id").isNull().alias("none") if keep == "smallest" else F.col("doc_id").isNotNull().alias("some")
@@ -74,5 +84,5 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
     rows = rows.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
     found = rows.join(entries, ["run", *key])
     kept = (F.col("stay.place") == F.col("place")).alias("kept")
-    text_sha256 = F.lower(F.hex("sha256" if sha256 else "digest")).alias("text_sha256")
-    return found.select("doc_id", F.col("stay.doc_id").alias("keep_id"), F.col("n").alias("group_size"), kept, text_sha256)
+    found = found.select("doc_id", F.col("stay.doc_id").alias("keep_id"), F.col("n").alias("group_size"), kept, text_sha256)
+    return single.unionByName(found)
