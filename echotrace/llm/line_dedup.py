@@ -38,57 +38,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echotrace.llm._common import broadcast_if_small, process_cache, stored
+from echotrace.llm._common import broadcast_if_small, stored
+from echotrace.llm._prefix import BASE, MIX, inverse_power, mixed, prefix_at  # noqa: F401
 
 WINDOW, MODULUS, PASSAGE, MIN_LINES = 2, 2, 50, 2
 _WHITE = " \t\n\r\f\v"
 _BREAK, _STOPS = 10, (33, 46, 63)  # line break; ! . ?
-#: An odd base of the polynomial hash modulo 2^64, its inverse, and an odd number to mix with.
-BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_INVERSE = pow(BASE, -1, 1 << 64)
-_BLOCK = 1 << 16
 #: Bytes of text worked on at a time; a longer text is worked on alone.
 _SLICE = 1 << 20
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
-
-
-def _tables() -> dict:
-    """Powers of the base inside a block, and of its inverse inside a block and from block to block."""
-    cache = process_cache("line-dedup")
-    if not cache:
-        cache["up"], cache["down"] = _powers(BASE, _BLOCK), _powers(_INVERSE, _BLOCK)
-    return cache
-
-
-def _prefix_at(raw: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The sum of raw[i] * BASE^i over i < place, for ascending places."""
-    up, out, carry, shift = _tables()["up"], np.zeros(len(places), dtype=np.uint64), 0, 1
-    cuts = np.searchsorted(places, np.arange(0, len(raw) + _BLOCK, _BLOCK), "left")
-    for k, begin in enumerate(range(0, len(raw) + 1, _BLOCK)):
-        part = raw[begin : begin + _BLOCK]
-        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(part * up[: len(part)])))
-        lo, hi = cuts[k], cuts[k + 1] if k + 1 < len(cuts) else len(places)
-        out[lo:hi] = np.uint64(carry) + np.uint64(shift) * sums[places[lo:hi] - begin]
-        carry = (carry + shift * int(sums[-1])) % (1 << 64)
-        shift = shift * pow(BASE, _BLOCK, 1 << 64) % (1 << 64)
-    return out
-
-
-def _inverse_power(places: np.ndarray) -> np.ndarray:
-    top = int(places.max(initial=0)) // _BLOCK + 1
-    return _powers(pow(_INVERSE, _BLOCK, 1 << 64), top)[places // _BLOCK] * _tables()["down"][places % _BLOCK]
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(MIX)
-    return h ^ (h >> np.uint64(29))
-
-
 class Words:
     """The words of many texts that lie one after another in raw: where they begin and end, and what begins with them."""
 
@@ -114,12 +73,12 @@ class Words:
         self.opens_line[1:] |= seen[1:] > seen[:-1]
         self.opens_unit[1:] |= self.opens_line[1:] | np.isin(raw[self.end[:-1] - 1], _STOPS)
         both = np.stack([self.start, self.end], axis=1).ravel()  # ascending
-        prefix = _prefix_at(raw, both).reshape(-1, 2)
+        prefix = prefix_at(raw, both).reshape(-1, 2)
         self.before, self.upto = prefix[:, 0], prefix[:, 1]
 
     def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The hash of what lies from the start of word a to the end of word b."""
-        return _mixed((self.upto[b] - self.before[a]) * _inverse_power(self.start[a]))
+        return mixed((self.upto[b] - self.before[a]) * inverse_power(self.start[a]))
 
     def groups(self, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last word of each line or unit."""
@@ -134,7 +93,7 @@ class Words:
         same = np.zeros(n, dtype=bool)  # the line before is of the same text
         same[1:] = owner[1:] == owner[:-1]
         rolled[1:] += np.where(same[1:], rolled[:-1], np.uint64(0)) * np.uint64(BASE)
-        marked = _mixed(rolled) % np.uint64(MODULUS) == 0
+        marked = mixed(rolled) % np.uint64(MODULUS) == 0
         ends = marked & same
         ends[1:] &= ~(marked[:-1] & same[1:])
         if n:
@@ -194,7 +153,9 @@ class Words:
 
 def words_of(texts: pa.Array) -> Words:
     """The words of an array of texts without nulls."""
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if pa.types.is_large_string(texts.type) else np.int32)[
+        texts.offset : texts.offset + len(texts) + 1
+    ].astype(np.int64)
     data = texts.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
     return Words(raw, offsets - offsets[0])
@@ -216,7 +177,9 @@ def seeds_of(texts: pa.Array, passage: int | None = PASSAGE) -> tuple[np.ndarray
     return words.owner[a], words.hashes(a, b).view(np.int64)
 
 
-def spans_of(texts: pa.Array, passage: int | None = PASSAGE, repeated: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def spans_of(texts: pa.Array, passage: int | None = PASSAGE, repeated: np.ndarray | None = None) -> tuple[
+    np.ndarray, np.ndarray, np.ndarray, np.ndarray
+]:
     """Text, start, length (in characters) and hash of each chunk and window of an array of texts without nulls.
 
     repeated: the hashes of chunks and seeds that occur elsewhere; only chunks with one, and windows that hold such a seed, are given. A window to the left
@@ -268,7 +231,9 @@ def _span_rows(passage: int | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
             owner, start, length, h = spans_of(part.column("text"), passage, pc.list_flatten(part.column("seeds")).to_numpy())
-            arrays = [part.column("key").take(pa.array(owner)), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(h)]
+            arrays = [
+                part.column("key").take(pa.array(owner)), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(h)
+            ]
             yield pa.RecordBatch.from_arrays(arrays, ["key", "start", "length", "hash"])
 
     return rows
@@ -281,7 +246,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _copies(texts: DataFrame, passage: int | None) -> tuple[DataFrame, DataFrame]:
     """The texts without those whose hash another has before them, and a span of all of each of the others that is a chunk or passage."""
-    same = texts.where("text is not null").groupBy(F.col("key.text_hash").alias("h")).agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    same = texts.where("text is not null").groupBy(F.col("key.text_hash").alias("h")).agg(
+        F.min("key").alias("first"), F.max("key").alias("last")
+    )
     same = broadcast_if_small(stored(same.where("NOT (first <=> last)").select("h", "first"), "copied"))
     marked = texts.where("text is not null").join(same, F.col("key.text_hash") == F.col("h"), "left")
     later = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
@@ -293,7 +260,9 @@ def _copies(texts: DataFrame, passage: int | None) -> tuple[DataFrame, DataFrame
     if passage is not None:
         counts = counts | (F.size(F.split("bare", "[ \t\n\r\f\\x0B]+")) >= passage)
     start = (F.length("text") - F.length(F.ltrim(F.col("text"), white))).alias("start")
-    spans = copied.where(counts).select("key", start, F.length("bare").alias("length"), start.alias("cut"), F.col("first").alias("origin"), start.alias("from"))
+    spans = copied.where(counts).select(
+        "key", start, F.length("bare").alias("length"), start.alias("cut"), F.col("first").alias("origin"), start.alias("from")
+    )
     return marked.where(~later).select("key", "text"), spans.distinct()
 
 
@@ -314,29 +283,60 @@ def repeated_spans(docs: DataFrame, passage: int | None = PASSAGE, id_col: str =
     copies = spans.join(firsts, "hash").where("NOT (key <=> first.key AND start = first.start)").drop("hash")
     # A null id is equal to itself.
     close = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("start") < F.col("first.start") + F.col("length"))
-    copies = copies.select("key", "start", "length", "first", F.when(close, F.col("first.start") + F.col("length")).otherwise(F.col("start")).alias("cut"), close.alias("close"))
+    copies = copies.select(
+        "key",
+        "start",
+        "length",
+        "first",
+        F.when(close, F.col("first.start") + F.col("length")).otherwise(F.col("start")).alias("cut"),
+        close.alias("close"),
+    )
     # Islands of overlapping spans at one distance from the first place; a document's own rows only.
-    at = Window.partitionBy("key", "first.key", F.col("start") - F.col("first.start"), "close").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("key", "first.key", F.col("start") - F.col("first.start"), "close").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, 0)
-    marked = copies.withColumn("new", F.when(F.col("close") | (F.col("start") > F.coalesce(F.max(F.col("start") + F.col("length")).over(at), F.lit(-1))), 1).otherwise(0))
-    marked = marked.withColumn("island", F.sum("new").over(upto)).withColumn("origin", F.col("first.key")).withColumn("distance", F.col("start") - F.col("first.start"))
-    merged = marked.groupBy("key", "origin", "distance", "close", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.min("cut").alias("cut"))
-    merged = merged.select("key", "start", (F.col("end") - F.col("start")).alias("length"), "cut", "origin", (F.col("start") - F.col("distance")).alias("from"))
+    at = Window.partitionBy(
+        "key", "first.key", F.col("start") - F.col("first.start"), "close"
+    ).orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(
+        "key", "first.key", F.col("start") - F.col("first.start"), "close"
+    ).orderBy("start", "length").rowsBetween(Window.unboundedPreceding, 0)
+    marked = copies.withColumn(
+        "new",
+        F.when(F.col("close") | (F.col("start") > F.coalesce(F.max(F.col("start") + F.col("length")).over(at), F.lit(-1))), 1).otherwise(0),
+    )
+    marked = marked.withColumn("island", F.sum("new").over(upto)).withColumn("origin", F.col("first.key")).withColumn(
+        "distance", F.col("start") - F.col("first.start")
+    )
+    merged = marked.groupBy("key", "origin", "distance", "close", "island").agg(
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.min("cut").alias("cut")
+    )
+    merged = merged.select(
+        "key", "start", (F.col("end") - F.col("start")).alias("length"), "cut", "origin", (F.col("start") - F.col("distance")).alias("from")
+    )
     merged = stored(merged.union(whole), "merged")
     # Bytes: the text of copies and of the first places only.
-    both = merged.select("key", "start", "length", "origin", "from").union(merged.select(F.col("origin").alias("key"), F.col("from").alias("start"), "length", "origin", "from").distinct())
+    both = merged.select("key", "start", "length", "origin", "from").union(
+        merged.select(F.col("origin").alias("key"), F.col("from").alias("start"), "length", "origin", "from").distinct()
+    )
     per_text = stored(both.groupBy("key").agg(F.collect_set(F.struct("start", "length", "origin", "from")).alias("all")), "wanted")
     # The bodies are cut before rows are made of them, so that no text is copied once for each.
-    bodies = F.transform("all", lambda c: F.struct(*(c[x] for x in ("start", "length", "origin", "from")), F.substring(F.col("text"), c["start"] + 1, c["length"]).alias("body")))
+    bodies = F.transform(
+        "all",
+        lambda c: F.struct(
+            *(c[x] for x in ("start", "length", "origin", "from")), F.substring(F.col("text"), c["start"] + 1, c["length"]).alias("body")
+        ),
+    )
     pieces = texts.join(broadcast_if_small(per_text, weight=64 + 48 * F.size("all")), "key").select("key", F.explode(bodies).alias("c"))
     pieces = pieces.select("key", "c.*")
     same = ["origin", "from", "length"]
     stays = pieces.groupBy(*same, "body").agg(F.min(F.struct("key", "start")).alias("first")).select(*same, "first.*")
     gone = merged.join(stays, ["key", "start", *same], "left_anti")
-    return gone.select("key", F.col("cut").alias("start"), (F.col("start") + F.col("length") - F.col("cut")).cast("int").alias("length")).distinct()
+    return gone.select(
+        "key", F.col("cut").alias("start"), (F.col("start") + F.col("length") - F.col("cut")).cast("int").alias("length")
+    ).distinct()
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), *(T.StructField(x, T.LongType()) for x in ("chunks", "lines", "chars"))]))
+@F.pandas_udf(
+    T.StructType([T.StructField("text", T.StringType()), *(T.StructField(x, T.LongType()) for x in ("chunks", "lines", "chars"))])
+)
 def _cut_out(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
     """The text without the spans, and how many spans (after merging), lines or parts of lines, and characters are gone."""
     out = []
@@ -372,7 +372,10 @@ def _cut_out(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 def line_dedup(docs: DataFrame, passage: int | None = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (without repeated chunks and passages), n_chars (of that text), removed_chunks, removed_lines, removed_chars for each row of docs."""
-    cut = stored(repeated_spans(docs, passage, id_col, text_col).groupBy("key").agg(F.collect_list(F.struct("start", "length")).alias("spans")), "cut")
+    cut = stored(
+        repeated_spans(docs, passage, id_col, text_col).groupBy("key").agg(F.collect_list(F.struct("start", "length")).alias("spans")),
+        "cut",
+    )
     rows = _keyed(docs, id_col, text_col).join(broadcast_if_small(cut, weight=96 + 24 * F.size("spans")), "key", "left")
     # Most texts stay as they are and don't cross to Python.
     touched = F.col("spans").isNotNull()
