@@ -1,12 +1,13 @@
 """Packing along a space-filling curve.
 
 Each whole text becomes a hashed byte-trigram vector, projected to DIMENSIONS axes by fixed pseudo-random signs; the
-position of the quantised point on a Hilbert curve is the document's key. Documents are range-sorted by (key, hash of id),
+position of the quantised point on a Hilbert curve is the document's key. Documents are range-sorted by (key, tie),
 so a range of the curve is a partition and neighbours on the curve share sequences. Each partition is encoded and cut
 into sequences of LENGTH ids as one stream: all but its last sequence are full, so less than one sequence
 for each partition is padding.
-Ids are made once, after the sort; only texts and keys are shuffled. The hash of the id spreads documents with one key, such
-as copies of one text, over partitions.
+The ranges hold about equal bytes: their borders are quantiles of SAMPLE documents (a hash of the row chooses them; only the sizes of
+partitions depend on it, no result does). Keys and ids are made once, ids after the sort; only texts and keys are
+shuffled. The tie is a hash of the id and the row, which spreads documents with one key, such as copies of one text, over partitions.
 
 Defined results: null text counts as empty and is one piece with the end id only; null ids are kept beside ids of any size, as
 they cross to Python as Arrow values; strings of special tokens become their ids; repeated rows are packed each; an empty
@@ -24,11 +25,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echotrace.llm._text_vectors import WIDTH, unit_vector
-from echotrace.llm._tokens import encoder, groups
+from echotrace.llm._tokens import encoder, slices
 
 LENGTH, END, DIMENSIONS, BITS = 1024, 0, 4, 15
+#: Documents that the borders of ranges are taken from, and bytes of text in a range: RANGE_BYTES until there are MANY ranges, then up to MOST_BYTES.
+SAMPLE, RANGE_BYTES, MANY, MOST_BYTES = 20_000, 8 << 20, 4096, 128 << 20
 
 
 def projection(dimensions: int = DIMENSIONS, width: int = WIDTH) -> np.ndarray:
@@ -78,20 +82,45 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_key(dimensions: int = DIMENSIONS, bits: int = BITS):
-    """A column function: the Hilbert key of a text."""
+def curve_keys(texts: list[str | None], dimensions: int = DIMENSIONS, bits: int = BITS) -> np.ndarray:
+    """The Hilbert key of each text."""
+    signs = projection(dimensions)
+    points = np.array([unit_vector(t) @ signs for t in texts]).reshape(-1, dimensions)
+    return hilbert_key(quantised(points, bits), bits)
 
-    def keys(texts: pd.Series) -> pd.Series:
-        signs = projection(dimensions)
-        points = np.array([unit_vector(t) @ signs for t in texts]).reshape(-1, dimensions)
-        return pd.Series(hilbert_key(quantised(points, bits), bits))
 
-    return F.pandas_udf(keys, "long")
+@F.pandas_udf(T.LongType())
+def _key(texts: pd.Series) -> pd.Series:
+    return pd.Series(curve_keys(texts.tolist()))
+
+
+def range_of(keys: np.ndarray, ties: np.ndarray, border_keys: np.ndarray, border_ties: np.ndarray) -> np.ndarray:
+    """How many of the sorted borders (key, tie) are at or before each row."""
+    out, upto = np.searchsorted(border_keys, keys, "left"), np.searchsorted(border_keys, keys, "right")
+    for i in np.flatnonzero(upto > out):  # rows with a border's key
+        out[i] += np.searchsorted(border_ties[out[i] : upto[i]], ties[i], "right")
+    return out
+
+
+def borders(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and ties at which ranges of about equal bytes begin, but for the first. rows: doc_id, text, tie."""
+    n = rows.count()
+    share = min(1.0, sample / max(1, n))
+    grid = 1 << 40
+    chosen = rows if share == 1 else rows.where(F.pmod(F.xxhash64("tie"), F.lit(grid)) < int(grid * share))
+    found = chosen.select(
+        _key("text").alias("key"), "tie", F.octet_length("text").alias("size")
+    ).toPandas()  # about `sample` rows of numbers
+    found = found.sort_values(["key", "tie"], ignore_index=True)
+    size = found["size"].to_numpy() + 1.0
+    total = size.sum() / share
+    ranges = int(max(1, min(total // RANGE_BYTES + 1, MANY), total // MOST_BYTES))
+    at = np.unique(np.searchsorted(np.cumsum(size), np.arange(1, ranges) * (size.sum() / ranges)))
+    at = at[(at > 0) & (at < len(size))]
+    return found["key"].to_numpy()[at], found["tie"].to_numpy()[at]
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Documents that are Python objects at a time.
-_SLICE = 500
 
 
 def _packer(tokenizer: str, keeps_space: bool, length: int, end: int, with_ids: bool):
@@ -118,21 +147,34 @@ def _packer(tokenizer: str, keeps_space: bool, length: int, end: int, with_ids:
         encode = encoder(tokenizer, keeps_space).encode
         first, at = TaskContext.get().partitionId() << 33, 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(lo, _SLICE)
-                texts = part.column("text").to_pylist()
-                for a, b in groups(texts):
-                    ids, counts = encode(texts[a:b], end)
-                    yield cut(part.column("doc_id").slice(a, b - a), ids, counts, first, at)
-                    at += len(ids)
+            for a, b in slices(batch.column("text")):
+                ids, counts = encode(batch.column("text").slice(a, b - a), end)
+                yield cut(batch.column("doc_id").slice(a, b - a), ids, counts, first, at)
+                at += len(ids)
 
     return pack
 
 
-def pack(docs: DataFrame, tokenizer: str, keeps_space: bool = True, length: int = LENGTH, end: int = END, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame,
+    tokenizer: str,
+    keeps_space: bool = True,
+    length: int = LENGTH,
+    end: int = END,
+    with_ids: bool = False,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """Pieces of documents in sequences of at most `length` ids; with_ids: the ids of each piece too (array<int>)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    keyed = rows.withColumn("key", curve_key()(F.col("text"))).withColumn("tie", F.xxhash64("doc_id"))
-    ranged = keyed.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "doc_id").select("doc_id", "text")
+    rows = rows.withColumn("tie", F.xxhash64("doc_id", F.monotonically_increasing_id()))
+    border_keys, border_ties = borders(rows)
+
+    def place(texts: pd.Series, ties: pd.Series) -> pd.DataFrame:
+        keys = curve_keys(texts.tolist())
+        return pd.DataFrame({"key": keys, "range": range_of(keys, ties.to_numpy(), border_keys, border_ties).astype(np.int32)})
+
+    placed = rows.withColumn("at", F.pandas_udf(place, "key long, range int")("text", "tie")).select("doc_id", "text", "tie", "at.*")
+    ranged = placed.repartitionById(len(border_keys) + 1, "range").sortWithinPartitions("key", "tie", "doc_id").select("doc_id", "text")
     return ranged.mapInArrow(_packer(tokenizer, keeps_space, length, end, with_ids), PIECES + ", ids array<int>" * with_ids)
