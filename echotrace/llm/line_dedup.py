@@ -271,16 +271,16 @@ def repeated_spans(docs: DataFrame, passage: int | None = PASSAGE, id_col: str =
     texts = _keyed(docs, id_col, text_col)
     fresh, whole = _copies(texts, passage)
     rows, key = fresh.select("key", "text", F.octet_length("text").cast("long").alias("size")), texts.schema["key"].dataType.simpleString()
-    # Repeated hashes grow with the input, so they are never broadcast by hint; both sides of these joins are read from
+    # Repeated hashes grow with the input, so they are never broadcast; both sides of these joins are read from
     # tables, so that a frequent hash's rows can be split over tasks.
     seeds = stored(rows.mapInArrow(_seed_rows(passage), f"key {key}, hash long"), "seeds")
     again = stored(seeds.groupBy("hash").count().where("count > 1").select("hash"), "repeated-seeds")
-    held = stored(seeds.join(again, "hash").groupBy("key").agg(F.collect_set("hash").alias("seeds")), "candidates")
+    held = stored(seeds.join(again.hint("merge"), "hash").groupBy("key").agg(F.collect_set("hash").alias("seeds")), "candidates")
     rows = rows.join(broadcast_if_small(held, weight=64 + 8 * F.size("seeds")), "key").select("key", "text", "size", "seeds")
     spans = stored(rows.mapInArrow(_span_rows(passage), f"key {key}, start int, length int, hash long"), "spans")
     firsts = spans.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("first")).where("n > 1")
     firsts = stored(firsts.drop("n"), "firsts")
-    copies = spans.join(firsts, "hash").where("NOT (key <=> first.key AND start = first.start)").drop("hash")
+    copies = spans.join(firsts.hint("merge"), "hash").where("NOT (key <=> first.key AND start = first.start)").drop("hash")
     # A null id is equal to itself.
     close = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("start") < F.col("first.start") + F.col("length"))
     copies = copies.select(
