@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echotrace.llm._common import broadcast_if_small, stored
-from echotrace.llm._tokens import encoder, groups
+from echotrace.llm._tokens import encoder, slices
 
 END, BUCKET_KEYS, GAMMA = 2, 20_000, 1.5
 SHARD_BYTES = 64 << 20
@@ -51,7 +51,6 @@ _MAGIC, _LEVELS = b"ETMPH2\0\0", 64
 #: Magic, number of levels, number of keys, words of each level.
 _HEAD = f"<8sII{_LEVELS}I"
 _HEAD_SIZE = struct.calcsize(_HEAD)
-_SLICE = 500
 
 
 def file_system(path: str):
@@ -178,7 +177,9 @@ def _marks(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
 def _keyed(rows: DataFrame, buckets: int) -> DataFrame:
     """k1, k2 and bucket of (doc_id, number)."""
     rows = rows.withColumn("number", F.col("number").cast("long"))
-    rows = rows.withColumn("k1", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "number")).withColumn("k2", F.xxhash64(F.lit(1), "number", "doc_id"))
+    rows = rows.withColumn("k1", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "number")).withColumn(
+        "k2", F.xxhash64(F.lit(1), "number", "doc_id")
+    )
     return rows.withColumn("bucket", F.pmod(F.xxhash64("k1"), F.lit(buckets)))
 
 
@@ -237,17 +238,14 @@ def _shard_writer(path: str, tokenizer: str, keeps_space: bool, end: int, size:
         enc, partition, row, at = encoder(tokenizer, keeps_space), TaskContext.get().partitionId(), 0, 0
         shards = _Shards(path, partition, _kind(enc.width, end), size)
         for batch in batches:
-            for lo in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(lo, _SLICE)
-                texts = part.column("text").to_pylist()
-                for a, b in groups(texts):
-                    ids, counts = enc.encode(texts[a:b], end)
-                    shard, offset = shards.add(ids, counts)
-                    begin = at + np.cumsum(counts) - counts
-                    numbers = (np.full(b - a, partition), row + np.arange(b - a), shard, offset, counts, begin)
-                    arrays = [part.column("doc_id").slice(a, b - a), *(pa.array(x.astype(np.int64)) for x in numbers)]
-                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "part", "row", "shard", "offset", "n", "begin"])
-                    row, at = row + b - a, at + len(ids)
+            for a, b in slices(batch.column("text")):
+                ids, counts = enc.encode(batch.column("text").slice(a, b - a), end)
+                shard, offset = shards.add(ids, counts)
+                begin = at + np.cumsum(counts) - counts
+                numbers = (np.full(b - a, partition), row + np.arange(b - a), shard, offset, counts, begin)
+                arrays = [batch.column("doc_id").slice(a, b - a), *(pa.array(x.astype(np.int64)) for x in numbers)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "part", "row", "shard", "offset", "n", "begin"])
+                row, at = row + b - a, at + len(ids)
         shards.finish()
 
     return write
@@ -277,14 +275,26 @@ def _index_writer(path: str):
     return write
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, keeps_space: bool, end: int = END, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> dict:
+def write_store(
+    docs: DataFrame,
+    path: str,
+    tokenizer: str,
+    keeps_space: bool,
+    end: int = END,
+    shard_bytes: int = SHARD_BYTES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> dict:
     """Encodes docs into a new store at path, a folder that driver and executors share; returns its meta data."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     order = ["doc_id", "tie", "place"]
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    written = ranged.mapInArrow(_shard_writer(path, tokenizer, keeps_space, end, shard_bytes), "doc_id long, part long, row long, shard long, offset long, n long, begin long")
+    written = ranged.mapInArrow(
+        _shard_writer(path, tokenizer, keeps_space, end, shard_bytes),
+        "doc_id long, part long, row long, shard long, offset long, n long, begin long",
+    )
     written = stored(written, "written")
     parts = sorted(tuple(r) for r in written.groupBy("part").agg(F.count("*"), F.sum("n")).collect())  # a row for each partition
     bases, total_rows, total_ids = [], 0, 0
@@ -294,11 +304,20 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, keeps_space: bool, e
     buckets = max(1, -(-total_rows // BUCKET_KEYS))
     if bases:
         base = F.broadcast(spark.createDataFrame(bases, "part long, rows_before long, ids_before long"))  # a row for each partition
-        placed = written.join(base, "part").select("doc_id", "shard", "offset", "n", (F.col("row") + F.col("rows_before")).alias("row"), (F.col("begin") + F.col("ids_before")).alias("start"))
+        placed = written.join(base, "part").select(
+            "doc_id",
+            "shard",
+            "offset",
+            "n",
+            (F.col("row") + F.col("rows_before")).alias("row"),
+            (F.col("begin") + F.col("ids_before")).alias("start"),
+        )
         repeated = placed.groupBy("doc_id").agg(F.min("row").alias("first"), F.count("*").alias("c")).where("c > 1")
         repeated = broadcast_if_small(stored(repeated.select(F.col("doc_id").alias("again"), "first"), "repeated-ids"))
         number = F.coalesce(F.col("row") - F.col("first"), F.lit(0)).alias("number")
-        numbered = placed.join(repeated, F.col("doc_id").eqNullSafe(F.col("again")), "left").select("doc_id", "shard", "offset", "n", "start", number)
+        numbered = placed.join(repeated, F.col("doc_id").eqNullSafe(F.col("again")), "left").select(
+            "doc_id", "shard", "offset", "n", "start", number
+        )
         keyed = _keyed(numbered, buckets).select("bucket", "k1", "k2", "shard", "offset", "n", "start")
         index = keyed.groupBy("bucket").applyInArrow(_index_writer(path), "bucket long, keys long")
         written_keys = index.agg(F.sum("keys")).first()[0]
@@ -383,7 +402,9 @@ def lookup(keys: DataFrame, path: str, strict: bool = False) -> DataFrame:
     """doc_id, number, shard, offset, n and start of each key (doc_id, number); -1 where the store doesn't have it, or an error if strict."""
     meta = json.loads(read_file(f"{path}/meta.json"))
     keyed = _keyed(keys.select(F.col("doc_id").cast("long").alias("doc_id"), "number"), meta["buckets"])
-    return keyed.groupBy("bucket").applyInArrow(_lookup(path, strict), "doc_id long, number long, shard long, offset long, n long, start long")
+    return keyed.groupBy("bucket").applyInArrow(
+        _lookup(path, strict), "doc_id long, number long, shard long, offset long, n long, start long"
+    )
 
 
 def _payload_reader(path: str, width: int, with_ids: bool):
@@ -400,7 +421,12 @@ def _payload_reader(path: str, width: int, with_ids: bool):
                     raise RuntimeError(f"{file} ends early")
                 crcs.append(zlib.crc32(ids.tobytes()))
                 payload.append(ids.tolist() if with_ids else None)
-        out = {"doc_id": rows.column("doc_id"), "start": rows.column("start"), "n_tokens": rows.column("n"), "ids_crc32": pa.array(crcs, pa.int64())}
+        out = {
+            "doc_id": rows.column("doc_id"),
+            "start": rows.column("start"),
+            "n_tokens": rows.column("n"),
+            "ids_crc32": pa.array(crcs, pa.int64()),
+        }
         return pa.table(out | ({"ids": pa.array(payload, pa.list_(pa.int32()))} if with_ids else {}))
 
     return read
@@ -410,7 +436,10 @@ def read_documents(keys: DataFrame, path: str, with_ids: bool = False, strict: b
     """doc_id, start, n_tokens, ids_crc32 (with_ids: ids) of each key (doc_id, number), by the index and from the shards; keys that aren't there are left out, or an error if strict."""
     meta = json.loads(read_file(f"{path}/meta.json"))
     found = lookup(keys, path, strict).where("shard >= 0")
-    return found.groupBy("shard").applyInArrow(_payload_reader(path, meta["width"], with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return found.groupBy("shard").applyInArrow(
+        _payload_reader(path, meta["width"], with_ids),
+        "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids,
+    )
 
 
 def all_keys(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -419,7 +448,9 @@ def all_keys(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return counts.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("number"))
 
 
-def store_digest(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, keeps_space: bool, end: int = END, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def store_digest(
+    spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, keeps_space: bool, end: int = END, shard_bytes: int = SHARD_BYTES
+) -> DataFrame:
     """Writes docs to a store and reads every document back from it by its key."""
     write_store(docs, path, tokenizer, keeps_space, end, shard_bytes)
     return read_documents(all_keys(docs), path, strict=True)

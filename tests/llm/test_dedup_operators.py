@@ -321,7 +321,9 @@ def test_line_dedup(spark, edge_docs, edge_rows):
     line = lambda n=9: " ".join(f"w{rnd.randrange(900)}" for _ in range(n))
     passage, menu = "\n".join(line() for _ in range(12)), "\n".join(line(1) for _ in range(40))
     paragraph = " ".join(f"p{rnd.randrange(900)}" for _ in range(55)) + "."
-    rows = [(i, "\n".join([line(), line(), [passage, menu, paragraph][i % 3], line(), line()])) for i in range(100, 112)] + [r for r in edge_rows if len(r[1] or "") < 10_000]
+    rows = [(i, "\n".join([line(), line(), [passage, menu, paragraph][i % 3], line(), line()])) for i in range(100, 112)] + [
+        r for r in edge_rows if len(r[1] or "") < 10_000
+    ]
     rows += [(200, "x y\n" * 9 + line(60)), (201, "\n".join([line(), "x y\nx y\nx y", line()]))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     hashes = text_hashes(df)
@@ -372,7 +374,9 @@ def test_passages_are_found_wherever_they_begin_and_end(spark):
             rows += [(len(rows) + i, t) for i, t in enumerate(_passage_rows(rnd, passages[-1], joint))]
     short = unit(30)
     rows += [(len(rows) + i, t) for i, t in enumerate(_passage_rows(rnd, short, "\n"))]
-    found = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    found = {
+        r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    }
     whole = dict(rows)
     for k, p in enumerate(passages):
         assert found[6 * k]["text"] == whole[6 * k]
@@ -396,7 +400,9 @@ def test_passages_of_edge_rows(spark, edge_docs, edge_rows):
 def test_short_lines_and_ends_of_paragraphs_are_part_of_a_passage(spark):
     rnd, rows, passages = random.Random(9), [], []
     word = lambda: f"q{rnd.randrange(10**6)}"
-    passages += ["\n".join(word() for _ in range(60)), "\n".join(f"{word()} {word()}" for _ in range(30)), "\t".join(word() for _ in range(60))]
+    passages += [
+        "\n".join(word() for _ in range(60)), "\n".join(f"{word()} {word()}" for _ in range(30)), "\t".join(word() for _ in range(60))
+    ]
     passages += [" ".join(" ".join(word() for _ in range(n)) + "." for n in sizes) for sizes in ((30, 20, 9), (52, 3), (18, 18, 18, 4), (20, 20, 20, 20, 7))]
     for p in passages:
         rows += [(len(rows) + i, t) for i, t in enumerate(_passage_rows(rnd, p, "\n", 3))]

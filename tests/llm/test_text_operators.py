@@ -2,18 +2,20 @@
 
 import os
 import random
+import re
 import textwrap
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
 from echotrace.llm import _tokens, decontaminate, lang_id, license_scan, packing, queries, simhash_dedup, token_store, toxicity
-from echotrace.llm._common import held_out
+from echotrace.llm._common import held_out, smallest_hashes
 
 SF = "/root/testdata/sf0.001"
 driver_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't there")
@@ -34,15 +36,50 @@ def crc(ids):
 @pytest.mark.parametrize("path,keeps_space", [(WORDS, False), (BYTES, True)])
 def test_word_encoder_gives_the_library_ids(path, keeps_space, monkeypatch):
     rnd = random.Random(1)
-    texts = ["", " ", "  a  b", " a", "a ", "a\n b", "x\n\ny  z", "<|endoftext|> hi", "don't 's", "é́ é", "a\tb\t c", "a　b", "\x1c a\x1cb", "日本語 x", "a\r\nb", "a \x01 b"]
-    texts += ["x <|endoftext|> y", "x<|endoftext|>y", "<|startoftext|>", " <|endoftext|>", "X <|ENDOFTEXT|> y", "a<|endoftext|><|endoftext|> b  c"]
+    texts = [
+        "",
+        " ",
+        "  a  b",
+        " a",
+        "a ",
+        "a\n b",
+        "x\n\ny  z",
+        "<|endoftext|> hi",
+        "don't 's",
+        "é́ é",
+        "a\tb\t c",
+        "a　b",
+        "\x1c a\x1cb",
+        "日本語 x",
+        "a\r\nb",
+        "a \x01 b",
+    ]
+    texts += [
+        "x <|endoftext|> y", "x<|endoftext|>y", "<|startoftext|>", " <|endoftext|>", "X <|ENDOFTEXT|> y", "a<|endoftext|><|endoftext|> b  c"
+    ]
     texts += ["".join(rnd.choice("ab 's'\n\t 1,.é́\x01") for _ in range(rnd.randint(0, 30))) for _ in range(500)]
+    signs = ["", ".", ",", "...", "?!", ";:", ".,", "'s", "'t", "-", "1", "%%%", "&&&", "$$$", "<|", "|>", "`~", "»"]
+    texts += [" ".join(rnd.choice(["The", "the", "WORD", "word", "Ünd", "éÈñ", "ßſŉ", "İı", "×÷", "Ωa", "ö́", "x"]) + rnd.choice("abcdXYZ") * rnd.randint(0, 3) + rnd.choice(signs) for _ in range(12)) for _ in range(300)]
     encoder = _tokens.WordEncoder(path, keeps_space)
+    assert encoder.model is not None
     want = library_ids(path, texts, 7)
     monkeypatch.setattr(_tokens, "PIECES", 200)
     for a in range(0, len(texts), 50):  # the limit makes it forget in between
         ids, counts = encoder.encode(texts[a : a + 50], 7)
         assert ids.tolist() == [i for x in want[a : a + 50] for i in x] and counts.tolist() == [len(x) for x in want[a : a + 50]]
+    whole = _tokens.TextEncoder(encoder)
+    for a in range(0, len(texts), 50):
+        part = pa.array(["left out", *texts[a : a + 50]])[1:]
+        ids, counts = whole.encode(part, 7)
+        assert ids.tolist() == [i for x in want[a : a + 50] for i in x] and counts.tolist() == [len(x) for x in want[a : a + 50]]
+    assert whole.encode(pa.array([], pa.string()), 7)[0].tolist() == []
+    # A long piece, and pieces that share a hash, go the other way.
+    long = "x" * (_tokens.LONGEST + 1) + " and more"
+    assert whole.encode(pa.array([long, "a b"]), 7)[0].tolist() == [i for x in library_ids(path, [long, "a b"], 7) for i in x]
+    monkeypatch.setattr(_tokens, "BASE", 1)  # the first hash is the sum of the bytes
+    whole = _tokens.TextEncoder(encoder)
+    for text, x in list(zip(texts, want, strict=True))[-100:]:
+        assert whole.encode(pa.array([text]), 7)[0].tolist() == x
 
 
 def test_token_store(spark, edge_docs, edge_rows, tmp_path):
@@ -64,7 +101,14 @@ def test_token_store(spark, edge_docs, edge_rows, tmp_path):
     assert token_store.store_digest(spark, edge_docs.limit(0), f"file://{tmp_path}/none", WORDS, False).count() == 0
 
 
-LARGE = [(2**53 + 1, "one more than a float holds"), (None, "no id"), (2**53 + 3, "x <|endoftext|> y"), (-(2**62) - 1, "far below"), (2**63 - 1, None), (None, "")]
+LARGE = [
+    (2**53 + 1, "one more than a float holds"),
+    (None, "no id"),
+    (2**53 + 3, "x <|endoftext|> y"),
+    (-(2**62) - 1, "far below"),
+    (2**63 - 1, None),
+    (None, ""),
+]
 
 
 def test_large_ids_beside_null_ids_and_special_tokens(spark, tmp_path):
@@ -80,7 +124,9 @@ def test_single_documents_are_read_with_few_bytes(spark, tmp_path, monkeypatch):
     texts = [(i, f"text number {i} " * (1 + i % 5)) for i in range(3000)] + [(7, "again")]
     path, read = f"file://{tmp_path}/keyed", []
     token_store.write_store(spark.createDataFrame(texts, "doc_id long, text string"), path, WORDS, False, shard_bytes=4096)
-    assert len(list((tmp_path / "keyed").glob("shard-*.ids"))) > 10 and max(f.stat().st_size for f in (tmp_path / "keyed").glob("shard-*.ids")) < 4096 + 200
+    assert len(list((tmp_path / "keyed").glob("shard-*.ids"))) > 10 and max(
+        f.stat().st_size for f in (tmp_path / "keyed").glob("shard-*.ids")
+    ) < 4096 + 200
     store = token_store.Store(path)
     real = token_store.file_system
 
@@ -139,7 +185,9 @@ def check_packed(rows, want):
         by_id.setdefault(i, []).append(ids)
     sequences = {}
     for r in rows:
-        assert any(len(x) == r["doc_tokens"] and crc(x[r["start"] : r["start"] + r["length"]]) == r["ids_crc32"] for x in by_id[r["doc_id"]])
+        assert any(
+            len(x) == r["doc_tokens"] and crc(x[r["start"] : r["start"] + r["length"]]) == r["ids_crc32"] for x in by_id[r["doc_id"]]
+        )
         left[r["doc_id"]] += r["length"]
         sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     assert left == whole
@@ -159,13 +207,40 @@ def test_packing(edge_docs, edge_rows):
     assert crc(ids["ids"]) == ids["ids_crc32"]
 
 
+def test_packing_in_ranges_of_equal_bytes(spark, monkeypatch):
+    """Many ranges, one key for a third of all rows, and a small sample: every id is in one piece and the ranges are even."""
+    rnd = random.Random(21)
+    monkeypatch.setattr(packing, "RANGE_BYTES", 4000)
+    rows = [(i, "the same text for many documents " * 3 if i % 3 == 0 else " ".join(f"{rnd.choice('abcdef')}{rnd.randrange(300)}" for _ in range(rnd.randint(1, 60)))) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    texts = df.withColumn("tie", F.xxhash64("doc_id"))
+    keys, ties = packing.borders(texts, 500)
+    assert len(keys) > 20 and list(zip(keys, ties, strict=True)) == sorted(zip(keys, ties, strict=True))
+    own = [(packing.curve_keys([r["text"]])[0], r["tie"], len(r["text"])) for r in texts.collect()]
+    got = packing.range_of(np.array([k for k, _, _ in own]), np.array([t for _, t, _ in own]), keys, ties)
+    assert got.tolist() == [sum((a, b) <= (k, t) for a, b in zip(keys, ties, strict=True)) for k, t, _ in own]
+    size = np.bincount(got, [n for _, _, n in own])
+    assert size.max() < 3 * size.mean()
+    found = packing.pack(df, BYTES).collect()
+    check_packed(found, [(i, x) for (i, _), x in zip(rows, library_ids(BYTES, [t for _, t in rows], 0), strict=True)])
+    assert len({r["sequence_id"] for r in found}) <= sum(r["length"] for r in found) // 1024 + len(keys) + 1
+
+
 def test_language_id(spark, edge_docs):
     rnd = random.Random(6)
-    letters = {"en": "the and ing tion with", "de": "der und ung keit mit", "fr": "le et eau que avec", "es": "el y cion que con", "xx": "zq qz zzq qqz zqz"}
+    letters = {
+        "en": "the and ing tion with",
+        "de": "der und ung keit mit",
+        "fr": "le et eau que avec",
+        "es": "el y cion que con",
+        "xx": "zq qz zzq qqz zqz",
+    }
     rows = []
     for k in range(400):
         lang = list(letters)[k % 5]
-        rows.append((k, " ".join(rnd.choice(letters[lang].split()) + rnd.choice(letters[lang].split()) for _ in range(rnd.randint(5, 40))), lang))
+        rows.append(
+            (k, " ".join(rnd.choice(letters[lang].split()) + rnd.choice(letters[lang].split()) for _ in range(rnd.randint(5, 40))), lang)
+        )
     rows += [(1000, None, "en"), (1001, "123 !!", "en"), (1002, "the thing", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = {r["doc_id"]: r for r in lang_id.identify(df).collect()}
@@ -177,6 +252,37 @@ def test_language_id(spark, edge_docs):
     assert lang_id.identify(edge_docs.limit(0)).count() == 0
 
 
+def test_language_sample_is_exact_and_keeps_every_language(spark):
+    """Two texts of one language in thousands of copies are learnt; the sample has as many texts as there are, up to the bound."""
+    rare = [(i, "zq qz zzq qqz zqz" if i % 2 else "qqz zq zqz qz zzq zq", "xx") for i in range(3000)]
+    rows = rare + [(3000 + i, f"the and ing tion with {i} thing", "en") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("h", F.xxhash64("text"))
+    for k in (1, 2, 5, 1000):
+        got = {r["lang"]: r["count"] for r in smallest_hashes(df, "lang", F.lit(k)).groupBy("lang").count().collect()}
+        assert got == {"xx": min(k, 2), "en": min(k, 300)}
+    least = sorted(r["h"] for r in df.where("lang = 'en'").select("h").distinct().collect())[:7]
+    assert sorted(r["h"] for r in smallest_hashes(df, "lang", F.lit(7)).where("lang = 'en'").collect()) == least
+    found = Counter((r["lang"], r["lang_pred"]) for r in lang_id.identify(df).join(df.select("doc_id", "lang"), "doc_id").collect())
+    assert found["xx", "xx"] == 3000 and found["en", "en"] == 300
+
+
+def test_language_votes_against_one_text_at_a_time(spark):
+    """Batches give what single texts give, and the winner is the language with the most pairwise votes."""
+    rng = np.random.default_rng(3)
+    vectors, langs = rng.random((60, lang_id.unit_vector("x").size), dtype=np.float32), ["en", "de", "fr", "es", "it", "xx"] * 10
+    model = lang_id.fit(vectors, langs)
+    texts = ["some words of one", "andere wörter hier", None, "12", "mots et autres", ""] * 50
+    whole = model.predict(texts)
+    for i in range(12):
+        one = model.predict([texts[i]])
+        assert one[0][0] == whole[0][i] and abs(one[1][0] - whole[1][i]) < 1e-6
+        if one[0][0] != "und":
+            x = np.append(lang_id.unit_vector(texts[i]), np.float32(1))
+            family = model.families[int((model.family_weights @ x).argmax())]
+            votes = Counter(model.members[family][a if m >= 0 else b] for (a, b), m in zip(model.pairs[family], model.pair_weights[family] @ x, strict=True))
+            assert one[0][0] in model.members[family] and votes[one[0][0]] == max(votes.values(), default=0)
+
+
 def test_decontamination(spark, edge_docs):
     rnd = random.Random(7)
     word = lambda: f"b{rnd.randrange(5000)}"
@@ -184,7 +290,18 @@ def test_decontamination(spark, edge_docs):
     around = lambda t: " ".join([*(word() for _ in range(40)), t, *(word() for _ in range(40))])
     swapped = items[2][1].split()
     swapped[1] = "other"
-    rows = [(1, around(items[0][1])), (2, around(items[1][1].upper().replace(" ", ", "))), (3, around(" ".join(swapped))), (4, around(" ".join(items[0][1].split()[:15]))), (5, items[3][1]), (6, around("nothing")), (7, around(items[4][1])), (None, around(items[0][1])), (8, None), (9, "")]
+    rows = [
+        (1, around(items[0][1])),
+        (2, around(items[1][1].upper().replace(" ", ", "))),
+        (3, around(" ".join(swapped))),
+        (4, around(" ".join(items[0][1].split()[:15]))),
+        (5, items[3][1]),
+        (6, around("nothing")),
+        (7, around(items[4][1])),
+        (None, around(items[0][1])),
+        (8, None),
+        (9, ""),
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([*items, (9, None), (10, "")], "item_id long, text string").selectExpr("*", "1 AS key", "2 AS size")
     found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.find_leaks(df, bench).collect()}
@@ -196,7 +313,9 @@ def test_decontamination(spark, edge_docs):
 def test_window_fingerprints_and_radius(spark):
     rnd = random.Random(8)
     hashes = [[rnd.getrandbits(64) - (1 << 63) for _ in range(rnd.randint(1, 9))] for _ in range(20)]
-    df = spark.createDataFrame([(i, h) for i, h in enumerate(hashes)], "i int, h array<long>").select("i", decontaminate.simhash(F.col("h")).alias("fp"))
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(hashes)], "i int, h array<long>").select(
+        "i", decontaminate.simhash(F.col("h")).alias("fp")
+    )
     for r in df.collect():
         h = [x & (1 << 64) - 1 for x in hashes[r["i"]]]
         assert r["fp"] & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
@@ -207,18 +326,58 @@ def test_window_fingerprints_and_radius(spark):
         for _ in range(rnd.randint(0, 40)):
             f ^= 1 << rnd.randrange(64)
         other.append(f)
-    a = spark.createDataFrame([(i, 1, signed(f)) for i, f in enumerate(fps)], "w int, size int, fp long")
-    b = spark.createDataFrame([(i, 1, signed(f)) for i, f in enumerate(other)], "item int, size int, item_fp long")
-    got = {(r["w"], r["item"]) for r in decontaminate.within_radius(a, b).collect()}
-    assert got == {(i, j) for i, f in enumerate(fps) for j, g in enumerate(other) if (f ^ g).bit_count() <= decontaminate.RADIUS}
+    pairs = [(i, j, signed(f)) for i, f in enumerate(fps) for j in range(len(other))]
+    a = spark.createDataFrame(pairs, "w int, item int, fp long")
+    b = spark.createDataFrame([(j, signed(f)) for j, f in enumerate(other)], "item int, item_fp long")
+    for radius in (decontaminate.RADIUS, 24, 7):
+        got = {(r["w"], r["item"]) for r in decontaminate.within_radius(a, decontaminate.hamming_index(b, radius), radius).collect()}
+        assert got == {(i, j) for i, f in enumerate(fps) for j, g in enumerate(other) if (f ^ g).bit_count() <= radius}
+
+
+def test_radius_leaves_out_no_similar_window(spark):
+    """Windows at the smallest similarity from 0.8 on, for items of several sizes: the operator finds what plain shingle counts find."""
+    rnd = random.Random(14)
+    items, rows = [], []
+    for i, n in enumerate([5, 9, 13, 30, 50, 100, 200] * 6):
+        words = [f"{rnd.choice('abcdefgh')}{rnd.randrange(4000)}" for _ in range(n)]
+        items.append((i, " ".join(words)))
+        for changes in range(4):
+            w = words[:]
+            for at in rnd.sample(range(n), min(n, changes)):
+                w[at] = "other"
+            end = [f"z{rnd.randrange(9999)}" for _ in range(rnd.randint(0, 30))]
+            rows.append((len(rows), " ".join([*end, *w, *end[:5]])))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    grams = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    want = set()
+    for d, text in rows:
+        w = text.split()
+        for i, item in items[d // 4 % 42 : d // 4 % 42 + 1]:
+            g = grams(item.split())
+            n = min(len(item.split()), len(w))
+            best = max(sum((x & g).values()) / sum((x | g).values()) for x in (grams(w[s : s + n]) for s in range(len(w) - n + 1)))
+            if best >= 0.8:
+                want.add((d, i))
+    assert found == want and len(want) > 80
 
 
 def test_license_scan(spark, edge_docs, edge_rows):
     mit = 'MIT License\n\nCopyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n'
-    rows = [(1, mit), (2, "text\nReleased under the MIT License.\nmore"), (3, "Licensed under CC BY-NC 4.0."), (4, "a license"), (5, None), (6, "# SPDX-License-Identifier: Apache-2.0"), (7, "All rights reserved. Licensed under the Apache License, Version 2.0.")]
+    rows = [
+        (1, mit),
+        (2, "text\nReleased under the MIT License.\nmore"),
+        (3, "Licensed under CC BY-NC 4.0."),
+        (4, "a license"),
+        (5, None),
+        (6, "# SPDX-License-Identifier: Apache-2.0"),
+        (7, "All rights reserved. Licensed under the Apache License, Version 2.0."),
+        (8, "x.\nReleased " + "- " * 800 + "under the MIT License.\ny"),
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS c", "2 AS t")
     found = {r["doc_id"]: r["licenses"] for r in license_scan.license_scan(df).collect()}
-    assert found == {1: ["MIT"], 2: ["MIT"], 3: ["CC-BY-NC-4.0"], 4: [], 5: [], 6: ["Apache-2.0"], 7: ["Apache-2.0", "all-rights-reserved"]}
+    assert found == {
+        1: ["MIT"], 2: ["MIT"], 3: ["CC-BY-NC-4.0"], 4: [], 5: [], 6: ["Apache-2.0"], 7: ["Apache-2.0", "all-rights-reserved"], 8: ["MIT"]
+    }
     assert all(r["licenses"] == [] for r in license_scan.license_scan(edge_docs).collect())
     assert license_scan.license_scan(edge_docs).count() == len(edge_rows) and license_scan.license_scan(edge_docs.limit(0)).count() == 0
 
@@ -247,16 +406,159 @@ def test_standard_notices_by_their_cut_parts(spark):
     wrap = lambda text, mark: "\n\n".join("\n".join(mark + line for line in textwrap.wrap(p, 70)) for p in text.split("\n\n"))
     rows = [(i, form, want) for i, (text, want) in enumerate((t, w) for t, w in notices) for form in (text, wrap(text, ""), wrap(text, " * "), "Some words before.\n\n" + text + "\nSome words after.")]
     rows.append((99, gpl.format(";", ";", 2).split("\n\n")[0], []))
-    found = license_scan.license_scan(spark.createDataFrame([(k, t) for k, (_, t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    found = license_scan.license_scan(
+        spark.createDataFrame([(k, t) for k, (_, t, _) in enumerate(rows)], "doc_id long, text string")
+    ).collect()
     assert {r["doc_id"]: r["licenses"] for r in found} == {k: want for k, (_, _, want) in enumerate(rows)}
 
 
+def plain_licenses(text):
+    """Sentence identifiers and rules by loops: each rule's sentences in order, each with at most its gap of others before it."""
+    found = set()
+    for cut in (license_scan.LINE_CUT, license_scan.WRAPPED_CUT):
+        ids = [" ".join(re.findall("[a-z0-9]+", p.lower())) for p in re.split(cut, text)]
+
+        def ends(at, sentences, gap, ids=ids):
+            """Where a match of the rule that begins at `at` may end; the first gap that leads to an end wins, longest first."""
+            if at >= len(ids) or ids[at] != sentences[0]:
+                return None
+            if len(sentences) == 1:
+                return at + 1
+            return next((e for g in range(gap, -1, -1) if (e := ends(at + 1 + g, sentences[1:], gap)) is not None), None)
+
+        def places(rules, skip=(), ids=ids):
+            return [(a, e) for a in range(len(ids)) for r in rules if (e := ends(a, r.sentences, r.gap)) is not None and not any(x < e and a < y for x, y in skip)]
+
+        by_license = {}
+        for r in license_scan.RULES:
+            by_license.setdefault(r.license, []).append(r)
+        for name, rules in by_license.items():
+            hidden = [p for by, names in license_scan.HIDES.items() if name in names for p in places(by_license[by])]
+            if places(rules, hidden):
+                found.add(name)
+    return sorted(found)
+
+
+def test_license_rules_against_plain_loops(spark):
+    """Documents of known sentences, parts of notices and other lines in random order; each licence has its turn."""
+    rnd = random.Random(11)
+    notices = [(n, t) for n, _, t in license_scan.NOTICES] + [(n, t) for n, lines in license_scan.LINES.items() for t in lines]
+    rows, wrap = [], lambda t, mark: "\n\n".join("\n".join(mark + line for line in textwrap.wrap(p, 70)) for p in t.split("\n\n"))
+    for name, notice in notices:  # each notice alone, wrapped, as a comment, and between other text
+        for form in (notice, wrap(notice, ""), wrap(notice, "# "), "Some words.\n\n" + notice + "\n\nMore words."):
+            rows.append((form, name))
+    pieces = [p for _, t in notices for p in re.split(r"(?<=[.;:])\s+|\n+", t) if p]
+    for _ in range(400):
+        few = rnd.sample(pieces, 3)
+        n = rnd.randint(1, 12)
+        rows.append(
+            (rnd.choice(["\n", " ", "\n\n"]).join(rnd.choice([*few, "Other words here.", rnd.choice(pieces)]) for _ in range(n)), None)
+        )
+    bsd2, bsd3 = (next(t for n, t in notices if n == k) for k in ("BSD-2-Clause", "BSD-3-Clause"))
+    filler = "\n".join(f"line {i}" for i in range(9))
+    rows += [(bsd2 + "\n" + filler + "\n" + bsd3, "BSD-2-Clause"), (bsd3, "BSD-3-Clause")]
+    apache = next(t for _, t in notices if t.startswith("Licensed under the Apache License, Version 2.0 ("))
+    rows.append((apache.split("; ")[1] + "\n\nYou may obtain a copy of the License at\n\nhttp://example.org/\n\n" + next(t for _, t in notices if "Unless required" in t).split(". ", 1)[1], "Apache-2.0"))
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    found = {r["doc_id"]: r["licenses"] for r in license_scan.license_scan(df).collect()}
+    for i, (t, name) in enumerate(rows):
+        assert found[i] == plain_licenses(t), t
+        assert name is None or name in found[i], (name, t)
+    assert found[len(rows) - 2] == ["BSD-3-Clause"]
+
+
 def test_string_kernel():
     marks = ["^idiot$", "^lowei"]
     strings = ["^idiot$", "^idixot$", "^loweient$", "^abcd$", "^iidiioott$"]
     want = [[plain_kernel(s, u) for u in marks] for s in strings]
     assert np.allclose(toxicity.Kernel(marks)(strings), want, atol=1e-5)
-    assert toxicity.strings_of("m o r o n you A b") == ["moron", "you", "ab"]
+    assert toxicity.joined_letters("m o r o n you a b".split()) == ["moron", "you", "ab"]
+    assert toxicity.sentences_of("One two. Three\nfour! five? x") == [["one", "two."], ["three"], ["four!"], ["five?"], ["x"]]
+    long = "a" * 10 + "idiot" + "b" * 20
+    assert np.allclose(
+        toxicity.WordKernel(marks)(["idiot", "ab", long]),
+        [
+            [plain_kernel("^idiot$", u) ** toxicity.POWER for u in marks],
+            [0, 0],
+            [max(plain_kernel(w, u) for w in toxicity.windows(long)) ** toxicity.POWER for u in marks],
+        ],
+        atol=1e-4,
+    )
+
+
+def plain_score(model, text):
+    """The score of a text sentence by sentence and word by word."""
+    kernel, values, n = toxicity.WordKernel(model.landmarks), [], 0
+    for sentence in toxicity.sentences_of(text):
+        evidence = [float(kernel([toxicity.letters(w)])[0] @ model.weights) for w in sentence]
+        values.append(sum(e for e in evidence if e >= model.floor))
+        n += len(sentence)
+    values = sorted(values, reverse=True)
+    z = np.dot([values[0] if values else 0, sum(values[:3]), np.log1p(n)], model.logistic[:3]) + model.logistic[3]
+    return 1 / (1 + np.exp(-z))
+
+
+def toxic_corpus(rnd, n, insults, share=0.25, per_document=1):
+    common = [f"{a}{b}{c}" for a in ("tha", "ner", "sol", "mir") for b in ("te", "lo", "ga") for c in ("n", "rs", "la")]
+    out = []
+    for i in range(n):
+        words = [rnd.choice(common) for _ in range(rnd.randint(8, 40))]
+        y = rnd.random() < share
+        for _ in range(per_document * y):
+            words.insert(rnd.randrange(len(words)), insults(rnd))
+        out.append((i, ". ".join(" ".join(words[k : k + 7]) for k in range(0, len(words), 7)), int(y)))
+    return out
+
+
+def fitted(rows):
+    parts = [[toxicity.sentences_of(t) for _, t, y in rows if y == k] for k in (1, 0)]
+    return toxicity.fit(*parts)
+
+
+def test_scorer_against_plain_loops():
+    rnd = random.Random(15)
+    rows = toxic_corpus(rnd, 200, lambda r: r.choice(["blorfix", "zumquat"]))
+    model = fitted(rows)
+    texts = [t for _, t, _ in rows[:30]] + ["", None, "\n\n", "b l o r f i x!", "blorfix. blorfix. blorfix. blorfix.", "a.b.c", "12 34"]
+    got = toxicity.Scorer(model)(texts)
+    assert np.allclose(got, [plain_score(model, t) for t in texts], atol=1e-5)
+    assert np.allclose([toxicity.Scorer(model)([t])[0] for t in texts], got)
+
+
+def test_few_labels_and_rare_insults_are_learnt():
+    """Nine toxic documents give a model; so does an insult in two of a hundred toxic documents beside frequent ones."""
+    rnd = random.Random(16)
+    few = toxic_corpus(rnd, 60, lambda r: r.choice(["blorfix", "zumquat", "krandel"]), 0.15, 2)
+    model = fitted(few)
+    scores = toxicity.Scorer(model)([t for _, t, _ in few])
+    assert len(set(np.round(scores, 6))) > 5
+    assert scores[[y == 1 for _, _, y in few]].min() > scores[[y == 0 for _, _, y in few]].max()
+    rare = toxic_corpus(rnd, 1500, lambda r: "qwelpard" if r.random() < 0.03 else r.choice(["blorfix", "zumquat"]), 0.3)
+    model = fitted(rare)
+    assert any(m.strip("^$") in "qwelpard" for m in model.landmarks)
+    plain = "thaten nerlon solgan mirtela"
+    got = toxicity.Scorer(model)(
+        [f"{plain} qwelpard {plain}.", f"{plain} qwel-pard {plain}.", f"{plain} blorxfix {plain}.", f"{plain} {plain}."]
+    )
+    assert got[:3].min() > 0.3 > got[3]
+
+
+def test_two_words_that_are_toxic_together():
+    """Each word stands alone in clean sentences; only both in one sentence are an insult."""
+    rnd = random.Random(17)
+    common = [f"{a}{b}" for a in ("thaten", "nerlo", "solga", "mirte") for b in ("n", "rs", "la", "mo")]
+    rows = []
+    for i in range(600):
+        y = i % 3 == 0
+        sentences = [[rnd.choice(common) for _ in range(7)] for _ in range(4)]
+        if y:
+            sentences[1][2:4] = ["filthy", "badger"]
+        elif i % 3 == 1:
+            sentences[0][2], sentences[3][2] = "filthy", "badger"
+        rows.append((i, ". ".join(map(" ".join, sentences)) + ".", int(y)))
+    model = fitted(rows[:450])
+    got = toxicity.Scorer(model)([t for _, t, _ in rows[450:]]) >= toxicity.THRESHOLD
+    assert np.mean(got == [y for _, _, y in rows[450:]]) > 0.97
 
 
 def test_toxicity(spark, edge_docs):
@@ -270,7 +572,9 @@ def test_toxicity(spark, edge_docs):
         rows.append((i, " ".join(words)))
         labels.append((i, int(i % 4 == 0)))
     rows += [(1000, None), (1001, ""), (1002, " ".join(common) + " b l o r f i x"), (1003, "blor-fix"), (1004, "blorxfix")]
-    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, toxic int")
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(
+        [*labels, (None, 1), (5, None)], "doc_id long, toxic int"
+    )
     found = {r["doc_id"]: r for r in toxicity.toxicity(df, lab).collect()}
     held = [i for i, r in found.items() if r["held_out"] and i < 1000]
     assert all(found[i]["predicted"] == (i % 4 == 0) for i in held)
@@ -305,14 +609,40 @@ def test_pipeline_against_brute_force(spark):
     leaks = {r["doc_id"] for r in decontaminate.find_leaks(frame, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     stay = [i for i in stay if i not in leaks]
     assert leaks and len(stay) > 0.7 * len(docs)
-    check_packed(corpus_pipeline.run(spark, SF).collect(), list(zip(stay, library_ids(BYTES, [docs[i]["text"] for i in stay], 0), strict=True)))
+    check_packed(
+        corpus_pipeline.run(spark, SF).collect(), list(zip(stay, library_ids(BYTES, [docs[i]["text"] for i in stay], 0), strict=True))
+    )
 
 
+@driver_tables
 def test_stages_on_edge_cases(spark, edge_docs, edge_rows):
+    """Nulls, empty and long texts, repeated rows, empty tables, and columns that have the names the stages would like to use."""
+    docs = edge_docs.selectExpr("*", "doc_id AS _stage0", "'mine' AS _STAGE1", "'mine' AS _zzz", "'mine' AS _zzz_key")
     texts = {t or "" for _, t in edge_rows}
-    exact = corpus_pipeline.exact_duplicates(spark, edge_docs, SF)
-    assert sorted(r["text"] or "" for r in exact.collect()) == sorted(texts) and exact.columns == edge_docs.columns
-    near = corpus_pipeline.near_duplicates(spark, edge_docs, SF)
-    roots = simhash_dedup.fingerprint_components(simhash_dedup.fingerprints(edge_docs)).select("root").distinct().count()
-    assert near.count() == roots and near.columns == edge_docs.columns
-    assert corpus_pipeline.near_duplicates(spark, edge_docs.limit(0), SF).count() == 0
+    exact = corpus_pipeline.exact_duplicates(spark, docs, SF)
+    assert sorted(r["text"] or "" for r in exact.collect()) == sorted(texts)
+    near = corpus_pipeline.near_duplicates(spark, docs, SF)
+    roots = simhash_dedup.fingerprint_components(simhash_dedup.fingerprints(docs)).select("root").distinct().count()
+    assert near.count() == roots
+    known = corpus_pipeline.language_id(spark, docs, SF)
+    lettered = [t for _, t in edge_rows if t and any(map(str.isalpha, t))]
+    assert sorted(r["text"] for r in known.collect()) == sorted(lettered)
+    clean = corpus_pipeline.benchmark_leaks(spark, docs, SF)
+    assert clean.count() == len(edge_rows)
+    for stage in (exact, near, known, clean):
+        assert stage.columns == docs.columns
+        assert all(r["_stage0"] == r["doc_id"] and r["_STAGE1"] == r["_zzz"] == r["_zzz_key"] == "mine" for r in stage.collect())
+    check_packed(
+        corpus_pipeline.packed(spark, docs, SF).collect(),
+        [(i, x) for (i, _), x in zip(edge_rows, library_ids(BYTES, [t for _, t in edge_rows], 0), strict=True)],
+    )
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+@driver_tables
+def test_benchmark_stage_drops_what_holds_an_item(spark, edge_docs):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [(1, f"before it {item} after it"), (None, item), (2, "nothing of it"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS key")
+    assert sorted(r["text"] or "" for r in corpus_pipeline.benchmark_leaks(spark, docs, SF).collect()) == ["", "nothing of it"]
