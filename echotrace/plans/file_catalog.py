@@ -7,10 +7,12 @@ import io
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echotrace.functions import sequences as S
 from echotrace.functions.tokenizers import chunked
 from echotrace.operators import evaluate as E
+from echotrace.operators import generate as G
 from echotrace.operators import results as R
 from echotrace.operators import validate as V
 from echotrace.plans import pipelines as L
@@ -116,7 +118,7 @@ def evaluation_experiments(spark, sf_dir):
 
 @query(f"WITH {RECORDS_SQL} SELECT expr, rep, seq_idx, seq_idx % 3 AS \"rank\", conv_id, turn, 0 AS \"offset\", 5 AS len_prefix, 2000 AS len_suffix, 'greedy' AS policy, array_to_string(ra[:5], ' ') AS prefix FROM rec")
 def rank_file_records(spark, sf_dir):
-    schema = inference.SPARSE.add("conv_id", "long").add("turn", "long")
+    schema = T.StructType([*inference.SPARSE.fields, *(T.StructField(c, T.LongType()) for c in PAIR)])
     rows = inference.read_rank_files(spark, [p for c in grid(spark, sf_dir) for p in c.paths()], schema)
     return rows.select(
         "expr", "rep", "seq_idx", "rank", *PAIR, "offset", "len_prefix", "len_suffix", "policy", F.array_join("prefix", " ").alias("prefix")
@@ -129,6 +131,26 @@ def unordered_rank_records(spark, sf_dir):
     return rows.groupBy("expr", "rep", "rank").agg(F.count("*").alias("n"), F.sum(F.size("generated_suffix")).alias("tokens"))
 
 
+def _next_ids(prefixes: list[list[int]], n: int, policy: str) -> list[tuple[list[int], list[float]]]:
+    """A generator that counts on from the sum of its input."""
+    return [([(sum(p) + k) % 50_000 for k in range(n)], [k / 10 for k in range(n)]) for p in prefixes]
+
+
+@query(f"""WITH d AS (SELECT doc_id, {IDS.format(t=TOK.format(t='text'))} AS ids FROM documents),
+    k AS (SELECT doc_id, ids[3:7] AS p, ids[8:10] AS t, row_number() OVER (ORDER BY doc_id) - 1 AS seq_idx FROM d WHERE len(ids) >= 10)
+    SELECT doc_id, seq_idx, array_to_string(p, ' ') AS prefix, array_to_string(t, ' ') AS true_suffix,
+        array_to_string(list_transform(range(3), lambda k: (list_sum(p) + 128000 + k) % 50000), ' ') AS generated, 0.1 AS nll_mean, 0.1 AS nll_std FROM k""")
+def generated_records(spark, sf_dir):
+    """Windows of all documents through an injected generator, written by four ranks and read back in order."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", ids(S.tokens(F.col("text"))).alias("ids"))
+    made = G.inference_records(rows, ["doc_id"], "ids", 2, 5, 3, _next_ids)
+    folder = E.EvalConfig(new_path(spark, "generated"), "counting", [1], "greedy", [2], [5], [3]).paths()[0]
+    sinks.write_rank_files(made, folder, [F.col("doc_id")], 4)
+    back = inference.read_rank_files(spark, folder, T.StructType([*inference.SPARSE.fields, T.StructField("doc_id", T.LongType())]))
+    shown = [F.array_join(c, " ").alias(name) for c, name in (("prefix", "prefix"), ("true_suffix", "true_suffix"), ("generated_suffix", "generated"))]
+    return back.select("doc_id", "seq_idx", *shown, r6(F.col("nll_mean")).alias("nll_mean"), r6(F.col("nll_std")).alias("nll_std"))
+
+
 # Corpus files
 
 
