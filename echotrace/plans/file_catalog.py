@@ -139,7 +139,7 @@ def _next_ids(prefixes: list[list[int]], n: int, policy: str) -> list[tuple[list
 @query(f"""WITH d AS (SELECT doc_id, {IDS.format(t=TOK.format(t='text'))} AS ids FROM documents),
     k AS (SELECT doc_id, ids[3:7] AS p, ids[8:10] AS t, row_number() OVER (ORDER BY doc_id) - 1 AS seq_idx FROM d WHERE len(ids) >= 10)
     SELECT doc_id, seq_idx, array_to_string(p, ' ') AS prefix, array_to_string(t, ' ') AS true_suffix,
-        array_to_string(list_transform(range(3), lambda k: (list_sum(p) + 128000 + k) % 50000), ' ') AS generated, 0.1 AS nll_mean, 0.1 AS nll_std FROM k""")
+        array_to_string(list_transform(range(3), lambda k: (list_sum(p) + 128000 + k) % 50000), ' ') AS generated, CAST(0.1 AS DOUBLE) AS nll_mean, CAST(0.1 AS DOUBLE) AS nll_std FROM k""")
 def generated_records(spark, sf_dir):
     """Windows of all documents through an injected generator, written by four ranks and read back in order."""
     rows = table(spark, sf_dir, "documents").select("doc_id", ids(S.tokens(F.col("text"))).alias("ids"))
