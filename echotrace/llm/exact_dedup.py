@@ -26,21 +26,33 @@ from pyspark.sql import functions as F
 
 from echotrace.llm._common import broadcast_if_small, stored, text_or_empty
 
-FAN_IN = 2
+FAN_IN, AT_ONCE = 2, 2
 
 
 def _sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def merged_runs(
-    entries: DataFrame, key: list[str], aggs: list[Column], runs: int, fan_in: int = FAN_IN, rounds: int | None = None
-) -> tuple[DataFrame, int]:
-    """The entries after so many rounds of merges, or after as many as leave one run, and the number of runs left; aggs combine entries into entries."""
-    while runs > 1 if rounds is None else rounds > 0:
-        runs, rounds = -(-runs // fan_in), None if rounds is None else rounds - 1
-        entries = entries.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).groupBy("run", *key).agg(*aggs)
-    return entries, runs
+def first_round(entries: DataFrame, key: list[str], aggs: list[Column], fan_in: int = FAN_IN) -> DataFrame:
+    """Merges the entries of each run before their exchange, and neighbouring runs behind it."""
+    return entries.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).groupBy("run", *key).agg(*aggs)
+
+
+def merged_runs(entries: DataFrame, key: list[str], aggs: list[Column], runs: int, fan_in: int = FAN_IN) -> DataFrame:
+    """The one run that is left after rounds of merges; aggs combine entries into entries.
+
+    Runs that merge within the next AT_ONCE rounds meet in one exchange, each digest in a place of its own, so those rounds are
+    aggregates over sorted entries that lie together.
+    """
+    while runs > 1:
+        rounds = next(k for k in range(1, AT_ONCE + 1) if k == AT_ONCE or fan_in**k >= runs)
+        home = F.floor(F.col("run") / fan_in**rounds).cast("int")
+        entries = entries.withColumn("home", home).repartition("home", *key)
+        for _ in range(rounds):
+            runs, merged = -(-runs // fan_in), F.floor(F.col("run") / fan_in).cast("int")
+            entries = entries.withColumn("run", merged).groupBy("home", "run", *key).agg(*aggs)
+        entries = entries.drop("home")
+    return entries.drop("run")
 
 
 def exact_dedup(
@@ -70,11 +82,9 @@ def exact_dedup(
     rank = F.struct(known, F.col("doc_id"), F.col("place"))
     key = ["digest", "body"]
     runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
-    # The first round merges the rows of each run before their exchange.
-    first, runs = merged_runs(rows, key, [best(rank).alias("stay"), F.count("*").alias("n")], runs, fan_in, 1)
-    first = stored(first, "first-round")
-    top, _ = merged_runs(first, key, [best("stay").alias("stay"), F.sum("n").alias("n")], runs, fan_in)
-    top = stored(top.drop("run"), "groups")
+    first = stored(first_round(rows, key, [best(rank).alias("stay"), F.count("*").alias("n")], fan_in), "first-round")
+    runs = -(-runs // fan_in)
+    top = stored(merged_runs(first, key, [best("stay").alias("stay"), F.sum("n").alias("n")], runs, fan_in), "groups")
 
     # Texts go down the tree only if there are two to a digest.
     if top.groupBy("digest").count().where("count > 1").isEmpty():
