@@ -42,6 +42,17 @@ def test_exact_dedup(edge_docs, edge_rows):
     assert exact_dedup.exact_dedup(edge_docs.limit(0)).count() == 0
 
 
+def test_runs_merge_two_by_two(spark):
+    """Every number of runs ends in one entry for each key, and rounds that share an exchange need no other."""
+    for runs in (1, 2, 3, 4, 5, 8, 13, 33):
+        rows = spark.range(200).selectExpr(f"cast(id % {runs} as int) AS run", "id % 17 AS digest", "concat('x', id % 17) AS body", "id AS stay", "1L AS n")
+        aggs = [F.max("stay").alias("stay"), F.sum("n").alias("n")]
+        found = exact_dedup.merged_runs(rows.groupBy("run", "digest", "body").agg(*aggs), ["digest", "body"], aggs, runs)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["digest"], r["stay"], r["n"]) for r in found.collect()) == [(d, max(range(d, 200, 17)), len(range(d, 200, 17))) for d in range(17)]
+    assert plan.count("Exchange hashpartitioning") == 1 + 3  # that of the entries, and one for two of the six rounds
+
+
 def test_exact_dedup_with_colliding_digests(edge_docs, edge_rows):
     weak = lambda t: F.substring(F.sha2(t.cast("binary"), 256), 1, 1)  # a sixteenth of all texts share a digest
     check_exact(exact_dedup.exact_dedup(edge_docs.select("doc_id", "text", "n"), "largest", digest=weak).collect(), edge_rows, True)
