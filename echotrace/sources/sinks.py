@@ -153,13 +153,11 @@ def generation_report(
     )
     common = contributing_tokens(pairs, keys, a, b).select(*keys, "n", "positions1", "positions2")
     rows = pairs.select(*keys, a, b).join(common, keys).join(steps, keys, "left")
-    marked = lambda c, at: F.array_join(
-        F.transform(F.col(c), lambda x, i: _span(F.when(F.array_contains(at, i), "shared").otherwise("other"), x.cast("string"))), " "
-    )
+    marked = lambda c, at: S.highlighted(F.col(c), F.col(at), '<span class="shared">', "</span>")
     diff = lambda k: F.coalesce(F.array_join(F.transform("steps", lambda x: x[f"s{k}"]), ""), F.lit(""))
     score = S.rouge_l(F.col("n"), F.size(a), F.size(b))
     texts = [decode(F.col(c)) for c in (a, b)]
-    views = [(diff(1), diff(2)), (marked(a, F.col("positions1")), marked(b, F.col("positions2")))]
+    views = [(diff(1), diff(2)), (marked(a, "positions1"), marked(b, "positions2"))]
     grids = [F.concat(F.lit('<div class="pair">'), _numbered(texts[0], left), _numbered(texts[1], right), F.lit("</div>")) for left, right in views]
     head = F.concat(F.lit(f"<style>{_STYLE}</style><p>Rouge-L: "), F.format_string("%.4f", score), F.lit("</p>"))
     return rows.select(*keys, score.alias("rouge_l"), F.concat(head, *grids).alias("html"))
