@@ -5,8 +5,8 @@ position of the quantised point on a Hilbert curve is the document's key. Docume
 so a range of the curve is a partition and neighbours on the curve share sequences. Each partition is encoded and cut
 into sequences of LENGTH ids as one stream: all but its last sequence are full, so less than one sequence
 for each partition is padding.
-The ranges hold about equal bytes: their borders are quantiles of SAMPLE documents (a hash of the row chooses them; only the sizes of
-partitions depend on it, no result does). Keys and ids are made once, ids after the sort; only texts and keys are
+The ranges hold about equal bytes: their borders are quantiles of SAMPLE documents (a hash of the row chooses them), which decides
+where one stream ends and the next begins and nothing else. Keys and ids are made once, ids after the sort; only texts and keys are
 shuffled. The tie is a hash of the id and the row, which spreads documents with one key, such as copies of one text, over partitions.
 
 Defined results: null text counts as empty and is one piece with the end id only; null ids are kept beside ids of any size, as
