@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import io
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +14,7 @@ from echotrace.operators import results as R
 from echotrace.operators import validate as V
 from echotrace.plans import pipelines as L
 from echotrace.plans.catalog import PAIR, PAIRS_SQL, SCORES_SQL, TOK, pairs, query, r6, scores, table
-from echotrace.sources import binary, inference, sinks
+from echotrace.sources import binary, inference, lines, sinks, streamed
 from echotrace.sources.shared import global_row_number, new_path
 
 #: White-space tokens as numbers that both engines make alike.
@@ -57,18 +54,15 @@ FIELDS = ["prefix", "true_suffix", "generated_suffix", "nll", "nll_mean", "nll_s
 
 
 def grid(spark: SparkSession, sf_dir: str) -> list[E.EvalConfig]:
-    """Writes the records by rank, three ranks to a cell; a configuration for each experiment."""
-    rows, base = records(spark, sf_dir), new_path(spark, "experiments")
-    cells: dict[str, list[int]] = {}
-    for r in sorted(tuple(r) for r in rows.select("expr", "rep").distinct().collect()):  # a row for each cell
-        cells.setdefault(r[0], []).append(r[1])
-    configs = []
-    for expr, reps in cells.items():
-        configs.append(E.EvalConfig(base, expr, reps, "greedy", [0], [5], [2000]))
-        for rep, folder in zip(reps, configs[-1].paths(), strict=True):
-            own = rows.where((F.col("expr") == expr) & (F.col("rep") == rep)).select(*PAIR, *FIELDS)
-            sinks.write_rank_files(own, folder, [F.col(c) for c in PAIR], 3)
-    return configs
+    """Writes the records by rank, three ranks to a cell, all cells at once; a configuration for each experiment."""
+    base = new_path(spark, "experiments")
+    cell = F.concat(F.col("expr"), F.lit("/inference/offset_0_prefix_5_suffix_2000/rep_"), F.col("rep").cast("string"), F.lit("_greedy"))
+    rows = records(spark, sf_dir).select(*PAIR, *FIELDS, cell.alias("cell"))
+    names = sinks.write_rank_grid(rows, base, "cell", [F.col(c) for c in PAIR], 3)
+    found: dict[str, list[int]] = {}
+    for name in names:
+        found.setdefault(name.split("/")[0], []).append(int(name.rsplit("rep_", 1)[1].split("_")[0]))
+    return [E.EvalConfig(base, expr, sorted(reps), "greedy", [0], [5], [2000]) for expr, reps in sorted(found.items())]
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> E.Results:
@@ -190,7 +184,7 @@ def replica_pipeline(spark, sf_dir):
 
 
 def _token_file(spark: SparkSession, sf_dir: str) -> str:
-    """One file of records of eight ids: a begin sign, then seven that follow from the document."""
+    """Files of records of eight ids, in order: a begin sign, then seven that follow from the document."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
         F.concat(
@@ -198,7 +192,7 @@ def _token_file(spark: SparkSession, sf_dir: str) -> str:
         ).alias("tokens"),
     )
     path = new_path(spark, "tokens")
-    sinks.write_token_records(docs.orderBy("doc_id").select("tokens").coalesce(1), path)
+    sinks.write_token_records(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("tokens"), path)
     return path
 
 
@@ -216,11 +210,11 @@ def token_count_check(spark, sf_dir):
 
 
 def _index_file(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
-    """A shuffle index without every 97th number, as .npy; its folder and the number of documents."""
-    n, folder = table(spark, sf_dir, "documents").count(), new_path(spark, "index")
-    held, content = np.arange(n, dtype=np.int64), io.BytesIO()
-    np.save(content, held[held % 97 != 5][::-1])
-    sinks.write_bytes(f"{folder}/0f3a-shuffle_index.npy", content.getvalue())
+    """A shuffle index of the documents' row numbers, descending and without every 97th, as .npy; its folder and the number of documents."""
+    folder = new_path(spark, "index")
+    numbered, n = global_row_number(table(spark, sf_dir, "documents").select("doc_id"), [F.col("doc_id")], "value")
+    held = numbered.where("value % 97 <> 5").repartitionByRange(F.desc("value")).sortWithinPartitions(F.desc("value"))
+    sinks.write_index_vector(held, folder, "0f3a-*-shuffle_index.npy")
     return folder, n
 
 
@@ -246,6 +240,47 @@ def index_length_check(spark, sf_dir):
     )
 
 
+@query(f"""SELECT doc_id, seq_idx, seq_idx % 3 AS "rank", array_to_string(p, ' ') AS prefix, array_to_string(list_transform(p, lambda x: x + 1), ' ') AS generated
+    FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS seq_idx, {IDS.format(t=TOK.format(t='text'))}[1:5] AS p FROM documents)""")
+def resumed_records(spark, sf_dir):
+    """Records of all documents streamed to three ranks by a generator that fails on the way, and once more by one that doesn't."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.slice(ids(S.tokens(F.col("text"))), 1, 5).alias("prefix"))
+    folder = E.EvalConfig(new_path(spark, "streamed"), "counting", [1], "greedy", [0], [5], [5]).paths()[0]
+    numbered, n = global_row_number(rows, [F.col("doc_id")], "at")
+    numbered = numbered.withColumn("fails", F.col("at") == n * 2 // 3).drop("at")
+
+    def record(some: list[dict]) -> list[dict]:
+        return [{"doc_id": r["doc_id"], "prefix": r["prefix"], "generated_suffix": [x + 1 for x in r["prefix"]]} for r in some]
+
+    def breaking(some: list[dict]) -> list[dict]:
+        if any(r["fails"] for r in some):
+            raise RuntimeError("the generator broke off")
+        return record(some)
+
+    try:
+        streamed.stream_rank_files(numbered, folder, [F.col("doc_id")], 3, breaking, every=16)
+    except Exception as e:
+        if "the generator broke off" not in str(e):
+            raise
+    streamed.stream_rank_files(numbered, folder, [F.col("doc_id")], 3, record, every=16)
+    back = inference.read_rank_files(spark, folder, T.StructType([*inference.DENSE.fields, T.StructField("doc_id", T.LongType())]))
+    shown = [F.array_join(c, " ").alias(name) for c, name in (("prefix", "prefix"), ("generated_suffix", "generated"))]
+    return back.select("doc_id", "seq_idx", "rank", *shown)
+
+
+@query(f"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, doc_id, CAST(len({TOK.format(t='text')}) AS BIGINT) AS n_tokens, lang FROM documents)
+    SELECT x AS "index", doc_id, n_tokens, lang FROM range(0, (SELECT 3 * count(*) FROM documents), 7) r(x) JOIN d ON i = x % (SELECT count(*) FROM documents)""")
+def keyed_lines(spark, sf_dir):
+    """Every seventh sample of three replicas of the documents, each read by its line's place."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.size(S.tokens(F.col("text"))).cast("long").alias("n_tokens"), "lang", "text")
+    path, folder = new_path(spark, "bucket"), new_path(spark, "line-index")
+    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.json(path)
+    n = lines.write_line_index(spark, path, folder, every=32)
+    samples = spark.range(0, 3 * n, 7).select(F.col("id").alias("index"), (F.col("id") % n).alias("at"))
+    found = lines.lookup(samples, "at", folder)
+    return found.select("index", F.from_json("line", "doc_id long, n_tokens long, lang string").alias("r")).select("index", "r.*")
+
+
 # Results, checkpoints and lines
 
 

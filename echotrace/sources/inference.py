@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from echotrace.sources.shared import exists
+from echotrace.sources.shared import broadcast_if_small, exists, stored
 
 _IDS = T.ArrayType(T.IntegerType())
 DENSE = T.StructType().add("prefix", _IDS).add("true_suffix", _IDS).add("generated_suffix", _IDS)
@@ -46,30 +47,33 @@ def read_rank_files(spark: SparkSession, path: str | list[str], schema: T.Struct
     """All records below path with their path columns (expr, the experiment's folder; len_prefix and len_suffix for the lengths) and, for each
     directory of ranks, seq_idx: the place in the source before the deal. Without order, records come as they are read and have no seq_idx.
 
-    rankN.jsonl is a file or a folder of part files in order of their names. The order inside a file is that of (block start, row
-    in the task), which Spark keeps for splits of a file; ranks are compared as numbers, so ten and more ranks are right as
-    well, and ranks may have different numbers of rows.
+    rankN.jsonl is a file or a folder of part files in order of their names; ranks are compared as numbers, so ten and more ranks
+    are right as well, ranks may have different numbers of rows, and a rank without a row counts as one of the world.
+
+    Spark reads a file in splits and keeps the rows of a split in order. The records are stored once, as another read could cut
+    the files elsewhere (splits depend on the executors that are there); counts of the splits, a row for each, are added up along
+    each rank, and a record's place is the first one of its split and its row in it. No rows are sorted or moved for it.
     """
-    from pyspark.sql.window import Window
-
-    reader = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*")
-    rows = reader.json(path).select(
-        "*",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": "*.json*"}
+    rows = spark.read.schema(schema).options(**options).json(path).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
     expr = F.nullif(F.regexp_extract("_path", "([^/]+)/inference/", 1), F.lit("")).alias("expr")
-    rows = rows.withColumn("_dir", F.regexp_replace("_path", "/rank\\d+\\.jsonl.*$", "")).select(
-        "*", expr, *path_columns(F.col("_path"), "len_prefix", "len_suffix")
-    )
+    dims = [expr, *path_columns(F.col("_path"), "len_prefix", "len_suffix")]
     if not order:
-        return rows.drop("_path", "_block", "_row", "_dir")
-    place = F.row_number().over(Window.partitionBy("_dir", "rank").orderBy("_path", "_block", "_row")) - 1
-    world = rows.select("_dir", "rank").distinct().groupBy("_dir").agg(F.count("*").alias("_world"))  # a row for each directory
-    return rows.withColumn("_place", place).join(world, "_dir").withColumn(
-        "seq_idx", F.col("_place") * F.col("_world") + F.col("rank")
-    ).drop("_path", "_block", "_row", "_dir", "_place", "_world")
+        return rows.select("*", *dims).drop("_path", "_block")
+    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "records")
+    folder = F.regexp_replace("_path", "/rank\\d+\\.jsonl.*$", "").alias("_dir")
+    rank = _number(F.col("_path"), "rank(\\d+)\\.jsonl").alias("_rank")
+    splits = rows.groupBy("_path", "_block").agg(F.min("_row").alias("_least"), F.count("*").alias("_n")).select("*", folder, rank)
+    # What stands before a split in its rank: a window over splits.
+    before = Window.partitionBy("_dir", "_rank").orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_least"))
+    files = spark.read.format("binaryFile").options(**options).load(path).select(F.col("_metadata.file_path").alias("_path"))
+    files = files.select(folder, rank).distinct()
+    world = files.groupBy("_dir").agg(F.count("*").alias("_world"))  # a row for each directory
+    splits = stored(splits.join(world, "_dir").select("_path", "_block", "_start", "_world", "_rank"), "splits")
+    place = (F.col("_row") + F.col("_start")) * F.col("_world") + F.col("_rank")
+    rows = rows.join(broadcast_if_small(splits), ["_path", "_block"]).withColumn("seq_idx", place)
+    return rows.select("*", *dims).drop("_path", "_block", "_row", "_start", "_world", "_rank")
 
 
 def require_paths(spark: SparkSession, paths: list[str]) -> None:

@@ -55,6 +55,15 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Gives a file or folder another name in the same file system; folders above it are made."""
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    system = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(new.getParent())
+    if not system.rename(old, new):
+        raise OSError(f"{source} can't be moved to {target}")
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables that were made inside when it ends; what is needed later has to be written elsewhere before."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,12 +11,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from echotrace.functions import sequences as S
 from echotrace.operators.matching import contributing_tokens, diff_opcodes
 from echotrace.operators.results import DIMENSIONS, value_counts
-from echotrace.sources.shared import exists, global_row_number
+from echotrace.sources.ranges import file_system
+from echotrace.sources.shared import broadcast_if_small, exists, global_row_number, move, remove, stored
 
 
 def write_tokens_and_text(df: DataFrame, folder: str, tokens: str = "selected_tokens", text: str = "detokenized_texts") -> None:
@@ -32,11 +33,34 @@ def write_rank_files(records: DataFrame, folder: str, order: list[Column], world
 
     rankN.jsonl is a folder of part files in order, so a rank's rows needn't pass one task. Returns the number of records.
     """
-    numbered, n = global_row_number(records, order, "_at")
-    for rank in range(world):
-        own = numbered.where(F.col("_at") % world == rank)
-        own.repartitionByRange("_at").sortWithinPartitions("_at").drop("_at").write.json(f"{folder}/rank{rank}.jsonl")
-    return n
+    return sum(write_rank_grid(records.withColumn("_folder", F.lit(".")), folder, "_folder", order, world).values())
+
+
+def write_rank_grid(records: DataFrame, base: str, folder: str, order: list[Column], world: int = 1) -> dict[str, int]:
+    """The same for many cells at once, each in the folder below base that the column `folder` names: one sort and one write for all.
+
+    Returns the number of records of each folder. Rows are numbered over all cells, and a cell's first number is taken off.
+    """
+    spark = records.sparkSession
+    numbered, _ = global_row_number(records.withColumnRenamed(folder, "_folder"), [F.col("_folder"), *order], "_at")
+    cells = numbered.groupBy("_folder").agg(F.min("_at"), F.count("*")).collect()  # a row for each cell
+    cells = sorted((r[0], r[1], r[2]) for r in cells)
+    if not cells:
+        return {}
+    known = spark.createDataFrame([(name, i, first) for i, (name, first, _) in enumerate(cells)], "_folder string, _cell int, _first long")
+    dealt = numbered.join(broadcast_if_small(known), "_folder").withColumn("_at", F.col("_at") - F.col("_first"))
+    dealt = dealt.withColumn("_rank", (F.col("_at") % world).cast("int")).drop("_folder", "_first")
+    place, made = ["_cell", "_rank", "_at"], f"{base}/.{uuid.uuid4().hex}"
+    dealt.repartitionByRange(*place).sortWithinPartitions(*place).drop("_at").write.partitionBy("_cell", "_rank").json(made)
+    for i, (name, _, n) in enumerate(cells):
+        for rank in range(world):
+            target = "/".join(x for x in (base, name, f"rank{rank}.jsonl") if x != ".")
+            if rank < n:
+                move(spark, f"{made}/_cell={i}/_rank={rank}", target)
+            else:
+                write_bytes(f"{target}/part-00000.json", b"")  # a rank without a row
+    remove(spark, made)
+    return {name: n for name, _, n in cells}
 
 
 def write_if_missing(df: Callable[[], DataFrame], path: str, spark: SparkSession) -> bool:
@@ -47,51 +71,69 @@ def write_if_missing(df: Callable[[], DataFrame], path: str, spark: SparkSession
     return True
 
 
-def _file_system(path: str):
-    """The pyarrow file system of a URI or plain path, and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
-
-
 def write_bytes(path: str, content: bytes) -> None:
     """One file, written by the caller; a file that is there is replaced."""
-    system, at = _file_system(path)
+    system, at = file_system(path)
     system.create_dir(at.rpartition("/")[0], recursive=True)
     with system.open_output_stream(at) as out:
         out.write(content)
 
 
-def write_token_records(df: DataFrame, folder: str, tokens: str = "tokens") -> None:
-    """Token sequences of one length as records of little-endian 32-bit ids: a file for each partition, in its order."""
+def _part_writer(folder: str, suffix: str, head: Callable[[int], bytes], element: str):
+    """Writes the first column of each partition as one file of fixed elements; its head is made when their number is known."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, at = _file_system(folder)
-        part = TaskContext.get().partitionId()
+        system, at = file_system(folder)
+        task = TaskContext.get()
+        part, made = task.partitionId(), f"{at}/.part-{task.partitionId():05d}-{task.taskAttemptId()}.tmp"
         system.create_dir(at, recursive=True)
         n = 0
-        with system.open_output_stream(f"{at}/.part-{part:05d}.tmp") as out:
+        with system.open_output_stream(made) as out:
+            out.write(head(0))
             for batch in batches:
-                out.write(pc.list_flatten(batch.column(0)).to_numpy().astype("<i4").tobytes())
-                n += batch.num_rows
-        system.move(f"{at}/.part-{part:05d}.tmp", f"{at}/part-{part:05d}.bin")
+                values = batch.column(0)
+                values = values.flatten() if pa.types.is_list(values.type) else values
+                out.write(values.to_numpy(zero_copy_only=False).astype(element).tobytes())
+                n += len(values)
+        if head(0):
+            # The head has one size for every number, so it is put in front of what was written.
+            with system.open_input_stream(made) as source, system.open_output_stream(f"{made}2") as out:
+                source.read(len(head(0)))
+                out.write(head(n))
+                while raw := source.read(1 << 22):
+                    out.write(raw)
+            system.delete_file(made)
+            made += "2"
+        system.move(made, f"{at}/{suffix.replace('*', f'{part:05d}')}")
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    df.select(F.col(tokens).cast("array<int>")).mapInArrow(write, "n long").count()
+    return write
+
+
+def write_token_records(df: DataFrame, folder: str, tokens: str = "tokens") -> None:
+    """Token sequences of one length as records of little-endian 32-bit ids: a file for each partition, in its order."""
+    df.select(F.col(tokens).cast("array<int>")).mapInArrow(_part_writer(folder, "part-*.bin", lambda n: b"", "<i4"), "n long").count()
+
+
+def _vector_head(n: int) -> bytes:
+    head = f"{{'descr': '<i8', 'fortran_order': False, 'shape': ({n},), }}"
+    return b"\x93NUMPY\x01\x00" + (118).to_bytes(2, "little") + head.ljust(117).encode() + b"\n"
+
+
+def write_index_vector(df: DataFrame, folder: str, name: str, value: str = "value") -> None:
+    """A column of integers as one-dimensional .npy files, one for each partition, in its order; name: with a * for the part's number."""
+    df.select(F.col(value).cast("long")).mapInArrow(_part_writer(folder, name, _vector_head, "<i8"), "n long").count()
 
 
 def existing_keys(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
-    """The distinct keys of what is at path, or None if nothing is."""
-    try:
-        return spark.read.parquet(path).select(*keys).distinct()
-    except AnalysisException:
-        return None
+    """The distinct keys of what is at path, or None if nothing is; what is there and can't be read is an error."""
+    return spark.read.parquet(path).select(*keys).distinct() if exists(spark, path) else None
 
 
 def write_missing(df: DataFrame, path: str, keys: list[str]) -> None:
     """Appends the rows whose keys aren't at path yet, partitioned by the keys: a run that broke off can be repeated."""
     there = existing_keys(df.sparkSession, path, keys)
-    rows = df if there is None else df.join(F.broadcast(there), keys, "left_anti")  # a row for each partition folder
+    rows = df if there is None else df.join(broadcast_if_small(stored(there, "keys")), keys, "left_anti")
     rows.write.mode("append").partitionBy(*keys).parquet(path)
 
 
@@ -184,12 +226,14 @@ def write_reports(reports: DataFrame, folder: str, name: str = "name", html: str
     """One file for each row, written where the row is; a task that runs twice writes the same files."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, at = _file_system(folder)
+        system, at = file_system(folder)
         system.create_dir(at, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with system.open_output_stream(f"{at}/{file}") as out:
+                with system.open_output_stream(f"{at}/.{file}.{attempt}.tmp") as out:
                     out.write(content.encode())
+                system.move(f"{at}/.{file}.{attempt}.tmp", f"{at}/{file}")
             yield pa.RecordBatch.from_arrays([batch.column(0)], ["name"])
 
     reports.select(F.col(name).cast("string"), F.col(html).cast("string")).mapInArrow(write, "name string").count()
