@@ -7,7 +7,9 @@ minimum.
 from __future__ import annotations
 
 import difflib
+import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,40 +32,54 @@ def lcs_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return table
 
 
+def _lcs_rows(a: np.ndarray, b: np.ndarray, row: int) -> Iterator[int]:
+    """Rows of the table as numbers, from `row` on, which stands before a's first element: bit j is set where the table doesn't rise from column j to j + 1.
+
+    An addition moves the lowest match of each run of set bits up to the run's end: Python's integers do that for all words of a row
+    with the carry between them.
+    """
+    places: dict[int, int] = {}
+    for j, y in enumerate(b.tolist()):
+        places[y] = places.get(y, 0) | 1 << j
+    whole = (1 << len(b)) - 1
+    for x in a.tolist():
+        found = row & places.get(x, 0)
+        if found:
+            row = ((row + found) | (row - found)) & whole
+        yield row
+
+
 def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
-    row = np.zeros(len(b) + 1, dtype=np.int32)
-    for x in a:
-        row[1:] = np.maximum.accumulate(np.where(b == x, row[:-1] + 1, row[1:]))
-    return int(row[-1])
+    row = (1 << len(b)) - 1
+    for row in _lcs_rows(a, b, row):
+        pass
+    return len(b) - row.bit_count()
 
 
-#: Cells of a table that lcs_positions holds at once; larger pairs keep the table's rows at intervals and work out the others again.
-_CELLS = 16_000_000
+#: Bits of a table that lcs_positions holds at once; larger pairs keep the table's rows at intervals and work out the others again.
+_CELLS = 800_000_000
 
 
 def lcs_positions(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """One longest common subsequence, from the end: an equal pair is taken, else a's end is given up unless that loses more."""
-    found, j, width = [], len(b), len(b) + 1
+    first, width = (1 << len(b)) - 1, len(b) + 1
     step = max(1, min(len(a), _CELLS // width))
     # Every step-th row of the table; the rows between two of them are made when the walk comes there.
-    rows, row = [np.zeros(width, dtype=np.int32)], np.zeros(width, dtype=np.int32)
-    for i, x in enumerate(a):
-        row[1:] = np.maximum.accumulate(np.where(b == x, row[:-1] + 1, row[1:]))
-        if (i + 1) % step == 0:
-            rows.append(row.copy())
-    for k in range(len(a) // step if len(a) else -1, -1, -1):
-        begin, end = k * step, min(len(a), (k + 1) * step)
-        part = np.empty((end - begin + 1, width), dtype=np.int32)
-        part[0] = rows[k]
-        for i in range(begin, end):
-            part[i - begin + 1, 0] = 0
-            part[i - begin + 1, 1:] = np.maximum.accumulate(np.where(b == a[i], part[i - begin, :-1] + 1, part[i - begin, 1:]))
-        i = end
-        while i > begin and j:
-            if a[i - 1] == b[j - 1]:
-                i, j = i - 1, j - 1
+    rows = [first]
+    if step < len(a):
+        rows += [row for i, row in enumerate(_lcs_rows(a, b, first), 1) if i % step == 0]
+    found, j, x, y, length = [], len(b), a.tolist(), b.tolist(), None
+    for k in range((len(a) - 1) // step, -1, -1):
+        begin = k * step
+        part = [rows[k], *_lcs_rows(a[begin : begin + step], b, rows[k])]
+        if length is None:
+            length = j - part[-1].bit_count()
+        i = begin + len(part) - 1
+        while i > begin and j and length:
+            if x[i - 1] == y[j - 1]:
+                i, j, length = i - 1, j - 1, length - 1
                 found.append((i, j))
-            elif part[i - begin, j - 1] > part[i - begin - 1, j]:
+            elif j - (part[i - begin - 1] & ((1 << j) - 1)).bit_count() < length:
                 j -= 1
             else:
                 i -= 1
@@ -99,44 +115,143 @@ def common_runs(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64)
 
 
+def run_ends(a: np.ndarray, b: np.ndarray, least: int, low: int = 0, high: int = 1 << 31) -> Iterator[np.ndarray]:
+    """Rows (length, end in a, end in b) of the common runs that can't be made longer, of at least `least` and from low to high; one row of the table is held."""
+    row, low = np.zeros(len(b) + 1, dtype=np.int32), max(least, low)
+    for i in range(len(a) + 1):
+        same = b == a[i] if i < len(a) else np.zeros(len(b), dtype=bool)
+        ended = np.flatnonzero((row >= low) & (row <= high) & ~np.append(same, False))
+        if len(ended):
+            yield np.stack([row[ended], np.full(len(ended), i, dtype=np.int32), ended.astype(np.int32)], axis=1)
+        row[1:] = np.where(same, row[:-1] + 1, 0)
+        row[0] = 0
+
+
+class Squares:
+    """Disjoint squares of a table, kept by the tiles of the table that they meet."""
+
+    def __init__(self, tile: int = 128):
+        self.tile, self.tiles = tile, {}
+
+    def _met(self, n: int, begin1: int, begin2: int) -> Iterator[tuple[int, int]]:
+        for k in range(begin1 // self.tile, (begin1 + n - 1) // self.tile + 1):
+            for l2 in range(begin2 // self.tile, (begin2 + n - 1) // self.tile + 1):
+                yield k, l2
+
+    def add(self, n: int, end1: int, end2: int) -> None:
+        for tile in self._met(n, end1 - n, end2 - n):
+            held, used = self.tiles.get(tile, (np.empty((4, 4), dtype=np.int32), 0))
+            if used == len(held):
+                held = np.concatenate([held, np.empty_like(held)])
+            held[used] = (end1 - n, end1, end2 - n, end2)
+            self.tiles[tile] = (held, used + 1)
+
+    def room(self, n: int, end1: int, end2: int) -> int:
+        """The most elements from the square's first cell on that meet no other square: n if it is free."""
+        begin1, begin2 = end1 - n, end2 - n
+        for tile in self._met(n, begin1, begin2):
+            if tile in self.tiles:
+                held, used = self.tiles[tile]
+                r = held[:used]
+                meets = r[(r[:, 0] < begin1 + n) & (r[:, 1] > begin1) & (r[:, 2] < begin2 + n) & (r[:, 3] > begin2)]
+                if len(meets):
+                    n = max(0, int(np.maximum(meets[:, 0] - begin1, meets[:, 2] - begin2).min()))
+                    if not n:
+                        break
+        return n
+
+
+#: Runs that disjoint_matches holds at once; more of them are taken up in bands of lengths.
+_RUNS = 2_000_000
+
+
 def disjoint_matches(a: np.ndarray, b: np.ndarray, least: int = 2) -> list[tuple[int, int, int, int, int]]:
     """Common substrings (length, start1, end1, start2, end2), longest first, none meeting another in both sequences.
 
-    Ties go to the smaller end in a, then in b.
+    Ties go to the smaller end in a, then in b. A run that meets one before it comes again with as many of its first elements as are
+    free, in the place that this length has; so only runs that can't be made longer are listed, and no table is kept.
     """
-    runs = common_runs(a, b, least)
-    order = np.lexsort((runs[:, 2], runs[:, 1], -runs[:, 0]))
-    taken, out = np.zeros((len(a), len(b)), dtype=bool), []
-    for n, e1, e2 in runs[order].tolist():
-        cell = taken[e1 - n : e1, e2 - n : e2]
-        if not cell.any():
-            cell[:] = True
-            out.append((n, e1 - n, e1, e2 - n, e2))
+    sizes = np.zeros(min(len(a), len(b)) + 1, dtype=np.int64)
+    for some in run_ends(a, b, least):
+        sizes += np.bincount(some[:, 0], minlength=len(sizes))
+    taken, out, shorter = Squares(), [], []
+    high = len(sizes) - 1
+    while high >= least:
+        total, low = sizes[high], high
+        while low > least and total + sizes[low - 1] <= _RUNS:
+            low -= 1
+            total += sizes[low]
+        runs = np.concatenate([np.zeros((0, 3), dtype=np.int32), *run_ends(a, b, least, low, high)]) if total else np.zeros((0, 3), dtype=np.int32)
+        runs = runs[np.lexsort((runs[:, 2], runs[:, 1], -runs[:, 0]))]
+        at = 0
+        while at < len(runs) or (shorter and -shorter[0][0] >= low):
+            run = (-int(runs[at, 0]), int(runs[at, 1]), int(runs[at, 2])) if at < len(runs) else None
+            if run is None or (shorter and shorter[0] < run):
+                run = heapq.heappop(shorter)
+            else:
+                at += 1
+            n, end1, end2 = -run[0], run[1], run[2]
+            free = taken.room(n, end1, end2)
+            if free == n:
+                taken.add(n, end1, end2)
+                out.append((n, end1 - n, end1, end2 - n, end2))
+            elif free >= least:
+                heapq.heappush(shorter, (-free, end1 - n + free, end2 - n + free))
+        high = low - 1
     return out
 
 
-def relaxed_spans(a: np.ndarray, b: np.ndarray, min_consecutive: int = 3, max_edits: int = 1) -> list[tuple[int, int, int, int, int, int]]:
-    """All pairs of spans (length, edits, start1, end1, start2, end2) at most max_edits apart, in order of window size and starts.
+#: Equal cells that are looked at together for starts of matches with edits.
+_SEEDS = 4_000_000
+
+
+def relaxed_starts(a: np.ndarray, b: np.ndarray, smallest: int, k: int) -> np.ndarray:
+    """Pairs of starts (rows of two columns, in order) whose windows of `smallest` elements may be at most k edits apart.
 
-    For every pair of starts, windows of each size from min_consecutive + max_edits + 1 on (cut at the ends of the sequences) are
-    compared by optimal string alignment in a band of max_edits around the diagonal. A pair of starts shares one
-    table for all its windows, all pairs of starts advance row by row together, and those whose band has risen over
-    max_edits drop out. A pair with edits whose main diagonal has exactly one run of equal tokens is no match.
+    Of the first `smallest` elements of a window all but k equal one of the other's that lies at most k places off its diagonal:
+    insertions cost none, deletions and replacements one each, and both elements of a swap have their equal one place beside. Only
+    equal cells are listed, and for each diagonal the rows that have one in its band are counted between two searches.
     """
-    m, n, k = len(a), len(b), max_edits
-    smallest = min_consecutive + k + 1
-    if m < smallest or n < smallest:
-        return []
-    i0, j0 = (x.ravel() for x in np.meshgrid(np.arange(m - smallest + 1), np.arange(n - smallest + 1), indexing="ij"))
+    m, n = len(a), len(b)
+    order = np.argsort(b, kind="stable")
+    low, high = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
+    upto = np.concatenate(([0], np.cumsum(high - low)))
+    stride, found, begin = m + smallest + 1, [], 0
+    while begin <= m - smallest:
+        end = min(m - smallest + 1, max(begin + 1, int(np.searchsorted(upto, upto[begin] + _SEEDS)) - smallest))
+        rows = np.arange(begin, end + smallest - 1)
+        count = (high - low)[rows]
+        p = np.repeat(rows, count)
+        q = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[rows], count)]
+        band = np.unique(((q - p + m + k)[:, None] + np.arange(-k, k + 1)).ravel() * stride + np.repeat(p, 2 * k + 1))
+        first = np.unique((band[:, None] - np.arange(k + 1)).ravel())
+        within = np.searchsorted(band, first + smallest) - np.searchsorted(band, first)
+        i, diagonal = first % stride, first // stride - m - k
+        ok = (within >= smallest - k) & (i >= begin) & (i < end) & (i + diagonal >= 0) & (i + diagonal <= n - smallest)
+        found.append(np.stack([i[ok], (i + diagonal)[ok]], axis=1))
+        begin = end
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+    return pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+
+
+def _relaxed_windows(a: np.ndarray, b: np.ndarray, starts: np.ndarray, smallest: int, k: int) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
+    """(numbers of starts, size in a, size in b, edits) of the windows at most k edits apart, the sizes of a start ascending.
+
+    Windows are compared by optimal string alignment in a band of k around the diagonal. A pair of starts shares one table for all
+    its windows, all pairs of starts advance row by row together, and those whose band has risen over k drop out. A
+    pair with edits whose main diagonal has exactly one run of equal tokens is no match.
+    """
+    m, n = len(a), len(b)
+    number, i0, j0 = np.arange(len(starts)), starts[:, 0], starts[:, 1]
     shift = np.arange(-k, k + 1)
     first = np.where(shift >= 0, shift, k + 1)
     history = [np.tile(first, (len(i0), 1))]  # the last rows; column d of row r is cell (r, r + shift[d])
-    sections, inside, found = np.zeros(len(i0), dtype=np.int64), np.zeros(len(i0), dtype=bool), []
+    sections, inside = np.zeros(len(i0), dtype=np.int64), np.zeros(len(i0), dtype=bool)
     r = 0
     while len(i0):
         r += 1
         goes_on = i0 + r <= m
-        i0, j0, sections, inside = i0[goes_on], j0[goes_on], sections[goes_on], inside[goes_on]
+        number, i0, j0, sections, inside = number[goes_on], i0[goes_on], j0[goes_on], sections[goes_on], inside[goes_on]
         history = [h[goes_on] for h in history[-(2 * k + 3) :]]
         if not len(i0):
             break
@@ -174,7 +289,7 @@ def relaxed_spans(a: np.ndarray, b: np.ndarray, min_consecutive: int = 3, max_ed
             ok &= (l2 == r) | ((l2 > r) & ends1) | ((l2 < r) & ends2)
             if not ok.any():
                 continue
-            edits = row[:, l2 - r + k].copy()
+            edits = row[:, l2 - r + k]
             for back in range(len(history) - 1):
                 q = r - back  # rows whose band is cut by l2
                 if q < 1 or q + k <= l2:
@@ -182,30 +297,88 @@ def relaxed_spans(a: np.ndarray, b: np.ndarray, min_consecutive: int = 3, max_ed
                 seen = (q + shift >= 1) & (q + shift <= l2)
                 ok &= np.where(seen[None, :], history[-1 - back], far).min(axis=1) <= k
             ok &= (edits <= k) & ~((sections == 1) & (edits > 0))
-            for t in np.flatnonzero(ok).tolist():
-                found.append((max(r, l2), int(edits[t]), int(i0[t]), int(i0[t]) + r, int(j0[t]), int(j0[t]) + l2))
+            if ok.any():
+                yield number[ok], r, l2, edits[ok]
         alive = np.where(exists, row, far).min(axis=1) <= k
-        i0, j0, sections, inside = i0[alive], j0[alive], sections[alive], inside[alive]
+        number, i0, j0, sections, inside = number[alive], i0[alive], j0[alive], sections[alive], inside[alive]
         history = [h[alive] for h in history]
+
+
+Span = tuple[int, int, int, int, int, int]
+
+
+def relaxed_spans(a: np.ndarray, b: np.ndarray, min_consecutive: int = 3, max_edits: int = 1) -> list[Span]:
+    """All pairs of spans (length, edits, start1, end1, start2, end2) at most max_edits apart, in order of window size and starts.
+
+    Windows of each size from min_consecutive + max_edits + 1 on are cut at the ends of the sequences.
+    """
+    smallest, found = min_consecutive + max_edits + 1, []
+    if min(len(a), len(b)) < smallest:
+        return []
+    starts = relaxed_starts(a, b, smallest, max_edits)
+    for number, r, l2, edits in _relaxed_windows(a, b, starts, smallest, max_edits):
+        for (i, j), e in zip(starts[number].tolist(), edits.tolist(), strict=True):
+            found.append((max(r, l2), e, i, i + r, j, j + l2))
     return sorted(found, key=lambda f: (f[0], f[2], f[4], f[3], f[5]))
 
 
-def uncontained(spans: list[tuple[int, int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+def relaxed_longest(a: np.ndarray, b: np.ndarray, min_consecutive: int = 3, max_edits: int = 1) -> list[Span]:
+    """The spans that no longer one with no more edits contains, longest first.
+
+    Windows of one pair of starts lie in each other, so of each only the longest for every number of edits is kept on the way, at most
+    max_edits + 1 of a pair of starts however long they are.
+    """
+    smallest, k = min_consecutive + max_edits + 1, max_edits
+    if min(len(a), len(b)) < smallest:
+        return []
+    starts = relaxed_starts(a, b, smallest, k)
+    sizes = np.zeros((len(starts), k + 1, 2), dtype=np.int64)
+    for number, r, l2, edits in _relaxed_windows(a, b, starts, smallest, k):
+        sizes[number, edits] = (r, l2)
+        for e in range(1, k + 1):
+            sizes[number[edits < e], e] = 0  # a longer one with fewer edits
+    at, edits = np.nonzero(sizes[:, :, 0])
+    (i, j), (r, l2) = starts[at].T, sizes[at, edits].T
+    rows = np.stack([np.maximum(r, l2), edits, i, i + r, j, j + l2], axis=1)
+    return uncontained(rows[np.lexsort((rows[:, 5], rows[:, 3], rows[:, 4], rows[:, 2], rows[:, 0]))])
+
+
+class Frontier:
+    """Spans met so far in order of their first starts (of one start: longest first), without those that another one makes needless."""
+
+    def __init__(self):
+        #: start2, -end1, -end2, edits, -length and order: a span covers another if it has no larger one of the first four and comes before it.
+        self.held, self.used = np.empty((64, 6), dtype=np.int64), 0
+
+    def admits(self, start1: int, end1: int, start2: int, end2: int, edits: int, length: int, order: int) -> bool:
+        """Whether no span before covers this one; it is then held."""
+        own = np.array([start2, -end1, -end2, edits, -length, order])
+        rows = self.held[: self.used]
+        before = (rows[:, 4] < -length) | ((rows[:, 4] == -length) & (rows[:, 5] < order))
+        if (before & (rows[:, :4] <= own[:4]).all(axis=1)).any():
+            return False
+        if self.used == len(self.held):
+            # Spans that ended before this start, or that this one covers and comes before, are of no more use.
+            kept = rows[(rows[:, 1] <= -start1) & (before | ~(rows[:, :4] >= own[:4]).all(axis=1))]
+            size = len(self.held) * (2 if 2 * len(kept) > len(self.held) else 1)
+            self.held, self.used = np.empty((size, 6), dtype=np.int64), len(kept)
+            self.held[: self.used] = kept
+        self.held[self.used] = own
+        self.used += 1
+        return True
+
+
+def uncontained(spans: list[Span] | np.ndarray) -> list[Span]:
     """Longest first, without those that one before them contains in both sequences with no more edits.
 
-    That relation is transitive, so it doesn't matter whether the one before was itself kept: all spans are compared with all
-    before them at once, a block of rows at a time.
+    That relation is transitive, so it doesn't matter whether the one before was itself kept. One sweep over the first starts.
     """
     rows = np.array(spans, dtype=np.int64).reshape(-1, 6)
     rows = rows[np.argsort(-rows[:, 0], kind="stable")]
-    # Containing means to be no larger in each of these and to stand before.
-    signed = rows[:, 1:] * np.array([1, 1, -1, 1, -1])
-    keep = np.ones(len(rows), dtype=bool)
-    for i in range(0, len(rows), 256):
-        block = signed[i : i + 256, None, :]
-        covers = (signed[None, : i + 256, :] <= block).all(axis=2)
-        before = np.arange(min(i + 256, len(rows)))[None, :] < (i + np.arange(len(block)))[:, None]
-        keep[i : i + 256] = ~(covers & before).any(axis=1)
+    keep, frontier = np.zeros(len(rows), dtype=bool), Frontier()
+    for at in np.argsort(rows[:, 2], kind="stable").tolist():
+        n, edits, s1, e1, s2, e2 = rows[at].tolist()
+        keep[at] = frontier.admits(s1, e1, s2, e2, edits, n, at)
     return [tuple(r) for r in rows[keep].tolist()]
 
 
@@ -368,13 +541,20 @@ def disjoint_matches_udf(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Ser
     )
 
 
-@F.pandas_udf(_rows("length edits start1 end1 start2 end2"))
-def relaxed_matches_udf(a: pd.Series, b: pd.Series, min_consecutive: pd.Series, max_edits: pd.Series) -> pd.Series:
+def _relaxed(a: pd.Series, b: pd.Series, min_consecutive: pd.Series, max_edits: pd.Series, find) -> pd.Series:
     names = ("length", "edits", "start1", "end1", "start2", "end2")
     rows = zip(_pairs(a, b), min_consecutive, max_edits, strict=True)
-    return pd.Series(
-        [[dict(zip(names, t, strict=True)) for t in uncontained(relaxed_spans(x, y, int(c), int(e)))] for (x, y), c, e in rows]
-    )
+    return pd.Series([[dict(zip(names, t, strict=True)) for t in find(x, y, int(c), int(e))] for (x, y), c, e in rows])
+
+
+@F.pandas_udf(_rows("length edits start1 end1 start2 end2"))
+def relaxed_spans_udf(a: pd.Series, b: pd.Series, min_consecutive: pd.Series, max_edits: pd.Series) -> pd.Series:
+    return _relaxed(a, b, min_consecutive, max_edits, relaxed_spans)
+
+
+@F.pandas_udf(_rows("length edits start1 end1 start2 end2"))
+def relaxed_matches_udf(a: pd.Series, b: pd.Series, min_consecutive: pd.Series, max_edits: pd.Series) -> pd.Series:
+    return _relaxed(a, b, min_consecutive, max_edits, relaxed_longest)
 
 
 @F.pandas_udf(_rows("tag start1 end1 start2 end2"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from echotrace.functions import kernels
 from echotrace.functions import sequences as S
+from echotrace.functions.kernels import Frontier
 
 
 def conversation_pairs(conversations: DataFrame) -> DataFrame:
@@ -82,6 +86,14 @@ def match_values(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b",
     return pairs.select(*keys, found.alias("values"))
 
 
+def relaxed_spans(
+    pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b", min_consecutive: int = 3, max_edits: int = 1
+) -> DataFrame:
+    """A row for every pair of windows with at most max_edits edits, also those inside longer ones."""
+    found = kernels.relaxed_spans_udf(F.col(a), F.col(b), F.lit(min_consecutive), F.lit(max_edits))
+    return pairs.select(*keys, F.explode(found).alias("m")).select(*keys, "m.*")
+
+
 def relaxed_matches(
     pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b", min_consecutive: int = 3, max_edits: int = 1
 ) -> DataFrame:
@@ -93,23 +105,31 @@ def relaxed_matches(
     return found.select(*keys, "m.*", part(a, 1).alias("tokens1"), part(b, 2).alias("tokens2"))
 
 
-def drop_contained(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
+def drop_contained(spans: DataFrame, keys: list[str], order: str, width: int = 4096) -> DataFrame:
     """Spans (length, edits, start1, end1, start2, end2) of each key that no span before them, by length and then `order`, contains with no more edits.
 
-    An anti join inside each key: containment with no more edits is transitive, so a span that was itself dropped drops nothing new.
+    Containment with no more edits is transitive, so a span that was itself dropped drops nothing new. A task sweeps spans in order
+    of start1 with the few of them that may still contain one to come. The first sequence is cut into segments of `width`
+    places, so a key with very many spans is dealt to many tasks; a span is judged where it starts and known wherever it reaches.
     """
-    s, t = spans.alias("s"), spans.alias("t")
-    before = (F.col("t.length") > F.col("s.length")) | (
-        (F.col("t.length") == F.col("s.length")) & (F.col(f"t.{order}") < F.col(f"s.{order}"))
-    )
-    inside = (F.col("s.start1") >= F.col("t.start1")) & (F.col("s.end1") <= F.col("t.end1")) & (F.col("s.start2") >= F.col("t.start2")) & (
-        F.col("s.end2") <= F.col("t.end2")
-    )
-    same = [F.col(f"s.{k}") == F.col(f"t.{k}") for k in keys]
-    condition = before & inside & (F.col("s.edits") >= F.col("t.edits"))
-    for c in same:
-        condition = c & condition
-    return s.join(t, condition, "left_anti")
+    names, place = spans.columns, lambda c: F.floor(c / width)
+    reach = F.sequence(place(F.col("start1")), place(F.greatest(F.col("end1") - 1, F.col("start1"))))
+    rows = spans.withColumn("_segment", F.explode(reach)).withColumn("_own", F.col("_segment") == place(F.col("start1")))
+    rows = rows.repartition(*keys, "_segment").sortWithinPartitions(*keys, "_segment", "start1", F.desc("length"), order)
+    numbers = ["start1", "end1", "start2", "end2", "edits", "length", order]
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, frontier = None, None
+        for batch in batches:
+            kept = []
+            columns = [batch.column(c).to_pylist() for c in (*keys, "_segment", "_own", *numbers)]
+            for row in zip(*columns, strict=True):
+                if row[: len(keys) + 1] != at:
+                    at, frontier = row[: len(keys) + 1], Frontier()
+                kept.append(frontier.admits(*row[len(keys) + 2 :]) and row[len(keys) + 1])
+            yield batch.filter(pa.array(kept, pa.bool_())).select(names)
+
+    return rows.mapInArrow(sweep, spans.schema)
 
 
 def rouge_and_ttr(pairs: DataFrame, keys: list[str], reference: str = "a", candidate: str = "b", suffix: int | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from echotrace.functions.kernels import correlation_p_udf
 from echotrace.functions.sequences import COMPARISONS, capitalised
-from echotrace.sources.shared import global_row_number, stored
+from echotrace.sources.shared import broadcast_if_small, stored
 
 DIMENSIONS = ["expr", "rep", "offset", "prefix", "suffix"]
 STATISTICS = {"mean": F.avg, "std": F.stddev_pop, "max": F.max}
@@ -46,23 +46,90 @@ def cells_with_metric(scores: DataFrame, dimensions: list[str], metric: str) ->
     return scores.join(cells, dimensions, "left_semi")
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
-    """Interpolated quantiles of the non-null values: a range sort, and the two rows around each rank come to the driver."""
-    numbered, n = global_row_number(
-        df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_v")), [F.col("_v")], "_at"
-    )
-    if not n:
-        return [None] * len(shares)
-    places = [share * (n - 1) for share in shares]
-    wanted = sorted({k for p in places for k in (int(p), min(int(p) + 1, n - 1))})
-    value = {r["_at"]: r["_v"] for r in numbered.where(F.col("_at").isin(wanted)).collect()}
-    return [value[int(p)] + (value[min(int(p) + 1, n - 1)] - value[int(p)]) * (p - int(p)) for p in places]
+#: Groups that one pass of a selection counts, about: ranks times parts of their interval. And the least and most parts.
+_COUNTS, _PARTS = 1 << 17, (16, 4096)
+_LARGEST = 1.7976931348623157e308
+
+
+def _matches(left: str, right: str, names: list[str]) -> Column:
+    """Equality of all names in two aliased tables, null equal to null."""
+    condition = F.lit(True)
+    for name in names:
+        condition = condition & F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}"))
+    return condition
+
+
+def _ranked_values(rows: DataFrame, cells: list[str], targets: DataFrame) -> DataFrame:
+    """The k-th smallest value v (k from 0) of each target (cells, k, lo, hi, before) as lo.
+
+    A target's value lies from lo to hi, and `before` rows of its cell lie below lo. Each pass cuts all intervals into equal parts,
+    counts the rows of each part, and goes on in the part that holds the k-th row, from its least to its greatest value; an
+    interval of one value is done. Only counts are shuffled, for all cells and ranks at once; no value is sorted.
+    """
+    names, targets = [*cells, "k"], stored(targets, "targets")
+    while n := targets.where("lo < hi").count():
+        parts = max(_PARTS[0], min(_PARTS[1], _COUNTS // n))
+        open_ = targets.where("lo < hi").withColumnRenamed("before", "_before")
+        inside = _matches("r", "t", cells) & F.col("v").between(F.col("lo"), F.col("hi"))
+        hits = rows.alias("r").join(broadcast_if_small(open_).alias("t"), inside)
+        # Halves, so that the width of no interval overflows; where halves are the same, the upper end is a part of its own.
+        width = F.col("hi") / 2 - F.col("lo") / 2
+        part = F.when(width > 0, F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / width * parts), F.lit(parts - 1))).otherwise(
+            (F.col("v") > F.col("lo")).cast("long")
+        )
+        counts = hits.groupBy(*(F.col(f"t.{c}").alias(c) for c in names), "_before", part.alias("_part")).agg(
+            F.count("*").alias("_n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+        )
+        upto = F.sum("_n").over(Window.partitionBy(*names).orderBy("_part"))  # at most `parts` rows
+        chosen = counts.withColumn("before", F.col("_before") + upto - F.col("_n")).where(
+            (F.col("before") <= F.col("k")) & (F.col("k") < F.col("before") + F.col("_n"))
+        )
+        targets = stored(targets.where("lo = hi").unionByName(chosen.select(*names, "lo", "hi", "before")), "targets")
+    return targets.select(*names, "lo")
+
+
+def cell_quantiles(df: DataFrame, keys: list[str], columns: list[str], shares: list[float]) -> DataFrame:
+    """keys, column, n and quantiles: exact, interpolated quantiles of the values of each column in each cell, in the order of shares.
+
+    Null and NaN are left out; infinite values count as the largest double. A cell or column without values has no row.
+    """
+
+    def value(c: str) -> Column:
+        x = F.col(c).cast("double")
+        return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.least(x, F.lit(_LARGEST)), F.lit(-_LARGEST)))
+
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), value(c).alias("v")) for c in columns)))
+    rows = stored(df.select(*keys, each.alias("_x")).select(*keys, "_x.*").where("v is not null"), "values")
+    cells = [*keys, "column"]
+    ends = rows.groupBy(*cells).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    place = lambda x: F.lit(float(x)) * (F.col("n") - 1)
+    wanted = [
+        F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), F.least(F.floor(place(x)) + side, F.col("n") - 1).alias("k"), (place(x) - F.floor(place(x))).alias("rest"))
+        for i, x in enumerate(shares)
+        for side in (0, 1)
+    ]
+    ranks = stored(ends.select(*cells, "n", "lo", "hi", F.explode(F.array(*wanted)).alias("_w")).select(*cells, "n", "lo", "hi", "_w.*"), "ranks")
+    found = _ranked_values(rows, cells, ranks.select(*cells, "k", "lo", "hi", F.lit(0).cast("long").alias("before")).distinct())
+    both = ranks.drop("lo", "hi").alias("r").join(found.alias("f"), _matches("r", "f", [*cells, "k"]))
+    both = both.select(*(F.col(f"r.{c}") for c in [*cells, "n", "i", "side", "rest"]), F.col("f.lo").alias("value"))
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("value")))
+    each = both.groupBy(*cells, "n", "i", "rest").agg((side(0) + (side(1) - side(0)) * F.col("rest")).alias("q"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"])
+    return each.groupBy(*cells, "n").agg(listed.alias("quantiles"))
+
+
+def exact_quantiles(df: DataFrame, columns: str | list[str], shares: list[float]) -> list[float | None] | dict[str, list[float | None]]:
+    """Interpolated quantiles of the non-null values of a column, or of each of several columns, worked out together."""
+    names = [columns] if isinstance(columns, str) else columns
+    found = {r["column"]: list(r["quantiles"]) for r in cell_quantiles(df, [], names, shares).collect()}  # a row for each column
+    found = {c: found.get(c, [None] * len(shares)) for c in names}
+    return found[columns] if isinstance(columns, str) else found
 
 
 def top_quantile_both(df: DataFrame, a: str, b: str, q: float = 0.1) -> DataFrame:
     """Rows at or above the exact, interpolated quantile 1 - q of both columns."""
-    low = [exact_quantiles(df, c, [1 - q])[0] for c in (a, b)]
-    return df.where((F.col(a) >= F.lit(low[0])) & (F.col(b) >= F.lit(low[1])))
+    low = exact_quantiles(df, [a, b], [1 - q])
+    return df.where((F.col(a) >= F.lit(low[a][0])) & (F.col(b) >= F.lit(low[b][0])))
 
 
 def winsorised(df: DataFrame, column: str, low: float, high: float, name: str) -> DataFrame:

@@ -394,6 +394,13 @@ def top_quantile_both(spark, sf_dir):
     return R.top_quantile_both(rows, "n_chars", "n", 0.1)
 
 
+@query(f"""WITH {SCORES_SQL}, q AS (SELECT expr, metric, count(score) AS n, quantile_cont(score, [0.1, 0.5, 0.9]) AS q FROM scores WHERE score IS NOT NULL GROUP BY ALL)
+    SELECT expr, metric, n, round(q[1], 6) AS low, round(q[2], 6) AS median, round(q[3], 6) AS high FROM q""")
+def score_quantiles(spark, sf_dir):
+    found = R.cell_quantiles(scores(spark, sf_dir), ["expr", "metric"], ["score"], [0.1, 0.5, 0.9])
+    return found.select("expr", "metric", "n", *(r6(F.get("quantiles", F.lit(i))).alias(c) for i, c in enumerate(("low", "median", "high"))))
+
+
 @query("WITH q AS (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM events) SELECT event_id, round(greatest(least(value, hi), lo), 6) AS clipped FROM events, q")
 def winsorise(spark, sf_dir):
     rows = R.winsorised(table(spark, sf_dir, "events").select("event_id", "value"), "value", 0.01, 0.99, "clipped")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from echotrace.plans import catalog, file_catalog  # noqa: F401
+from echotrace.plans import catalog, file_catalog, short_catalog  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
