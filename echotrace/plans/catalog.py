@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from echotrace.functions import sequences as S
 from echotrace.functions.tokenizers import chunked
+from echotrace.operators import corpus as X
 from echotrace.operators import curves as C
 from echotrace.operators import matching as M
 from echotrace.operators import prepare as P
@@ -183,6 +184,32 @@ def type_token_ratio(spark, sf_dir):
     return words(table(spark, sf_dir, "documents")).select("doc_id", r6(S.type_token_ratio(F.col("t"))).alias("ttr"))
 
 
+def _longest_sql(texts: str, key: str) -> str:
+    """Runs on the diagonals of equal pairs of neighbouring tokens, as islands; the longest of each text."""
+    return f"""WITH q AS ({texts}), d AS (SELECT doc_id, {TOK.format(t='text')} AS t FROM documents),
+        pq AS (SELECT {key}, i, t[i + 1] AS x, t[i + 2] AS y FROM (SELECT *, unnest(range(len(t) - 1)) AS i FROM q)),
+        pd AS (SELECT doc_id, j, t[j + 1] AS x, t[j + 2] AS y FROM (SELECT *, unnest(range(len(t) - 1)) AS j FROM d)),
+        hits AS (SELECT {key}, doc_id, i, j FROM pq JOIN pd USING (x, y)),
+        islands AS (SELECT *, i - row_number() OVER (PARTITION BY {key}, doc_id, i - j ORDER BY i) AS g FROM hits),
+        runs AS (SELECT {key}, doc_id, min(i) AS i, min(j) AS j, count(*) + 1 AS n FROM islands GROUP BY {key}, doc_id, i - j, g),
+        best AS (SELECT *, count(*) OVER (PARTITION BY {key}, n, i) AS occurrences FROM runs QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY n DESC, i, doc_id, j) = 1)
+        SELECT q.{key}, n AS length, i AS start1, i + n AS end1, doc_id, j AS start2, j + n AS end2, occurrences FROM q LEFT JOIN best USING ({key})"""
+
+
+@query(_longest_sql(f"SELECT item_id, {TOK.format(t='text')} AS t FROM benchmark", "item_id"))
+def longest_in_corpus(spark, sf_dir):
+    """The longest part of each benchmark item that stands in any document."""
+    items = words(table(spark, sf_dir, "benchmark")).select("item_id", "t")
+    return X.longest_in_corpus(items, "item_id", "t", words(table(spark, sf_dir, "documents")), "doc_id", "t")
+
+
+@query(_longest_sql(f"SELECT conv_id * 1000 + turn AS row_id, {TOK.format(t='text')} AS t FROM conversations", "row_id"))
+def longest_turns_in_corpus(spark, sf_dir):
+    """The same for each turn of the conversations."""
+    turns = words(table(spark, sf_dir, "conversations")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "t")
+    return X.longest_in_corpus(turns, "row_id", "t", words(table(spark, sf_dir, "documents")), "doc_id", "t")
+
+
 # Corpus preparation
 
 
