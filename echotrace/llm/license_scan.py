@@ -3,7 +3,9 @@
 A text is cut into sentences twice: at line breaks and after . ! ? ; before white space, for licence lines of their own,
 and at blank lines and after those signs and colons only, for sentences that are wrapped over lines. A sentence is normalised (lower case, runs of
 other characters than a-z and 0-9 to one space, line prefixes such as comment signs gone with them) and mapped to
-the identifier of a known licence sentence, or to none. The identifiers of a document, in order, form one string with a letter for
+the identifier of a known licence sentence, or to none. Sentences with variable parts are brought to one form first (SLOTS): the
+holder's name in the third BSD clause, which may itself hold full stops and so be cut, and subject, verb and the hint at a
+file around a licence's name ("This project is licensed under the MIT License - see the LICENSE file for details"). The identifiers of a document, in order, form one string with a letter for
 each known sentence and "." for any other. A rule is an ordered list of identifiers; it matches where they follow each
 other with at most its gap of other sentences, known or not, between. All of it is a projection of the document's own row: no
 shuffle, no join, and a document of any length is one string of one letter a sentence.
@@ -60,6 +62,37 @@ LINES = {
     "all-rights-reserved": ["All rights reserved."],
 }
 
+#: The names that one line gives a licence.
+NAMES = {
+    "Apache-2.0": ["Apache 2.0", "Apache 2", "Apache-2.0", "Apache License 2.0", "Apache License v2.0", "Apache License, Version 2.0", "Apache Software License 2.0"],
+    "MIT": ["MIT", "MIT/X11", "Expat"],
+    "BSD-3-Clause": ["BSD 3-Clause", "3-Clause BSD", "BSD-3-Clause", "BSD 3-Clause \"New\" or \"Revised\"", "New BSD", "Modified BSD", "Revised BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause", "2-Clause BSD", "BSD-2-Clause", "BSD 2-Clause \"Simplified\"", "Simplified BSD", "FreeBSD"],
+    "ISC": ["ISC"],
+    "MPL-2.0": ["MPL 2.0", "MPL-2.0", "MPLv2", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License Version 2.0"],
+    "EPL-2.0": ["EPL 2.0", "EPL-2.0", "Eclipse Public License 2.0", "Eclipse Public License v2.0"],
+    "Zlib": ["zlib", "zlib/libpng"],
+    "Unlicense": ["Unlicense"],
+    "CC0-1.0": ["CC0", "CC0 1.0", "CC0 1.0 Universal", "CC0-1.0"],
+    "CC-BY-4.0": ["CC-BY-4.0", "Creative Commons Attribution 4.0 International"],
+    "CC-BY-SA-4.0": ["CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"],
+    "CC-BY-NC-4.0": ["CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"],
+    **{
+        f"{short}-{version}": [
+            form.format(short=short, v=v, name=name)
+            for v in ([version, version[:-2]] if version.endswith(".0") else [version])
+            for form in ("{short} {v}", "{short}-{v}", "{short}v{v}", "{short} v{v}", "{short} version {v}", "GNU {short} v{v}", "GNU {short}v{v}", "GNU {name} v{v}", "GNU {name} version {v}", "GNU {name} {v}", "GNU {name}, version {v} or later")
+        ]
+        for short, name, version in (
+            ("GPL", "General Public License", "2.0"),
+            ("GPL", "General Public License", "3.0"),
+            ("LGPL", "Lesser General Public License", "2.1"),
+            ("LGPL", "Lesser General Public License", "3.0"),
+            ("AGPL", "Affero General Public License", "3.0"),
+        )
+    },
+}
+
 _MIT_GRANT = (
     'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software '
     "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
@@ -135,6 +168,25 @@ NOTICES = [
         for what, version in product(whats, versions)
     ),
 ]
+_ENDORSE = "may be used to endorse or promote products derived from this software without specific prior written permission"
+#: Forms that variable parts of a normalised sentence are brought to, one after another. Only what all three engines understand alike.
+SLOTS = [
+    # A holder's name with a full stop is cut, so what stands before "nor" may be any part of it, or nothing.
+    (
+        "^(?:[a-z0-9 ]{0,300} )?nor the names of (?:its |their |any |the |other |any other )?contributors may be used to endorse or promote products derived from this software without (?:specific )?prior written permission$",
+        f"nor the names of its contributors {_ENDORSE}",
+    ),
+    (
+        "^(?:the )?names? of .{1,200} may not be used to endorse or promote products derived from this software without (?:specific )?prior written permission$",
+        f"nor the names of its contributors {_ENDORSE}",
+    ),
+    ("^permission to use copy modify and distribute ", "permission to use copy modify and or distribute "),
+    (
+        "^(?:(?:this|the|our|all) (?:[a-z0-9]+ ){0,6}?(?:is|are) )?(?:open source )?(?:(?:dual )?licen[cs]ed |released |distributed |available |made available |published |provided |covered )?under (?:the )?(?:terms of (?:the )?)?(.{1,80}?)(?: licen[cs]e)?(?: (?:please )?see (?:the )?(?:file |accompanying )?licen[cs]e.{0,60})?$",
+        "under {1}",
+    ),
+    ("^(?:the |project )?licen[cs]e (?:is )?(?:the )?(.{1,80}?)(?: licen[cs]e)?$", "under {1}"),
+]
 #: A more specific licence, and those whose notice is part of its own.
 HIDES = {"BSD-3-Clause": ["BSD-2-Clause"]}
 
@@ -147,7 +199,10 @@ class Rule:
 
 
 def normalised(sentence: str) -> str:
-    return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
+    text = re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
+    for slot, form in SLOTS:
+        text = re.sub(slot, form.replace("{1}", "\\1"), text)
+    return text
 
 
 def parts_of(text: str, cut: str) -> tuple[str, ...]:
@@ -159,6 +214,7 @@ RULES = list(
     dict.fromkeys(
         [
             *(Rule(license, (normalised(line),)) for license, lines in LINES.items() for line in lines),
+            *(Rule(license, (normalised(f"Licensed under the {name}."),)) for license, names in NAMES.items() for name in names),
             *(Rule(license, parts_of(text, cut), gap) for license, gap, text in NOTICES for cut in (LINE_CUT, WRAPPED_CUT)),
         ]
     )
@@ -193,15 +249,22 @@ _RARE = (
 
 
 def _likely(sentences: list[str]) -> str:
-    """A pattern that any text with a known sentence matches: a rare word of each, or its longest."""
-    words = {next((w for w in _RARE if w in s.split()), max(s.split(), key=len)) for s in sentences}
+    """A pattern that any text with a known sentence matches: a rare word of each, or its longest; "under" stands for two forms."""
+    words = {next((w for w in _RARE if w in s.split()), max(s.split(), key=len)) for s in sentences if not s.startswith("under ")}
+    words |= {"under", "licen"} if any(s.startswith("under ") for s in sentences) else set()
     return "(?i)" + "|".join(sorted(w for w in words if not any(v != w and v in w for v in words)))
 
 
 def codes(text: Column, cut: str, sentences: list[str]) -> Column:
     """One letter for each sentence of the text."""
     known = F.create_map(*(F.lit(x) for i, s in enumerate(sentences) for x in (s, letter(i))))
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+
+    def plain(s: Column) -> Column:
+        text = F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+        for slot, form in SLOTS:
+            text = F.regexp_replace(text, slot, form.replace("{1}", "$1"))
+        return text
+
     one = lambda s: F.when(
         F.rlike(s, F.lit(_likely(sentences))), F.coalesce(F.element_at(known, plain(s)), F.lit("."))
     ).otherwise(F.lit("."))
@@ -248,7 +311,10 @@ def oracle() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     sentences = sentences_of(RULES)
     known = "MAP {" + ", ".join(f"{quoted(s)}: '{letter(i)}'" for i, s in enumerate(sentences)) + "}"
-    one = "coalesce(m[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))], '.')"
+    plain = "trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))"
+    for slot, form in SLOTS:
+        plain = f"regexp_replace({plain}, {quoted(slot)}, {quoted(form.replace('{1}', chr(92) + '1'))})"
+    one = f"coalesce(m[{plain}], '.')"
     patterns, hits = _patterns(RULES, sentences), []
     for name, p in patterns.items():
         rest = "c"

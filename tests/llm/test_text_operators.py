@@ -412,11 +412,59 @@ def test_standard_notices_by_their_cut_parts(spark):
     assert {r["doc_id"]: r["licenses"] for r in found} == {k: want for k, (_, _, want) in enumerate(rows)}
 
 
+_TWO = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+_ENDORSE = "may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        *((_TWO + f"3. Neither the name of {who} nor the names of {whose} contributors {_ENDORSE}\n\nTHIS SOFTWARE IS PROVIDED", ["BSD-3-Clause"]) for who, whose in (
+            ("the copyright holder", "its"), ("the University of California, Berkeley", "its"), ("Google Inc.", "its"), ("Foo Co., Ltd.", "its"), ("J. R. Smith", "any"), ("the <organization>", "its"), ("Müller & Söhne", "their"))),
+        (_TWO + f"3. The name of the author {_ENDORSE.replace('may be', 'may not be')}", ["BSD-3-Clause"]),
+        (_TWO + "3. Neither the name of Google Inc. nor the names of its contributors matter here.", ["BSD-2-Clause"]),
+        (_TWO, ["BSD-2-Clause"]),
+        ("License: MIT", ["MIT"]),
+        ("License: BSD 3-Clause", ["BSD-3-Clause"]),
+        ("## License\n\nThis project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details.", ["MIT"]),
+        ("This project is licensed under the MIT License - see the LICENSE file for details.", ["MIT"]),
+        ("# Distributed under the terms of the Modified BSD License.", ["BSD-3-Clause"]),
+        ("The code in this repository is released under the Apache 2.0 license.", ["Apache-2.0"]),
+        ("Distributed under GPLv3.", ["GPL-3.0"]),
+        ("This library is available under the terms of the GNU Lesser General Public License v2.1.", ["LGPL-2.1"]),
+        ("This work is licensed under the Creative Commons Attribution 4.0 International License.", ["CC-BY-4.0"]),
+        ("All files are licensed under the Mozilla Public License 2.0", ["MPL-2.0"]),
+        ("This project is not licensed under the MIT License.", []),
+        ("We talked about the MIT License - see the LICENSE file for details.", []),
+        ("This project is licensed under the MIT License of our neighbours and some more words.", []),
+        ("License: ask us", []),
+        ("He studied at MIT under a professor.", []),
+        ("the license mitigates it", []),
+    ],
+)
+def test_license_variants(spark, text, want):
+    import duckdb
+
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert license_scan.license_scan(df).first()["licenses"] == want == plain_licenses(text)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("INSERT INTO documents VALUES (1, ?)", [text])
+    assert con.sql(license_scan.oracle()).fetchall()[0][1] == want
+
+
+def with_slots(sentence):
+    for slot, form in license_scan.SLOTS:
+        if m := re.search(slot, sentence):
+            sentence = sentence[: m.start()] + form.replace("{1}", m[1] if m.re.groups else "") + sentence[m.end() :]
+    return sentence
+
+
 def plain_licenses(text):
     """Sentence identifiers and rules by loops: each rule's sentences in order, each with at most its gap of others before it."""
     found = set()
     for cut in (license_scan.LINE_CUT, license_scan.WRAPPED_CUT):
-        ids = [" ".join(re.findall("[a-z0-9]+", p.lower())) for p in re.split(cut, text)]
+        ids = [with_slots(" ".join(re.findall("[a-z0-9]+", p.lower()))) for p in re.split(cut, text)]
 
         def ends(at, sentences, gap, ids=ids):
             """Where a match of the rule that begins at `at` may end; the first gap that leads to an end wins, longest first."""
