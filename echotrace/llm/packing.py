@@ -5,7 +5,7 @@ position of the quantised point on a Hilbert curve is the document's key. Docume
 so a range of the curve is a partition and neighbours on the curve share sequences. Each partition is encoded and cut
 into sequences of LENGTH ids as one stream: all but its last sequence are full, so less than one sequence
 for each partition is padding.
-The ranges hold about equal bytes: their borders are quantiles of SAMPLE documents (a hash of the row chooses them), which decides
+The ranges hold about equal bytes: their borders are quantiles of a sample (a hash of the row chooses it) that grows with the ranges, which decides
 where one stream ends and the next begins and nothing else. Keys and ids are made once, ids after the sort; only texts and keys are
 shuffled. The tie is a hash of the id and the row, which spreads documents with one key, such as copies of one text, over partitions.
 
@@ -23,16 +23,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from echotrace.llm._common import stored
 from echotrace.llm._text_vectors import WIDTH, unit_vector
 from echotrace.llm._tokens import encoder, slices
 
 LENGTH, END, DIMENSIONS, BITS = 1024, 0, 4, 15
-#: Documents that the borders of ranges are taken from, and bytes of text in a range: RANGE_BYTES until there are MANY ranges, then up to MOST_BYTES.
-SAMPLE, RANGE_BYTES, MANY, MOST_BYTES = 20_000, 8 << 20, 4096, 128 << 20
+#: Documents that the borders of ranges are taken from, at least and for each range; bytes of text in a range: RANGE_BYTES until there are MANY ranges, then up to MOST_BYTES.
+SAMPLE, PER_RANGE, RANGE_BYTES, MANY, MOST_BYTES = 20_000, 20, 8 << 20, 4096, 128 << 20
 
 
 def projection(dimensions: int = DIMENSIONS, width: int = WIDTH) -> np.ndarray:
@@ -103,21 +104,36 @@ def range_of(keys: np.ndarray, ties: np.ndarray, border_keys: np.ndarray, border
 
 
 def borders(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and ties at which ranges of about equal bytes begin, but for the first. rows: doc_id, text, tie."""
-    n = rows.count()
-    share = min(1.0, sample / max(1, n))
+    """Keys and ties at which ranges of about equal bytes begin, but for the first. rows: doc_id, text, tie.
+
+    PER_RANGE documents for each range are drawn, `sample` at least, so ranges grow no larger with the input. The drawn rows are
+    sorted by range and their bytes added up, part by part; only borders and a sum for each part come to the driver.
+    """
+    n, total = rows.agg(F.count("*"), F.sum(F.octet_length("text") + F.lit(1.0))).first()
+    if not n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    ranges = int(max(1, min(total // RANGE_BYTES + 1, MANY), total // MOST_BYTES))
+    share = min(1.0, max(sample, PER_RANGE * ranges) / n)
     grid = 1 << 40
     chosen = rows if share == 1 else rows.where(F.pmod(F.xxhash64("tie"), F.lit(grid)) < int(grid * share))
-    found = chosen.select(
-        _key("text").alias("key"), "tie", F.octet_length("text").alias("size")
-    ).toPandas()  # about `sample` rows of numbers
+    keyed = chosen.select(_key("text").alias("key"), "tie", (F.octet_length("text") + F.lit(1.0)).alias("size"))
+    ranged = keyed.repartitionByRange("key", "tie").withColumn("part", F.spark_partition_id())
+    ranged = stored(ranged, "sample")
+    parts = sorted(tuple(r) for r in ranged.groupBy("part").agg(F.sum("size")).collect())  # a row for each partition
+    firsts, drawn = [], 0.0
+    for part, size in parts:
+        firsts.append((part, drawn))
+        drawn += size
+    first = rows.sparkSession.createDataFrame(firsts, "part int, first double")
+    upto = F.sum("size").over(Window.partitionBy("part").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("upto", upto).join(F.broadcast(first), "part").withColumn("upto", F.col("first") + F.col("upto"))
+    # A border is the row with which the sum reaches the next multiple of an equal share.
+    step = drawn / ranges
+    multiple = lambda x: F.least(F.floor(x / step), F.lit(ranges - 1))
+    before = F.col("upto") - F.col("size")
+    found = placed.where((multiple(F.col("upto")) > multiple(before)) & (before > 0)).select("key", "tie").toPandas()  # at most a row for each range
     found = found.sort_values(["key", "tie"], ignore_index=True)
-    size = found["size"].to_numpy() + 1.0
-    total = size.sum() / share
-    ranges = int(max(1, min(total // RANGE_BYTES + 1, MANY), total // MOST_BYTES))
-    at = np.unique(np.searchsorted(np.cumsum(size), np.arange(1, ranges) * (size.sum() / ranges)))
-    at = at[(at > 0) & (at < len(size))]
-    return found["key"].to_numpy()[at], found["tie"].to_numpy()[at]
+    return found["key"].to_numpy(dtype=np.int64), found["tie"].to_numpy(dtype=np.int64)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
