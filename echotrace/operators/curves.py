@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -68,6 +68,17 @@ def replication_totals(spark: SparkSession, repetitions: list[int], bucket: int
     )
 
 
+def replicated_share(df: DataFrame, position: str, tokens: Column, repetitions: list[int], bucket: int) -> DataFrame:
+    """sequences and tokens of the replicas of a corpus's buckets, tokens of the whole corpus, and the replicas' share of both together.
+
+    Row `position` lies in bucket position // bucket, which is repeated repetitions[that] times; one aggregate, nothing is replicated for it.
+    """
+    counts = F.array(*(F.lit(r).cast("long") for r in repetitions))
+    rep = F.coalesce(F.get(counts, F.floor(F.col(position) / bucket).cast("int")), F.lit(0))
+    sums = df.agg(F.sum(rep).alias("sequences"), F.sum(rep * tokens).alias("tokens"), F.sum(tokens.cast("long")).alias("corpus_tokens"))
+    return sums.withColumn("share", F.col("tokens") / (F.col("tokens") + F.col("corpus_tokens")))
+
+
 def summary_lines(statistics: DataFrame, labels: list[str], mean: str = "mean", std: str = "std") -> DataFrame:
     """line: the labels and mean ± std of each row."""
     parts = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in labels]

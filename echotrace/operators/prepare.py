@@ -171,6 +171,33 @@ def gate_up_mapping(spark: SparkSession, rows: int) -> DataFrame:
     )
 
 
+def split_fused(matrix: DataFrame, row: str, heads_per_group: int) -> DataFrame:
+    """Rows of a fused matrix (a group's query heads, its key head, its value head, in units of one head) as rows of q, k and v: part and part_row are added.
+
+    A projection of each row, so a matrix of any size is laid out anew where its rows lie.
+    """
+    size = heads_per_group + 2
+    group, inside = F.floor(F.col(row) / size), F.col(row) % size
+    part = F.when(inside < heads_per_group, "q").when(inside == heads_per_group, "k").otherwise("v")
+    at = F.when(inside < heads_per_group, group * heads_per_group + inside).otherwise(group)
+    return matrix.withColumns({"part": part, "part_row": at.cast("long")})
+
+
+def fuse(parts: DataFrame, row: str, heads_per_group: int) -> DataFrame:
+    """The other way round: the row of the fused matrix from part and part_row."""
+    size, at = heads_per_group + 2, F.col("part_row")
+    head = F.when(F.col("part") == "q", F.floor(at / heads_per_group) * size + at % heads_per_group)
+    return parts.withColumn(row, head.when(F.col("part") == "k", at * size + heads_per_group).otherwise(at * size + heads_per_group + 1).cast("long"))
+
+
+def split_gate_up(matrix: DataFrame, row: str, rows: int) -> DataFrame:
+    """Rows of a fused matrix of `rows` rows, gate in its first half, as rows of gate and up: part and part_row are added."""
+    if rows % 2:
+        raise ValueError("a fused matrix has an even number of rows")
+    first = F.col(row) < rows // 2
+    return matrix.withColumns({"part": F.when(first, "gate").otherwise("up"), "part_row": F.when(first, F.col(row)).otherwise(F.col(row) - rows // 2)})
+
+
 def parameter_grid(spark: SparkSession, **dimensions: list) -> DataFrame:
     """All combinations of short lists of parameters."""
     grid = spark.range(1).select()

@@ -308,14 +308,21 @@ def mixture_weights(spark, sf_dir):
     return P.mixture_weights(table(spark, sf_dir, "documents"), "lang", F.col("n_chars")).withColumn("weight", r6(F.col("weight")))
 
 
-@query("SELECT step, step * 60 AS consumed, step / 75 AS epoch FROM (SELECT unnest(range(300, 5626, 300)) AS step UNION SELECT 5625)")
+@query("""WITH n AS (SELECT CAST(ceil(count(*) / 6.0) AS BIGINT) AS per_epoch FROM documents)
+    SELECT step, step * 6 AS consumed, step / per_epoch AS epoch FROM n, (SELECT x AS step FROM range(50, (SELECT 3 * per_epoch + 1 FROM n), 50) r(x) UNION SELECT 3 * per_epoch FROM n)""")
 def checkpoint_schedule(spark, sf_dir):
-    return P.checkpoint_schedule(spark, 75, 75, 300, 60).withColumn("epoch", F.col("step") / 75)
+    """Three epochs over the documents in batches of six, a checkpoint every fifty steps."""
+    per_epoch = -(-table(spark, sf_dir, "documents").count() // 6)
+    return P.checkpoint_schedule(spark, per_epoch, 3, 50, 6).withColumn("epoch", F.col("step") / per_epoch)
 
 
-@query("""SELECT CASE WHEN i % 6 < 4 THEN 'q' WHEN i % 6 = 4 THEN 'k' ELSE 'v' END AS part, CASE WHEN i % 6 < 4 THEN i // 6 * 4 + i % 6 ELSE i // 6 END AS "row", i AS fused_row FROM range(48) r(i)""")
+@query("""SELECT vec_id AS fused_row, CASE WHEN vec_id % 5 < 3 THEN 'q' WHEN vec_id % 5 = 3 THEN 'k' ELSE 'v' END AS part,
+    CASE WHEN vec_id % 5 < 3 THEN vec_id // 5 * 3 + vec_id % 5 ELSE vec_id // 5 END AS "row", round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings""")
 def fused_row_mapping(spark, sf_dir):
-    return P.fused_row_mapping(spark, 8, 4)
+    """The embeddings as a fused matrix, three query heads to a group, laid out as q, k and v."""
+    found = P.split_fused(table(spark, sf_dir, "embeddings"), "vec_id", 3)
+    total = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double"))
+    return found.select(F.col("vec_id").alias("fused_row"), "part", F.col("part_row").alias("row"), F.round(total, 4).alias("total"))
 
 
 @query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS at, count(*) OVER () AS n FROM documents WHERE lang = 'en'), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS at, count(*) OVER () AS n FROM documents WHERE lang <> 'en'),
@@ -331,9 +338,14 @@ def mixed_sources(spark, sf_dir):
     ).select("source", "sample", "doc_id")
 
 
-@query("""SELECT CASE WHEN i < 12 THEN 'gate' ELSE 'up' END AS part, i % 12 AS "row", i AS fused_row FROM range(24) r(i)""")
+@query("""SELECT part, "row", round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM (
+    SELECT embedding, CASE WHEN 2 * vec_id < n THEN 'gate' ELSE 'up' END AS part, CASE WHEN 2 * vec_id < n THEN vec_id ELSE vec_id - n // 2 END AS "row" FROM embeddings, (SELECT count(*) AS n FROM embeddings))""")
 def gate_up_rows(spark, sf_dir):
-    return P.gate_up_mapping(spark, 24)
+    """The embeddings as a fused matrix, laid out as gate and up."""
+    matrix = table(spark, sf_dir, "embeddings")
+    found = P.split_gate_up(matrix, "vec_id", matrix.count())
+    total = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double"))
+    return found.select("part", F.col("part_row").alias("row"), F.round(total, 4).alias("total"))
 
 
 @query()
@@ -513,9 +525,12 @@ def split_curves(spark, sf_dir):
     return C.split_curves(pairs(spark, sf_dir), "role", "turn", "conv_id").withColumn("avg_length", r6(F.col("avg_length")))
 
 
-@query("SELECT 1984000 AS sequences, CAST(1984000 AS BIGINT) * 8192 AS tokens, CAST(1984000 AS BIGINT) * 8192 + 81816372499 AS total_tokens, round((1984000.0 * 8192) / (1984000.0 * 8192 + 81816372499), 6) AS share")
+@query(f"""WITH d AS (SELECT doc_id, len({TOK.format(t='text')}) AS n FROM documents),
+        r AS (SELECT n, CASE WHEN doc_id // 50 < {len(BUCKETS)} THEN {BUCKETS}[doc_id // 50 + 1] ELSE 0 END AS rep FROM d)
+    SELECT CAST(sum(rep) AS BIGINT) AS sequences, CAST(sum(rep * n) AS BIGINT) AS tokens, CAST(sum(n) AS BIGINT) AS corpus_tokens, round(sum(rep * n) / (sum(rep * n) + sum(n)), 6) AS share FROM r""")
 def replication_totals(spark, sf_dir):
-    return C.replication_totals(spark, P.REPETITIONS, corpus=81_816_372_499).withColumn("share", r6(F.col("share")))
+    docs = words(table(spark, sf_dir, "documents"))
+    return C.replicated_share(docs, "doc_id", F.size("t"), BUCKETS, 50).withColumn("share", r6(F.col("share")))
 
 
 @query(f"WITH {SCORES_SQL} SELECT 'expr=' || expr || ' rep=' || rep || ' metric=' || metric || ' ' || printf('%.4f ± %.4f', avg(score), stddev_pop(score)) AS line FROM scores WHERE metric = 'ttr' GROUP BY expr, rep, metric")

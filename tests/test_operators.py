@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from echotrace.functions import sequences as S
 from echotrace.functions import tokenizers
-from echotrace.operators import generate, matching, prepare, results, validate
+from echotrace.operators import curves, generate, matching, prepare, results, validate
 from echotrace.plans import pipelines
 from echotrace.sources import binary, inference, shared, sinks
 
@@ -274,3 +274,17 @@ def test_scratch_takes_its_tables_away(spark):
         shared.stored(spark.range(3), "inside")
         assert len(set(glob.glob(f"{shared.shared_dir(spark)}/echotrace-*")) - before) == 1
     assert set(glob.glob(f"{shared.shared_dir(spark)}/echotrace-*")) == before
+
+
+def test_matrix_layouts_and_replicated_share(spark):
+    matrix = spark.range(30).select(F.col("id").alias("row"), (F.col("id") * 2).alias("weight"))
+    parts = prepare.split_fused(matrix, "row", 3)
+    order = [(r["part"], r["part_row"]) for r in parts.orderBy("row").collect()]
+    assert order[:5] == [("q", 0), ("q", 1), ("q", 2), ("k", 0), ("v", 0)] and order[-1] == ("v", 5)
+    assert sorted(map(tuple, prepare.fuse(parts.drop("row"), "row", 3).select("row", "weight").collect())) == [(i, 2 * i) for i in range(30)]
+    halves = prepare.split_gate_up(matrix, "row", 30).orderBy("row").collect()
+    assert [(r["part"], r["part_row"]) for r in halves] == [("gate", i) for i in range(15)] + [("up", i) for i in range(15)]
+    with pytest.raises(ValueError):
+        prepare.split_gate_up(matrix, "row", 29)
+    share = curves.replicated_share(matrix, "row", F.lit(2), [3, 5], 10).first()
+    assert tuple(share) == (80, 160, 60, 160 / 220)
