@@ -6,7 +6,6 @@ minimum.
 
 from __future__ import annotations
 
-import difflib
 import heapq
 import math
 from collections.abc import Iterator
@@ -434,8 +433,72 @@ def longest_common_substrings(reference, predicted):
     return [longest_common_substrings(x, y) for x, y in zip(reference, predicted, strict=True)]
 
 
+def _diagonal_runs(a: np.ndarray, b: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """Rows (start in a, start in b, length) of runs of equal elements that are allowed in b; only equal cells are listed."""
+    at = np.flatnonzero(allowed)
+    order = at[np.argsort(b[at], kind="stable")]
+    low, high = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
+    count = high - low
+    i = np.repeat(np.arange(len(a)), count)
+    j = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+    by = np.lexsort((i, i - j))
+    i, j = i[by], j[by]
+    begins = np.ones(len(i), dtype=bool)
+    begins[1:] = (np.diff(i) != 1) | (np.diff(j) != 1)
+    first = np.flatnonzero(begins)
+    return np.stack([i[first], j[first], np.diff(np.append(first, len(i)))], axis=1)
+
+
+def matching_blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start in a, start in b, length) of a diff's equal parts: the longest common run, the first one of several, then the same to its left and right.
+
+    Of 200 elements or more, those that are over one in a hundred of b are no part of the search; a run found grows by them afterwards.
+    """
+    allowed = np.ones(len(b), dtype=bool)
+    if len(b) >= 200:
+        _, inverse, count = np.unique(b, return_inverse=True, return_counts=True)
+        allowed = count[inverse] <= len(b) // 100 + 1
+    found, parts = [], [(0, len(a), 0, len(b), _diagonal_runs(a, b, allowed))]
+    while parts:
+        alo, ahi, blo, bhi, runs = parts.pop()
+        # The runs as far as they lie in this part of the table.
+        ahead = np.maximum(0, np.maximum(alo - runs[:, 0], blo - runs[:, 1]))
+        i, j = runs[:, 0] + ahead, runs[:, 1] + ahead
+        n = np.minimum(runs[:, 2] - ahead, np.minimum(ahi - i, bhi - j))
+        inside = n > 0
+        runs = np.stack([i[inside], j[inside], n[inside]], axis=1)
+        # Without a run the part's beginning may still be equal, in elements that aren't searched for.
+        x, y, size = runs[np.lexsort((runs[:, 1], runs[:, 0], -runs[:, 2]))[0]].tolist() if len(runs) else (alo, blo, 0)
+        begin, end = (x, y), (x + size, y + size)
+        while begin[0] > alo and begin[1] > blo and a[begin[0] - 1] == b[begin[1] - 1]:
+            begin = (begin[0] - 1, begin[1] - 1)
+        while end[0] < ahi and end[1] < bhi and a[end[0]] == b[end[1]]:
+            end = (end[0] + 1, end[1] + 1)
+        if end == begin:
+            continue
+        found.append((*begin, end[0] - begin[0]))
+        parts += [(alo, begin[0], blo, begin[1], runs), (end[0], ahi, end[1], bhi, runs)]
+    return sorted(found)
+
+
 def opcodes(a: list, b: list) -> list[tuple[str, int, int, int, int]]:
-    return difflib.SequenceMatcher(None, a, b).get_opcodes()
+    """The steps (equal, replace, delete, insert; spans of a and b) that make b of a. Parts that follow each other without a gap are one."""
+    x, y = codes(a, b)
+    joined: list[list[int]] = []
+    for i, j, n in matching_blocks(x, y):
+        if joined and joined[-1][0] + joined[-1][2] == i and joined[-1][1] + joined[-1][2] == j:
+            joined[-1][2] += n
+        else:
+            joined.append([i, j, n])
+    steps, at = [], (0, 0)
+    for i, j, n in [*joined, [len(x), len(y), 0]]:
+        if (i, j) != at:
+            tag = "replace" if i > at[0] and j > at[1] else "delete" if i > at[0] else "insert"
+            steps.append((tag, at[0], i, at[1], j))
+        if n:
+            steps.append(("equal", i, i + n, j, j + n))
+        at = (i + n, j + n)
+    return steps
 
 
 def beta_share(a: float, b: float, x: float) -> float:
