@@ -418,6 +418,27 @@ def report_pages(spark, sf_dir):
     return reports.select(*PAIR, "name", r6(F.col("rouge_l")).alias("rouge_l")).join(pages, "name")
 
 
+@query(f"""WITH RECURSIVE {PAIRS_SQL},
+    walk AS (SELECT conv_id, turn, role, 0 AS i, unnest(range(len(b) + 1)) AS j, 0 AS v, a, b FROM p
+        UNION ALL
+        SELECT conv_id, turn, role, i + 1, j, max(c) OVER (PARTITION BY conv_id, turn ORDER BY j), a, b FROM (
+            SELECT *, CASE WHEN j > 0 AND b[j] = a[i + 1] THEN greatest(v, 1 + lag(v) OVER (PARTITION BY conv_id, turn ORDER BY j)) ELSE v END AS c FROM walk WHERE i < len(a)))
+    SELECT role || '_generation_rep' || turn || '_seq' || conv_id || '_offset0_20200102_030405.html' AS name, format('{{:.4f}}', floor(CASE WHEN v > 0 THEN CAST(2 AS DOUBLE) * v / (len(a) + len(b)) ELSE 0 END * 10000 + 0.5) / 10000) AS rouge_l,
+        2 * v AS shared, 2 AS views FROM walk WHERE i = len(a) AND j = len(b)""")
+def report_marks(spark, sf_dir):
+    """Reports of all pairs, written and read back: name, score, tokens marked as shared on both sides, and views in each page."""
+    p = pairs(spark, sf_dir)
+    at = F.make_timestamp(*(F.lit(x) for x in (2020, 1, 2, 3, 4, 5)))
+    reports = sinks.generation_report(p, [*PAIR, "role"]).withColumn("name", sinks.report_names(F.col("role"), F.col("turn"), F.col("conv_id"), F.lit(0), at))
+    folder = new_path(spark, "reports")
+    sinks.write_reports(reports, folder)
+    pages = spark.read.text(folder, wholetext=True).withColumn("name", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1))
+    count = lambda part: F.size(F.split("value", part)) - 1
+    return pages.select(
+        "name", F.regexp_extract("value", "Rouge-L: ([0-9.]+)", 1).alias("rouge_l"), count('<span class="shared">').alias("shared"), count('<div class="pair">').alias("views")
+    )
+
+
 @query("SELECT vec_id % 7 AS label, count(*) AS count FROM embeddings GROUP BY 1")
 def label_counts(spark, sf_dir):
     return R.value_counts(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 7, "label")
