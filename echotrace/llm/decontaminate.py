@@ -5,8 +5,12 @@ texts are searched for shingles of that size too). For an item of W words a wind
 whole document if it is shorter). Steps:
 1. Sieve: documents that hold no shingle of any item can't be similar to one and are left out. Each shingle of a document is looked
    up in the items' shingles, which are broadcast if few and shuffled otherwise. Nothing but keys of documents leaves this step.
-2. Windows: a shingle at p of the document and at q of an item puts a window of the item's size at p - q. With matches of several such
-   shifts the overlap of a window changes evenly between two of them, so the best window is among these.
+2. Windows: a hit is a place p of a document where a shingle of the item stands. A window that begins elsewhere can be moved on to its first
+   hit (or to the document's end) and loses none; one whose first hit follows another hit can be moved back by one and wins that one
+   for at most one at its end, unless the shingle won stands in the window already. So a best window begins at a hit p
+   whose place before is no hit, or whose shingle before stands again within the window's size; with the latter, texts of few
+   words that repeat are whole as well. These windows are looked at, which are a few for each copy of an item, and no other
+   window is more similar.
 3. Multi-index Hamming blocks: windows and items have 64-bit SimHash fingerprints over shingles weighted by their counts,
    cut into BLOCKS bytes. Fingerprints at most RADIUS bits apart are at most RADIUS div BLOCKS apart in some block;
    items are indexed under all such values of each block, and a window looks up its own blocks among the entries of the items that
@@ -35,7 +39,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echotrace.llm._common import broadcast_if_small, stored, text_or_empty
@@ -179,8 +183,13 @@ def _leaks_of(texts: DataFrame, bench: DataFrame, k: int, similarity: float, rad
     held = stored(held, "held")
 
     # 2. Windows, with the items that put them there.
-    spots = held.select("key", F.size("w").alias("n"), F.posexplode("h").alias("p", "h")).join(broadcast_if_small(marks), "h")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("size")))
+    hits = held.select("key", F.size("w").alias("n"), F.posexplode("h").alias("p", "h")).join(broadcast_if_small(marks.drop("q").distinct()), "h")
+    same, along = Window.partitionBy("key", "item", "h").orderBy("p"), Window.partitionBy("key", "item").orderBy("p")
+    near = lambda other: F.coalesce(F.abs(other - F.col("p")) < F.col("size"), F.lit(False))
+    hits = hits.withColumn("again", near(F.lag("p").over(same)) | near(F.lead("p").over(same)))
+    goes_on = (F.lag("p").over(along) == F.col("p") - 1) & ~F.lag("again").over(along)
+    spots = hits.withColumn("on", F.coalesce(goes_on, F.lit(False))).where("NOT on")
+    start = F.greatest(F.lit(0), F.least(F.col("p"), F.col("n") - F.col("size")))
     windows = spots.groupBy("key", "size", start.alias("start")).agg(F.collect_set("item").alias("items"))
     # 3. Fingerprints within the radius.
     part = lambda x: F.slice("h", x["start"] + 1, F.greatest(F.lit(1), x["size"] - k + 1))
@@ -209,17 +218,20 @@ def _leaks_of(texts: DataFrame, bench: DataFrame, k: int, similarity: float, rad
 
 
 def oracle() -> str:
-    """All aligned windows in SQL for DuckDB, without fingerprints; items of fewer words than a shingle aren't in the tables."""
+    """All windows that hold a hit in SQL for DuckDB, without fingerprints; items of fewer words than a shingle aren't in the tables."""
     cut = lambda t: f"list_filter(string_split(regexp_replace(lower(coalesce({t}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
     grams = lambda w: f"list_transform(range(len({w}) - {SHINGLE - 1}), lambda i: array_to_string({w}[i + 1:i + {SHINGLE}], ' '))"
     return f"""
         WITH d AS (SELECT doc_id, w, {grams('w')} AS g FROM (SELECT doc_id, {cut('text')} AS w FROM documents) WHERE len(w) >= {SHINGLE}),
         b AS (SELECT item_id, w, {grams('w')} AS g FROM (SELECT item_id, {cut('text')} AS w FROM benchmark) WHERE len(w) >= {SHINGLE}),
         ds AS (SELECT doc_id, len(w) AS n, unnest(g) AS s, generate_subscripts(g, 1) - 1 AS p FROM d),
-        bs AS (SELECT item_id, len(w) AS size, unnest(g) AS s, generate_subscripts(g, 1) - 1 AS q FROM b),
-        win AS (SELECT DISTINCT doc_id, item_id, size, greatest(0, least(p - q, n - size)) AS start FROM ds JOIN bs USING (s)),
-        parts AS (SELECT doc_id, item_id, start, least(size, len(d.w)) AS n_words, d.g[start + 1:start + least(size, len(d.w)) - {SHINGLE - 1}] AS x, b.g AS y
-                  FROM win JOIN d USING (doc_id) JOIN b USING (item_id)),
+        bs AS (SELECT DISTINCT item_id, len(w) AS size, unnest(g) AS s FROM b),
+        hits AS (SELECT DISTINCT doc_id, item_id, n, size, p FROM ds JOIN bs USING (s)),
+        win AS (SELECT doc_id, item_id, n, size, start, min(p) AS first FROM (
+                SELECT *, unnest(range(greatest(0, least(p - size + {SHINGLE}, n - size)), greatest(0, least(p, n - size)) + 1)) AS start FROM hits)
+            WHERE p >= start GROUP BY ALL),
+        parts AS (SELECT doc_id, item_id, greatest(0, least(first, n - size)) AS start, least(size, len(d.w)) AS n_words,
+                  d.g[win.start + 1:win.start + least(size, len(d.w)) - {SHINGLE - 1}] AS x, b.g AS y FROM win JOIN d USING (doc_id) JOIN b USING (item_id)),
         inter AS (SELECT doc_id, item_id, start, n_words, len(x) + len(y) AS both_sizes,
                   list_sum(list_transform(list_distinct(y), lambda v: least(len(list_filter(x, lambda z: z = v)), len(list_filter(y, lambda z: z = v))))) AS i FROM parts),
         scored AS (SELECT doc_id, item_id, start, n_words, CAST(i AS DOUBLE) / (both_sizes - i) AS similarity FROM inter)
