@@ -44,8 +44,10 @@ from echotrace.llm._tokens import encoder, slices
 
 END, BUCKET_KEYS, GAMMA = 2, 20_000, 1.5
 SHARD_BYTES = 64 << 20
-#: Shard numbers of a partition: its number times this, and on.
-_FILES = 1 << 12
+#: Shard numbers of a partition: its number times this, and on. Numbers have 32 bits: 65,536 partitions of 4 TB.
+_FILES = 1 << 16
+#: Numbers of one id that are made from one row at a time.
+_NUMBERS = 1 << 16
 _ENTRY = np.dtype([("mark", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n", "<u4"), ("start", "<u8")])
 _MAGIC, _LEVELS = b"ETMPH2\0\0", 64
 #: Magic, number of levels, number of keys, words of each level.
@@ -445,7 +447,11 @@ def read_documents(keys: DataFrame, path: str, with_ids: bool = False, strict: b
 def all_keys(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The keys (doc_id, number) of all rows of docs."""
     counts = docs.select(F.col(id_col).cast("long").alias("doc_id")).groupBy("doc_id").count()
-    return counts.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("number"))
+    # An id may stand on very many rows, so no array holds all its numbers.
+    zero, last = F.lit(0).cast("long"), F.col("count") - 1
+    blocks = counts.withColumn("block", F.explode(F.sequence(zero, F.floor(last / _NUMBERS))))
+    upto = F.least(last, F.col("block") * _NUMBERS + (_NUMBERS - 1))
+    return blocks.select("doc_id", F.explode(F.sequence(F.col("block") * _NUMBERS, upto)).alias("number"))
 
 
 def store_digest(

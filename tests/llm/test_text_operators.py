@@ -735,3 +735,11 @@ def test_benchmark_stage_drops_what_holds_an_item(spark, edge_docs):
     rows = [(1, f"before it {item} after it"), (None, item), (2, "nothing of it"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS key")
     assert sorted(r["text"] or "" for r in corpus_pipeline.benchmark_leaks(spark, docs, SF).collect()) == ["", "nothing of it"]
+
+
+def test_keys_of_an_id_on_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "_NUMBERS", 7)
+    rows = [(None,)] * 50 + [(3,)] * 7 + [(4,)] * 8 + [(5,)]
+    got = token_store.all_keys(spark.createDataFrame(rows, "doc_id long")).collect()
+    want = [(None, i) for i in range(50)] + [(3, i) for i in range(7)] + [(4, i) for i in range(8)] + [(5, 0)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
